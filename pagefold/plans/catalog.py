@@ -25,4 +25,5 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from pagefold.plans import crawl_queries, extraction_queries, job_queries, request_queries  # noqa: F401
+    from pagefold.plans import (crawl_queries, extraction_queries, job_queries, metric_queries,  # noqa: F401
+                                request_queries)
