@@ -171,17 +171,26 @@ def _output_fields(types: list[str]) -> list[T.StructField]:
 
 def extract_pages(df: DataFrame, types: Iterable[str] | None = None, *, url_col: str = "url",
                   body_col: str = "html", keep: Iterable[str] = ("page_id",),
-                  max_html: int = MAX_STORED_HTML, resolve: bool = True) -> DataFrame:
+                  max_html: int = MAX_STORED_HTML, resolve: bool = True,
+                  types_col: str | None = None) -> DataFrame:
     """Run the extraction pass over a page table.
 
-    Output columns: ``keep`` + url + one column per requested type + truncated.
+    Output columns: ``keep`` + url + one column per type + truncated. With
+    ``types_col`` each row names its own extract list (lower-cased, de-duplicated,
+    empty -> links, ``all`` expanded); ``types`` is then the set of output columns
+    and a type a row did not ask for is NULL for that row.
     List types that are URLs (links, images) are resolved against ``url`` by native
     expressions; unparsable hrefs are dropped, order and duplicates kept.
     """
-    types = extract_set(types)
-    keep = [k for k in keep if k != url_col]
-    src = df.select(*keep, url_col, body_col)
-    in_fields = [f for f in src.schema.fields if f.name != body_col]
+    if types_col is None:
+        types = extract_set(types)
+    else:
+        custom = tuple(t for t in _REGISTRY if t not in BUILTIN_TYPES)
+        types = list(dict.fromkeys(types or (BUILTIN_TYPES + custom)))
+    keep = [k for k in keep if k not in (url_col, types_col)]
+    cols = [*keep, url_col, body_col] + ([types_col] if types_col else [])
+    src = df.select(*cols)
+    in_fields = [f for f in src.schema.fields if f.name not in (body_col, types_col)]
     schema = T.StructType(in_fields + _output_fields(types))
     arrow_schema = None
 
@@ -193,7 +202,12 @@ def extract_pages(df: DataFrame, types: Iterable[str] | None = None, *, url_col:
         for batch in batches:
             cols = {name: batch.column(name) for name in batch.schema.names}
             bodies = cols[body_col].to_pylist()
-            results = [extract_one(b, types, max_html) for b in bodies]
+            if types_col is None:
+                results = [extract_one(b, types, max_html) for b in bodies]
+            else:
+                row_types = cols[types_col].to_pylist()
+                results = [extract_one(b, [t for t in extract_set(rt) if t in types], max_html)
+                           for b, rt in zip(bodies, row_types)]
             arrays = [cols[f.name] for f in in_fields]
             for t in types:
                 arrays.append(pa.array([r.get(t) for r in results], type=arrow_schema.field(t).type))

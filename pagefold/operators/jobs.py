@@ -71,7 +71,7 @@ def job_log_from_events(events: DataFrame) -> DataFrame:
     Events before a user's first signup have job_id NULL (job not found)."""
     op = F.create_map(*[x for kv in OP_OF_EVENT.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])[F.col("event_type")]
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.get_json_object("props", "$.k").try_cast("int")
     ev = events.select("event_id", "ts", "user_id", op.alias("op"), "value", k.alias("k"))
     ev = ev.withColumn("job_id", F.last(F.when(F.col("op") == "create", F.col("event_id")), True).over(w))
     et = F.when(F.col("op") == "fail", error_type_of(F.col("k")))

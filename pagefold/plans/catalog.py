@@ -26,4 +26,5 @@ def query(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from pagefold.plans import (crawl_queries, extraction_queries, job_queries,  # noqa: F401
-                                metric_queries, ratelimit_queries, request_queries)
+                                metric_queries, network_queries, ratelimit_queries,
+                                request_queries)

@@ -30,13 +30,14 @@ jp AS (
          json_extract_string(body, '$.url') AS url,
          CASE WHEN json_type(body, '$.extract') = 'ARRAY' THEN CAST(json_extract(body, '$.extract') AS VARCHAR[]) END AS extract,
          {int_cols},
+         TRY_CAST(json_extract(body, '$.options.follow_redirects') AS BOOLEAN) AS follow_redirects,
          coalesce(json_type(body, '$.url') IN ('VARCHAR', 'NULL'), true)
            AND coalesce(json_type(body, '$.extract') IN ('ARRAY', 'NULL'), true)
            AND coalesce(json_type(body, '$.options') IN ('OBJECT', 'NULL'), true)
            AND {int_ok} AND {bool_ok} AS typed_ok
   FROM j),
 p AS (
-  SELECT r.req_id, r.kind, jp.url, jp.extract, {", ".join("jp." + o for o in _INT_OPTS)},
+  SELECT r.req_id, r.kind, jp.url, jp.extract, {", ".join("jp." + o for o in _INT_OPTS)}, jp.follow_redirects,
          coalesce(octet_length(encode(r.body)) <= 1048576 AND jp.typed_ok AND jp.url <> '', false) AS bind_ok
   FROM r LEFT JOIN jp ON r.req_id = jp.req_id)"""
 
@@ -54,7 +55,7 @@ _OPT_REASON = "coalesce(" + ", ".join(
 VALIDATION_ORACLE = f"""
 WITH {_oracle_parsed().strip()},
 v AS (
-  SELECT req_id, kind, url, extract, {", ".join(_INT_OPTS)},
+  SELECT req_id, kind, url, extract, {", ".join(_INT_OPTS)}, follow_redirects,
     CASE WHEN NOT bind_ok THEN 'invalid request body'
          WHEN NOT coalesce({_URL_OK}, false) THEN 'url must be a valid http:// or https:// URL'
          WHEN kind <> 'map' AND {_BAD_EXTRACT} IS NOT NULL THEN
