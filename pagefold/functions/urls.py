@@ -38,6 +38,25 @@ def _e():
     return F.lit("")
 
 
+_MEMO: dict = {}
+
+
+def _memo(fn):
+    """Cache built expressions by function and input text. Building one URL
+    expression takes thousands of driver-to-JVM calls; the result is an immutable,
+    unresolved Column, so the same (function, inputs) can be reused freely."""
+    import functools
+
+    @functools.wraps(fn)
+    def wrapper(*args, **kw):
+        key = (fn.__name__, tuple(str(a) for a in args), tuple(sorted(kw.items())))
+        hit = _MEMO.get(key)
+        if hit is None:
+            hit = _MEMO[key] = fn(*args, **kw)
+        return hit
+    return wrapper
+
+
 def chain(first: Column, *stages) -> Column:
     """Apply struct->struct stages to a scalar, materialising each stage."""
     arr = F.array(first)
@@ -164,11 +183,13 @@ def _print_stage(keep_fragment: bool):
     return lambda x: F.when(x["ok"], _print(x, "epath", keep_fragment))
 
 
+@_memo
 def print_url(url: Column, keep_fragment: bool = True) -> Column:
     """Parse and print (``String()`` of ``Parse``); NULL when it does not parse."""
     return chain(url, parse_struct, _with_epath, _print_stage(keep_fragment))
 
 
+@_memo
 def normalize_url(url: Column) -> Column:
     """De-duplication key: parse and print without the fragment. Scheme is lower-cased
     by parsing; host case, port, trailing slash and query are kept."""
@@ -214,12 +235,14 @@ def _resolve_stages(keep_fragment: bool):
     return [s_parse, s_escape, s_merge, s_dots, _print_stage(keep_fragment)]
 
 
+@_memo
 def resolve_url(base: Column, ref: Column, keep_fragment: bool = True) -> Column:
     """RFC 3986 resolution of ``ref`` against ``base``, printed; NULL when either
     string does not parse."""
     return chain(F.struct(base.alias("base"), ref.alias("ref")), *_resolve_stages(keep_fragment))
 
 
+@_memo
 def resolve_urls(base: Column, refs: Column, keep_fragment: bool = True) -> Column:
     """Resolve every element of the array ``refs``; unparsable ones are dropped,
     order and duplicates kept."""
@@ -229,21 +252,25 @@ def resolve_urls(base: Column, refs: Column, keep_fragment: bool = True) -> Colu
 
 
 # ---- host helpers and predicates -------------------------------------------------------------
+@_memo
 def hostname(url: Column) -> Column:
     """``Hostname()``: host without port; NULL when the URL does not parse."""
     return chain(url, parse_struct, lambda p: F.when(p["ok"], hostname_of(p["host"])))
 
 
+@_memo
 def url_host(url: Column) -> Column:
     """``Host`` (with port); NULL when the URL does not parse."""
     return chain(url, parse_struct, lambda p: F.when(p["ok"], p["host"]))
 
 
+@_memo
 def extract_hostname(url: Column) -> Column:
     """Worker-side host key: hostname, or 'unknown' when the URL does not parse."""
     return F.coalesce(hostname(url), F.lit("unknown"))
 
 
+@_memo
 def is_valid_api_url(url: Column) -> Column:
     """API check: parses, scheme http/https (any case), non-empty host[:port]."""
     return F.coalesce(chain(url, parse_struct,
@@ -256,10 +283,12 @@ def has_http_prefix(url: Column) -> Column:
     return F.coalesce(url.startswith("http://") | url.startswith("https://"), F.lit(False))
 
 
+@_memo
 def same_host(a: Column, b: Column) -> Column:
     """Hostname equality, case-insensitive; port and scheme are ignored."""
     return F.lower(hostname(a)) == F.lower(hostname(b))
 
 
+@_memo
 def href_parses(href: Column) -> Column:
     return chain(href, parse_struct, lambda p: p["ok"])

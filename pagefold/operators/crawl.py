@@ -89,6 +89,48 @@ def _seeds(seeds: DataFrame, budget_col: str, default_budget: int, default_depth
         .where(F.col("url").isNotNull())
 
 
+def _offsets(frontiers: list[DataFrame]) -> DataFrame:
+    """Next rank per crawl = 1 + max rank discovered so far (before the budget cut)."""
+    u = frontiers[0].select("crawl_id", "rank")
+    for f in frontiers[1:]:
+        u = u.unionByName(f.select("crawl_id", "rank"))
+    return u.groupBy("crawl_id").agg((F.max("rank") + 1).alias("next_rank"))
+
+
+def _bfs(seeds: DataFrame, snapshot: DataFrame, edges: DataFrame | None, active: DataFrame | None,
+         budget_col: str, default_budget: int, default_depth: int, map_mode: bool) -> DataFrame:
+    status = cut_lineage(snapshot.select("url", "http_status").repartition("url"))
+    edges = edges if edges is not None else cut_lineage(snapshot_edges(snapshot).repartition("src_url"))
+    frontier = cut_lineage(_seeds(seeds, budget_col, default_budget, default_depth))
+    frontiers = [frontier]
+    out = []
+    for level in range(MAX_DEPTH_CAP + 1):
+        cur = frontier.where(F.col("rank") < F.col(budget_col))
+        if active is not None:
+            cur = cur.join(active.select("crawl_id").distinct(), "crawl_id", "left_semi")
+        if map_mode:
+            out.append(cur.select("crawl_id", "rank", "url", "depth"))
+            parents = _fetch(cur.where(F.col("depth") < F.col("max_depth")), status).where("ok")
+        else:
+            fetched = _fetch(cur, status)
+            out.append(fetched.select("crawl_id", "rank", "url", "depth", "ok", "http_status"))
+            parents = fetched.where(F.col("ok") & (F.col("depth") < F.col("max_depth")) & F.col("follow"))
+        if level == MAX_DEPTH_CAP:
+            break
+        seen = frontiers[0].where(F.col("rank") < F.col(budget_col)).select("crawl_id", "url")
+        for f in frontiers[1:]:
+            seen = seen.unionByName(f.where(F.col("rank") < F.col(budget_col)).select("crawl_id", "url"))
+        frontier, _ = _expand(parents, edges, seen, _offsets(frontiers), budget_col)
+        frontier = cut_lineage(frontier)            # one materialised table per level
+        if frontier.isEmpty():
+            break
+        frontiers.append(frontier)
+    res = out[0]
+    for v in out[1:]:
+        res = res.unionByName(v)
+    return res
+
+
 def crawl_bfs(seeds: DataFrame, snapshot: DataFrame, edges: DataFrame | None = None, *,
               active: DataFrame | None = None) -> DataFrame:
     """Crawl many seeds at once.
@@ -101,33 +143,7 @@ def crawl_bfs(seeds: DataFrame, snapshot: DataFrame, edges: DataFrame | None = N
     Returns crawl_pages (crawl_id, rank, url, depth, ok, http_status), failed pages
     included (they count against max_pages but are not expanded).
     """
-    status = snapshot.select("url", "http_status")
-    edges = edges if edges is not None else cut_lineage(snapshot_edges(snapshot).repartition("src_url"))
-    frontier = _seeds(seeds, "max_pages", CRAWL_DEFAULT_PAGES, CRAWL_DEFAULT_DEPTH)
-    offsets = frontier.select("crawl_id", F.lit(1).alias("next_rank"))
-    seen = frontier.select("crawl_id", "url")
-    visited = []
-    for level in range(MAX_DEPTH_CAP + 1):
-        frontier = frontier.where(F.col("rank") < F.col("max_pages"))
-        if active is not None:
-            frontier = frontier.join(active.select("crawl_id").distinct(), "crawl_id", "left_semi")
-        fetched = cut_lineage(_fetch(frontier, status))
-        visited.append(fetched.select("crawl_id", "rank", "url", "depth", "ok", "http_status"))
-        if level == MAX_DEPTH_CAP:
-            break
-        parents = fetched.where(F.col("ok") & (F.col("depth") < F.col("max_depth")) & F.col("follow"))
-        if parents.isEmpty():
-            break
-        frontier, new_off = _expand(parents, edges, seen, offsets, "max_pages")
-        frontier = cut_lineage(frontier)
-        offsets = offsets.join(new_off.withColumnRenamed("next_rank", "nr"), "crawl_id", "left") \
-            .select("crawl_id", F.coalesce("nr", "next_rank").alias("next_rank"))
-        offsets = cut_lineage(offsets)
-        seen = seen.unionByName(frontier.where(F.col("rank") < F.col("max_pages")).select("crawl_id", "url"))
-    out = visited[0]
-    for v in visited[1:]:
-        out = out.unionByName(v)
-    return out
+    return _bfs(seeds, snapshot, edges, active, "max_pages", CRAWL_DEFAULT_PAGES, CRAWL_DEFAULT_DEPTH, False)
 
 
 def map_bfs(seeds: DataFrame, snapshot: DataFrame, edges: DataFrame | None = None, *,
@@ -135,30 +151,8 @@ def map_bfs(seeds: DataFrame, snapshot: DataFrame, edges: DataFrame | None = Non
     """URL map for many seeds: (crawl_id, rank, url, depth) with the seed first.
     Items at max_depth are listed but not fetched; failed fetches stay listed;
     the list stops at max_urls (seed included)."""
-    status = snapshot.select("url", "http_status")
-    edges = edges if edges is not None else cut_lineage(snapshot_edges(snapshot).repartition("src_url"))
-    frontier = _seeds(seeds.withColumn("follow", F.lit(True)), "max_urls", MAP_DEFAULT_URLS, MAP_DEFAULT_DEPTH)
-    offsets = frontier.select("crawl_id", F.lit(1).alias("next_rank"))
-    seen = frontier.select("crawl_id", "url")
-    listed = []
-    for level in range(MAX_DEPTH_CAP + 1):
-        frontier = frontier.where(F.col("rank") < F.col("max_urls"))
-        if active is not None:
-            frontier = frontier.join(active.select("crawl_id").distinct(), "crawl_id", "left_semi")
-        frontier = cut_lineage(frontier)
-        listed.append(frontier.select("crawl_id", "rank", "url", "depth"))
-        to_fetch = frontier.where(F.col("depth") < F.col("max_depth"))
-        if level == MAX_DEPTH_CAP or to_fetch.isEmpty():
-            break
-        parents = _fetch(to_fetch, status).where("ok")
-        frontier, new_off = _expand(parents, edges, seen, offsets, "max_urls")
-        offsets = cut_lineage(offsets.join(new_off.withColumnRenamed("next_rank", "nr"), "crawl_id", "left")
-                              .select("crawl_id", F.coalesce("nr", "next_rank").alias("next_rank")))
-        seen = seen.unionByName(frontier.where(F.col("rank") < F.col("max_urls")).select("crawl_id", "url"))
-    out = listed[0]
-    for v in listed[1:]:
-        out = out.unionByName(v)
-    return out
+    return _bfs(seeds.withColumn("follow", F.lit(True)), snapshot, edges, active, "max_urls",
+                MAP_DEFAULT_URLS, MAP_DEFAULT_DEPTH, True)
 
 
 def crawl_rollup(crawl_pages: DataFrame, page_extract: DataFrame | None = None) -> DataFrame:

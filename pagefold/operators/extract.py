@@ -158,6 +158,16 @@ def extract_one(body: str | bytes | None, types: list[str], max_html: int = MAX_
     return out
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """The parse is CPU-bound Python: make sure every core gets a share. A large
+    scan already has far more splits than cores (no shuffle); a small table stored
+    in a few row groups is spread round-robin over the default parallelism."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def _output_fields(types: list[str]) -> list[T.StructField]:
     fields = []
     for t in types:
@@ -189,7 +199,7 @@ def extract_pages(df: DataFrame, types: Iterable[str] | None = None, *, url_col:
         types = list(dict.fromkeys(types or (BUILTIN_TYPES + custom)))
     keep = [k for k in keep if k not in (url_col, types_col)]
     cols = [*keep, url_col, body_col] + ([types_col] if types_col else [])
-    src = df.select(*cols)
+    src = _spread(df.select(*cols))
     in_fields = [f for f in src.schema.fields if f.name not in (body_col, types_col)]
     schema = T.StructType(in_fields + _output_fields(types))
     arrow_schema = None

@@ -45,6 +45,17 @@ def ssrf_guard(df: DataFrame, url_col: str, verdict: DataFrame, allow_private: b
         .drop("_host", "n_answers", "private_ip")
 
 
+def resolved_redirects(redirects: DataFrame, verdict: DataFrame) -> DataFrame:
+    """Redirect table with every hop precomputed once: (url, http_status, next_url,
+    next_error). The location is resolved against the redirecting URL and normalised;
+    ``next_error`` is the SSRF/DNS verdict of the next host (checked on every hop)."""
+    r = redirects.select(U.normalize_url(F.col("url")).alias("url"), "http_status",
+                         U.normalize_url(U.resolve_url(F.col("url"), F.col("location"))).alias("next_url"))
+    r = ssrf_guard(r, "next_url", verdict, out="next_error", blocked_out="next_blocked_ip")
+    return r.withColumn("next_error", F.when(F.col("next_url").isNull(), F.lit("invalid_url"))
+                        .otherwise(F.col("next_error")))
+
+
 def follow_redirects(df: DataFrame, redirects: DataFrame, verdict: DataFrame, *, follow_col: str = "follow",
                      max_requests: int = MAX_REQUESTS) -> DataFrame:
     """Iterative redirect join (G3). Input: (id, url, follow). Output adds
@@ -53,32 +64,38 @@ def follow_redirects(df: DataFrame, redirects: DataFrame, verdict: DataFrame, *,
     * follow off: the first 3xx is the response (``redirect_status`` = its status);
     * follow on: each hop's host is DNS/SSRF-checked; a redirect needing a
       ``max_requests``-th request fails with too_many_redirects.
-    Each round handles only unfinished rows and is checkpointed."""
-    red = redirects.select(F.col("url").alias("_u"), F.col("http_status").alias("_rs"),
-                           F.col("location").alias("_loc"))
+
+    Hops are resolved and checked once per redirect row (``resolved_redirects``), so
+    each round is one equi-join on the current URL over the still-unfinished rows;
+    the active set is checkpointed every round."""
+    red = cut_lineage(resolved_redirects(redirects, verdict)).select(
+        F.col("url").alias("_u"), F.col("http_status").alias("_rs"), F.col("next_url").alias("_next"),
+        F.col("next_error").alias("_nerr"))
     active = df.withColumn("final_url", U.normalize_url(F.col("url"))).withColumn("hops", F.lit(0)) \
         .withColumn("redirect_error", F.lit(None).cast("string")) \
         .withColumn("redirect_status", F.lit(None).cast("int"))
+    active = cut_lineage(active)
     done = []
+    extra = ["_u", "_rs", "_next", "_nerr"]
     for _ in range(max_requests):
         j = active.join(red, active.final_url == red._u, "left")
-        is_3xx = F.col("_rs").isNotNull()
-        terminal = j.where(~is_3xx).drop("_u", "_rs", "_loc")
-        done.append(terminal)
-        r = j.where(is_3xx)
-        stop_off = r.where(~F.col(follow_col)).withColumn("redirect_status", F.col("_rs"))
-        done.append(stop_off.drop("_u", "_rs", "_loc"))
-        go = r.where(F.col(follow_col))
-        too_many = go.where(F.col("hops") + 1 >= max_requests).withColumn("redirect_error",
-                                                                          F.lit("too_many_redirects"))
-        done.append(too_many.drop("_u", "_rs", "_loc"))
-        nxt = go.where(F.col("hops") + 1 < max_requests) \
-            .withColumn("final_url", U.normalize_url(U.resolve_url(F.col("final_url"), F.col("_loc")))) \
-            .withColumn("hops", F.col("hops") + 1).drop("_u", "_rs", "_loc")
-        nxt = ssrf_guard(nxt, "final_url", verdict, out="_hop_err", blocked_out="_hop_ip").withColumn(
-            "redirect_error", F.col("_hop_err")).drop("_hop_err", "_hop_ip")
-        done.append(nxt.where(F.col("redirect_error").isNotNull()))
-        active = cut_lineage(nxt.where(F.col("redirect_error").isNull()))
+        state = F.when(F.col("_rs").isNull(), F.lit("terminal")) \
+            .when(~F.col(follow_col), F.lit("stop")) \
+            .when(F.col("hops") + 1 >= max_requests, F.lit("too_many")) \
+            .when(F.col("_nerr").isNotNull(), F.lit("hop_error")).otherwise(F.lit("next"))
+        j = cut_lineage(j.withColumn("_state", state))
+        fin = j.where(F.col("_state") != "next").select(
+            *[c for c in active.columns if c not in ("final_url", "hops", "redirect_error", "redirect_status")],
+            F.when(F.col("_state") == "hop_error", F.col("_next")).otherwise(F.col("final_url")).alias("final_url"),
+            F.when(F.col("_state") == "hop_error", F.col("hops") + 1).otherwise(F.col("hops")).alias("hops"),
+            F.when(F.col("_state") == "too_many", F.lit("too_many_redirects"))
+             .when(F.col("_state") == "hop_error", F.col("_nerr")).alias("redirect_error"),
+            F.when(F.col("_state") == "stop", F.col("_rs")).alias("redirect_status"))
+        done.append(fin)
+        active = j.where(F.col("_state") == "next").withColumn("final_url", F.col("_next")) \
+            .withColumn("hops", F.col("hops") + 1).drop(*extra, "_state")
+        if active.isEmpty():            # j is materialised: this check is cheap
+            break
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
