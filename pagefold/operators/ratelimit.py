@@ -107,9 +107,10 @@ def simulate_token_bucket(arrivals_us, rate: float, burst: int) -> list[int]:
 
 
 def admission_pandas(pdf: pd.DataFrame, rate: float = IP_RATE, burst: int = IP_BURST) -> pd.Series:
-    """Sequential token-bucket Allow() for one key (tests)."""
-    t = 1_000_000 / rate
-    tokens, last, out = float(burst), None, []
+    """Sequential token-bucket Allow() for one key, in exact rational arithmetic (tests)."""
+    from fractions import Fraction
+    t = Fraction(1_000_000) / Fraction(rate)
+    tokens, last, out = Fraction(burst), None, []
     for a in pdf["arrival_us"]:
         if last is not None:
             tokens = min(burst, tokens + (a - last) / t)
