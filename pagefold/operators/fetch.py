@@ -160,7 +160,10 @@ def scrape_jobs(jobs: DataFrame, snapshot: DataFrame, dns: DataFrame, redirects:
     ext = extract_pages(good, types=None, url_col="url", body_col="body", keep=("job_id",), types_col="extract")
     ext = ext.join(good.select("job_id", "http_status"), "job_id")
     result_cols = [c for c in ext.columns if c not in ("job_id", "url", "http_status")]
+    from pagefold.sources.jsoncodec import PAGE_SCHEMA
+    from pyspark.sql import types as T
     res = ext.select("job_id", F.struct(*[F.col(c) for c in result_cols],
+                                        F.lit(None).cast(T.ArrayType(PAGE_SCHEMA)).alias("pages"),
                                         F.lit(0).alias("pages_crawled"), F.lit(0).alias("pages_skipped"),
                                         F.lit(None).cast("array<string>").alias("urls"), F.col("http_status"),
                                         F.lit(0).cast("bigint").alias("duration_ms")).alias("result"),

@@ -122,7 +122,8 @@ def fold_jobs(log: DataFrame) -> DataFrame:
     return agg.select(
         "job_id", status.alias("status"), error_msg.alias("error_msg"), "http_status", "duration_ms",
         F.coalesce(F.col("last_u.retries"), F.lit(0)).alias("retries_used"),
-        "created_at", updated_at.alias("updated_at"), F.col("last_u.ts").alias("completed_at"), "n_events")
+        "created_at", updated_at.alias("updated_at"), F.col("last_u.ts").alias("completed_at"), "n_events",
+        F.when(g_applied & (F.col("g.op") == "claim"), F.col("g.ts")).alias("claimed_at"))
 
 
 def event_outcomes(log: DataFrame) -> DataFrame:

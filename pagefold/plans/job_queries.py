@@ -62,7 +62,8 @@ f AS (SELECT job_id,
         http_status, duration_ms, coalesce(lu_retries, 0) AS retries_used, created_at,
         greatest(created_at, coalesce(lu_ts, created_at), CASE WHEN g_applied THEN g_ts ELSE created_at END)
           AS updated_at,
-        lu_ts AS completed_at, n_events
+        lu_ts AS completed_at, n_events,
+        CASE WHEN g_applied AND g_op = 'claim' THEN g_ts END AS claimed_at
       FROM s)"""
 
 
@@ -194,3 +195,26 @@ def q_attempt_outcome(spark, sf):
                     F.col("attempts_used").cast("bigint").alias("attempts_used"),
                     F.col("retries_flag").cast("bigint").alias("retries_flag"), "error_type",
                     F.col("http_status").cast("bigint").alias("http_status"))
+
+
+@query("queue_fifo_position", oracle="WITH " + JOB_LOG_SQL + """
+SELECT CAST(job_id AS BIGINT) AS job_id, CAST(row_number() OVER (ORDER BY ts, event_id) AS BIGINT) AS position
+FROM l WHERE op = 'create'
+""")
+def q_queue_fifo_position(spark, sf):
+    from pagefold.functions.ranking import global_row_number
+    log = J.job_log_from_events(events(spark, sf)).where(F.col("op") == "create")
+    r = global_row_number(log.select("job_id", "ts", "event_id"), ["ts", "event_id"], out="position")
+    return r.select(F.col("job_id").cast("bigint"), "position")
+
+
+@query("job_queue_delay", oracle="WITH " + FOLD_SQL + """
+SELECT CAST(job_id AS BIGINT) AS job_id, epoch_us(claimed_at) - epoch_us(created_at) AS claim_wait_us,
+       epoch_us(completed_at) - epoch_us(created_at) AS finish_us
+FROM f
+""")
+def q_job_queue_delay(spark, sf):
+    f = _jobs(spark, sf)
+    return f.select(F.col("job_id").cast("bigint"),
+                    (F.unix_micros("claimed_at") - F.unix_micros("created_at")).alias("claim_wait_us"),
+                    (F.unix_micros("completed_at") - F.unix_micros("created_at")).alias("finish_us"))

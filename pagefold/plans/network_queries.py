@@ -145,3 +145,15 @@ def q_scrape_job_responses(spark, sf):
     r = job_response(full)
     return r.select(F.col("job_id").cast("bigint"), "status", "url", F.to_json("meta").alias("meta_json"), "error",
                     F.octet_length(F.col("results.markdown")).alias("markdown_bytes"))
+
+
+@query("job_result_json")
+def q_job_result_json(spark, sf):
+    """Result JSON as stored (omitempty rules), decoded back; rows-only check."""
+    from pagefold.sources.jsoncodec import parse_result_json, result_to_json
+    _, jobs = _scrape(spark, sf)
+    enc = jobs.select(F.col("job_id").cast("bigint"), "status", result_to_json(F.col("result")).alias("result_json"))
+    dec = enc.withColumn("_r", parse_result_json(F.col("result_json")))
+    return dec.select("job_id", "status", "result_json",
+                      F.coalesce(F.size("_r.links"), F.lit(0)).alias("links_count"),
+                      F.col("_r.http_status").alias("http_status"))

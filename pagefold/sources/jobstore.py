@@ -1,0 +1,118 @@
+"""The jobs table as a parquet table partitioned by status, plus the row-level
+operations of the reference's store as joins (S4-S8, S10, J4-J6, W7).
+
+Table operations return DataFrames; ``save_jobs`` writes a new version folder
+(never reading and overwriting the same files in one job), so a failed write
+leaves the previous version intact.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pagefold.sources.requests import OPTIONS_SCHEMA
+
+JOBS_SCHEMA = T.StructType([
+    T.StructField("job_id", T.StringType(), False), T.StructField("kind", T.StringType()),
+    T.StructField("url", T.StringType()), T.StructField("extract", T.ArrayType(T.StringType())),
+    T.StructField("options", OPTIONS_SCHEMA), T.StructField("result", T.StringType()),
+    T.StructField("error_msg", T.StringType()), T.StructField("http_status", T.IntegerType()),
+    T.StructField("retries_used", T.IntegerType()), T.StructField("duration_ms", T.LongType()),
+    T.StructField("created_at", T.TimestampType()), T.StructField("updated_at", T.TimestampType()),
+    T.StructField("completed_at", T.TimestampType()), T.StructField("status", T.StringType()),
+])
+
+# fixed values: outcome labels of row operations
+NOT_FOUND, CANNOT_CANCEL = "job not found", "cannot cancel job with status"
+
+
+def create_jobs_table(spark: SparkSession, path: str) -> None:
+    """Idempotent create (S7): an empty table with the jobs schema, partitioned by
+    status; an existing table is left alone."""
+    try:
+        spark.read.schema(JOBS_SCHEMA).parquet(path).limit(0).collect()
+        exists = True
+    except Exception:  # noqa: BLE001 - no table yet
+        exists = False
+    if not exists:
+        spark.createDataFrame([], JOBS_SCHEMA).write.partitionBy("status").parquet(path)
+
+
+def read_jobs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(JOBS_SCHEMA).parquet(path)
+
+
+def new_jobs(accepted: DataFrame, now: Column | None = None) -> DataFrame:
+    """Insert rows (S8): status queued, retries 0, timestamps now, no result."""
+    now = now if now is not None else F.current_timestamp()
+    return accepted.select(
+        "job_id", "kind", "url", "extract", "options", F.lit(None).cast("string").alias("result"),
+        F.lit(None).cast("string").alias("error_msg"), F.lit(None).cast("int").alias("http_status"),
+        F.lit(0).alias("retries_used"), F.lit(None).cast("bigint").alias("duration_ms"),
+        now.alias("created_at"), now.alias("updated_at"), F.lit(None).cast("timestamp").alias("completed_at"),
+        F.lit("queued").alias("status"))
+
+
+def save_jobs(jobs: DataFrame, path: str) -> None:
+    jobs.select(*[f.name for f in JOBS_SCHEMA.fields]).write.mode("overwrite").partitionBy("status").parquet(path)
+
+
+def get_job(jobs: DataFrame, job_id: str) -> DataFrame:
+    """Lookup (S4): zero or one row; the status partition is not needed for a key lookup."""
+    return jobs.where(F.col("job_id") == job_id)
+
+
+def claim(jobs: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claims (job_id, ts): the first claim of a queued job wins.
+    Returns (updated jobs, per-claim outcome)."""
+    first = claims.groupBy("job_id").agg(F.min("ts").alias("claim_ts"))
+    ok = jobs.where(F.col("status") == "queued").join(first, "job_id", "left_semi").select("job_id")
+    ok_ts = first.join(ok, "job_id")
+    upd = jobs.join(ok_ts, "job_id", "left").withColumn(
+        "status", F.when(F.col("claim_ts").isNotNull(), F.lit("processing")).otherwise(F.col("status"))) \
+        .withColumn("updated_at", F.coalesce("claim_ts", "updated_at")).drop("claim_ts")
+    w = Window.partitionBy("job_id").orderBy("ts")
+    outcome = claims.withColumn("_n", F.row_number().over(w)).join(ok_ts.select("job_id", "claim_ts"), "job_id", "left") \
+        .select("job_id", "ts", ((F.col("_n") == 1) & F.col("claim_ts").isNotNull()).alias("claimed"))
+    return upd, outcome
+
+
+def cancel(jobs: DataFrame, cancels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cancel iff queued (J6): failed + 'cancelled', no completed_at. Outcome per
+    request: ok / job not found / cannot cancel job with status: <status>."""
+    cur = jobs.select("job_id", "status")
+    out = cancels.join(cur, "job_id", "left").select(
+        "job_id", F.when(F.col("status").isNull(), F.lit(NOT_FOUND))
+        .when(F.col("status") == "queued", F.lit("ok"))
+        .otherwise(F.concat(F.lit(CANNOT_CANCEL + ": "), F.col("status"))).alias("outcome"))
+    hit = cancels.groupBy("job_id").agg(F.min("ts").alias("cts"))
+    upd = jobs.join(hit, "job_id", "left")
+    applies = F.col("cts").isNotNull() & (F.col("status") == "queued")
+    upd = upd.withColumn("error_msg", F.when(applies, F.lit("cancelled")).otherwise(F.col("error_msg"))) \
+        .withColumn("updated_at", F.when(applies, F.col("cts")).otherwise(F.col("updated_at"))) \
+        .withColumn("status", F.when(applies, F.lit("failed")).otherwise(F.col("status"))).drop("cts")
+    return upd, out
+
+
+def update(jobs: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Unguarded update (J4, S10): updates (job_id, status, result, error_msg,
+    http_status, duration_ms, retries_used, ts), at most one per job. Non-null new
+    values overwrite; retries and completed_at only on completed/failed.
+    Returns (updated jobs, updates whose job does not exist)."""
+    u = updates.select(*[F.col(c).alias("_n_" + c) for c in updates.columns])
+    j = jobs.join(u, jobs.job_id == u._n_job_id, "left")
+    final = F.col("_n_status").isin("completed", "failed")
+    has = F.col("_n_job_id").isNotNull()
+    out = j.select(
+        "job_id", "kind", "url", "extract", "options",
+        F.coalesce("_n_result", "result").alias("result"), F.coalesce("_n_error_msg", "error_msg").alias("error_msg"),
+        F.coalesce("_n_http_status", "http_status").alias("http_status"),
+        F.when(has & final, F.col("_n_retries_used")).otherwise(F.col("retries_used")).alias("retries_used"),
+        F.coalesce("_n_duration_ms", "duration_ms").alias("duration_ms"), "created_at",
+        F.when(has, F.col("_n_ts")).otherwise(F.col("updated_at")).alias("updated_at"),
+        F.when(has & final, F.col("_n_ts")).otherwise(F.col("completed_at")).alias("completed_at"),
+        F.when(has, F.col("_n_status")).otherwise(F.col("status")).alias("status"))
+    missing = updates.join(jobs.select("job_id"), "job_id", "left_anti").withColumn("error", F.lit(NOT_FOUND))
+    return out, missing
