@@ -1,0 +1,70 @@
+"""Jobs table operations (integration cases) and JSON columns."""
+import os
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from pagefold.sources import jobstore as S
+from pagefold.sources.jsoncodec import parse_result_json, result_to_json
+
+
+def _jobs(spark):
+    acc = spark.createDataFrame([("j1", "scrape", "https://e.com", ["links", "headers"], {"timeout_seconds": 15}),
+                                 ("j2", "scrape", "https://e.com/2", ["links"], None),
+                                 ("j3", "crawl", "https://e.com/3", ["markdown"], None)],
+                                "job_id string, kind string, url string, extract array<string>, "
+                                "options struct<timeout_seconds:int,max_retries:int,follow_redirects:boolean,"
+                                "max_pages:int,max_depth:int,max_urls:int,render_js:boolean>")
+    return S.new_jobs(acc, F.lit(datetime(2024, 1, 1)).cast("timestamp"))
+
+
+def test_create_insert_get(spark, scratch):
+    path = os.path.join(scratch, "jobs")
+    S.create_jobs_table(spark, path)
+    S.create_jobs_table(spark, path)          # idempotent
+    assert S.read_jobs(spark, path).count() == 0
+    S.save_jobs(_jobs(spark), os.path.join(scratch, "jobs_v1"))
+    j = S.get_job(S.read_jobs(spark, os.path.join(scratch, "jobs_v1")), "j1").collect()
+    assert len(j) == 1 and j[0]["status"] == "queued" and j[0]["extract"] == ["links", "headers"]
+    assert j[0]["options"]["timeout_seconds"] == 15 and j[0]["retries_used"] == 0
+    assert S.get_job(S.read_jobs(spark, os.path.join(scratch, "jobs_v1")), "nope").count() == 0
+
+
+def test_claim_twice_cancel_update(spark):
+    jobs = _jobs(spark)
+    t = datetime(2024, 1, 2)
+    claims = spark.createDataFrame([("j1", t), ("j1", datetime(2024, 1, 3))], "job_id string, ts timestamp")
+    jobs, out = S.claim(jobs, claims)
+    assert sorted(r["claimed"] for r in out.collect()) == [False, True]
+    cancels = spark.createDataFrame([("j1", t), ("j2", t), ("zz", t)], "job_id string, ts timestamp")
+    jobs, res = S.cancel(jobs, cancels)
+    got = {r["job_id"]: r["outcome"] for r in res.collect()}
+    assert got == {"j1": "cannot cancel job with status: processing", "j2": "ok", "zz": "job not found"}
+    upd = spark.createDataFrame([("j1", "completed", '{"links":["x"],"http_status":200,"duration_ms":500}', None,
+                                  200, 500, 1, t), ("nope", "failed", None, "boom", None, None, 1, t)],
+                                "job_id string, status string, result string, error_msg string, http_status int, "
+                                "duration_ms long, retries_used int, ts timestamp")
+    jobs, missing = S.update(jobs, upd)
+    rows = {r["job_id"]: r for r in jobs.collect()}
+    assert rows["j1"]["status"] == "completed" and rows["j1"]["http_status"] == 200 and rows["j1"]["retries_used"] == 1
+    assert rows["j1"]["completed_at"] is not None and rows["j2"]["status"] == "failed"
+    assert rows["j2"]["error_msg"] == "cancelled" and rows["j2"]["completed_at"] is None
+    assert [r["job_id"] for r in missing.collect()] == ["nope"]
+
+
+def test_result_json_omitempty(spark):
+    df = spark.createDataFrame([(["a"], [], "", False, 0, 200, 5)],
+                               "links array<string>, headers array<string>, markdown string, truncated boolean, "
+                               "pages_crawled int, http_status int, duration_ms long")
+    r = df.select(F.struct("links", "headers", "markdown", "truncated", "pages_crawled", "http_status", "duration_ms",
+                           F.lit(None).cast("array<string>").alias("paragraphs"), F.lit(None).cast("string").alias("html"),
+                           F.lit(None).cast("string").alias("raw_html"),
+                           F.lit(None).cast("array<struct<url:string,depth:int,links:array<string>,headers:array<string>,"
+                                            "paragraphs:array<string>,markdown:string,html:string,raw_html:string,"
+                                            "http_status:int,truncated:boolean>>").alias("pages"),
+                           F.lit(0).alias("pages_skipped"), F.lit(None).cast("array<string>").alias("urls")).alias("r"))
+    js = r.select(result_to_json(F.col("r"))).collect()[0][0]
+    assert js == '{"links":["a"],"http_status":200,"duration_ms":5}'
+    bad = spark.createDataFrame([("",), ("{bad",), ('{"links": 5}',), (js,)], "j string")
+    got = [r[0] for r in bad.select(parse_result_json(F.col("j")).alias("p")).select(F.col("p.links")).collect()]
+    assert got[:3] == [None, None, None] and got[3] == ["a"]
