@@ -71,11 +71,16 @@ def follow_redirects(df: DataFrame, redirects: DataFrame, verdict: DataFrame, *,
     red = cut_lineage(resolved_redirects(redirects, verdict)).select(
         F.col("url").alias("_u"), F.col("http_status").alias("_rs"), F.col("next_url").alias("_next"),
         F.col("next_error").alias("_nerr"))
-    active = df.withColumn("final_url", U.normalize_url(F.col("url"))).withColumn("hops", F.lit(0)) \
+    start = df.withColumn("final_url", U.normalize_url(F.col("url"))).withColumn("hops", F.lit(0)) \
         .withColumn("redirect_error", F.lit(None).cast("string")) \
         .withColumn("redirect_status", F.lit(None).cast("int"))
-    active = cut_lineage(active)
-    done = []
+    start = cut_lineage(start)
+    # rows whose URL is not a redirect source are final already: only the rest loop
+    direct = start.join(red.select(F.col("_u").alias("final_url")), "final_url", "left_anti")
+    active = start.join(red.select(F.col("_u").alias("final_url")), "final_url", "left_semi")
+    done = [direct]
+    if active.isEmpty():
+        return direct
     extra = ["_u", "_rs", "_next", "_nerr"]
     for _ in range(max_requests):
         j = active.join(red, active.final_url == red._u, "left")
@@ -99,6 +104,8 @@ def follow_redirects(df: DataFrame, redirects: DataFrame, verdict: DataFrame, *,
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
+    if active.isEmpty():
+        return out
     return out.unionByName(active.withColumn("redirect_error", F.lit("too_many_redirects")))
 
 
@@ -157,8 +164,8 @@ def scrape_jobs(jobs: DataFrame, snapshot: DataFrame, dns: DataFrame, redirects:
     allr = allr.withColumn("error_type", F.when(F.col("_max_retries") <= 0, F.lit("no_attempts"))
                            .otherwise(F.col("error_type")))
     good = allr.where(F.col("error_type").isNull())
-    ext = extract_pages(good, types=None, url_col="url", body_col="body", keep=("job_id",), types_col="extract")
-    ext = ext.join(good.select("job_id", "http_status"), "job_id")
+    ext = extract_pages(good, types=None, url_col="url", body_col="body", keep=("job_id", "http_status"),
+                        types_col="extract")
     result_cols = [c for c in ext.columns if c not in ("job_id", "url", "http_status")]
     from pagefold.sources.jsoncodec import PAGE_SCHEMA
     from pyspark.sql import types as T
