@@ -176,3 +176,18 @@ def map_result(map_urls: DataFrame) -> DataFrame:
     return map_urls.groupBy("crawl_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "url"))), lambda x: x["url"]).alias("urls"),
         F.lit(200).alias("http_status"))
+
+
+def crawl_fetch_schedule(crawl_pages: DataFrame, seeds: DataFrame, *, rate: float = 2.0, burst: int = 2,
+                         start_col: str = "start_us") -> DataFrame:
+    """Optional rate-limit stage over crawl fetches (U4 with W4): every fetch of a crawl
+    waits on the per-host limiter of the seed host. Fetches are issued in (depth, rank)
+    order from the crawl's start time; crawls of the same host share one limiter.
+    Returns crawl_pages with ``fetch_start_us`` and ``wait_us``."""
+    from pagefold.operators.ratelimit import host_schedule
+    s = seeds.select("crawl_id", F.lower(U.hostname(F.col("seed_url"))).alias("host"),
+                     F.coalesce(F.col(start_col), F.lit(0)).cast("bigint").alias("t0")
+                     if start_col in seeds.columns else F.lit(0).cast("bigint").alias("t0"))
+    x = crawl_pages.join(s, "crawl_id").withColumn("_seq", F.col("crawl_id") * 1000 + F.col("rank"))
+    out = host_schedule(x.withColumnRenamed("t0", "arrival_us"), "host", "arrival_us", "_seq", rate=rate, burst=burst)
+    return out.withColumnRenamed("start_us", "fetch_start_us").drop("_seq")

@@ -187,3 +187,12 @@ def exposition(log: DataFrame, buckets=DEFAULT_BUCKETS) -> DataFrame:
     qd = queue_depth_per_minute(log).agg(F.max_by("depth", "minute").alias("v")).select(
         F.lit("scraper_queue_depth").alias("metric"), F.lit("").alias("labels"), F.col("v").cast("double").alias("value"))
     return jt.unionByName(he).unionByName(hb).unionByName(rt).unionByName(qd)
+
+
+def retries_total(attempts: DataFrame) -> DataFrame:
+    """scraper_retries_total as its help text means it (A5): attempts beyond the first,
+    summed over jobs (the reference declares the counter but never increments it, so
+    ``declared_total`` is 0). ``attempts`` has one row per job with ``attempts_used``."""
+    return attempts.agg(F.lit(0).cast("bigint").alias("declared_total"),
+                        F.coalesce(F.sum(F.greatest(F.col("attempts_used") - 1, F.lit(0))), F.lit(0))
+                        .cast("bigint").alias("derived_total"))

@@ -218,3 +218,23 @@ def q_job_queue_delay(spark, sf):
     return f.select(F.col("job_id").cast("bigint"),
                     (F.unix_micros("claimed_at") - F.unix_micros("created_at")).alias("claim_wait_us"),
                     (F.unix_micros("completed_at") - F.unix_micros("created_at")).alias("finish_us"))
+
+
+@query("metrics_retries_total", oracle="WITH " + JOB_LOG_SQL + """,
+a AS (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) - 1 AS attempt, op = 'complete' AS ok
+      FROM l WHERE job_id IS NOT NULL AND op IN ('complete', 'fail')),
+g AS (SELECT job_id, min(attempt) FILTER (WHERE ok AND attempt < 3) AS first_ok,
+             max(attempt) FILTER (WHERE attempt < 3) AS last_attempt FROM a GROUP BY job_id),
+u AS (SELECT CASE WHEN first_ok IS NOT NULL THEN first_ok + 1 ELSE last_attempt + 1 END AS attempts_used FROM g)
+SELECT CAST(0 AS BIGINT) AS declared_total, CAST(coalesce(sum(greatest(attempts_used - 1, 0)), 0) AS BIGINT) AS derived_total
+FROM u
+""")
+def q_metrics_retries_total(spark, sf):
+    from pyspark.sql import Window
+    from pagefold.operators.metrics import retries_total
+    log = J.job_log_from_events(events(spark, sf)).where(
+        F.col("job_id").isNotNull() & F.col("op").isin("complete", "fail"))
+    w = Window.partitionBy("job_id").orderBy("ts", "event_id")
+    att = log.select("job_id", (F.row_number().over(w) - 1).alias("attempt"), (F.col("op") == "complete").alias("ok"),
+                     "error_type", "http_status", F.lit(3).alias("max_retries"))
+    return retries_total(J.attempt_outcome(att))
