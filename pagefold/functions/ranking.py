@@ -21,3 +21,25 @@ def global_row_number(df: DataFrame, order_cols: list[str], out: str = "rn", par
         F.sum("_c").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return local.join(F.broadcast(offs.select("_pid", "_off")), "_pid") \
         .withColumn(out, (F.col("_off") + F.col("_lrn")).cast("bigint")).drop("_pid", "_lrn", "_off")
+
+
+def carry(df: DataFrame, key: str, order_cols: list[str], chunk: str, value, out: str, how: str = "last",
+          include_current: bool = True) -> DataFrame:
+    """Running last (or first) non-NULL ``value`` per ``key`` in ``order_cols`` order,
+    computed in two levels so a key holding a third of all rows is still spread over
+    tasks: inside each (key, chunk) a window; across the chunk rows of a key (one row
+    per chunk) the value carried in from earlier chunks; then one join.
+    ``chunk`` must be monotone in the order (e.g. a time bucket of the first order column)."""
+    frame_end = 0 if include_current else -1
+    w = Window.partitionBy(key, chunk).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, frame_end)
+    fn = F.last if how == "last" else F.first
+    x = df.withColumn("_v", value).withColumn("_local", fn("_v", True).over(w))
+    o = F.struct(*order_cols)
+    per = x.groupBy(key, chunk).agg(
+        (F.max_by("_v", F.when(F.col("_v").isNotNull(), o)) if how == "last"
+         else F.min_by("_v", F.when(F.col("_v").isNotNull(), o))).alias("_cv"))
+    wc = Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_carry", fn("_cv", True).over(wc)).select(key, chunk, "_carry")
+    y = x.join(per, [key, chunk], "left")
+    res = F.coalesce("_local", "_carry") if how == "last" else F.coalesce("_carry", "_local")
+    return y.withColumn(out, res).drop("_v", "_local", "_carry")

@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagefold.functions.ranking import carry
 from pagefold.functions.validate import JOB_STATUSES, deterministic_uuid, with_defaults
 
 # ---- fixed values: statuses, messages and the error classes of a failed scrape ------------
@@ -41,6 +42,7 @@ ERROR_MESSAGES = {
 }
 POLL_PREFIX = "/api/v1/jobs/"
 DEFAULT_PAGE_LIMIT, MAX_PAGE_LIMIT = 20, 100
+CHUNK_SECONDS = 3600            # time chunk of the two-level running windows
 # -------------------------------------------------------------------------------------------
 
 
@@ -70,10 +72,11 @@ def job_log_from_events(events: DataFrame) -> DataFrame:
     latest job opened at or before them (an as-of assignment by running window).
     Events before a user's first signup have job_id NULL (job not found)."""
     op = F.create_map(*[x for kv in OP_OF_EVENT.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])[F.col("event_type")]
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     k = F.get_json_object("props", "$.k").try_cast("int")
-    ev = events.select("event_id", "ts", "user_id", op.alias("op"), "value", k.alias("k"))
-    ev = ev.withColumn("job_id", F.last(F.when(F.col("op") == "create", F.col("event_id")), True).over(w))
+    ev = events.select("event_id", "ts", "user_id", op.alias("op"), "value", k.alias("k"),
+                       F.floor(F.unix_seconds("ts") / CHUNK_SECONDS).alias("_chunk"))
+    ev = carry(ev, "user_id", ["ts", "event_id"], "_chunk", F.when(F.col("op") == "create", F.col("event_id")),
+               "job_id", how="last", include_current=True).drop("_chunk")
     et = F.when(F.col("op") == "fail", error_type_of(F.col("k")))
     msgs = F.create_map(*[x for kv in ERROR_MESSAGES.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     dur = F.floor(F.col("value") * 1000).cast("bigint")
@@ -129,14 +132,13 @@ def fold_jobs(log: DataFrame) -> DataFrame:
 def event_outcomes(log: DataFrame) -> DataFrame:
     """Status each event saw and whether it applied (claim/cancel/update outcomes:
     J4, J5, J6, W7). Events without a job are ``not_found``."""
-    w = Window.partitionBy("job_id").orderBy("ts", "event_id")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
     is_u = F.col("op").isin("complete", "fail")
     is_g = F.col("op").isin("claim", "cancel")
     # events without a job skip the window (they would all share the NULL key)
-    x = log.where(F.col("job_id").isNotNull()) \
-        .withColumn("last_u_op", F.last(F.when(is_u, F.col("op")), True).over(before)) \
-        .withColumn("first_g_op", F.first(F.when(is_g, F.col("op")), True).over(before))
+    x = log.where(F.col("job_id").isNotNull()).withColumn("_chunk", F.floor(F.unix_seconds("ts") / CHUNK_SECONDS))
+    x = carry(x, "job_id", ["ts", "event_id"], "_chunk", F.when(is_u, F.col("op")), "last_u_op", "last", False)
+    x = carry(x, "job_id", ["ts", "event_id"], "_chunk", F.when(is_g, F.col("op")), "first_g_op", "first", False)
+    x = x.drop("_chunk")
     status_before = F.when(F.col("last_u_op").isNotNull(),
                            F.when(F.col("last_u_op") == "complete", "completed").otherwise("failed")) \
         .when(F.col("first_g_op") == "claim", "processing").when(F.col("first_g_op") == "cancel", "failed") \
