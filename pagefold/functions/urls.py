@@ -179,7 +179,10 @@ def _with_epath(x: Column) -> Column:
                     x["query"], x["frag"], x["ok"])
 
 
-def _print_stage(keep_fragment: bool):
+def _print_stage(keep_fragment: bool, with_host: bool = False):
+    if with_host:
+        return lambda x: F.when(x["ok"], F.struct(_print(x, "epath", keep_fragment).alias("url"),
+                                                  F.lower(hostname_of(x["host"])).alias("host")))
     return lambda x: F.when(x["ok"], _print(x, "epath", keep_fragment))
 
 
@@ -197,7 +200,7 @@ def normalize_url(url: Column) -> Column:
 
 
 # ---- resolution -----------------------------------------------------------------------------
-def _resolve_stages(keep_fragment: bool):
+def _resolve_stages(keep_fragment: bool, with_host: bool = False):
     def s_parse(x):
         return F.struct(parse_struct(x["base"]).alias("b"), parse_struct(x["ref"]).alias("r"))
 
@@ -232,7 +235,7 @@ def _resolve_stages(keep_fragment: bool):
                         F.when(x["opaque_text"].isNotNull(), _e()).otherwise(remove_dot_segments(x["full"]))
                         .alias("epath"), x["has_q"], x["query"], x["frag"], x["ok"])
 
-    return [s_parse, s_escape, s_merge, s_dots, _print_stage(keep_fragment)]
+    return [s_parse, s_escape, s_merge, s_dots, _print_stage(keep_fragment, with_host)]
 
 
 @_memo
@@ -243,11 +246,13 @@ def resolve_url(base: Column, ref: Column, keep_fragment: bool = True) -> Column
 
 
 @_memo
-def resolve_urls(base: Column, refs: Column, keep_fragment: bool = True) -> Column:
+def resolve_urls(base: Column, refs: Column, keep_fragment: bool = True, with_host: bool = False) -> Column:
     """Resolve every element of the array ``refs``; unparsable ones are dropped,
-    order and duplicates kept."""
+    order and duplicates kept. ``keep_fragment=False`` gives the normalised form in
+    the same pass; ``with_host`` returns structs (url, host) with the lower-cased
+    hostname of each result, so no second parse is needed downstream."""
     arr = F.transform(refs, lambda h: F.struct(base.alias("base"), h.alias("ref")))
-    out = chain_array(arr, *_resolve_stages(keep_fragment))
+    out = chain_array(arr, *_resolve_stages(keep_fragment, with_host))
     return F.filter(out, lambda u: u.isNotNull())
 
 

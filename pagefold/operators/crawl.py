@@ -43,12 +43,13 @@ def snapshot_edges(snapshot: DataFrame, *, same_host: bool = True) -> DataFrame:
     page URL, normalised (fragment dropped), kept when the hostname matches the
     source page's (case-insensitive). Computed once per snapshot, hash-partitioned by
     ``src_url`` so every level's join reuses the partitioning."""
-    ext = extract_pages(snapshot, ["links"], url_col="url", body_col="body", keep=())
-    e = ext.select(F.col("url").alias("src_url"), F.posexplode("links").alias("pos", "link"))
-    e = e.select("src_url", "pos", U.normalize_url(F.col("link")).alias("dst_url"),
-                 F.lower(U.hostname(F.col("src_url"))).alias("src_host"),
-                 F.lower(U.hostname(F.col("link"))).alias("dst_host"))
-    e = e.where(F.col("dst_url").isNotNull())
+    ext = extract_pages(snapshot, ["links"], url_col="url", body_col="body", keep=(), resolve=False)
+    # one resolve per link gives the normalised URL and its host; the source host is
+    # computed once per page, before the explode
+    ext = ext.select(F.col("url").alias("src_url"), F.lower(U.hostname(F.col("url"))).alias("src_host"),
+                     U.resolve_urls(F.col("url"), F.col("links"), keep_fragment=False, with_host=True).alias("l"))
+    e = ext.select("src_url", "src_host", F.posexplode("l").alias("pos", "d")) \
+        .select("src_url", "src_host", "pos", F.col("d.url").alias("dst_url"), F.col("d.host").alias("dst_host"))
     if same_host:
         e = e.where((F.col("src_host") == F.col("dst_host")) & (F.col("dst_host") != ""))
     return e.select("src_url", "pos", "dst_url")

@@ -50,7 +50,7 @@ def resolved_redirects(redirects: DataFrame, verdict: DataFrame) -> DataFrame:
     next_error). The location is resolved against the redirecting URL and normalised;
     ``next_error`` is the SSRF/DNS verdict of the next host (checked on every hop)."""
     r = redirects.select(U.normalize_url(F.col("url")).alias("url"), "http_status",
-                         U.normalize_url(U.resolve_url(F.col("url"), F.col("location"))).alias("next_url"))
+                         U.resolve_url(F.col("url"), F.col("location"), keep_fragment=False).alias("next_url"))
     r = ssrf_guard(r, "next_url", verdict, out="next_error", blocked_out="next_blocked_ip")
     return r.withColumn("next_error", F.when(F.col("next_url").isNull(), F.lit("invalid_url"))
                         .otherwise(F.col("next_error")))

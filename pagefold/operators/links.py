@@ -37,13 +37,13 @@ def edges(pages: DataFrame, *, same_host_only: bool = True) -> DataFrame:
     normalised (fragment dropped) and, by default, kept only when the hostname equals
     the source page's (case-insensitive; scheme and port ignored; ``mailto:`` and
     ``javascript:`` have no host). Narrow: no join back to the page table."""
-    links = page_links_full(pages)
-    out = links.select(
-        F.col("page_id").alias("src_page_id"), F.col("url").alias("src_url"), "pos",
-        U.normalize_url(F.col("link")).alias("dst_url"),
-        F.lower(U.hostname(F.col("url"))).alias("src_host"),
-        F.lower(U.hostname(F.col("link"))).alias("dst_host"))
-    out = out.where(F.col("dst_url").isNotNull())
+    ext = extract_pages(pages, ["links"], keep=("page_id",), resolve=False)
+    # one resolve per link (normalised form + host); the source host once per page
+    ext = ext.select("page_id", F.col("url").alias("src_url"), F.lower(U.hostname(F.col("url"))).alias("src_host"),
+                     U.resolve_urls(F.col("url"), F.col("links"), keep_fragment=False, with_host=True).alias("l"))
+    out = ext.select(F.col("page_id").alias("src_page_id"), "src_url", "src_host", F.posexplode("l").alias("pos", "d")) \
+        .select("src_page_id", "src_url", "pos", F.col("d.url").alias("dst_url"), "src_host",
+                F.col("d.host").alias("dst_host"))
     if same_host_only:
         out = out.where((F.col("src_host") == F.col("dst_host")) & (F.col("dst_host") != ""))
     return out
