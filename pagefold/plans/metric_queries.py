@@ -173,6 +173,19 @@ def q_slo_summary(spark, sf):
                     "pass")
 
 
-@query("metrics_exposition")
+@query("metrics_exposition", oracle=f"WITH {JOB_LOG_SQL},{_hist_sql(M.DEFAULT_BUCKETS)}{_DEPTH_SQL}\n" + f"""
+SELECT 'scraper_jobs_total' AS metric, 'status="' || {_STATUS_SQL} || '"' AS labels, CAST(count(*) AS DOUBLE) AS value
+FROM l WHERE op IN ('create', 'complete', 'fail') GROUP BY 2
+UNION ALL
+SELECT 'scraper_http_errors_total', 'error_type="http_failed"', CAST(count(*) AS DOUBLE)
+FROM l WHERE op = 'fail' AND error_type = 'http_failed' HAVING count(*) > 0
+UNION ALL
+SELECT CASE le WHEN 'sum' THEN 'scraper_job_duration_ms_sum' WHEN 'count' THEN 'scraper_job_duration_ms_count'
+               ELSE 'scraper_job_duration_ms_bucket' END,
+       CASE WHEN le IN ('sum', 'count') THEN 'extract_type="all"' ELSE 'extract_type="all",le="' || le || '"' END,
+       CAST(value AS DOUBLE) FROM h
+UNION ALL SELECT 'scraper_retries_total', '', 0.0
+UNION ALL SELECT 'scraper_queue_depth', '', CAST(arg_max(depth, minute) AS DOUBLE) FROM dp
+""")
 def q_metrics_exposition(spark, sf):
     return M.exposition(_log(spark, sf))
