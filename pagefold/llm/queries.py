@@ -27,7 +27,7 @@ def query(name: str, oracle: str | None = None):
 
 SUBSTRING_SQL = r"""
 WITH docs AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+  SELECT doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS ws
   FROM documents),
 pos AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM docs),
 win AS (
@@ -53,3 +53,34 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_substrings(docs).select("doc_id", "n_words", "n_removed",
                                          F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+#: Reachability over the links of all pairs that share a shingle.
+JACCARD_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+')
+         IF x <> ''] AS ws
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(ws[p:p + 4], ' ')) AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, least(len(ws), 1)) + 1)) AS p FROM docs)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+overlaps AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both
+  FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM overlaps JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * both >= 80 * (p.n + q.n - both)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a)
+SELECT docs.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles,
+       least(docs.doc_id, coalesce((SELECT min(b) FROM reach WHERE reach.a = docs.doc_id), docs.doc_id)) AS component_id
+FROM docs LEFT JOIN sizes USING (doc_id)
+"""
+
+
+@query("op10_jaccard_join", JACCARD_SQL)
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagefold.llm.jaccard_join import jaccard_components
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
