@@ -66,12 +66,12 @@ shingles AS (
   SELECT DISTINCT doc_id, md5(array_to_string(ws[p:p + 4], ' ')) AS s
   FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, least(len(ws), 1)) + 1)) AS p FROM docs)),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
-overlaps AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both
   FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
 links AS (
-  SELECT a, b FROM overlaps JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
-  WHERE 100 * both >= 80 * (p.n + q.n - both)),
+  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * n_both >= 80 * (p.n + q.n - n_both)),
 edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach(a, b) AS (SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a)
 SELECT docs.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles,
@@ -84,3 +84,66 @@ FROM docs LEFT JOIN sizes USING (doc_id)
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagefold.llm.jaccard_join import jaccard_components
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+DECONTAMINATE_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS ws
+  FROM documents),
+items AS (
+  SELECT item_id, [x FOR x IN string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS ws
+  FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, k, md5(array_to_string(ws[p:p + k - 1], ' ')) AS h
+  FROM (SELECT item_id, ws, least(13, len(ws)) AS k, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS p
+        FROM items WHERE len(ws) > 0)),
+doc_windows AS (
+  SELECT doc_id, k, p, md5(array_to_string(ws[p:p + k - 1], ' ')) AS h
+  FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p
+        FROM docs, (SELECT DISTINCT k FROM item_windows) WHERE len(ws) >= k)),
+hits AS (SELECT doc_id, item_id, p, k FROM doc_windows JOIN item_windows USING (k, h)),
+words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM hits) GROUP BY 1),
+found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY 1)
+SELECT docs.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
+@query("op2_decontaminate", DECONTAMINATE_SQL)
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagefold.llm.decontaminate import contamination
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+def tokenizer_file() -> str:
+    """The public tokenizer file that the token queries use; operators take any path."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op3_bpe")
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagefold.llm.bpe import encode
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode(docs, tokenizer_file()).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagefold.llm.toxicity import THRESHOLD, fit, score
+    docs, fold = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 4
+    model = fit(docs, table(spark, sf_dir, "labels"), learn_from=fold != 2)
+    return score(docs.select("doc_id", "text"), model).select(
+        "doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
