@@ -140,6 +140,14 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+@query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagefold.llm.token_counts import token_counts
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, tokenizer_file()).select("doc_id", "n_bytes", "n_tokens",
+                                                       (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagefold.llm.toxicity import THRESHOLD, fit, score
