@@ -1,35 +1,72 @@
 """Connected components of an edge table by repeated hook and contract.
 
-Every round each vertex takes the neighbour of least random rank (or itself), the edges
-are rewritten to those labels, and what is left is a smaller graph. Rounds are written to
-the shared checkpoint folder; edges and labels stay in Spark throughout. A hub only meets
-a partial aggregate and joins that adaptive execution may split.
+Every round first contracts what one partition holds; then each vertex takes the least of
+its neighbours and itself - by id in the first rounds, as edges here mostly point at the
+first member of a group, and by a random rank after that, so that long paths shrink as well.
+The edges are rewritten to those labels, and what is left is a smaller graph. Each round is
+written to the shared checkpoint folder; edges and labels stay in Spark throughout. A hub
+only meets a partial aggregate and joins that adaptive execution may split.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagefold.llm.blocks import saved
 
+BY_ID = 2
+
+
+def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges inside one task -> (node, least node of its component) for all their nodes."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[:len(a)], place[len(a):]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[x], label[y]
+        differ = x != y
+        if not differ.any():
+            return nodes, nodes[label]
+        x, y = x[differ], y[differ]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != label[label]).any():
+            label = label[label]
+
+
+def _contracted(batches):
+    """The edges of one partition as edges to the least node of their component in it."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if held:
+        node, root = local_components(*(np.concatenate(x) for x in zip(*held)))
+        far = node != root
+        yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(root[far])], names=["a", "b"])
+
 
 def connected(edges: DataFrame) -> DataFrame:
     """(a long, b long) -> (node long, label long) for every node of an edge; nodes of one
     component, and no others, share a label, itself a node of the component. Loops and
     repeated edges do no harm; no edges give no rows."""
-    left = saved(edges.select("a", "b").where("a <> b").distinct())
+    less = lambda e: saved(e.where("a <> b").distinct().mapInArrow(_contracted, "a long, b long"))
+    left = less(edges.select("a", "b"))
     rounds = []
     while not left.isEmpty():
-        seed = F.lit(len(rounds))
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), seed).alias("r"), F.col(c).alias("n"))
+        seed = len(rounds)
+        if seed < BY_ID:
+            rank = lambda c: F.col(c)
+            best = lambda m: m
+        else:
+            rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(seed)).alias("r"), F.col(c).alias("n"))
+            best = lambda m: m["n"]
         ends = left.union(left.select("b", "a")).toDF("node", "other")
-        label = saved(ends.groupBy("node").agg(F.min(rank("other")).alias("m"))
-                      .select("node", F.least(rank("node"), F.col("m"))["n"].alias("label")))
-        rounds.append(label)
+        label = (ends.groupBy("node").agg(F.min(rank("other")).alias("m"))
+                 .select("node", best(F.least(rank("node"), F.col("m"))).alias("label")))
         to = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_to"))
-        left = saved(left.join(to("a"), "a").join(to("b"), "b").where("a_to <> b_to")
-                     .select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).distinct())
+        done = saved(left.join(to("a"), "a").join(to("b"), "b"))
+        rounds.append(done.select("a", "a_to").union(done.select("b", "b_to")).distinct().toDF("node", "label"))
+        left = less(done.select(F.col("a_to").alias("a"), F.col("b_to").alias("b")))
     if not rounds:
         return left.select(F.col("a").alias("node"), F.col("b").alias("label"))
     # a vertex that no later round knows has found its label

@@ -11,9 +11,9 @@ Two documents link when their sets of distinct word 5-grams have a Jaccard simil
    another name, all groups, then finer groups, in the end single shingles - two linked
    documents that are both short of contents meet at that level, and a document that is not
    short meets every partner at the level before.
-2. Candidate components. Documents with an equal group content are joined to the first of
-   them (inside a block first, so that one entry per block and content travels, and exact
-   copies count once per block); components of these edges hold every possible link.
+2. Candidate components. Documents with an equal group content are joined: inside a block
+   first, so that one entry per block and content travels however many copies the block
+   holds, then per hash range; components of these edges hold every possible link.
 3. R-tree join. Inside a component each document is a point of group counts. Points are
    packed into a tree of bounding boxes; the overlap with a box or a point is at most the
    sum of the coordinate minima, and only pairs that pass this bound and are not connected
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagefold.llm import blocks
-from pagefold.llm.components import connected
+from pagefold.llm.components import connected, local_components
 from pagefold.llm.repeats import bucket_count
 from pagefold.llm.words import byte_values, hashed_words, in_document, mix, range_bucket, space_rule, window_hashes
 
@@ -148,13 +148,12 @@ def _runs(keys: np.ndarray):
     return order, np.repeat(starts, np.diff(np.append(starts, len(k)))), starts
 
 
-def _pairs(a: np.ndarray, b: np.ndarray):
-    """Distinct pairs of two int64 arrays."""
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new]
+def _star_rows(a: np.ndarray, b: np.ndarray):
+    """The same components, as edges to their least member."""
+    if len(a):
+        node, root = local_components(a, b)
+        if (node != root).any():
+            yield pa.RecordBatch.from_arrays([pa.array(node[node != root]), pa.array(root[node != root])], schema=_PAIR)
 
 
 def _sender(text_col: str, buckets: int):
@@ -176,13 +175,19 @@ def _sender(text_col: str, buckets: int):
         sizes = np.where(keep, np.diff(offs), 0)
         held = keep[in_document(offs, len(sets))]
         doc, key = contents(sets[held], np.concatenate([[0], np.cumsum(sizes)]))
-        order, run, starts = _runs(key)
+        order, run, _ = _runs(key)
         edges.append((doc[order], doc[order[run]]))
-        key, doc = key[order[starts]], doc[order[starts]]
         a, b = np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges])
-        a, b = _pairs(a[a != b], b[a != b])
+        node, root = local_components(a, b)
         base = block << blocks.PLACE_BITS
-        rows = [(0, 1, (a + base).tobytes(), (b + base).tobytes())] if len(a) else []
+        rows = []
+        if (node != root).any():
+            rows.append((0, 1, (node[node != root] + base).tobytes(), (root[node != root] + base).tobytes()))
+        # one entry per content and component of the block
+        key, doc = key[order], root[np.searchsorted(node, doc[order])]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        key, doc = key[new], doc[new]
         cuts = np.searchsorted(range_bucket(key, buckets), np.arange(buckets + 1))
         doc = doc.astype(np.uint16 if len(offs) <= 1 << 16 else np.uint32)
         for i in np.flatnonzero(np.diff(cuts)):
@@ -196,7 +201,7 @@ def _sender(text_col: str, buckets: int):
 
 
 def _stars(batches):
-    """Edges from every document to the first one with the same group content."""
+    """Documents with an equal group content, as edges to the first of their component in this task."""
     keys, refs = [], []
     for b in batches:
         for i in range(b.num_rows):
@@ -212,10 +217,7 @@ def _stars(batches):
     if keys:
         key, ref = np.concatenate(keys), np.concatenate(refs)
         order, run, _ = _runs(key)
-        a, b = ref[order], ref[order[run]]
-        a, b = _pairs(a[a != b], b[a != b])
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=_PAIR)
+        yield from _star_rows(ref[order], ref[order[run]])
 
 
 class CountTree:
@@ -301,9 +303,8 @@ def _tree_join(batches):
         if len(sets) > 1:
             side = np.array(sides) if min(sides) >= 0 else None
             links = link_forest(sets, side)
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([refs[i] for i, _ in links], pa.int64()),
-                                                  pa.array([refs[j] for _, j in links], pa.int64())], schema=_PAIR)
+            ends = np.array([[refs[i], refs[j]] for i, j in links], np.int64).reshape(-1, 2)
+            yield from _star_rows(ends[:, 0], ends[:, 1])
 
     for b in batches:
         texts = pa.array([pa.decompress(z.as_py(), n.as_py(), codec="zstd", asbytes=True) if n.as_py() else b""
