@@ -155,3 +155,76 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(docs, table(spark, sf_dir, "labels"), learn_from=fold != 2)
     return score(docs.select("doc_id", "text"), model).select(
         "doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+#: Captures: every page with a fetch time. {h}(x) stands for a number from the md5 of x.
+CAPTURES = "SELECT page_id, url, page_id * 86400 % 31536000 + page_id % 86400 AS fetched_at FROM pages"
+#: List entries of the pages' own hosts: some hosts, parent domains and words are added, removed and added again.
+LIST_ENTRIES = """
+SELECT list, verdict, kind, pattern, action, CAST(dated AS BIGINT) AS dated FROM (
+  SELECT 'hosts' AS list, 'block' AS verdict, 'host' AS kind, host AS pattern, 'add' AS action, x % 200 * 86400 AS dated
+  FROM hosts WHERE x % 3 = 0
+  UNION ALL
+  SELECT 'hosts', 'block', 'host', host, 'remove', (x % 200 + 60 + x % 90) * 86400 FROM hosts WHERE x % 6 = 0
+  UNION ALL
+  SELECT 'hosts', 'block', 'host', host, 'add', (x % 200 + 150) * 86400 FROM hosts WHERE x % 12 = 0
+  UNION ALL
+  SELECT 'sections', 'block', 'path', concat(host, '/fr'), 'add', x % 300 * 86400 FROM hosts WHERE x % 5 = 0
+  UNION ALL
+  SELECT 'words', 'block', 'word', word, 'add', x % 100 * 86400 FROM words WHERE x % 4 = 0
+  UNION ALL
+  SELECT 'words', 'block', 'word', word, 'remove', (x % 100 + 180) * 86400 FROM words WHERE x % 8 = 0
+  UNION ALL
+  SELECT 'trusted', 'allow', 'domain', domain, 'add', x % 250 * 86400 FROM domains WHERE x % 7 = 0) AS e
+"""
+_HOSTS = """
+hosts AS (SELECT host, {number} AS x FROM (
+  SELECT DISTINCT lower({host}) AS host FROM pages WHERE url IS NOT NULL) AS h),
+words AS (SELECT word, {number_word} AS x FROM (SELECT DISTINCT {word} AS word FROM hosts) AS w),
+domains AS (SELECT domain, {number_domain} AS x FROM (SELECT DISTINCT {domain} AS domain FROM hosts) AS d)
+"""
+
+
+def _entries_sql(number: str, extract: str) -> str:
+    """The entry tables; ``number`` and ``extract`` are the dialect's text for a number of a string and a group of a pattern."""
+    return _HOSTS.format(
+        host=extract.format("url", "://([^/?#]*)"), number=number.format("host"), number_word=number.format("word"),
+        number_domain=number.format("domain"), word=extract.format("host", "([a-z0-9]+)[.][a-z]+[.][a-z]+$"),
+        domain=extract.format("host", "([^.]+[.][^.]+[.][^.]+)$"))
+
+
+URL_SQL = f"""
+WITH {_entries_sql("CAST(concat('0x', substr(md5({0}), 1, 8)) AS BIGINT)", "regexp_extract({0}, '{1}', 1)")},
+entries AS ({LIST_ENTRIES}),
+log AS (SELECT list, verdict, kind, pattern, dated, bool_or(action = 'remove') AS removed FROM entries GROUP BY ALL),
+spans AS (
+  SELECT *, lead(dated) OVER (PARTITION BY list, verdict, kind, pattern ORDER BY dated) AS valid_to FROM log),
+captures AS ({CAPTURES}),
+parts AS (
+  SELECT page_id, url, fetched_at, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host,
+         regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM captures),
+keys AS (
+  SELECT page_id, fetched_at, 'host' AS kind, host AS pattern FROM parts
+  UNION SELECT page_id, fetched_at, 'domain', array_to_string(string_split(host, '.')[i:], '.')
+        FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM parts)
+  UNION SELECT page_id, fetched_at, 'path', host || '/' || array_to_string(steps[1:i], '/')
+        FROM (SELECT *, unnest(range(0, len(steps) + 1)) AS i FROM (
+              SELECT *, [x FOR x IN string_split(path, '/') IF x <> ''] AS steps FROM parts))
+  UNION SELECT page_id, fetched_at, 'word', unnest(regexp_extract_all(lower(host || '/' || path), '[a-z0-9]+')) FROM parts),
+met AS (
+  SELECT page_id, verdict, list FROM keys JOIN spans USING (kind, pattern)
+  WHERE NOT removed AND fetched_at >= dated AND (valid_to IS NULL OR fetched_at < valid_to))
+SELECT captures.page_id, url, fetched_at,
+       coalesce(bool_or(verdict = 'block'), false) AND NOT coalesce(bool_or(verdict = 'allow'), false) AS blocked,
+       count(list) AS n_active, coalesce(string_agg(DISTINCT list, ',' ORDER BY list), '') AS active_lists
+FROM captures LEFT JOIN met USING (page_id) GROUP BY 1, 2, 3
+"""
+
+
+@query("op8_url_filters", URL_SQL)
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagefold.llm.url_filters import filter_urls
+    tables = _entries_sql("CAST(conv(substr(md5({0}), 1, 8), 16, 10) AS BIGINT)", "regexp_extract({0}, '{1}', 1)")
+    pages = {"pages": table(spark, sf_dir, "pages").select("page_id", "url")}
+    entries = spark.sql(f"WITH pages AS (SELECT * FROM {{pages}}), {tables} {LIST_ENTRIES}", **pages)
+    return filter_urls(spark.sql(CAPTURES.replace("FROM pages", "FROM {pages}"), **pages), entries)
