@@ -140,6 +140,14 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+@query("op4_html_extract")
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagefold.llm.html_extract import extract, fit
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, fit(pages)).select("page_id", "url", F.col("main_text").alias("text"),
+                                             F.length("main_text").cast("long").alias("n_chars"))
+
+
 @query("op7_token_counts")
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagefold.llm.token_counts import token_counts
