@@ -148,6 +148,25 @@ def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
                                              F.length("main_text").cast("long").alias("n_chars"))
 
 
+@query("op5_importance")
+def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagefold.llm.importance import resample
+    learn_from = F.crc32(F.col("doc_id").cast("string")) % 4 != 2  # the rest is for held-out accuracy
+    return resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"),
+                    learn_from=learn_from, keep=["doc_id"])
+
+
+@query("op6_quality_rules")
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagefold.llm import quality_rules as Q
+    from pagefold.llm.blocks import saved
+    counted = saved(Q.with_counts(table(spark, sf_dir, "documents"), keep=["doc_id", "lang"]))
+    learn_from = F.crc32(F.col("doc_id").cast("string")) % 4 != 2  # the rest is for held-out risk
+    cutoffs = saved(Q.calibrate(counted, table(spark, sf_dir, "labels"), learn_from=learn_from))
+    return Q.judge(counted, cutoffs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                                            "base_failed", "kept", "lang")
+
+
 @query("op7_token_counts")
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagefold.llm.token_counts import token_counts
