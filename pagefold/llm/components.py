@@ -1,6 +1,6 @@
 """Connected components of an edge table by repeated hook and contract.
 
-Every round first contracts what one partition holds; then each vertex takes the least of
+Every round first contracts what a partition of bounded size holds; then each vertex takes the least of
 its neighbours and itself - by id in the first rounds, as edges here mostly point at the
 first member of a group, and by a random rank after that, so that long paths shrink as well.
 The edges are rewritten to those labels, and what is left is a smaller graph. Each round is
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from pagefold.llm.blocks import saved
 
-BY_ID = 2
+BY_ID = 4
+#: Edges that one task contracts; more edges make more partitions.
+PARTITION_EDGES = 1 << 20
 
 
 def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,14 +51,16 @@ def connected(edges: DataFrame) -> DataFrame:
     """(a long, b long) -> (node long, label long) for every node of an edge; nodes of one
     component, and no others, share a label, itself a node of the component. Loops and
     repeated edges do no harm; no edges give no rows."""
-    less = lambda e: saved(e.where("a <> b").distinct().mapInArrow(_contracted, "a long, b long"))
-    left = less(edges.select("a", "b"))
-    rounds = []
-    while not left.isEmpty():
+    left, rounds = saved(edges.select("a", "b").where("a <> b").distinct()), []
+    while (size := left.count()) > 0:
+        parts = -(-size // PARTITION_EDGES)
+        left = saved(left.coalesce(parts).mapInArrow(_contracted, "a long, b long"))
+        if parts == 1:  # one partition held all that was left, so its components are whole
+            rounds.append(left.union(left.select("b", "b").distinct()).toDF("node", "label"))
+            break
         seed = len(rounds)
         if seed < BY_ID:
-            rank = lambda c: F.col(c)
-            best = lambda m: m
+            rank, best = F.col, lambda m: m
         else:
             rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(seed)).alias("r"), F.col(c).alias("n"))
             best = lambda m: m["n"]
@@ -66,9 +70,9 @@ def connected(edges: DataFrame) -> DataFrame:
         to = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_to"))
         done = saved(left.join(to("a"), "a").join(to("b"), "b"))
         rounds.append(done.select("a", "a_to").union(done.select("b", "b_to")).distinct().toDF("node", "label"))
-        left = less(done.select(F.col("a_to").alias("a"), F.col("b_to").alias("b")))
+        left = saved(done.where("a_to <> b_to").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).distinct())
     if not rounds:
-        return left.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        return left.toDF("node", "label")
     # a vertex that no later round knows has found its label
     found = rounds[-1]
     for label in reversed(rounds[:-1]):

@@ -11,15 +11,17 @@ Two documents link when their sets of distinct word 5-grams have a Jaccard simil
    another name, all groups, then finer groups, in the end single shingles - two linked
    documents that are both short of contents meet at that level, and a document that is not
    short meets every partner at the level before.
-2. Candidate components. Documents with an equal group content are joined: inside a block
-   first, so that one entry per block and content travels however many copies the block
-   holds, then per hash range; components of these edges hold every possible link.
-3. R-tree join. Inside a component each document is a point of group counts. Points are
-   packed into a tree of bounding boxes; the overlap with a box or a point is at most the
-   sum of the coordinate minima, and only pairs that pass this bound and are not connected
-   yet are verified on the full sets. Components over ``CHUNK`` documents are split by size
-   class and hash into chunks, and each pair of chunks of near size is a task of its own.
-4. Components of the verified links.
+2. R-tree over points. A block sends each content once, with its number of documents, and
+   learns which contents others hold too; copies of a set count once per block. For those
+   contents the documents travel as points of 64 group counts. Points that share a content
+   are packed into a tree of bounding boxes; the overlap with a box or a point is at most the
+   sum of the coordinate minima, and pairs that pass this bound (and the one on sizes) are
+   candidates. Components of the candidates hold every possible link. A content of more than
+   ``POINT_CHUNK`` documents is split into chunks, each pair of chunks a group.
+3. Verification. Inside a component the same tree, with more groups, leaves pairs that are
+   verified on the full sets unless they are connected by then. Components over ``CHUNK``
+   documents are split by size class and hash, each pair of chunks of near size a group.
+4. Components of the verified links, with the exact copies of every set.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; fewer
 than five words are one shingle; rows that repeat an id are separate rows that may link;
@@ -47,6 +49,9 @@ GROUP_SHINGLES = 3.0
 CHUNK = 512
 CHUNK_SHINGLES = 1 << 19
 LEAF = 16
+#: Groups of the points that meet under one content, and documents of a content that one task compares.
+POINT_DIMS = 64
+POINT_CHUNK = 2048
 _U = np.uint64
 
 
@@ -133,21 +138,16 @@ def contents(sets: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(out_doc), np.concatenate(out_key)
 
 
-SENT = "bucket int, block long, kind int, a binary, b binary"
-_SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+SENT = "bucket int, block long, keys binary, counts binary"
+_SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+FOUND = "block long, bucket int, chunks binary"
+_FOUND = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("chunks", pa.binary())])
+POINT = "key long, a int, b int, side int, ref long, n long, point binary"
+_POINT = pa.schema([("key", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("side", pa.int32()), ("ref", pa.int64()),
+                    ("n", pa.int64()), ("point", pa.binary())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _runs(keys: np.ndarray):
-    """Order of the keys, and for each place in it the place where its run starts."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    starts = np.flatnonzero(new)
-    return order, np.repeat(starts, np.diff(np.append(starts, len(k)))), starts
-
-
 def _star_rows(a: np.ndarray, b: np.ndarray):
     """The same components, as edges to their least member."""
     if len(a):
@@ -156,83 +156,166 @@ def _star_rows(a: np.ndarray, b: np.ndarray):
             yield pa.RecordBatch.from_arrays([pa.array(node[node != root]), pa.array(root[node != root])], schema=_PAIR)
 
 
-def _sender(text_col: str, buckets: int):
+def _sent(texts):
+    """Sets of a block, and the contents sent: one document speaks for the copies of its set in the block."""
+    sets, offs = shingle_sets(texts)
+    one, two = set_hashes(sets, offs)
+    some = np.flatnonzero(np.diff(offs))
+    order = some[np.lexsort((two[some], one[some]))]
+    new = np.ones(len(order), bool)
+    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    keep = np.zeros(len(offs) - 1, bool)
+    keep[order[new]] = True
+    sizes = np.where(keep, np.diff(offs), 0)
+    held = keep[in_document(offs, len(sets))]
+    doc, key = contents(sets[held], np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+    return sets, offs, doc, key
+
+
+def _send_keys(text_col: str, buckets: int):
     def send(block, batch, _):
-        sets, offs = shingle_sets(batch.column(batch.schema.get_field_index(text_col)))
-        one, two = set_hashes(sets, offs)
-        some = np.flatnonzero(np.diff(offs))
-        if not len(some):
+        key, counts = np.unique(_sent(batch.column(batch.schema.get_field_index(text_col)))[3], return_counts=True)
+        cuts = np.searchsorted(range_bucket(key, buckets), np.arange(buckets + 1))
+        full = np.flatnonzero(np.diff(cuts))
+        if len(full):
+            part = [slice(cuts[b], cuts[b + 1]) for b in full]
+            yield pa.RecordBatch.from_pydict(
+                {"bucket": full, "block": [block] * len(full), "keys": [key[x].tobytes() for x in part],
+                 "counts": [counts[x].astype(np.uint32).tobytes() for x in part]}, schema=_SENT)
+    return send
+
+
+def _meet(chunk: int):
+    """Per block and bucket and key sent: 0 if one document holds it, else the chunks its documents make."""
+    def run(batches):
+        heads, keys, counts = [], [], []
+        for b in batches:
+            for i in range(b.num_rows):
+                heads.append((b.column("block")[i].as_py(), b.column("bucket")[i].as_py()))
+                keys.append(np.frombuffer(b.column("keys")[i].as_py(), np.uint64))
+                counts.append(np.frombuffer(b.column("counts")[i].as_py(), np.uint32))
+        if not heads:
             return
-        order = some[np.lexsort((two[some], one[some]))]
-        new = np.ones(len(order), bool)
-        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+        key = np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        new = np.ones(len(k), bool)
+        new[1:] = k[1:] != k[:-1]
         starts = np.flatnonzero(new)
-        reps = order[starts]
-        copy_of = np.repeat(reps, np.diff(np.append(starts, len(order))))
-        edges = [(order[~new], copy_of[~new])]
-        keep = np.zeros(len(offs) - 1, bool)
-        keep[reps] = True
-        sizes = np.where(keep, np.diff(offs), 0)
-        held = keep[in_document(offs, len(sets))]
-        doc, key = contents(sets[held], np.concatenate([[0], np.cumsum(sizes)]))
-        order, run, _ = _runs(key)
-        edges.append((doc[order], doc[order[run]]))
-        a, b = np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges])
-        node, root = local_components(a, b)
-        base = block << blocks.PLACE_BITS
-        rows = []
-        if (node != root).any():
-            rows.append((0, 1, (node[node != root] + base).tobytes(), (root[node != root] + base).tobytes()))
-        # one entry per content and component of the block
-        key, doc = key[order], root[np.searchsorted(node, doc[order])]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        key, doc = key[new], doc[new]
-        cuts = np.searchsorted(range_bucket(key, buckets), np.arange(buckets + 1))
-        doc = doc.astype(np.uint16 if len(offs) <= 1 << 16 else np.uint32)
-        for i in np.flatnonzero(np.diff(cuts)):
-            s = slice(cuts[i], cuts[i + 1])
-            rows.append((int(i), 0, key[s].tobytes(), doc[s].tobytes()))
-        if rows:
-            bucket, kind, x, y = zip(*rows)
-            yield pa.RecordBatch.from_pydict({"bucket": bucket, "block": [block] * len(rows), "kind": kind,
-                                              "a": x, "b": y}, schema=_SENT)
+        total = np.add.reduceat(np.concatenate(counts).astype(np.int64)[order], starts)
+        chunks = np.empty(len(k), np.uint32)
+        chunks[order] = np.repeat(np.where(total > 1, -(-total // chunk), 0), np.diff(np.append(starts, len(k))))
+        at = 0
+        for (block, bucket), own in zip(heads, keys):
+            got = chunks[at:at + len(own)]
+            at += len(own)
+            if got.any():
+                yield pa.RecordBatch.from_pydict({"block": [block], "bucket": [bucket],
+                                                  "chunks": [pa.compress(got.tobytes(), "zstd", asbytes=True)]}, schema=_FOUND)
+    return run
+
+
+def points_of(sets: np.ndarray, offs: np.ndarray, dims: int) -> np.ndarray:
+    """Counts of every set's shingles by group: one row per document."""
+    group = mix(sets ^ _U(0xE7037ED1A0B428DB)) >> _U(40)
+    at = in_document(offs, len(sets)) * dims + (group % _U(dims)).astype(np.int64)
+    return np.bincount(at, minlength=(len(offs) - 1) * dims).reshape(-1, dims)
+
+
+def _unit(n: np.ndarray) -> np.ndarray:
+    """Shingles that one step of a stored count stands for: the largest possible count of a set fits a byte."""
+    return np.maximum(1, -(-n // 255))
+
+
+def _send_points(text_col: str, buckets: int):
+    def send(block, batch, back):
+        if not back:
+            return
+        sets, offs, doc, key = _sent(batch.column(batch.schema.get_field_index(text_col)))
+        own, inv = np.unique(key, return_inverse=True)
+        cuts = np.searchsorted(range_bucket(own, buckets), np.arange(buckets + 1))
+        chunks = np.zeros(len(own), np.int64)
+        for x in back:
+            i, j = cuts[x["bucket"]], cuts[x["bucket"] + 1]
+            chunks[i:j] = np.frombuffer(pa.decompress(x["chunks"], int(j - i) * 4, codec="zstd", asbytes=True), np.uint32)
+        chunks = chunks[inv]
+        doc, key, chunks = doc[chunks > 0], key[chunks > 0], chunks[chunks > 0]
+        if not len(doc):
+            return
+        n = np.diff(offs)
+        unit = _unit(n)
+        used = np.unique(doc)
+        size = np.where(np.isin(np.arange(len(n)), used), n, 0)
+        held = size[in_document(offs, len(sets))] > 0
+        counts = points_of(sets[held], np.concatenate([[0], np.cumsum(size)]), POINT_DIMS)
+        point = {int(d): (-(-counts[d] // unit[d])).astype(np.uint8).tobytes() for d in used}
+        ref = (block << blocks.PLACE_BITS) + doc
+        mine = (mix(ref.astype(np.uint64)) % chunks.astype(np.uint64)).astype(np.int64)
+        for turn in range(int(chunks.max())):  # a row for each chunk that the document's own chunk meets
+            at = np.flatnonzero(chunks > turn)
+            own = mine[at]
+            side = np.where(own == turn, -1, own > turn).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(key[at].view(np.int64)), pa.array(np.minimum(own, turn).astype(np.int32)),
+                pa.array(np.maximum(own, turn).astype(np.int32)), pa.array(side), pa.array(ref[at]), pa.array(n[doc[at]]),
+                pa.array([point[d] for d in doc[at].tolist()], pa.binary())], schema=_POINT)
     return send
 
 
-def _stars(batches):
-    """Documents with an equal group content, as edges to the first of their component in this task."""
-    keys, refs = [], []
-    for b in batches:
-        for i in range(b.num_rows):
-            x, y = b.column("a")[i].as_py(), b.column("b")[i].as_py()
-            if b.column("kind")[i].as_py():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)), pa.array(np.frombuffer(y, np.int64))],
-                                                 schema=_PAIR)
+def _near_points(batches):
+    """Rows of POINT sorted by (key, a, b) -> components of the pairs whose bound allows a link."""
+    held, edges = None, []
+
+    def compare(key, side, ref, n, point):
+        new = np.ones(len(ref), bool)
+        new[1:] = (key[1:] != key[:-1]).any(1)
+        starts = np.flatnonzero(new)
+        size = np.diff(np.append(starts, len(ref)))
+        small = np.repeat(size, size) <= LEAF
+        unit = _unit(n)
+        for d in range(1, min(LEAF, len(ref))):  # few points: the pairs d rows apart, of all groups at once
+            i = np.flatnonzero(small[:len(ref) - d])
+            i = i[(key[i + d] == key[i]).all(1)]
+            i = i[(5 * n[i] >= 4 * n[i + d]) & (5 * n[i + d] >= 4 * n[i]) & ((side[i] < 0) | (side[i] != side[i + d]))]
+            if not len(i):
                 continue
-            k = np.frombuffer(x, np.uint64)
-            d = np.frombuffer(y, np.uint16 if len(y) == 2 * len(k) else np.uint32).astype(np.int64)
-            keys.append(k)
-            refs.append(d + (b.column("block")[i].as_py() << blocks.PLACE_BITS))
-    if keys:
-        key, ref = np.concatenate(keys), np.concatenate(refs)
-        order, run, _ = _runs(key)
-        yield from _star_rows(ref[order], ref[order[run]])
+            bound = np.minimum(point[i] * unit[i, None], point[i + d] * unit[i + d, None]).sum(1)
+            i = i[9 * bound >= 4 * (n[i] + n[i + d])]
+            edges.append((ref[i], ref[i + d]))
+        for s, m in zip(starts[size > LEAF], size[size > LEAF]):
+            x = slice(s, s + m)
+            links = CountTree(point[x] * unit[x, None], n[x]).forest(side[x] if (side[x] >= 0).any() else None)
+            links = np.array(links, np.int64).reshape(-1, 2)
+            edges.append((ref[x][links[:, 0]], ref[x][links[:, 1]]))
+
+    def contracted():
+        yield from _star_rows(*(np.concatenate(e) for e in zip(*edges)))
+
+    for b in batches:
+        rows = [np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("key", "a", "b")], 1),
+                *(b.column(c).to_numpy().astype(np.int64) for c in ("side", "ref", "n")),
+                np.frombuffer(b"".join(b.column("point").to_pylist()), np.uint8).reshape(-1, POINT_DIMS).astype(np.int32)]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows)]
+        same = (rows[0] == rows[0][-1:]).all(1)
+        last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+        if last:
+            compare(*(x[:last] for x in rows))
+        held = [x[last:] for x in rows]  # the last group may go on in the next batch
+        if sum(len(e[0]) for e in edges) > 1 << 20:
+            yield from contracted()
+            edges.clear()
+    if held is not None and len(held[0]):
+        compare(*held)
+    if edges:
+        yield from contracted()
 
 
 class CountTree:
     """Points of group counts, packed by size and leading coordinates into bounding boxes."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.size = np.array([len(s) for s in sets], np.int64)
-        largest = int(self.size.max())
-        dims = 8
-        while dims < min(1024, largest // 4):
-            dims *= 2
-        self.points = np.zeros((len(sets), dims), np.uint16 if largest < 65536 else np.uint32)
-        for i, s in enumerate(sets):
-            group = mix(s ^ _U(0xE7037ED1A0B428DB)) >> _U(40)
-            self.points[i] = np.bincount((group % _U(dims)).astype(np.int64), minlength=dims)
+    def __init__(self, points: np.ndarray, size: np.ndarray):
+        self.points, self.size = points, size
         self.order = np.lexsort((self.points[:, 2], self.points[:, 1], self.points[:, 0], self.size))
         self.levels = []  # (first child, boxes' upper corners, least size, largest size), leaves first
         high, low, top = self.points[self.order], self.size[self.order], self.size[self.order]
@@ -258,6 +341,24 @@ class CountTree:
         bound = np.minimum(self.points[at], q).sum(1, dtype=np.int64)
         return at[9 * bound >= 4 * (n + self.size[at])]
 
+    def forest(self, side: np.ndarray | None, verify=None) -> list[tuple[int, int]]:
+        """Pairs within the bound that connect what all such pairs connect, at most one fewer than points.
+        With ``side`` only pairs of different sides count; ``verify(i, candidates)`` keeps the true links."""
+        comp, links = np.arange(len(self.size)), []
+        for i in self.order:
+            at = self.near(self.points[i], int(self.size[i]))
+            at = at[comp[at] != comp[i]]
+            if side is not None:
+                at = at[side[at] != side[i]]
+            while len(at):  # in steps, as each link found may spare the rest
+                step, at = at[:64], at[64:]
+                for j in step if verify is None else verify(i, step):
+                    if comp[j] != comp[i]:
+                        links.append((int(i), int(j)))
+                        comp[comp == comp[j]] = comp[i]
+                at = at[comp[at] != comp[i]]
+        return links
+
 
 def link_forest(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect exactly what all links connect, at most one fewer than documents.
@@ -267,32 +368,24 @@ def link_forest(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[
             return []
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [(1, 0)] if 9 * both >= 4 * (len(sets[0]) + len(sets[1])) else []
-    tree = CountTree(sets)
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    cuts = np.concatenate([[0], np.cumsum(tree.size)])
+    size = np.array([len(s) for s in sets], np.int64)
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    flat = np.concatenate(sets)
+    dims = 8
+    while dims < min(1024, int(size.max()) // 4):
+        dims *= 2
+    tree = CountTree(points_of(flat, cuts, dims).astype(np.uint16 if size.max() < 65536 else np.uint32), size)
+    _, ids = np.unique(flat, return_inverse=True)
     mark = np.zeros(int(ids.max()) + 1, bool)
-    comp = np.arange(len(sets))
-    links = []
-    for i in tree.order:
-        at = tree.near(tree.points[i], int(tree.size[i]))
-        at = at[comp[at] != comp[i]]
-        if side is not None:
-            at = at[side[at] != side[i]]
-        if not len(at):
-            continue
+
+    def verify(i, step):
         mine = ids[cuts[i]:cuts[i + 1]]
         mark[mine] = True
-        while len(at):  # in steps, as each link found may spare the rest
-            step, at = at[:64], at[64:]
-            place = np.concatenate([ids[cuts[j]:cuts[j + 1]] for j in step])
-            both = np.add.reduceat(mark[place].astype(np.int64), np.concatenate([[0], np.cumsum(tree.size[step])[:-1]]))
-            for j in step[9 * both >= 4 * (tree.size[i] + tree.size[step])]:
-                if comp[j] != comp[i]:
-                    links.append((int(i), int(j)))
-                    comp[comp == comp[j]] = comp[i]
-            at = at[comp[at] != comp[i]]
+        place = np.concatenate([ids[cuts[j]:cuts[j + 1]] for j in step])
+        both = np.add.reduceat(mark[place].astype(np.int64), np.concatenate([[0], np.cumsum(size[step])[:-1]]))
         mark[mine] = False
-    return links
+        return step[9 * both >= 4 * (size[i] + size[step])]
+    return tree.forest(side, verify)
 
 
 def _tree_join(batches):
@@ -377,17 +470,20 @@ def _joined(df: DataFrame, id_col: str, text_col: str, block_bytes: int):
     packed = blocks.pack(df, text_col, block_bytes)
     spark = df.sparkSession
     parts = blocks.shuffle_partitions(spark)
-    buckets = bucket_count(packed.bytes / 18, parts)
-    candidates = (packed.visit(_sender(text_col, buckets), SENT).repartition(buckets, "bucket")
-                  .mapInArrow(_stars, "a long, b long"))
-    k = connected(candidates)
+    buckets = bucket_count(packed.bytes / 12, parts)
+    shared = (packed.visit(_send_keys(text_col, buckets), SENT).repartition(buckets, "bucket")
+              .mapInArrow(_meet(POINT_CHUNK), FOUND))
+    points = packed.visit(_send_points(text_col, buckets), POINT, blocks.per_block(shared, "bucket", "chunks"))
+    k = connected(points.repartition(parts, "key", "a", "b").sortWithinPartitions("key", "a", "b")
+                  .mapInArrow(_near_points, "a long, b long"))
     back = k.select(F.shiftright("node", blocks.PLACE_BITS).alias("block"),
                     F.col("node").bitwiseAND((1 << blocks.PLACE_BITS) - 1).alias("place"), F.col("label").alias("k"))
     seen = blocks.saved(packed.visit(_seer(id_col, text_col), SEEN, blocks.per_block(back, "place", "k")))
+    rows = seen.where("n_shingles > 0").select("ref", "one", "two")
+    copies = (rows.join(rows.groupBy("one", "two").agg(F.min("ref").alias("rep")), ["one", "two"]).where("ref <> rep")
+              .select(F.col("ref").alias("a"), F.col("rep").alias("b")))
     found = seen.where("k IS NOT NULL")
     first = found.groupBy("k", "one", "two").agg(F.min("ref").alias("rep"))
-    copies = (found.select("ref", "k", "one", "two").join(first, ["k", "one", "two"]).where("ref <> rep")
-              .select(F.col("ref").alias("a"), F.col("rep").alias("b")))
     reps = found.join(first.select(F.col("rep").alias("ref")), "ref", "left_semi")
     links = (_tasks(reps).repartition(parts, "grp").sortWithinPartitions("grp")
              .mapInArrow(_tree_join, "a long, b long"))
