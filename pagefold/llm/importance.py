@@ -80,6 +80,8 @@ def gram_counts(texts: DataFrame) -> np.ndarray:
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """Log probability per bucket under the smoothed target model less that under the raw one."""
+    if not target.any():
+        return np.zeros(BUCKETS)
     share = raw + 1
     share /= share.sum()
     like = target + share * max(1.0, BUCKETS / 16)  # the raw model is the prior of the target's
