@@ -39,8 +39,8 @@ SAMPLE = 12_000
 THRESHOLD = 0.3
 #: Kinds of features: the whole word, or its first bytes.
 PREFIXES = (0, 3, 4, 5, 6, 8)
-KIND_BITS = 18
-WIDTH = len(PREFIXES) << KIND_BITS
+#: A feature id is its kind, then this many bits of hash.
+KIND_BITS = 29
 #: Common insults of several languages, fixed values.
 INSULTS = ("idiot idiots moron morons stupid dumb loser losers scum trash garbage pathetic worthless disgusting clown "
            "fool bastard bitch asshole jerk retard ugly filthy vermin idiota imbecil estupido basura idiote imbecile "
@@ -49,7 +49,7 @@ _U = np.uint64
 
 
 def _word_features(texts):
-    """(feature ids of all words as an array per kind with -1 where there is none, word offsets, buffers)."""
+    """(feature ids of all words as an array per kind, 0 where there is none, word offsets)."""
     buf, offs = W.text_buffer(texts)
     lut, values = W.alnum_rule(), W.byte_values(lower=True)
     kinds, ends, done = [[] for _ in PREFIXES], [np.zeros(1, np.int64)], 0
@@ -61,65 +61,88 @@ def _word_features(texts):
         for k, size in enumerate(PREFIXES):
             stop = e if size == 0 else np.minimum(s + size, e)
             h = W.mix((run[stop] - run[s]) * down[s] + _U(k))
-            f = (k << KIND_BITS) + (h & _U((1 << KIND_BITS) - 1)).astype(np.int32)
+            f = (h >> _U(64 - KIND_BITS)).astype(np.uint32) | np.uint32(k << KIND_BITS | 1)
             if size:
-                f[e - s <= size] = -1
+                f[e - s <= size] = 0
             kinds[k].append(f)
         ends.append(np.searchsorted(s, o[1:]) + done)
         done += len(s)
-    return [np.concatenate(k) if k else np.zeros(0, np.int32) for k in kinds], np.concatenate(ends), buf, offs
+    return [np.concatenate(k) if k else np.zeros(0, np.uint32) for k in kinds], np.concatenate(ends)
 
 
 def _per_document(ids: np.ndarray, doc: np.ndarray):
     """Distinct (document, feature)."""
-    key = np.unique(doc << 32 | ids)
-    return key >> 32, (key & 0xFFFFFFFF).astype(np.int64)
+    key = np.unique(doc.astype(np.uint64) << _U(32) | ids)
+    return (key >> _U(32)).astype(np.int64), (key & _U(0xFFFFFFFF)).astype(np.uint32)
 
 
 def features_of(texts) -> list[np.ndarray]:
     """Sorted distinct feature ids of each text."""
-    kinds, offs, _, _ = _word_features(texts)
+    kinds, offs = _word_features(texts)
     doc = W.in_document(offs, len(kinds[0]))
     ids = np.concatenate(kinds)
-    keep = ids >= 0
-    d, f = _per_document(ids[keep].astype(np.int64), np.tile(doc, len(kinds))[keep])
+    d, f = _per_document(ids[ids > 0], np.tile(doc, len(kinds))[ids > 0])
     cuts = np.searchsorted(d, np.arange(len(offs)))
-    return [f[cuts[i]:cuts[i + 1]].astype(np.int32) for i in range(len(offs) - 1)]
+    return [f[cuts[i]:cuts[i + 1]] for i in range(len(offs) - 1)]
+
+
+class Table:
+    """Values of a few features; a small bitmap rules most words out before the ids are compared."""
+
+    BITS = 18
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray):
+        order = np.argsort(ids)
+        self.ids, self.values = np.asarray(ids, np.uint32)[order], np.asarray(values)[order]
+        self.maybe = np.zeros(1 << self.BITS, bool)
+        self.maybe[self._low(self.ids)] = True
+
+    def _low(self, ids):
+        return (ids >> np.uint32(1)) & np.uint32((1 << self.BITS) - 1)
+
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the ids that the table has, their values)."""
+        at = np.flatnonzero(self.maybe[self._low(ids)])
+        if not len(at):
+            return at, self.values[:0]
+        i = np.minimum(np.searchsorted(self.ids, ids[at]), len(self.ids) - 1)
+        have = self.ids[i] == ids[at]
+        return at[have], self.values[i[have]]
 
 
 def insult_ids() -> np.ndarray:
-    kinds, _, _, _ = _word_features(pa.array(INSULTS))
-    return kinds[0]
+    return np.unique(_word_features(pa.array(INSULTS))[0][0])
 
 
 class Voters:
-    """Feature table with a bit per lexicon, and the patterns after them."""
+    """A bit per lexicon, and the patterns after them."""
 
     PATTERNS = 3
 
     def __init__(self, lexicons: list[np.ndarray]):
         self.n = len(lexicons) + self.PATTERNS
-        self.table = np.zeros(WIDTH, np.uint16)
-        for j, ids in enumerate(lexicons):
-            self.table[ids] |= 1 << j
+        ids = np.unique(np.concatenate(lexicons))
+        bits = np.zeros(len(ids), np.int64)
+        for j, own in enumerate(lexicons):
+            bits[np.searchsorted(ids, own)] |= 1 << j
+        self.table = Table(ids, bits)
 
     def votes(self, texts) -> np.ndarray:
         """Bit pattern per text."""
-        kinds, offs, _, _ = _word_features(texts)
+        kinds, offs = _word_features(texts)
         doc = W.in_document(offs, len(kinds[0]))
         out, words = np.zeros(len(offs) - 1, np.int64), None
         for ids in kinds:
-            hit = np.flatnonzero(self.table[ids] * (ids >= 0))
-            np.bitwise_or.at(out, doc[hit], self.table[ids[hit]].astype(np.int64))
+            hit, bits = self.table.find(ids)
+            np.bitwise_or.at(out, doc[hit], bits)
             if words is None:
-                d, _ = _per_document(ids[hit].astype(np.int64), doc[hit])
-                words = np.bincount(d, minlength=len(out))
+                words = np.bincount(_per_document(ids[hit], doc[hit])[0], minlength=len(out))
         return self._with_patterns(out, words, surface(texts))
 
     def of_features(self, ids: np.ndarray, marks: int) -> int:
         """The same bits from a text's features and surface marks."""
-        bits = self.table[ids]
-        words = int(((bits != 0) & (ids < 1 << KIND_BITS)).sum())
+        hit, bits = self.table.find(ids)
+        words = int((ids[hit] < 1 << KIND_BITS).sum())
         return int(self._with_patterns(np.array([np.bitwise_or.reduce(bits) if len(bits) else 0], np.int64),
                                        np.array([words]), np.array([marks]))[0])
 
@@ -139,22 +162,22 @@ def surface(texts) -> np.ndarray:
 def mine(rows: list[np.ndarray], y: np.ndarray) -> list[np.ndarray]:
     """Lexicons of the voters: the word list, then per kind the features that go with the label."""
     found = [insult_ids()]
-    pos, neg = np.zeros(WIDTH), np.zeros(WIDTH)
-    for ids, label in zip(rows, y):
-        (pos if label else neg)[ids] += 1
+    if not len(rows):
+        return found
+    ids, col = np.unique(np.concatenate(rows), return_inverse=True)
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    both = np.bincount(col, minlength=len(ids))
+    pos = np.bincount(col, y[row], minlength=len(ids))
+    neg = both - pos
     n1, n0 = max(1.0, float(y.sum())), max(1.0, float(len(y) - y.sum()))
-    both = pos + neg
     rate = n1 / (n1 + n0)
     with np.errstate(divide="ignore", invalid="ignore"):
         g2 = 2 * (np.where(pos > 0, pos * np.log(pos / (both * rate)), 0) + np.where(neg > 0, neg * np.log(neg / (both * (1 - rate))), 0))
     share = (pos + 0.5 * rate) / (both + 0.5)
     least = 2 * np.log(max(2, (both >= 3).sum()))  # one feature by chance among all that were tried
     for k in range(len(PREFIXES)):
-        kind = np.zeros(WIDTH, bool)
-        kind[k << KIND_BITS:(k + 1) << KIND_BITS] = True
-        strong = np.flatnonzero(kind & (g2 >= least) & (share >= 0.9) & (pos >= 3))
-        weak = np.flatnonzero(kind & (g2 >= least) & (share >= 0.6) & (share < 0.9) & (pos >= 3))
-        found += [strong, weak]
+        chosen = (ids >> KIND_BITS == k) & (g2 >= least) & (pos >= 3)
+        found += [ids[chosen & (share >= 0.9)], ids[chosen & (share >= 0.6) & (share < 0.9)]]
     return [f for i, f in enumerate(found) if i == 0 or len(f)]
 
 
@@ -235,65 +258,55 @@ def _norm(row, col, n: int, m: int) -> float:
 
 
 def train(rows: list[np.ndarray], target: np.ndarray, rounds: int = 400, l1: float = 0.2):
-    """Sparse logistic regression on soft labels by accelerated proximal gradient: (weights, base).
-    Features whose presence goes with the target no more than chance explains keep weight 0."""
-    weights = np.zeros(WIDTH, np.float32)
+    """Sparse logistic regression on soft labels by accelerated proximal gradient: (feature ids, weights, base).
+    Features whose presence goes with the target no more than chance explains are left out."""
     n = len(rows)
+    none = np.zeros(0, np.uint32), np.zeros(0)
     if not n:
-        return weights, -4.0
+        return *none, -4.0
     mean = float(np.clip(target.mean(), 1e-3, 1 - 1e-3))
     base = float(np.log(mean / (1 - mean)))
     row = np.repeat(np.arange(n), [len(r) for r in rows])
-    col = np.concatenate(rows)
-    times = np.bincount(col, minlength=WIDTH)
-    lift = np.bincount(col, (target - mean)[row], minlength=WIDTH)
+    ids, col = np.unique(np.concatenate(rows), return_inverse=True)
+    times = np.bincount(col, minlength=len(ids))
+    lift = np.bincount(col, (target - mean)[row], minlength=len(ids))
     screen = np.sqrt(2 * np.log(max(2, (times >= 3).sum())))  # in standard errors
-    used = np.flatnonzero((times >= 3) & (np.abs(lift) >= screen * np.sqrt(mean * (1 - mean) * np.maximum(times, 1))))
-    if not len(used):
-        return weights, base
-    number = np.full(WIDTH, -1)
-    number[used] = np.arange(len(used))
-    keep = number[col] >= 0
-    row, col = row[keep], number[col[keep]]
-    step = 4.0 / (_norm(row, col, n, len(used)) + n)
-    x, b = np.zeros(len(used)), base
+    used = (times >= 3) & (np.abs(lift) >= screen * np.sqrt(mean * (1 - mean) * np.maximum(times, 1)))
+    if not used.any():
+        return *none, base
+    number = np.cumsum(used) - 1
+    row, col = row[used[col]], number[col[used[col]]]
+    m = int(used.sum())
+    step = 4.0 / (_norm(row, col, n, m) + n)
+    x, b = np.zeros(m), base
     z, zb, t = x, b, 1.0
     for _ in range(rounds):
         margin = np.bincount(row, z[col], minlength=n) + zb
         off = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - target
-        new = z - step * np.bincount(col, off[row], minlength=len(used))
+        new = z - step * np.bincount(col, off[row], minlength=m)
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
         nb = zb - step * off.sum()
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, zb = new + (t - 1) / t2 * (new - x), nb + (t - 1) / t2 * (nb - b)
         x, b, t = new, nb, t2
-    weights[used] = x
-    return weights, b
+    return ids[used][x != 0], x[x != 0], float(b)
 
 
 class Model:
     """Weights of the linear classifier; its probability is the score."""
 
-    def __init__(self, weights: np.ndarray, base: float):
-        self.ids = np.flatnonzero(weights)
-        self.values, self.base = weights[self.ids], base
-
-    @classmethod
-    def of(cls, ids: np.ndarray, values: np.ndarray, base: float) -> Model:
-        weights = np.zeros(WIDTH, np.float32)
-        weights[ids] = values
-        return cls(weights, base)
+    def __init__(self, ids: np.ndarray, values: np.ndarray, base: float):
+        self.ids, self.values, self.base = ids, values, base
 
     def scores(self, texts) -> np.ndarray:
-        weights = np.zeros(WIDTH, np.float32)
-        weights[self.ids] = self.values
-        kinds, offs, _, _ = _word_features(texts)
+        table = Table(self.ids, self.values)
+        kinds, offs = _word_features(texts)
         doc = W.in_document(offs, len(kinds[0]))
         margin = np.full(len(offs) - 1, self.base)
         for ids in kinds:
-            hit = np.flatnonzero((weights[ids] != 0) & (ids >= 0))
-            d, f = _per_document(ids[hit].astype(np.int64), doc[hit])
-            margin += np.bincount(d, weights[f].astype(np.float64), minlength=len(margin))
+            hit, _ = table.find(ids)
+            d, f = _per_document(ids[hit], doc[hit])
+            margin += np.bincount(d, table.find(f)[1], minlength=len(margin))
         return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
@@ -320,7 +333,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                                               pa.array(surface(text))], names=["id", "y", "ids", "surface"])
     got = picked.mapInArrow(describe, "id long, y int, ids binary, surface long").collect()
     got.sort(key=lambda r: (r["id"], r["ids"]))  # sums in a fixed order
-    rows = [np.frombuffer(r["ids"], np.int32) for r in got]
+    rows = [np.frombuffer(r["ids"], np.uint32) for r in got]
     y = np.array([r["y"] for r in got], np.int64)
     voters = Voters(mine(rows, y))
 
@@ -335,12 +348,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     labelled = np.zeros((len(patterns), 2))
     np.add.at(labelled, ([place[p] for p in mine_votes.tolist()], y), 1)
     if not len(patterns):
-        return Model(np.zeros(WIDTH, np.float32), -4.0)
+        return Model(np.zeros(0, np.uint32), np.zeros(0), -4.0)
     model = LabelModel(patterns, np.array([totals.get(p, 0) for p in patterns.tolist()], float), labelled, voters.n)
     if not len(rows):  # no labelled row: the lexicon itself is the classifier
-        weights = np.zeros(WIDTH, np.float32)
-        weights[insult_ids()] = 3.0
-        return Model(weights, -3.0)
+        return Model(insult_ids(), np.full(len(insult_ids()), 3.0), -3.0)
     return Model(*train(rows, model.posterior(mine_votes)))
 
 
@@ -352,7 +363,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
     held = df.sparkSession.sparkContext.broadcast((model.ids, model.values, model.base))  # the non-zero weights
 
     def run(batches):
-        model = Model.of(*held.value)
+        model = Model(*held.value)
         for batch in batches:
             cols = [*batch.columns, pa.array(model.scores(_text(batch, text_col)))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)

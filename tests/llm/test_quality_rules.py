@@ -51,7 +51,7 @@ def test_query_base_columns_and_risk(spark):
 
 
 def test_rules_learn_what_goes_with_bad_labels(spark):
-    rows = [(i, "xx" if i % 2 else None, " ".join([f"w{i}{j}{'#' * (i % 10 == 0)}" for j in range(30)])) for i in range(4000)]
+    rows = [(i, "xx" if i % 2 else None, " ".join([f"w{i:04d}{j:02d}{'#' if i % 10 == 0 else 'x'}" for j in range(30)])) for i in range(4000)]
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     labels = docs.select("doc_id", (F.col("doc_id") % 10 != 0).cast("int").alias("quality"))
     counted = Q.with_counts(docs, keep=["doc_id", "lang"]).cache()
