@@ -11,13 +11,14 @@ Two documents link when their sets of distinct word 5-grams have a Jaccard simil
    another name, all groups, then finer groups, in the end single shingles - two linked
    documents that are both short of contents meet at that level, and a document that is not
    short meets every partner at the level before.
-2. R-tree over points. A block sends each content once, with its number of documents, and
-   learns which contents others hold too; copies of a set count once per block. For those
-   contents the documents travel as points of 64 group counts. Points that share a content
-   are packed into a tree of bounding boxes; the overlap with a box or a point is at most the
-   sum of the coordinate minima, and pairs that pass this bound (and the one on sizes) are
-   candidates. Components of the candidates hold every possible link. A content of more than
-   ``POINT_CHUNK`` documents is split into chunks, each pair of chunks a group.
+2. R-tree over points. One document speaks for all that have its very set. A block sends
+   each content once per size band, with its number of documents, and learns which contents
+   others of near size hold too. For those the documents travel as points of 64 group
+   counts. Points that share a content are packed into a tree of bounding boxes; the overlap
+   with a box or a point is at most the sum of the coordinate minima, and pairs that pass
+   this bound (and the one on sizes) are candidates. Components of the candidates hold every
+   possible link. A content of more than ``POINT_CHUNK`` documents is split into chunks,
+   each pair of chunks a group.
 3. Verification. Inside a component the same tree, with more groups, leaves pairs that are
    verified on the full sets unless they are connected by then. Components over ``CHUNK``
    documents are split by size class and hash, each pair of chunks of near size a group.
@@ -138,8 +139,9 @@ def contents(sets: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(out_doc), np.concatenate(out_key)
 
 
-SENT = "bucket int, block long, keys binary, counts binary"
-_SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+SENT = "bucket int, block long, keys binary, bands binary, counts binary"
+_SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("bands", pa.binary()),
+                   ("counts", pa.binary())])
 FOUND = "block long, bucket int, chunks binary"
 _FOUND = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("chunks", pa.binary())])
 POINT = "key long, a int, b int, side int, ref long, n long, point binary"
@@ -156,55 +158,77 @@ def _star_rows(a: np.ndarray, b: np.ndarray):
             yield pa.RecordBatch.from_arrays([pa.array(node[node != root]), pa.array(root[node != root])], schema=_PAIR)
 
 
-def _sent(texts):
-    """Sets of a block, and the contents sent: one document speaks for the copies of its set in the block."""
+def size_band(n: np.ndarray) -> np.ndarray:
+    """Logarithmic size; the bands of two linked sets differ by 2 at most (1.13 ** 2 > 1.25 and then some)."""
+    return np.floor(np.log(np.maximum(n, 1)) / math.log(1.13)).astype(np.uint8)
+
+
+def _sent(texts, gone: list[int]):
+    """Sets of a block, and the contents sent with their documents: all but those ``gone``."""
     sets, offs = shingle_sets(texts)
-    one, two = set_hashes(sets, offs)
-    some = np.flatnonzero(np.diff(offs))
-    order = some[np.lexsort((two[some], one[some]))]
-    new = np.ones(len(order), bool)
-    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-    keep = np.zeros(len(offs) - 1, bool)
-    keep[order[new]] = True
-    sizes = np.where(keep, np.diff(offs), 0)
-    held = keep[in_document(offs, len(sets))]
-    doc, key = contents(sets[held], np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+    size = np.diff(offs)
+    size[gone] = 0
+    held = size[in_document(offs, len(sets))] > 0
+    doc, key = contents(sets[held], np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
     return sets, offs, doc, key
 
 
+def _entries(offs, doc, key):
+    """Distinct (content, size band) sorted, how often each is sent, and the entry of every content sent."""
+    band = size_band(np.diff(offs))[doc]
+    order = np.lexsort((band, key))
+    k, b = key[order], band[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (b[1:] != b[:-1])
+    entry = np.empty(len(k), np.int64)
+    entry[order] = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    return k[starts], b[starts], np.diff(np.append(starts, len(k))), entry
+
+
+def _places(back) -> list[int]:
+    return [x["place"] for x in back or () if x["place"] is not None]
+
+
 def _send_keys(text_col: str, buckets: int):
-    def send(block, batch, _):
-        key, counts = np.unique(_sent(batch.column(batch.schema.get_field_index(text_col)))[3], return_counts=True)
+    def send(block, batch, back):
+        _, offs, doc, key = _sent(batch.column(batch.schema.get_field_index(text_col)), _places(back))
+        key, band, counts, _ = _entries(offs, doc, key)
         cuts = np.searchsorted(range_bucket(key, buckets), np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(cuts))
         if len(full):
             part = [slice(cuts[b], cuts[b + 1]) for b in full]
             yield pa.RecordBatch.from_pydict(
                 {"bucket": full, "block": [block] * len(full), "keys": [key[x].tobytes() for x in part],
-                 "counts": [counts[x].astype(np.uint32).tobytes() for x in part]}, schema=_SENT)
+                 "bands": [band[x].tobytes() for x in part], "counts": [counts[x].astype(np.uint32).tobytes() for x in part]},
+                schema=_SENT)
     return send
 
 
 def _meet(chunk: int):
-    """Per block and bucket and key sent: 0 if one document holds it, else the chunks its documents make."""
+    """Per block, bucket and entry sent: 0 if no other document of near size sends its content, else the chunks
+    that all documents with the content make."""
     def run(batches):
-        heads, keys, counts = [], [], []
+        heads, keys, bands, counts = [], [], [], []
         for b in batches:
             for i in range(b.num_rows):
                 heads.append((b.column("block")[i].as_py(), b.column("bucket")[i].as_py()))
                 keys.append(np.frombuffer(b.column("keys")[i].as_py(), np.uint64))
+                bands.append(np.frombuffer(b.column("bands")[i].as_py(), np.uint8))
                 counts.append(np.frombuffer(b.column("counts")[i].as_py(), np.uint32))
         if not heads:
             return
-        key = np.concatenate(keys)
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        new = np.ones(len(k), bool)
-        new[1:] = k[1:] != k[:-1]
-        starts = np.flatnonzero(new)
-        total = np.add.reduceat(np.concatenate(counts).astype(np.int64)[order], starts)
+        key, band = np.concatenate(keys), np.concatenate(bands)
+        order = np.lexsort((band, key))
+        k, s, n = key[order], band[order].astype(np.int64), np.concatenate(counts).astype(np.int64)[order]
+        same = k[1:] == k[:-1]
+        near = np.zeros(len(k) + 1, bool)
+        near[1:-1] = same & (s[1:] - s[:-1] <= 2)
+        shared = near[1:] | near[:-1] | (n > 1)
+        starts = np.flatnonzero(np.concatenate([[True], ~same]))
+        total = np.repeat(np.add.reduceat(n, starts), np.diff(np.append(starts, len(k))))
         chunks = np.empty(len(k), np.uint32)
-        chunks[order] = np.repeat(np.where(total > 1, -(-total // chunk), 0), np.diff(np.append(starts, len(k))))
+        chunks[order] = np.where(shared, -(-total // chunk), 0)
         at = 0
         for (block, bucket), own in zip(heads, keys):
             got = chunks[at:at + len(own)]
@@ -229,16 +253,17 @@ def _unit(n: np.ndarray) -> np.ndarray:
 
 def _send_points(text_col: str, buckets: int):
     def send(block, batch, back):
-        if not back:
+        answers = [x for x in back or () if x["chunks"] is not None]
+        if not answers:
             return
-        sets, offs, doc, key = _sent(batch.column(batch.schema.get_field_index(text_col)))
-        own, inv = np.unique(key, return_inverse=True)
+        sets, offs, doc, key = _sent(batch.column(batch.schema.get_field_index(text_col)), _places(back))
+        own, _, _, entry = _entries(offs, doc, key)
         cuts = np.searchsorted(range_bucket(own, buckets), np.arange(buckets + 1))
         chunks = np.zeros(len(own), np.int64)
-        for x in back:
+        for x in answers:
             i, j = cuts[x["bucket"]], cuts[x["bucket"] + 1]
             chunks[i:j] = np.frombuffer(pa.decompress(x["chunks"], int(j - i) * 4, codec="zstd", asbytes=True), np.uint32)
-        chunks = chunks[inv]
+        chunks = chunks[entry]
         doc, key, chunks = doc[chunks > 0], key[chunks > 0], chunks[chunks > 0]
         if not len(doc):
             return
@@ -413,28 +438,37 @@ def _tree_join(batches):
     yield from done()
 
 
-SEEN = "ref long, id long, n_shingles long, k long, one long, two long, bytes long, text binary"
+SEEN = "ref long, id long, n_shingles long, one long, two long"
+TEXT = "ref long, k long, bytes long, text binary"
 
 
-def _seer(id_col: str, text_col: str):
-    schema = pa.schema([(c, pa.binary() if c == "text" else pa.int64())
-                        for c in ("ref", "id", "n_shingles", "k", "one", "two", "bytes", "text")])
+def _see(id_col: str, text_col: str):
+    names = ("ref", "id", "n_shingles", "one", "two")
 
-    def see(block, batch, back):
-        texts = batch.column(batch.schema.get_field_index(text_col))
-        sets, offs = shingle_sets(texts)
+    def see(block, batch, _):
+        sets, offs = shingle_sets(batch.column(batch.schema.get_field_index(text_col)))
         one, two = set_hashes(sets, offs)
-        k = {x["place"]: x["k"] for x in back or ()}
-        raw = [(texts[i].as_py() or "").encode("utf-8", "surrogatepass") if i in k else b"" for i in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([
-            pa.array((block << blocks.PLACE_BITS) + np.arange(batch.num_rows, dtype=np.int64)),
-            batch.column(batch.schema.get_field_index(id_col)).cast(pa.int64()),
-            pa.array(np.diff(offs)), pa.array([k.get(i) for i in range(batch.num_rows)], pa.int64()),
-            pa.array(one), pa.array(two), pa.array([len(r) for r in raw], pa.int64()),
-            pa.array([pa.compress(r, "zstd", asbytes=True) if r else None for r in raw], pa.binary())], schema=schema)
+        ids = batch.column(batch.schema.get_field_index(id_col)).cast(pa.int64())
+        ref = pa.array((block << blocks.PLACE_BITS) + np.arange(batch.num_rows, dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([ref, ids, pa.array(np.diff(offs)), pa.array(one), pa.array(two)], names=names)
     return see
 
 
+def _hand_over(text_col: str):
+    """Compressed texts of the documents asked for."""
+    schema = pa.schema([("ref", pa.int64()), ("k", pa.int64()), ("bytes", pa.int64()), ("text", pa.binary())])
+
+    def give(block, batch, back):
+        if back:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            raw = [texts[x["place"]].as_py().encode("utf-8", "surrogatepass") for x in back]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([(block << blocks.PLACE_BITS) + x["place"] for x in back], pa.int64()),
+                pa.array([x["k"] for x in back], pa.int64()), pa.array([len(r) for r in raw], pa.int64()),
+                pa.array([pa.compress(r, "zstd", asbytes=True) for r in raw], pa.binary())], schema=schema)
+    return give
+
+
 def _near_class():
     """Sizes of linked documents differ by one class at most."""
     return F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(math.log(1.26))).cast("long")
@@ -450,7 +484,7 @@ def _tasks(cand: DataFrame) -> DataFrame:
                                 F.map_from_entries(F.collect_list(F.struct("cls", "chunks"))).alias("chunks"))
     size = size.where("all_docs > 1").withColumn("whole", F.expr(f"all_docs <= {CHUNK} AND all_held <= {CHUNK_SHINGLES}"))
     rows = cand.join(size, "k").withColumn("cls", _near_class())
-    mine = F.pmod(F.col("one"), F.coalesce(F.col("chunks")[F.col("cls")], F.lit(1)))
+    mine = F.pmod(F.xxhash64("ref"), F.coalesce(F.col("chunks")[F.col("cls")], F.lit(1)))
     rows = rows.withColumn("mine", mine)
     name = "concat_ws('/', k, {0}, {1}, {2}, {3})"
     others = """array_compact(concat(
@@ -471,25 +505,30 @@ def _joined(df: DataFrame, id_col: str, text_col: str, block_bytes: int):
     spark = df.sparkSession
     parts = blocks.shuffle_partitions(spark)
     buckets = bucket_count(packed.bytes / 12, parts)
-    shared = (packed.visit(_send_keys(text_col, buckets), SENT).repartition(buckets, "bucket")
-              .mapInArrow(_meet(POINT_CHUNK), FOUND))
-    points = packed.visit(_send_points(text_col, buckets), POINT, blocks.per_block(shared, "bucket", "chunks"))
+    seen = blocks.saved(packed.visit(_see(id_col, text_col), SEEN))
+    rows = seen.where("n_shingles > 0").select("ref", "one", "two")
+    first = rows.groupBy("one", "two").agg(F.min("ref").alias("rep"))
+    copies = blocks.saved(rows.join(first, ["one", "two"]).where("ref <> rep").select(F.col("ref").alias("a"), F.col("rep").alias("b")))
+    gone = _at(copies, "a").withColumns({"bucket": F.lit(None).cast("int"), "chunks": F.lit(None).cast("binary")})
+    shared = blocks.saved(packed.visit(_send_keys(text_col, buckets), SENT, blocks.per_block(gone, "place", "bucket", "chunks"))
+                          .repartition(buckets, "bucket").mapInArrow(_meet(POINT_CHUNK), FOUND))
+    answers = gone.unionByName(shared.withColumn("place", F.lit(None).cast("long")))
+    points = packed.visit(_send_points(text_col, buckets), POINT, blocks.per_block(answers, "place", "bucket", "chunks"))
     k = connected(points.repartition(parts, "key", "a", "b").sortWithinPartitions("key", "a", "b")
                   .mapInArrow(_near_points, "a long, b long"))
-    back = k.select(F.shiftright("node", blocks.PLACE_BITS).alias("block"),
-                    F.col("node").bitwiseAND((1 << blocks.PLACE_BITS) - 1).alias("place"), F.col("label").alias("k"))
-    seen = blocks.saved(packed.visit(_seer(id_col, text_col), SEEN, blocks.per_block(back, "place", "k")))
-    rows = seen.where("n_shingles > 0").select("ref", "one", "two")
-    copies = (rows.join(rows.groupBy("one", "two").agg(F.min("ref").alias("rep")), ["one", "two"]).where("ref <> rep")
-              .select(F.col("ref").alias("a"), F.col("rep").alias("b")))
-    found = seen.where("k IS NOT NULL")
-    first = found.groupBy("k", "one", "two").agg(F.min("ref").alias("rep"))
-    reps = found.join(first.select(F.col("rep").alias("ref")), "ref", "left_semi")
-    links = (_tasks(reps).repartition(parts, "grp").sortWithinPartitions("grp")
-             .mapInArrow(_tree_join, "a long, b long"))
+    asked = _at(k, "node").withColumnRenamed("label", "k")
+    texts = packed.visit(_hand_over(text_col), TEXT, blocks.per_block(asked, "place", "k"))
+    links = (_tasks(blocks.saved(texts.join(seen.select("ref", "n_shingles"), "ref"))).repartition(parts, "grp")
+             .sortWithinPartitions("grp").mapInArrow(_tree_join, "a long, b long"))
     return packed, seen, connected(links.union(copies))
 
 
+def _at(df: DataFrame, ref: str) -> DataFrame:
+    """``df`` with block and place of a row reference."""
+    return df.withColumns({"block": F.shiftright(ref, blocks.PLACE_BITS),
+                           "place": F.col(ref).bitwiseAND((1 << blocks.PLACE_BITS) - 1)}).drop("a", "b", "node")
+
+
 def _components(seen: DataFrame, labels: DataFrame) -> DataFrame:
     rows = seen.select("ref", "id", "n_shingles").join(labels.withColumnRenamed("node", "ref"), "ref", "left")
     least = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "ref")).alias("first"))
@@ -512,9 +551,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
                          block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
     """The rows of ``df`` without those that are not their component's first by id."""
     packed, seen, labels = _joined(df, id_col, text_col, block_bytes)
-    gone = _components(seen, labels).where("NOT is_first").select(
-        F.shiftright("ref", blocks.PLACE_BITS).alias("block"),
-        F.col("ref").bitwiseAND((1 << blocks.PLACE_BITS) - 1).alias("place"))
+    gone = _at(_components(seen, labels).where("NOT is_first").select("ref"), "ref")
 
     def keep(block, batch, back):
         mask = np.ones(batch.num_rows, bool)
