@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 
 from pagefold.functions import urls as U
 from pagefold.operators.extract import extract_pages
+from pagefold.operators.jobs import ERROR_MESSAGES
 from pagefold.session import cut_lineage
 
 # ---- fixed values: crawl-layer defaults and the validated depth cap ---------------------
 CRAWL_DEFAULT_PAGES, CRAWL_DEFAULT_DEPTH, CRAWL_DEFAULT_EXTRACT = 10, 2, "markdown"
 MAP_DEFAULT_URLS, MAP_DEFAULT_DEPTH = 50, 2
-MAX_DEPTH_CAP = 5
 # ------------------------------------------------------------------------------------------
 
 
@@ -82,12 +82,11 @@ def _expand(parents: DataFrame, edges: DataFrame, seen: DataFrame, offsets: Data
 
 def _seeds(seeds: DataFrame, budget_col: str, default_budget: int, default_depth: int) -> DataFrame:
     budget = F.when(F.col(budget_col) > 0, F.col(budget_col)).otherwise(F.lit(default_budget))
-    depth = F.when(F.col("max_depth") >= 0, F.least(F.col("max_depth"), F.lit(MAX_DEPTH_CAP))) \
-        .otherwise(F.lit(default_depth))
-    return seeds.select("crawl_id", U.normalize_url(F.col("seed_url")).alias("url"), F.lit(0).alias("rank"),
+    # not given is 0 below the request layer, which fills in its own default; negative asks for the default
+    depth = F.when(F.col("max_depth") < 0, F.lit(default_depth)).otherwise(F.coalesce(F.col("max_depth"), F.lit(0)))
+    return seeds.select("crawl_id", "seed_url", U.normalize_url(F.col("seed_url")).alias("url"), F.lit(0).alias("rank"),
                         F.lit(0).alias("depth"), budget.alias(budget_col), depth.alias("max_depth"),
-                        F.coalesce(F.col("follow"), F.lit(True)).alias("follow")) \
-        .where(F.col("url").isNotNull())
+                        F.coalesce(F.col("follow"), F.lit(True)).alias("follow"))
 
 
 def _offsets(frontiers: list[DataFrame]) -> DataFrame:
@@ -102,22 +101,26 @@ def _bfs(seeds: DataFrame, snapshot: DataFrame, edges: DataFrame | None, active:
          budget_col: str, default_budget: int, default_depth: int, map_mode: bool) -> DataFrame:
     status = cut_lineage(snapshot.select("url", "http_status").repartition("url"))
     edges = edges if edges is not None else cut_lineage(snapshot_edges(snapshot).repartition("src_url"))
-    frontier = cut_lineage(_seeds(seeds, budget_col, default_budget, default_depth))
+    start = cut_lineage(_seeds(seeds, budget_col, default_budget, default_depth))
+    frontier = start.where(F.col("url").isNotNull()).drop("seed_url")
     frontiers = [frontier]
-    out = []
-    for level in range(MAX_DEPTH_CAP + 1):
+    # a seed that does not parse ends its crawl with an error and no page
+    bad = start.where(F.col("url").isNull()).select("crawl_id", "rank", F.col("seed_url").alias("url"), "depth",
+                                                    F.lit("invalid_url").alias("error"))
+    out = [bad if map_mode else bad.withColumns({"ok": F.lit(False), "http_status": F.lit(0)})]
+    none = F.lit(None).cast("string").alias("error")
+    while True:                                     # each level is one deeper; max_depth ends it
         cur = frontier.where(F.col("rank") < F.col(budget_col))
-        if active is not None:
-            cur = cur.join(active.select("crawl_id").distinct(), "crawl_id", "left_semi")
-        if map_mode:
-            out.append(cur.select("crawl_id", "rank", "url", "depth"))
-            parents = _fetch(cur.where(F.col("depth") < F.col("max_depth")), status).where("ok")
+        live = cur if active is None else cur.join(active.select("crawl_id").distinct(), "crawl_id", "left_semi")
+        if map_mode:                                # what was found stays listed when a map is cancelled
+            out.append(cur.select("crawl_id", "rank", "url", "depth", none))
+            parents = _fetch(live.where(F.col("depth") < F.col("max_depth")), status).where("ok")
         else:
-            fetched = _fetch(cur, status)
-            out.append(fetched.select("crawl_id", "rank", "url", "depth", "ok", "http_status"))
+            # materialised before the next level looks at ``active`` again: pages visited stay visited
+            fetched = _fetch(live, status)
+            fetched = fetched if active is None else cut_lineage(fetched)
+            out.append(fetched.select("crawl_id", "rank", "url", "depth", none, "ok", "http_status"))
             parents = fetched.where(F.col("ok") & (F.col("depth") < F.col("max_depth")) & F.col("follow"))
-        if level == MAX_DEPTH_CAP:
-            break
         seen = frontiers[0].where(F.col("rank") < F.col(budget_col)).select("crawl_id", "url")
         for f in frontiers[1:]:
             seen = seen.unionByName(f.where(F.col("rank") < F.col(budget_col)).select("crawl_id", "url"))
@@ -141,15 +144,17 @@ def crawl_bfs(seeds: DataFrame, snapshot: DataFrame, edges: DataFrame | None = N
     snapshot: (url, http_status, body) keyed by normalised URL.
     active: optional (crawl_id) of crawls still running; checked before every level
     (a crawl cancelled in between stops, like the reference's per-page check).
-    Returns crawl_pages (crawl_id, rank, url, depth, ok, http_status), failed pages
-    included (they count against max_pages but are not expanded).
+    Returns crawl_pages (crawl_id, rank, url, depth, error, ok, http_status), failed pages
+    included (they count against max_pages but are not expanded). A seed that does not
+    parse gives one row with error ``invalid_url`` and no page.
     """
     return _bfs(seeds, snapshot, edges, active, "max_pages", CRAWL_DEFAULT_PAGES, CRAWL_DEFAULT_DEPTH, False)
 
 
 def map_bfs(seeds: DataFrame, snapshot: DataFrame, edges: DataFrame | None = None, *,
             active: DataFrame | None = None) -> DataFrame:
-    """URL map for many seeds: (crawl_id, rank, url, depth) with the seed first.
+    """URL map for many seeds: (crawl_id, rank, url, depth, error) with the seed first.
+    A cancelled map keeps what it has found; a seed that does not parse is an error row.
     Items at max_depth are listed but not fetched; failed fetches stay listed;
     the list stops at max_urls (seed included)."""
     return _bfs(seeds.withColumn("follow", F.lit(True)), snapshot, edges, active, "max_urls",
@@ -165,8 +170,9 @@ def crawl_rollup(crawl_pages: DataFrame, page_extract: DataFrame | None = None)
     else:
         cp = cp.withColumn("truncated", F.lit(False))
     return cp.groupBy("crawl_id").agg(
-        F.count(F.lit(1)).alias("pages_crawled"),
-        F.count_if(~F.col("ok")).alias("pages_skipped"),
+        F.count_if(F.col("error").isNull()).alias("pages_crawled"),
+        F.count_if(~F.col("ok") & F.col("error").isNull()).alias("pages_skipped"),
+        F.max("error").alias("error"),
         F.coalesce(F.bool_or(F.col("ok") & F.coalesce(F.col("truncated"), F.lit(False))), F.lit(False))
         .alias("truncated"),
         F.min_by("http_status", "rank").alias("http_status"))
@@ -174,21 +180,44 @@ def crawl_rollup(crawl_pages: DataFrame, page_extract: DataFrame | None = None)
 
 def map_result(map_urls: DataFrame) -> DataFrame:
     """Per-map result: ordered URL list (bounded by max_urls <= 500) and status 200."""
-    return map_urls.groupBy("crawl_id").agg(
+    return map_urls.where(F.col("error").isNull()).groupBy("crawl_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "url"))), lambda x: x["url"]).alias("urls"),
         F.lit(200).alias("http_status"))
 
 
-def crawl_fetch_schedule(crawl_pages: DataFrame, seeds: DataFrame, *, rate: float = 2.0, burst: int = 2,
-                         start_col: str = "start_us") -> DataFrame:
-    """Optional rate-limit stage over crawl fetches (U4 with W4): every fetch of a crawl
-    waits on the per-host limiter of the seed host. Fetches are issued in (depth, rank)
-    order from the crawl's start time; crawls of the same host share one limiter.
-    Returns crawl_pages with ``fetch_start_us`` and ``wait_us``."""
-    from pagefold.operators.ratelimit import host_schedule
-    s = seeds.select("crawl_id", F.lower(U.hostname(F.col("seed_url"))).alias("host"),
-                     F.coalesce(F.col(start_col), F.lit(0)).cast("bigint").alias("t0")
-                     if start_col in seeds.columns else F.lit(0).cast("bigint").alias("t0"))
-    x = crawl_pages.join(s, "crawl_id").withColumn("_seq", F.col("crawl_id") * 1000 + F.col("rank"))
-    out = host_schedule(x.withColumnRenamed("t0", "arrival_us"), "host", "arrival_us", "_seq", rate=rate, burst=burst)
-    return out.withColumnRenamed("start_us", "fetch_start_us").drop("_seq")
+def _job_seeds(jobs: DataFrame, budget: str) -> DataFrame:
+    links = F.exists(F.coalesce("extract", F.array().cast("array<string>")), lambda x: F.lower(x).isin("links", "all"))
+    return jobs.select(F.col("job_id").alias("crawl_id"), F.col("url").alias("seed_url"),
+                       F.col("options")[budget].alias(budget), F.col("options")["max_depth"].alias("max_depth"),
+                       links.alias("follow"))
+
+
+def _job_rows(done: DataFrame, jobs: DataFrame, result) -> DataFrame:
+    """Job rows from one row per crawl with ``error``: an error fails the job and uses its retry flag."""
+    bad = F.col("error").isNotNull()
+    msg = F.concat(F.lit(ERROR_MESSAGES["invalid_url"] + ": "), F.coalesce("url", F.lit("")))
+    return done.withColumnRenamed("crawl_id", "job_id").join(jobs.select("job_id", "url"), "job_id").select(
+        "job_id", F.when(bad, "failed").otherwise("completed").alias("status"), F.col("error").alias("error_type"),
+        F.when(bad, msg).alias("error_msg"), F.when(~bad, F.col("http_status")).cast("int").alias("http_status"),
+        F.when(bad, 1).otherwise(0).alias("retries_used"), F.when(~bad, result).alias("result"))
+
+
+def crawl_job_results(jobs: DataFrame, snapshot: DataFrame, edges: DataFrame | None = None, *,
+                      active: DataFrame | None = None) -> DataFrame:
+    """Crawl jobs (job_id, url, extract, options) to their final row (G1 as a job): the result holds the visited
+    pages in order with depth and status, and the roll-up. A job cancelled before its seed was visited has no row."""
+    pages = cut_lineage(crawl_bfs(_job_seeds(jobs, "max_pages"), snapshot, edges, active=active))
+    listed = pages.where(F.col("error").isNull()).groupBy("crawl_id").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("rank", "url", "depth", "http_status"))),  # max_pages at most
+        lambda p: F.struct(p["url"].alias("url"), p["depth"].alias("depth"), p["http_status"].alias("http_status"))).alias("pages"))
+    done = crawl_rollup(pages).join(listed, "crawl_id", "left")
+    return _job_rows(done, jobs, F.struct("pages", "pages_crawled", "pages_skipped", "truncated", "http_status"))
+
+
+def map_job_results(jobs: DataFrame, snapshot: DataFrame, edges: DataFrame | None = None, *,
+                    active: DataFrame | None = None) -> DataFrame:
+    """Map jobs to their final row (G2 as a job): the result is the ordered URL list, status 200."""
+    found = cut_lineage(map_bfs(_job_seeds(jobs, "max_urls"), snapshot, edges, active=active))
+    errors = found.groupBy("crawl_id").agg(F.max("error").alias("error"))
+    done = errors.join(map_result(found), "crawl_id", "left")
+    return _job_rows(done, jobs, F.struct("urls", "http_status"))

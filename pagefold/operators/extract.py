@@ -28,7 +28,7 @@ BUILTIN_TYPES = ("links", "headers", "paragraphs", "markdown", "html", "raw_html
 LIST_TYPES = ("links", "headers", "paragraphs")
 TEXT_TYPES = ("markdown", "html", "raw_html")
 MAX_STORED_HTML = 512 * 1024          # bytes kept of html / raw_html
-MAX_BODY_BYTES = 5 * 1024 * 1024      # fetch cap: larger bodies are silently cut
+MAX_BODY_BYTES = 5 * 1024 * 1024      # a fetcher's usual cap, for ``max_body_bytes``
 # --------------------------------------------------------------------------------------------
 
 
@@ -135,13 +135,17 @@ def truncate_utf8(s: str, cap: int = MAX_STORED_HTML) -> tuple[str, bool]:
     return cut.decode("utf-8", errors="replace"), True
 
 
-def extract_one(body: str | bytes | None, types: list[str], max_html: int = MAX_STORED_HTML) -> dict:
-    """All requested outputs of one page (pure Python; used by the Arrow pass and tests)."""
-    if isinstance(body, (bytes, bytearray)):
-        body = bytes(body[:MAX_BODY_BYTES]).decode("utf-8", errors="replace")
-    doc = H.parse(body or "")
+def extract_one(body: str | bytes | None, types: list[str], max_html: int = MAX_STORED_HTML,
+                max_body_bytes: int | None = None) -> dict:
+    """All requested outputs of one page (pure Python; used by the Arrow pass and tests). With
+    ``max_body_bytes`` a longer body is cut there and ``truncated`` is set; by default it is read whole."""
+    raw = body if isinstance(body, (bytes, bytearray)) else (body or "").encode("utf-8", "surrogatepass")
+    cut = max_body_bytes is not None and len(raw) > max_body_bytes
+    if cut or not isinstance(body, str):
+        body = bytes(raw[:max_body_bytes]).decode("utf-8", errors="replace")
+    doc = H.parse(body)
     v = PageView(doc)
-    out: dict = {"truncated": False}
+    out: dict = {"truncated": cut}
     for t in types:
         if t in _REGISTRY:
             out[t] = _REGISTRY[t][0](v)
@@ -158,16 +162,6 @@ def extract_one(body: str | bytes | None, types: list[str], max_html: int = MAX_
     return out
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """The parse is CPU-bound Python: make sure every core gets a share. A large
-    scan already has far more splits than cores (no shuffle); a small table stored
-    in a few row groups is spread round-robin over the default parallelism."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
-
-
 def _output_fields(types: list[str]) -> list[T.StructField]:
     fields = []
     for t in types:
@@ -182,8 +176,8 @@ def _output_fields(types: list[str]) -> list[T.StructField]:
 def extract_pages(df: DataFrame, types: Iterable[str] | None = None, *, url_col: str = "url",
                   body_col: str = "html", keep: Iterable[str] = ("page_id",),
                   max_html: int = MAX_STORED_HTML, resolve: bool = True,
-                  types_col: str | None = None) -> DataFrame:
-    """Run the extraction pass over a page table.
+                  types_col: str | None = None, max_body_bytes: int | None = None) -> DataFrame:
+    """Run the extraction pass over a page table, split as its scan is (``spark.sql.files.maxPartitionBytes``).
 
     Output columns: ``keep`` + url + one column per type + truncated. With
     ``types_col`` each row names its own extract list (lower-cased, de-duplicated,
@@ -199,7 +193,7 @@ def extract_pages(df: DataFrame, types: Iterable[str] | None = None, *, url_col:
         types = list(dict.fromkeys(types or (BUILTIN_TYPES + custom)))
     keep = [k for k in keep if k not in (url_col, types_col)]
     cols = [*keep, url_col, body_col] + ([types_col] if types_col else [])
-    src = _spread(df.select(*cols))
+    src = df.select(*cols)
     in_fields = [f for f in src.schema.fields if f.name not in (body_col, types_col)]
     schema = T.StructType(in_fields + _output_fields(types))
     arrow_schema = None
@@ -213,10 +207,10 @@ def extract_pages(df: DataFrame, types: Iterable[str] | None = None, *, url_col:
             cols = {name: batch.column(name) for name in batch.schema.names}
             bodies = cols[body_col].to_pylist()
             if types_col is None:
-                results = [extract_one(b, types, max_html) for b in bodies]
+                results = [extract_one(b, types, max_html, max_body_bytes) for b in bodies]
             else:
                 row_types = cols[types_col].to_pylist()
-                results = [extract_one(b, [t for t in extract_set(rt) if t in types], max_html)
+                results = [extract_one(b, [t for t in extract_set(rt) if t in types], max_html, max_body_bytes)
                            for b, rt in zip(bodies, row_types)]
             arrays = [cols[f.name] for f in in_fields]
             for t in types:
@@ -230,13 +224,3 @@ def extract_pages(df: DataFrame, types: Iterable[str] | None = None, *, url_col:
             if t in _REGISTRY and _REGISTRY[t][1]:
                 out = out.withColumn(t, resolve_urls(F.col(url_col), F.col(t)))
     return out
-
-
-def page_snapshot_from_pages(pages: DataFrame) -> DataFrame:
-    """The driver's ``pages(page_id, url, html)`` as a fetched snapshot: all 200."""
-    return pages.select("page_id", "url", F.lit(200).alias("http_status"), F.col("html").alias("body"))
-
-
-def collapse_ws(c: Column) -> Column:
-    """Split on white space and join with one space (leading/trailing space goes)."""
-    return F.trim(F.regexp_replace(c, r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " "))

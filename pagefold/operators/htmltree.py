@@ -361,17 +361,22 @@ class _Builder(HTMLParser):
     def unknown_decl(self, data):
         pass
 
+    def parse_marked_section(self, i, report=1):
+        """``<![...`` in a page is a comment up to the next ``>``, whatever it says."""
+        end = self.rawdata.find(">", i + 3)
+        if end < 0:
+            return -1
+        self.handle_comment(self.rawdata[i + 2:end])
+        return end + 1
+
     def handle_pi(self, data):
         pass
 
 
 def parse(html_text: str) -> Node:
     b = _Builder()
-    try:
-        b.feed(html_text or "")
-        b.close()
-    except Exception:  # malformed markup never fails the page
-        pass
+    b.feed(html_text or "")
+    b.close()
     b._ensure_body()
     return b.doc
 

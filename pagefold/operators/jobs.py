@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagefold.functions.ranking import carry
+from pagefold.functions.ranking import carry, row_number_in_key
 from pagefold.functions.validate import JOB_STATUSES, deterministic_uuid, with_defaults
 
 # ---- fixed values: statuses, messages and the error classes of a failed scrape ------------
@@ -217,10 +217,6 @@ def job_response(jobs: DataFrame) -> DataFrame:
         F.when(st == "failed", F.col("error_msg")).alias("error"))
 
 
-def job_summary(jobs: DataFrame) -> DataFrame:
-    return jobs.select("job_id", "url", "status", "created_at", "updated_at")
-
-
 # ---- retries --------------------------------------------------------------------------------
 def retry_schedule(jobs: DataFrame, max_retries: Column) -> DataFrame:
     """One row per attempt (F22): attempt k>=1 waits 100*2^(k-1) ms first;
@@ -233,6 +229,16 @@ def retry_schedule(jobs: DataFrame, max_retries: Column) -> DataFrame:
         .otherwise(F.expr("shiftleft(CAST(100 AS BIGINT), attempt - 1)")))
 
 
+def numbered_attempts(log: DataFrame, max_retries: Column) -> DataFrame:
+    """Attempts table of a job log: every finish of a job is one attempt, numbered from 0 in two levels, so that a
+    job with a third of all events is spread over tasks."""
+    done = log.where(F.col("job_id").isNotNull() & F.col("op").isin("complete", "fail")) \
+        .withColumn("_chunk", F.floor(F.unix_seconds("ts") / CHUNK_SECONDS))
+    att = row_number_in_key(done, "job_id", ["ts", "event_id"], "_chunk", "_n")
+    return att.select("job_id", (F.col("_n") - 1).alias("attempt"), (F.col("op") == "complete").alias("ok"),
+                      "error_type", "http_status", max_retries.alias("max_retries"))
+
+
 def attempt_outcome(attempts: DataFrame, key: str = "job_id") -> DataFrame:
     """Fold an attempts table (F23/F24): the first success within max_retries wins,
     else the last attempt; ``retries_flag`` is 0 on success and 1 on failure, and

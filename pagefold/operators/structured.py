@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 # ---- fixed values: limits, system message, response-format names and error texts ----------
 MAX_MARKDOWN_BYTES = 100_000
 MAX_PROMPT_BYTES = 4_000
+WHITE_SPACE = ("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000")
 SYSTEM_MESSAGE = "Extract structured data from the markdown. Reply with JSON only."
 PROMPT_SEPARATOR = "\n\n---\n\n"
 SCHEMA_NAME = "extract"
@@ -31,16 +33,21 @@ REASON_NO_MARKDOWN = "job has no markdown; scrape with extract markdown first"
 
 
 def cut_bytes(text: Column, n: int) -> Column:
-    """First ``n`` UTF-8 bytes; a character split by the cut is replaced."""
-    b = F.encode(text, "UTF-8")
-    return F.when(F.octet_length(b) <= n, text).otherwise(F.decode(F.substring(b, 1, n), "UTF-8"))
+    """First ``n`` UTF-8 bytes; what the cut leaves of a character is replaced."""
+    cut = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, n).cast("string"))
+    return F.when(F.octet_length(text) <= n, text).otherwise(cut)
+
+
+def trim_space(c: Column) -> Column:
+    """Without leading and trailing white space of any kind."""
+    return F.trim(c, F.lit(WHITE_SPACE))
 
 
 def eligibility(req: DataFrame) -> DataFrame:
     """Add ``reject_reason`` to (job_id, status, markdown, n_pages, schema, prompt).
     Order: schema/prompt present, prompt size, job completed, markdown present."""
     has_schema = F.coalesce(F.length(F.col("schema")) > 0, F.lit(False))
-    blank_prompt = F.coalesce(F.trim(F.col("prompt")) == "", F.lit(True))
+    blank_prompt = F.coalesce(trim_space(F.col("prompt")) == "", F.lit(True))
     reason = F.when(~has_schema & blank_prompt, F.lit(REASON_NEED_INPUT)) \
         .when(F.coalesce(F.octet_length("prompt"), F.lit(0)) > MAX_PROMPT_BYTES, F.lit(REASON_PROMPT_LONG)) \
         .when(F.col("status") != "completed", F.lit(REASON_NOT_COMPLETED)) \
@@ -49,18 +56,21 @@ def eligibility(req: DataFrame) -> DataFrame:
     return req.withColumn("reject_reason", reason)
 
 
-def build_requests(pages: DataFrame, model: str = "model") -> DataFrame:
-    """one chat request per (job_id, url) with markdown, schema, prompt.
+def build_requests(pages: DataFrame, model: str = "model", max_markdown_bytes: int | None = None) -> DataFrame:
+    """one chat request per row of ``pages`` with job_id, url, markdown, schema, prompt; all its columns stay.
 
-    Markdown is cut to 100 000 bytes; the user message is the prompt, a separator
+    With ``max_markdown_bytes`` longer markdown is cut there (MAX_MARKDOWN_BYTES is the reference's limit) and
+    ``truncated`` says so; by default nothing is cut. The user message is the prompt, a separator
     and the markdown (just the markdown without a prompt); the response format is
     a named JSON schema when a schema is given, else a JSON object."""
-    md = cut_bytes(F.coalesce(F.col("markdown"), F.lit("")), MAX_MARKDOWN_BYTES)
+    md = F.coalesce(F.col("markdown"), F.lit(""))
+    truncated = F.lit(False) if max_markdown_bytes is None else F.octet_length(md) > max_markdown_bytes
+    md = md if max_markdown_bytes is None else cut_bytes(md, max_markdown_bytes)
     has_prompt = F.coalesce(F.col("prompt") != "", F.lit(False))
     user = F.when(has_prompt, F.concat(F.col("prompt"), F.lit(PROMPT_SEPARATOR), md)).otherwise(md)
     has_schema = F.coalesce(F.length(F.col("schema")) > 0, F.lit(False))
     fmt = F.when(has_schema, F.lit("json_schema")).otherwise(F.lit("json_object"))
-    x = pages.select("job_id", "url", user.alias("user"), fmt.alias("response_format"), "schema")
+    x = pages.withColumns({"user": user, "response_format": fmt, "truncated": truncated})
     body = F.to_json(F.struct(
         F.lit(model).alias("model"),
         F.array(F.struct(F.lit("system").alias("role"), F.lit(SYSTEM_MESSAGE).alias("content")),
@@ -80,7 +90,7 @@ def parse_responses(resp: DataFrame) -> DataFrame:
     """(job_id, url, body) -> extracted JSON text or an error, in the reference's
     order: body not JSON, error field, no choices, content not JSON."""
     parsed = F.from_json(F.col("body"), _RESP_SCHEMA)
-    content = F.trim(F.try_element_at(parsed["choices"], F.lit(1))["message"]["content"])
+    content = trim_space(F.try_element_at(parsed["choices"], F.lit(1))["message"]["content"])
     body_ok = F.try_parse_json(F.col("body")).isNotNull()
     err = F.when(~body_ok, F.lit(ERR_INVALID)) \
         .when(F.try_variant_get(F.try_parse_json(F.col("body")), "$.error", "string").isNotNull(), F.lit(ERR_LLM)) \

@@ -124,3 +124,77 @@ def q_map_bfs(spark, sf):
     m = C.map_bfs(_seeds(snap, "max_urls", MAP_URLS, MAP_DEPTH), snap)
     return m.select(F.col("crawl_id").cast("bigint"), F.col("rank").cast("bigint"), "url",
                     F.col("depth").cast("bigint"))
+
+
+def _jobs(snap, kind, **options):
+    """One accepted job per snapshot page; every 50th seed is not a URL that parses."""
+    url = F.when(F.col("page_id") % 50 == 7, F.lit("http://bad host/")).otherwise(F.col("url"))
+    opts = F.struct(*[F.lit(v).cast("int").alias(k) for k, v in options.items()])
+    return snap.select(F.col("page_id").alias("job_id"), url.alias("url"), F.array(F.lit("links")).alias("extract"),
+                       opts.alias("options"))
+
+
+_BROKEN = "crawl_id % 50 = 7"
+_JOB_COLUMNS = f"""CAST(crawl_id AS BIGINT) AS job_id, CASE WHEN {_BROKEN} THEN 'failed' ELSE 'completed' END AS status,
+       CASE WHEN {_BROKEN} THEN 'invalid_url' END AS error_type,
+       CASE WHEN {_BROKEN} THEN 'invalid URL: must be http:// or https://: http://bad host/' END AS error_msg,
+       CAST(CASE WHEN {_BROKEN} THEN 1 ELSE 0 END AS BIGINT) AS retries_used"""
+
+
+def _unless_broken(sql: str, alias: str) -> str:
+    return f"CASE WHEN NOT {_BROKEN} THEN {sql} END AS {alias}"
+
+
+@query("crawl_job_results", oracle=bfs_sql(CRAWL_PAGES, CRAWL_DEPTH) + f"""
+SELECT {_JOB_COLUMNS}, {_unless_broken("CAST(arg_min(CASE WHEN ok THEN 200 ELSE 0 END, rank) AS BIGINT)", "http_status")},
+       {_unless_broken("CAST(count(*) AS BIGINT)", "pages_crawled")},
+       {_unless_broken("CAST(count(*) FILTER (WHERE NOT ok) AS BIGINT)", "pages_skipped")},
+       {_unless_broken("string_agg(url, ' ' ORDER BY rank)", "page_urls")}
+FROM allf WHERE rank < 10 GROUP BY crawl_id
+""")
+def q_crawl_job_results(spark, sf):
+    snap = site_snapshot(pages(spark, sf))
+    r = C.crawl_job_results(_jobs(snap, "crawl", max_pages=CRAWL_PAGES, max_depth=CRAWL_DEPTH), snap)
+    return r.select(F.col("job_id").cast("bigint"), "status", "error_type", "error_msg",
+                    F.col("retries_used").cast("bigint"), F.col("http_status").cast("bigint"),
+                    F.col("result.pages_crawled").cast("bigint").alias("pages_crawled"),
+                    F.col("result.pages_skipped").cast("bigint").alias("pages_skipped"),
+                    F.array_join(F.col("result.pages.url"), " ").alias("page_urls"))
+
+
+@query("map_job_results", oracle=bfs_sql(MAP_URLS, MAP_DEPTH) + f"""
+SELECT {_JOB_COLUMNS}, {_unless_broken("CAST(200 AS BIGINT)", "http_status")},
+       {_unless_broken("string_agg(url, ' ' ORDER BY rank)", "urls")}
+FROM allf WHERE rank < 50 GROUP BY crawl_id
+""")
+def q_map_job_results(spark, sf):
+    snap = site_snapshot(pages(spark, sf))
+    r = C.map_job_results(_jobs(snap, "map", max_urls=MAP_URLS, max_depth=MAP_DEPTH), snap)
+    return r.select(F.col("job_id").cast("bigint"), "status", "error_type", "error_msg",
+                    F.col("retries_used").cast("bigint"), F.col("http_status").cast("bigint"),
+                    F.array_join(F.col("result.urls"), " ").alias("urls"))
+
+
+CHAIN_DEPTH = 9
+
+
+@query("crawl_depth", oracle=bfs_sql(100, CHAIN_DEPTH) + """
+SELECT CAST(crawl_id AS BIGINT) AS crawl_id, CAST(rank AS BIGINT) AS rank, url, CAST(depth AS BIGINT) AS depth, ok
+FROM allf WHERE rank < 100
+""")
+def q_crawl_depth(spark, sf):
+    # deeper than the request layer's own limit of five: the crawl goes on until its frontier is empty
+    snap = site_snapshot(pages(spark, sf))
+    cp = C.crawl_bfs(_seeds(snap, "max_pages", 100, CHAIN_DEPTH), snap)
+    return cp.select(F.col("crawl_id").cast("bigint"), F.col("rank").cast("bigint"), "url",
+                     F.col("depth").cast("bigint"), "ok")
+
+
+@query("map_cancelled", oracle=bfs_sql(MAP_URLS, 0) + """
+SELECT CAST(crawl_id AS BIGINT) AS crawl_id, CAST(rank AS BIGINT) AS rank, url FROM allf
+""")
+def q_map_cancelled(spark, sf):
+    # every map is cancelled before its first fetch: what is known by then, the seed, stays listed
+    snap = site_snapshot(pages(spark, sf))
+    m = C.map_bfs(_seeds(snap, "max_urls", MAP_URLS, MAP_DEPTH), snap, active=snap.where("false").select(F.col("page_id").alias("crawl_id")))
+    return m.select(F.col("crawl_id").cast("bigint"), F.col("rank").cast("bigint"), "url")

@@ -168,9 +168,14 @@ def q_retry_schedule(spark, sf):
                     F.col("attempt").cast("bigint").alias("attempt"), F.col("backoff_ms").cast("bigint"))
 
 
+def _attempts(spark, sf):
+    """Attempts of every job: its finishes in order; the job's own option, derived from its id, limits them."""
+    return J.numbered_attempts(J.job_log_from_events(events(spark, sf)), 1 + F.col("job_id") % 5)
+
+
 @query("attempt_outcome", oracle="WITH " + JOB_LOG_SQL + """,
 a AS (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) - 1 AS attempt, op = 'complete' AS ok,
-             error_type, http_status, 3 AS max_retries
+             error_type, http_status, 1 + job_id % 5 AS max_retries
       FROM l WHERE job_id IS NOT NULL AND op IN ('complete', 'fail')),
 b AS (SELECT * FROM a WHERE attempt < max_retries),
 g AS (SELECT job_id, min(attempt) FILTER (WHERE ok) AS first_ok, max(attempt) AS last_attempt,
@@ -184,13 +189,7 @@ SELECT CAST(job_id AS BIGINT) AS job_id, first_ok IS NOT NULL AS succeeded,
 FROM g
 """)
 def q_attempt_outcome(spark, sf):
-    from pyspark.sql import Window
-    log = J.job_log_from_events(events(spark, sf)).where(
-        F.col("job_id").isNotNull() & F.col("op").isin("complete", "fail"))
-    w = Window.partitionBy("job_id").orderBy("ts", "event_id")
-    att = log.select("job_id", (F.row_number().over(w) - 1).alias("attempt"), (F.col("op") == "complete").alias("ok"),
-                     "error_type", "http_status", F.lit(3).alias("max_retries"))
-    o = J.attempt_outcome(att)
+    o = J.attempt_outcome(_attempts(spark, sf))
     return o.select(F.col("job_id").cast("bigint").alias("job_id"), "succeeded",
                     F.col("attempts_used").cast("bigint").alias("attempts_used"),
                     F.col("retries_flag").cast("bigint").alias("retries_flag"), "error_type",
@@ -223,18 +222,12 @@ def q_job_queue_delay(spark, sf):
 @query("metrics_retries_total", oracle="WITH " + JOB_LOG_SQL + """,
 a AS (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) - 1 AS attempt, op = 'complete' AS ok
       FROM l WHERE job_id IS NOT NULL AND op IN ('complete', 'fail')),
-g AS (SELECT job_id, min(attempt) FILTER (WHERE ok AND attempt < 3) AS first_ok,
-             max(attempt) FILTER (WHERE attempt < 3) AS last_attempt FROM a GROUP BY job_id),
+g AS (SELECT job_id, min(attempt) FILTER (WHERE ok AND attempt < 1 + job_id % 5) AS first_ok,
+             max(attempt) FILTER (WHERE attempt < 1 + job_id % 5) AS last_attempt FROM a GROUP BY job_id),
 u AS (SELECT CASE WHEN first_ok IS NOT NULL THEN first_ok + 1 ELSE last_attempt + 1 END AS attempts_used FROM g)
 SELECT CAST(0 AS BIGINT) AS declared_total, CAST(coalesce(sum(greatest(attempts_used - 1, 0)), 0) AS BIGINT) AS derived_total
 FROM u
 """)
 def q_metrics_retries_total(spark, sf):
-    from pyspark.sql import Window
     from pagefold.operators.metrics import retries_total
-    log = J.job_log_from_events(events(spark, sf)).where(
-        F.col("job_id").isNotNull() & F.col("op").isin("complete", "fail"))
-    w = Window.partitionBy("job_id").orderBy("ts", "event_id")
-    att = log.select("job_id", (F.row_number().over(w) - 1).alias("attempt"), (F.col("op") == "complete").alias("ok"),
-                     "error_type", "http_status", F.lit(3).alias("max_retries"))
-    return retries_total(J.attempt_outcome(att))
+    return retries_total(J.attempt_outcome(_attempts(spark, sf)))

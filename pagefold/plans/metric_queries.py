@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagefold.operators import jobs as J
+from pagefold.functions.ranking import exact_percentiles
 from pagefold.operators import metrics as M
 from pagefold.plans.catalog import query
 from pagefold.plans.job_queries import FOLD_SQL, JOB_LOG_SQL
@@ -92,10 +93,9 @@ def q_metrics_quantiles(spark, sf):
     b = M.histogram_quantile(M.duration_histogram(log, MS_BUCKETS)).withColumnRenamed(
         "histogram_quantile", "histogram_quantile_ms")
     done = log.where(F.col("op") == "complete")
-    ex = done.agg(*[F.percentile("duration_ms", q).alias(f"p{i}") for i, q in enumerate((0.5, 0.95, 0.99))])
-    exl = ex.select(F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"p{i}").alias("exact_ms"))
-                                        for i, q in enumerate((0.5, 0.95, 0.99))])).alias("x")).select("x.*")
-    out = a.join(b, "q").join(exl, "q")
+    qs = (0.5, 0.95, 0.99)
+    exact = dict(zip(qs, exact_percentiles(done, "duration_ms", qs)))
+    out = a.join(b, "q").withColumn("exact_ms", F.create_map(*[F.lit(x).cast("double") for kv in exact.items() for x in kv])[F.col("q")])
     return out.select("q", _r(F.col("histogram_quantile")).alias("histogram_quantile"),
                       _r(F.col("histogram_quantile_ms")).alias("histogram_quantile_ms"),
                       _r(F.col("exact_ms")).alias("exact_ms"))

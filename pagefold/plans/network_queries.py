@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagefold.functions.netaddr import PRIVATE_V4, PRIVATE_V6_LOOPBACK, _block, is_private_ip
+from pagefold.functions.netaddr import is_private_ip
 from pagefold.functions.validate import with_defaults
 from pagefold.operators import fetch as X
 from pagefold.operators.jobs import job_meta
@@ -23,14 +23,12 @@ def _duck(sql: str) -> str:
 
 
 def _private_sql(ip: str) -> str:
-    v4 = (f"CASE WHEN regexp_matches({ip}, '(?i)^(::ffff:|(0{{1,4}}:){{5}}ffff:)[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}$') "
-          f"THEN regexp_extract({ip}, '([0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}})$', 1) ELSE {ip} END")
-    o = [f"TRY_CAST(split_part({v4}, '.', {i}) AS BIGINT)" for i in range(1, 5)]
-    n = f"({o[0]} * 16777216 + {o[1]} * 65536 + {o[2]} * 256 + {o[3]})"
-    ok = f"regexp_full_match({v4}, '[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}') AND greatest({', '.join(o)}) <= 255"
-    rng = " OR ".join(f"{n} BETWEEN {lo} AND {hi}" for lo, hi in (_block(c) for c in PRIVATE_V4))
-    v6 = ", ".join(f"'{x}'" for x in PRIVATE_V6_LOOPBACK)
-    return f"(coalesce(({ok}) AND ({rng}), false) OR lower({ip}) IN ({v6}))"
+    """The private blocks as rules on text: leading octets, and the spellings of IPv6 that the table holds."""
+    v4 = f"regexp_replace(lower({ip}), '^::ffff:([0-9]+[.])', '\\1')"
+    return (f"(regexp_matches({v4}, '^(127|10)[.][0-9]+[.][0-9]+[.][0-9]+$') "
+            f"OR regexp_matches({v4}, '^(192[.]168|169[.]254)[.][0-9]+[.][0-9]+$') "
+            f"OR regexp_matches({v4}, '^172[.](1[6-9]|2[0-9]|3[01])[.][0-9]+[.][0-9]+$') "
+            f"OR lower({ip}) IN ('::1', '0::1', '::ffff:7f00:1', '0:0:0:0:0:ffff:0a00:0001'))")
 
 
 DNS_VERDICT_SQL = f"""

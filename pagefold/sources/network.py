@@ -23,6 +23,11 @@ SELECT host, ord, CASE
     WHEN x % 53 = 1 THEN '::ffff:10.1.2.3'
     WHEN x % 59 = 9 THEN 'fe80::1'
     WHEN x % 61 = 10 THEN '0.0.0.0'
+    WHEN x % 67 = 11 THEN '0:0:0:0:0:FFFF:0a00:0001'
+    WHEN x % 71 = 12 THEN '::ffff:7f00:1'
+    WHEN x % 73 = 13 THEN '0::1'
+    WHEN x % 79 = 14 THEN '2001:db8::10.0.0.1'
+    WHEN x % 83 = 15 THEN '::ffff:93.1.2.3'
     ELSE '93.' || CAST(x % 200 + 10 AS STRING) || '.' || CAST(x % 251 AS STRING) || '.' || CAST(x % 241 + 1 AS STRING)
   END AS ip
 FROM (SELECT host, lo + k AS x, k AS ord

@@ -2,24 +2,18 @@
 
 Sources are file streams (new files in a folder are new micro-batches); sinks are
 ``foreachBatch`` writers so each micro-batch can run the batch operators unchanged
-and write several tables at once. Keyed state uses ``applyInPandasWithState`` (the
-state server variant opens extra ports, so it is avoided).
+and write several tables at once. Keyed state is a mergeable aggregate.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagefold.functions.validate import validate
 from pagefold.operators import metrics as M
-from pagefold.operators.jobs import accept_requests
-from pagefold.operators.ratelimit import HOST_BURST, HOST_RATE, IP_BURST, IP_RATE, IP_RESET_US
+from pagefold.operators.jobs import accept_requests, fold_jobs
 from pagefold.sources.requests import parse_requests
 
 REQUEST_FILE_SCHEMA = T.StructType([
@@ -57,72 +51,41 @@ def intake_writer(out_folder: str):
     return write
 
 
-# ---- T2: scrape worker ----------------------------------------------------------------------
+# ---- T2: worker -----------------------------------------------------------------------------
+RESULT_COLUMNS = ("job_id", "kind", "status", "error_type", "error_msg", "http_status", "retries_used", "result_json")
+
+
 def worker_writer(out_folder: str, snapshot: DataFrame, dns: DataFrame, redirects: DataFrame):
-    """foreachBatch sink running queued scrape jobs against the snapshot tables."""
+    """foreachBatch sink running queued jobs of every kind against the snapshot tables."""
+    from pagefold.operators.crawl import crawl_job_results, map_job_results, snapshot_edges
     from pagefold.operators.fetch import scrape_jobs
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        res = scrape_jobs(batch.where(F.col("kind") == "scrape"), snapshot, dns, redirects)
-        res.select("job_id", "status", "error_type", "error_msg", "http_status", "retries_used",
-                   F.to_json("result").alias("result_json")) \
-            .write.mode("overwrite").parquet(f"{out_folder}/results/batch_id={batch_id}")
+        batch = batch.persist()
+        of = lambda kind: batch.where(F.col("kind") == kind)
+        done = [(scrape_jobs(of("scrape"), snapshot, dns, redirects), "scrape")]
+        if not batch.where(F.col("kind").isin("crawl", "map")).isEmpty():
+            edges = snapshot_edges(snapshot)
+            done += [(crawl_job_results(of("crawl"), snapshot, edges), "crawl"),
+                     (map_job_results(of("map"), snapshot, edges), "map")]
+        rows = None
+        for frame, kind in done:
+            frame = frame.withColumns({"kind": F.lit(kind), "result_json": F.to_json("result")}).select(*RESULT_COLUMNS)
+            rows = frame if rows is None else rows.unionByName(frame)
+        rows.write.mode("overwrite").parquet(f"{out_folder}/results/batch_id={batch_id}")
+        batch.unpersist()
     return write
 
 
 # ---- T3: job state machine ------------------------------------------------------------------
-JOB_STATE_SCHEMA = T.StructType([
-    T.StructField("status", T.StringType()), T.StructField("error_msg", T.StringType()),
-    T.StructField("http_status", T.IntegerType()), T.StructField("duration_ms", T.LongType()),
-    T.StructField("retries_used", T.IntegerType()), T.StructField("created_at", T.TimestampType()),
-    T.StructField("updated_at", T.TimestampType()), T.StructField("completed_at", T.TimestampType())])
-JOB_OUT_SCHEMA = T.StructType([T.StructField("job_id", T.LongType())] + JOB_STATE_SCHEMA.fields)
-
-
-def _apply_event(st: dict, ev) -> None:
-    op = ev.op
-    if op == "create":
-        if st["status"] is None:
-            st.update(status="queued", created_at=ev.ts, updated_at=ev.ts, retries_used=0)
-        return
-    if st["status"] is None:          # job not found
-        return
-    if op == "claim":
-        if st["status"] == "queued":
-            st.update(status="processing", updated_at=ev.ts)
-    elif op == "cancel":
-        if st["status"] == "queued":
-            st.update(status="failed", error_msg="cancelled", updated_at=ev.ts)
-    elif op in ("complete", "fail"):
-        st["status"] = "completed" if op == "complete" else "failed"
-        if ev.error_msg is not None and not pd.isna(ev.error_msg):
-            st["error_msg"] = ev.error_msg
-        if ev.http_status is not None and not pd.isna(ev.http_status):
-            st["http_status"] = int(ev.http_status)
-        if ev.duration_ms is not None and not pd.isna(ev.duration_ms):
-            st["duration_ms"] = int(ev.duration_ms)
-        st["retries_used"] = int(ev.retries)
-        st["completed_at"] = ev.ts
-        st["updated_at"] = ev.ts
-
-
-def job_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold the new events of one job (ordered by ts, event_id) into its state."""
-    names = [f.name for f in JOB_STATE_SCHEMA.fields]
-    st = dict(zip(names, state.get)) if state.exists else {n: None for n in names}
-    events = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-    for ev in events.itertuples(index=False):
-        _apply_event(st, ev)
-    if st["status"] is None:
-        return
-    state.update(tuple(st[n] for n in names))
-    yield pd.DataFrame([{"job_id": key[0], **st}])
-
-
 def job_state_stream(log_stream: DataFrame) -> DataFrame:
-    """Current state of every job touched by a micro-batch (update mode)."""
-    return log_stream.where(F.col("job_id").isNotNull()).groupBy("job_id").applyInPandasWithState(
-        job_state_fn, JOB_OUT_SCHEMA, JOB_STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
+    """Current state of every job touched by a micro-batch (update mode).
+
+    The state is the batch fold itself, one mergeable aggregate per job: its parts are earliest and latest events by
+    event time, so events may come in any order and over any micro-batches, also before their job's ``create`` -
+    they wait in the aggregate, and the job shows up once it is created. A job's state is one row, whatever the
+    number of its events; a job with many events is pre-aggregated before the shuffle."""
+    return fold_jobs(log_stream).where(F.col("created_at").isNotNull())
 
 
 def stuck_jobs(jobs: DataFrame, now_col, minutes: int = 10) -> DataFrame:
@@ -131,77 +94,15 @@ def stuck_jobs(jobs: DataFrame, now_col, minutes: int = 10) -> DataFrame:
                       (F.col("updated_at") < now_col - F.make_dt_interval(mins=F.lit(minutes))))
 
 
-# ---- T4 / T5: limiters with keyed state ------------------------------------------------------
-IP_OUT = T.StructType([T.StructField("key", T.StringType()), T.StructField("event_id", T.LongType()),
-                       T.StructField("arrival_us", T.LongType()), T.StructField("admitted", T.BooleanType())])
-IP_STATE = T.StructType([T.StructField("epoch", T.LongType()), T.StructField("tat", T.LongType())])
-
-
-def _ip_fn(rate: float, burst: int, reset_us: int):
-    t = int(round(1_000_000 / rate))
-    tau = (burst - 1) * t
-
-    def fn(key, pdfs, state: GroupState):
-        epoch, tat = state.get if state.exists else (None, None)
-        ev = pd.concat(list(pdfs)).sort_values(["arrival_us", "event_id"])
-        out = []
-        for a, eid in zip(ev["arrival_us"].tolist(), ev["event_id"].tolist()):
-            e = a // reset_us
-            if e != epoch:
-                epoch, tat = e, None
-            ok = tat is None or a >= tat - tau
-            if ok:
-                tat = (a if tat is None else max(a, tat)) + t
-            out.append((key[0], eid, a, ok))
-        state.update((epoch, tat))
-        state.setTimeoutDuration(reset_us // 1000)
-        yield pd.DataFrame(out, columns=["key", "event_id", "arrival_us", "admitted"])
-    return fn
-
-
-def ip_limit_stream(arrivals: DataFrame, rate=IP_RATE, burst=IP_BURST, reset_us=IP_RESET_US) -> DataFrame:
-    """T4: admit/deny per key; idle keys are dropped after the reset period."""
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return iter(())
-        return _ip_fn(rate, burst, reset_us)(key, pdfs, state)
-    return arrivals.groupBy("key").applyInPandasWithState(
-        fn, IP_OUT, IP_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-HOST_OUT = T.StructType([T.StructField("key", T.StringType()), T.StructField("event_id", T.LongType()),
-                         T.StructField("arrival_us", T.LongType()), T.StructField("start_us", T.LongType())])
-HOST_STATE = T.StructType([T.StructField("n", T.LongType()), T.StructField("m", T.LongType())])
-
-
-def host_limit_stream(arrivals: DataFrame, rate=HOST_RATE, burst=HOST_BURST) -> DataFrame:
-    """T5: per-host start times; the state is (requests so far, max of a_k - k*T)."""
-    t = int(round(1_000_000 / rate))
-    tau = (burst - 1) * t
-
-    def fn(key, pdfs, state: GroupState):
-        n, m = state.get if state.exists else (0, None)
-        ev = pd.concat(list(pdfs)).sort_values(["arrival_us", "event_id"])
-        out = []
-        for a, eid in zip(ev["arrival_us"].tolist(), ev["event_id"].tolist()):
-            start = a if m is None else max(a, n * t + m - tau)
-            out.append((key[0], eid, a, start))
-            m = a - n * t if m is None else max(m, a - n * t)
-            n += 1
-        state.update((n, m))
-        yield pd.DataFrame(out, columns=["key", "event_id", "arrival_us", "start_us"])
-    return arrivals.groupBy("key").applyInPandasWithState(
-        fn, HOST_OUT, HOST_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 # ---- T6 / T7: counters and de-duplication ------------------------------------------------------
 def jobs_total_stream(log_stream: DataFrame, watermark: str = "10 minutes", window: str = "1 minute") -> DataFrame:
-    """scraper_jobs_total increments per event-time window (append mode emits a
-    window once the watermark passes it)."""
+    """scraper_jobs_total increments and rate per second of each event-time window
+    (append mode emits a window once the watermark passes it)."""
     s = log_stream.select("ts", M._status_of_op().alias("status")).where(F.col("status").isNotNull())
-    return s.withWatermark("ts", watermark).groupBy(F.window("ts", window).alias("w"), "status") \
+    counted = s.withWatermark("ts", watermark).groupBy(F.window("ts", window).alias("w"), "status") \
         .agg(F.count(F.lit(1)).alias("total"))
+    seconds = (F.unix_micros("w.end") - F.unix_micros("w.start")) / 1e6
+    return counted.withColumn("rate", F.col("total") / seconds)
 
 
 def dedupe_deliveries(queue_stream: DataFrame, watermark: str = "10 minutes") -> DataFrame:

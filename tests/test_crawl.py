@@ -107,3 +107,23 @@ def test_rollup(spark):
     cp = C.crawl_bfs(_seeds(spark, ["https://ex.com/"]), _snapshot(spark, g))
     r = C.crawl_rollup(cp).collect()[0]
     assert (r["pages_crawled"], r["pages_skipped"], r["http_status"]) == (3, 1, 200)
+
+
+def test_depth_beyond_five_and_default_depths(spark):
+    chain = {f"https://ex.com/{i}": [f"https://ex.com/{i + 1}"] for i in range(12)}
+    snap = _snapshot(spark, chain)
+    for depth, pages in ((9, 10), (5, 6), (0, 1), (None, 1), (-1, 3)):
+        got = C.crawl_bfs(_seeds(spark, ["https://ex.com/0"], budget=100, depth=depth), snap).collect()
+        assert len(got) == pages, depth
+    assert C.map_bfs(_seeds(spark, ["https://ex.com/0"], "max_urls", 100, 9), snap).count() == 10
+
+
+def test_seed_that_does_not_parse_is_a_failed_row(spark):
+    snap = _snapshot(spark, DEPTH)
+    seeds = _seeds(spark, ["https://ex.com/", "http://bad host/", None])
+    pages = C.crawl_bfs(seeds, snap)
+    bad = pages.where("error IS NOT NULL").collect()
+    assert {(r["crawl_id"], r["url"], r["ok"]) for r in bad} == {(1, "http://bad host/", False), (2, None, False)}
+    roll = {r["crawl_id"]: r for r in C.crawl_rollup(pages).collect()}
+    assert roll[0]["pages_crawled"] == 3 and roll[1]["pages_crawled"] == 0 and roll[1]["error"] == "invalid_url"
+    assert C.map_bfs(_seeds(spark, ["http://bad host/"], "max_urls"), snap).first()["error"] == "invalid_url"

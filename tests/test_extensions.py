@@ -1,5 +1,5 @@
 """Extension points and remaining operators: images type (U1), job-id validity (P12),
-mid-crawl cancellation (T8), crawl rate stage (U4), stuck jobs (T9), worker sink (T2)."""
+mid-crawl cancellation (T8), stuck jobs (T9), worker sink (T2)."""
 import os
 from datetime import datetime, timedelta
 
@@ -41,12 +41,25 @@ def test_cancel_between_levels(spark):
     assert {r["crawl_id"] for r in got} == {1} and len(got) == 2
 
 
-def test_crawl_fetch_schedule(spark):
-    g = {"https://ex.com/": ["https://ex.com/a", "https://ex.com/b", "https://ex.com/c"]}
-    seeds = _seeds(spark, ["https://ex.com/"])
-    cp = C.crawl_bfs(seeds, _snapshot(spark, g))
-    s = sorted(C.crawl_fetch_schedule(cp, seeds).collect(), key=lambda r: r["rank"])
-    assert [r["fetch_start_us"] for r in s] == [0, 0, 500_000, 1_000_000]
+def test_cancelled_map_keeps_what_it_found(spark):
+    g = {"https://ex.com/": ["https://ex.com/a"], "https://ex.com/a": []}
+    seeds = _seeds(spark, ["https://ex.com/"], "max_urls")
+    none = spark.createDataFrame([], "crawl_id long")
+    assert [r["url"] for r in C.map_bfs(seeds, _snapshot(spark, g), active=none).collect()] == ["https://ex.com/"]
+
+
+def test_crawl_finishing_between_levels_keeps_its_pages(spark, scratch):
+    g = {"https://ex.com/": ["https://ex.com/a"], "https://ex.com/a": []}
+    path = os.path.join(scratch, "active")
+    spark.createDataFrame([(0,)], "crawl_id long").write.parquet(path)
+    seen = []
+
+    class Table:  # the live table: crawl 0 is gone when the second level asks
+        def select(self, *cols):
+            seen.append(1)
+            return spark.read.parquet(path).where(F.lit(len(seen) == 1)).select(*cols)
+    pages = C.crawl_bfs(_seeds(spark, ["https://ex.com/"]), _snapshot(spark, g), active=Table())
+    assert [r["url"] for r in pages.collect()] == ["https://ex.com/"] and len(seen) == 2
 
 
 def test_stuck_jobs(spark):
@@ -63,7 +76,10 @@ def test_worker_sink(spark, scratch):
     dns = spark.createDataFrame([("ex.com", 0, "93.1.2.3")], "host string, ord int, ip string")
     red = spark.createDataFrame([], "url string, http_status int, location string")
     jobs = spark.createDataFrame([("j1", "scrape", "https://ex.com/", ["links"], None),
-                                  ("j2", "scrape", "https://nodns.com/", [], None)],
+                                  ("j2", "scrape", "https://nodns.com/", [], None),
+                                  ("j3", "crawl", "https://ex.com/", ["links"], (None, None, None, 5, 1, None, None)),
+                                  ("j4", "map", "https://ex.com/", ["links"], (None, None, None, None, 1, 9, None)),
+                                  ("j5", "crawl", "http://bad host/", ["links"], None)],
                                  "job_id string, kind string, url string, extract array<string>, "
                                  "options struct<timeout_seconds:int,max_retries:int,follow_redirects:boolean,"
                                  "max_pages:int,max_depth:int,max_urls:int,render_js:boolean>")
@@ -71,4 +87,7 @@ def test_worker_sink(spark, scratch):
     P.worker_writer(out, snap, dns, red)(jobs, 0)
     rows = {r["job_id"]: r for r in spark.read.parquet(os.path.join(out, "results")).collect()}
     assert rows["j1"]["status"] == "completed" and '"links":["https://ex.com/x"]' in rows["j1"]["result_json"]
+    assert len(rows) == 5 and rows["j5"]["error_type"] == "invalid_url" and rows["j5"]["status"] == "failed"
+    assert '"urls":["https://ex.com/","https://ex.com/x"]' in rows["j4"]["result_json"] and rows["j4"]["http_status"] == 200
+    assert '"pages_crawled":2,"pages_skipped":1' in rows["j3"]["result_json"]
     assert rows["j2"]["status"] == "failed" and rows["j2"]["error_type"] == "dns" and rows["j2"]["retries_used"] == 1

@@ -71,3 +71,17 @@ def test_per_row_types(spark):
                                                    types_col="extract").collect()}
     assert out[1]["headers"][0] == "Main Title" and out[1]["links"] is None
     assert len(out[2]["links"]) == 4 and out[2]["headers"] is None
+
+
+def test_malformed_declarations_lose_nothing():
+    for odd in ("<![foo[bar]]>", "<![ x ]>", "<!x>", "<?php x ?>", "<![CDATA[a]]>"):
+        got = X.extract_one(f"<p>one</p>{odd}<p>two</p><a href='/x'>l</a>", ["paragraphs", "links"])
+        assert got["paragraphs"] == ["one", "two"] and got["links"] == ["/x"], odd
+
+
+def test_body_cut_is_a_parameter_with_a_flag():
+    body = "<p>" + "a" * 50 + "</p><p>tail</p>"
+    for b in (body, body.encode()):
+        assert X.extract_one(b, ["paragraphs"])["paragraphs"][-1] == "tail"
+        cut = X.extract_one(b, ["paragraphs"], max_body_bytes=20)
+        assert cut["truncated"] and cut["paragraphs"] == ["a" * 17]

@@ -8,11 +8,25 @@ from pyspark.sql import functions as F
 from pagefold.operators import jobs as J
 from pagefold.operators import ratelimit as R
 from pagefold.sources.tables import events
-from pagefold.streaming.pipelines import _apply_event
 
 from conftest import SF001
 
 
+def _apply_event(st, ev):
+    """One event of a job, in time order, on its state."""
+    if ev.op == "create":
+        if st["status"] is None:
+            st.update(status="queued", created_at=ev.ts, updated_at=ev.ts, retries_used=0)
+    elif ev.op == "claim" and st["status"] == "queued":
+        st.update(status="processing", updated_at=ev.ts)
+    elif ev.op == "cancel" and st["status"] == "queued":
+        st.update(status="failed", error_msg="cancelled", updated_at=ev.ts)
+    elif ev.op in ("complete", "fail"):
+        st.update(status="completed" if ev.op == "complete" else "failed", retries_used=ev.retries, completed_at=ev.ts,
+                  updated_at=ev.ts)
+        st.update({k: getattr(ev, k) for k in ("error_msg", "http_status", "duration_ms") if getattr(ev, k) is not None})
+
+
 def test_fold_matches_sequential(spark):
     log = J.job_log_from_events(events(spark, SF001))
     fold = {r["job_id"]: r for r in J.fold_jobs(log).collect()}
@@ -83,3 +97,27 @@ def test_ip_admission_matches_bucket(spark):
     got = [r["admitted"] for r in R.ip_admission(df, "key", "arrival_us", "seq", reset_us=10**15).orderBy("seq").collect()]
     exp = R.admission_pandas(pd.DataFrame({"arrival_us": [r[2] for r in rows]})).tolist()
     assert got == exp
+
+
+def test_attempt_numbers_and_percentiles_in_two_levels(spark):
+    import numpy as np
+    from pagefold.functions.ranking import exact_percentiles, global_row_number, row_number_in_key
+    rng = np.random.default_rng(4)
+    rows = [(int(i), int(k), int(t)) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 400), rng.permutation(400)))]
+    df = spark.createDataFrame(rows, "id long, k long, t long").withColumn("chunk", F.floor(F.col("t") / 50)).repartition(5)
+    got = {r["id"]: r["rn"] for r in row_number_in_key(df, "k", ["t"], "chunk").collect()}
+    for key in range(3):
+        order = [i for i, k, _ in sorted(rows, key=lambda r: r[2]) if k == key]
+        assert [got[i] for i in order] == list(range(1, len(order) + 1))
+    for parts in ("4", "8", "50"):
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            numbered = global_row_number(df, ["t"]).collect()
+            assert all(r["rn"] == r["t"] + 1 for r in numbered)
+            values = df.select(F.when(F.col("id") > 5, F.col("t") % 37).alias("v"))
+            want = np.percentile([t % 37 for i, _, t in rows if i > 5], [0, 50, 95, 99, 100])
+            assert np.allclose(exact_percentiles(values, "v", (0.0, 0.5, 0.95, 0.99, 1.0)), want)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert exact_percentiles(values.where("false"), "v", (0.5,)) == [None]
