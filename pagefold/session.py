@@ -26,6 +26,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
     "spark.python.worker.reuse": "true",
+    # checkpoint files go when the frame that reads them is collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # URL expressions are large trees; inferring IsNotNull constraints over them costs
     # seconds of planning per query and adds no filter the scan could use.
     "spark.sql.constraintPropagation.enabled": "false",
