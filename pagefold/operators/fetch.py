@@ -21,6 +21,7 @@ from pagefold.session import cut_lineage
 MAX_REQUESTS = 5          # a redirect is refused once 5 requests were made: at most 4 followed
 MSG_REQUEST_FAILED = "request failed"
 MSG_NO_ATTEMPTS = "no attempts"
+MSG_NO_BROWSER = "browser fetch unavailable: set CHROME_PATH or install Chromium; use compose profile browser"
 # ------------------------------------------------------------------------------------------------
 
 
@@ -111,24 +112,31 @@ def follow_redirects(df: DataFrame, redirects: DataFrame, verdict: DataFrame, *,
 
 def fetch(df: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Join the final URL to the snapshot (J1/S2): absent -> request failed with
-    status 0; non-2xx -> http_failed with the status kept (P9)."""
+    status 0; non-2xx -> http_failed with the status kept (P9). A snapshot may have an
+    ``error`` column for answers that did not come whole: ``timeout`` (status 0) or
+    ``parse_failure`` (status kept)."""
+    error = F.col("error") if "error" in snapshot.columns else F.lit(None).cast("string")
     snap = snapshot.select(F.col("url").alias("final_url"), F.col("http_status").alias("_st"),
-                           F.col("body"))
+                           error.alias("_err"), F.col("body"))
     x = df.join(snap, "final_url", "left")
     status = F.when(F.col("redirect_status").isNotNull(), F.col("redirect_status")) \
-        .when(F.col("redirect_error").isNotNull(), F.lit(0)).otherwise(F.coalesce(F.col("_st"), F.lit(0)))
+        .when(F.col("redirect_error").isNotNull() | (F.col("_err") == "timeout"), F.lit(0)) \
+        .otherwise(F.coalesce(F.col("_st"), F.lit(0)))
     err = F.when(F.col("redirect_error").isNotNull(), F.col("redirect_error")) \
         .when(F.col("redirect_status").isNotNull(), F.lit("http_failed")) \
         .when(F.col("_st").isNull(), F.lit("request_failed")) \
-        .when(~F.col("_st").between(200, 299), F.lit("http_failed"))
-    return x.withColumn("http_status", status.cast("int")).withColumn("fetch_error", err).drop("_st")
+        .when(F.col("_err") == "timeout", F.lit("timeout")) \
+        .when(~F.col("_st").between(200, 299), F.lit("http_failed")) \
+        .when(F.col("_err").isNotNull(), F.col("_err"))
+    return x.withColumn("http_status", status.cast("int")).withColumn("fetch_error", err).drop("_st", "_err")
 
 
 def error_message(error_type, http_status, url, blocked_ip):
     """Message text of a failed scrape."""
     msgs = F.create_map(*[x for kv in ERROR_MESSAGES.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     base = F.coalesce(msgs[error_type], F.when(error_type == "request_failed", F.lit(MSG_REQUEST_FAILED)),
-                      F.when(error_type == "no_attempts", F.lit(MSG_NO_ATTEMPTS)))
+                      F.when(error_type == "no_attempts", F.lit(MSG_NO_ATTEMPTS)),
+                      F.when(error_type == "browser_unavailable", F.lit(MSG_NO_BROWSER)))
     return F.when(error_type == "http_failed", F.concat(base, F.lit(": "), http_status.cast("string"))) \
         .when(error_type == "invalid_url", F.concat(base, F.lit(": "), url)) \
         .when(error_type == "private_ip", F.concat(base, F.lit(": "), F.lower(U.hostname(url)),
@@ -137,12 +145,12 @@ def error_message(error_type, http_status, url, blocked_ip):
 
 
 def scrape_jobs(jobs: DataFrame, snapshot: DataFrame, dns: DataFrame, redirects: DataFrame, *,
-                allow_private: bool = False) -> DataFrame:
+                allow_private: bool = False, browser_available: bool = True) -> DataFrame:
     """Run accepted scrape jobs (id, url, extract, options) to their final row:
     status, result, error, http_status, retries.
 
     Order of checks per attempt: scheme prefix (P2), URL parse, DNS + private IP
-    (P8, skipped with ``allow_private``), redirects (G3), fetch + 2xx (J1, P9), then
+    (P8, skipped with ``allow_private``), a browser for ``render_js``, redirects (G3), fetch + 2xx (J1, P9), then
     one extraction pass over the successful bodies (F5). The snapshot is
     deterministic, so every attempt of a job has the same outcome: success uses one
     attempt (retries flag 0); failure uses max_retries attempts (flag 1); max_retries
@@ -153,10 +161,11 @@ def scrape_jobs(jobs: DataFrame, snapshot: DataFrame, dns: DataFrame, redirects:
     x = x.withColumn("_pre", F.when(~U.has_http_prefix(F.col("url")), F.lit("invalid_url"))
                      .when(U.hostname(F.col("url")).isNull(), F.lit("invalid_url")))
     x = ssrf_guard(x, "url", verdict, allow_private=allow_private)
-    x = x.withColumn("_pre", F.coalesce("_pre", "ssrf_error"))
+    no_browser = F.lit(None).cast("string") if browser_available else F.when(eff["render_js"], F.lit("browser_unavailable"))
+    x = x.withColumn("_pre", F.coalesce("_pre", "ssrf_error", no_browser))
     ok_pre = x.where(F.col("_pre").isNull())
     bad_pre = x.where(F.col("_pre").isNotNull()).withColumn("error_type", F.col("_pre")) \
-        .withColumn("http_status", F.lit(None).cast("int")).withColumn("body", F.lit(None).cast("string"))
+        .withColumn("http_status", F.when(F.col("_pre") == "browser_unavailable", 0).cast("int")).withColumn("body", F.lit(None).cast("string"))
     fetched = fetch(follow_redirects(ok_pre, redirects, verdict), snapshot)
     fetched = fetched.withColumn("error_type", F.col("fetch_error"))
     cols = ["job_id", "url", "extract", "_max_retries", "error_type", "http_status", "body", "blocked_ip"]

@@ -231,3 +231,47 @@ FROM u
 def q_metrics_retries_total(spark, sf):
     from pagefold.operators.metrics import retries_total
     return retries_total(J.attempt_outcome(_attempts(spark, sf)))
+
+
+@query("stuck_jobs", oracle="WITH " + FOLD_SQL + """
+SELECT CAST(job_id AS BIGINT) AS job_id, epoch_us(updated_at) AS updated_at_us
+FROM f WHERE status = 'processing' AND updated_at < (SELECT max(ts) FROM l) - INTERVAL 10 MINUTE
+""")
+def q_stuck_jobs(spark, sf):
+    from pagefold.streaming.pipelines import stuck_jobs
+    log = J.job_log_from_events(events(spark, sf))
+    now = log.agg(F.max("ts")).first()[0]
+    return stuck_jobs(J.fold_jobs(log), F.lit(now)).select(F.col("job_id").cast("bigint").alias("job_id"), _us("updated_at"))
+
+
+@query("job_id_validity", oracle="""
+WITH h AS (SELECT page_id, md5(CAST(page_id AS VARCHAR)) AS h FROM pages),
+u AS (SELECT page_id, h, concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) AS u FROM h),
+i AS (SELECT page_id, CASE page_id % 8 WHEN 0 THEN u WHEN 1 THEN upper(u) WHEN 2 THEN 'urn:uuid:' || u WHEN 3 THEN '{' || u || '}'
+                      WHEN 4 THEN h WHEN 5 THEN u || '0' WHEN 6 THEN replace(u, '-', '_') ELSE '{' || u END AS id FROM u)
+SELECT page_id, id, page_id % 8 <= 4 AS valid FROM i
+""")
+def q_job_id_validity(spark, sf):
+    from pagefold.functions.validate import is_valid_job_id
+    from pagefold.sources.tables import pages
+    h = F.md5(F.col("page_id").cast("string"))
+    part = lambda a, n: F.substring(h, a, n)
+    u = F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12))
+    k = F.col("page_id") % 8
+    i = F.when(k == 0, u).when(k == 1, F.upper(u)).when(k == 2, F.concat(F.lit("urn:uuid:"), u)) \
+        .when(k == 3, F.concat(F.lit("{"), u, F.lit("}"))).when(k == 4, h).when(k == 5, F.concat(u, F.lit("0"))) \
+        .when(k == 6, F.replace(u, F.lit("-"), F.lit("_"))).otherwise(F.concat(F.lit("{"), u))
+    return pages(spark, sf).select("page_id", i.alias("id")).withColumn("valid", is_valid_job_id(F.col("id")))
+
+
+@query("delivery_dedupe", oracle="WITH " + JOB_LOG_SQL + """,
+d AS (SELECT job_id, ts FROM l WHERE op = 'create' UNION ALL SELECT job_id, ts FROM l WHERE op = 'create' AND job_id % 3 = 0)
+SELECT CAST(job_id AS BIGINT) AS job_id, epoch_us(min(ts)) AS delivered_us, CAST(count(*) AS BIGINT) AS deliveries
+FROM d GROUP BY job_id
+""")
+def q_delivery_dedupe(spark, sf):
+    # batch twin of the streaming de-duplication: every third job is delivered twice and claimed once
+    made = J.job_log_from_events(events(spark, sf)).where(F.col("op") == "create").select("job_id", "ts")
+    sent = made.unionByName(made.where(F.col("job_id") % 3 == 0))
+    once = sent.groupBy("job_id").agg(F.min("ts").alias("delivered"), F.count(F.lit(1)).alias("deliveries"))
+    return once.select(F.col("job_id").cast("bigint").alias("job_id"), _us("delivered"), F.col("deliveries").cast("bigint"))

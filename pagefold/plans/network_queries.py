@@ -155,3 +155,59 @@ def q_job_result_json(spark, sf):
     return dec.select("job_id", "status", "result_json",
                       F.coalesce(F.size("_r.links"), F.lit(0)).alias("links_count"),
                       F.col("_r.http_status").alias("http_status"))
+
+
+#: One job per page. The page id picks what its job meets: a scheme that is refused, a page that needs a browser, no
+#: attempts, an alias chain with and without following, a missing page, or its own URL; and how its page answers.
+_OUTCOME_JOBS = """
+SELECT page_id AS job_id,
+       CASE page_id % 16
+         WHEN 0 THEN 'ftp://' || substr(nurl, strpos(nurl, '://') + 3)
+         WHEN 3 THEN alias WHEN 4 THEN alias
+         WHEN 5 THEN nurl || '/missing'
+         ELSE nurl END AS url,
+       CASE WHEN page_id % 16 = 2 THEN 0 ELSE 3 END AS max_retries,
+       page_id % 16 <> 4 AS follow, page_id % 16 = 1 AS render_js
+FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS nurl,
+             CASE WHEN page_id % 7 = 0 THEN regexp_replace(url, '#.*$', '')
+                  ELSE regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || '/r' ||
+                       CAST(page_id AS STRING) || '/' || CAST(page_id % 7 AS STRING) END AS alias
+      FROM pages) AS p
+"""
+_ANSWERS = """CASE page_id % 16 WHEN 6 THEN 404 WHEN 7 THEN 503 ELSE 200 END AS http_status,
+       CASE page_id % 16 WHEN 8 THEN 'timeout' WHEN 9 THEN 'parse_failure' END AS error"""
+
+
+@query("scrape_outcomes", oracle="WITH RECURSIVE " + DNS_VERDICT_SQL.strip() + f""",
+red AS (SELECT DISTINCT * FROM ({_duck(REDIRECT_SQL)})),
+jobs AS ({_duck(_OUTCOME_JOBS)}),
+snap AS (SELECT url, page_id, {_ANSWERS}
+         FROM (SELECT regexp_replace(url, '#.*$', '') AS url, min(page_id) AS page_id FROM pages GROUP BY 1)),
+chain AS (SELECT job_id, url AS cur, 0 AS hops FROM jobs
+          UNION ALL SELECT c.job_id, r.location, c.hops + 1 FROM chain c JOIN red r ON r.url = c.cur WHERE c.hops < 5),
+ends AS (SELECT job_id, max(hops) AS h, arg_max(cur, hops) AS last FROM chain GROUP BY job_id),
+met AS (SELECT j.*, e.h, e.last, r.http_status AS moved, v.host IS NULL AS nodns, v.private_ip IS NOT NULL AS priv
+        FROM jobs j JOIN ends e USING (job_id) LEFT JOIN red r ON r.url = j.url
+             LEFT JOIN verdict v ON v.host = lower({hostname('j.url')})),
+seen AS (SELECT met.*, s.http_status AS st, s.error AS er FROM met
+         LEFT JOIN snap s ON s.url = CASE WHEN follow THEN last ELSE met.url END),
+outcome AS (SELECT *, CASE
+    WHEN max_retries <= 0 THEN 'no_attempts' WHEN url LIKE 'ftp:%' THEN 'invalid_url' WHEN nodns THEN 'dns' WHEN priv THEN 'private_ip'
+    WHEN render_js THEN 'browser_unavailable' WHEN follow AND h >= 5 THEN 'too_many_redirects'
+    WHEN NOT follow AND h >= 1 THEN 'http_failed' WHEN st IS NULL THEN 'request_failed' WHEN er = 'timeout' THEN 'timeout'
+    WHEN st <> 200 THEN 'http_failed' WHEN er IS NOT NULL THEN er END AS error_type FROM seen)
+SELECT CAST(job_id AS BIGINT) AS job_id, CASE WHEN error_type IS NULL THEN 'completed' ELSE 'failed' END AS status, error_type,
+       CAST(CASE WHEN error_type IN ('no_attempts', 'invalid_url', 'dns', 'private_ip') THEN NULL
+                 WHEN error_type IN ('browser_unavailable', 'too_many_redirects', 'request_failed', 'timeout') THEN 0
+                 WHEN NOT follow AND h >= 1 THEN moved ELSE st END AS BIGINT) AS http_status
+FROM outcome
+""")
+def q_scrape_outcomes(spark, sf):
+    p = pages(spark, sf)
+    options = F.struct(F.lit(None).cast("int").alias("timeout_seconds"), "max_retries", F.col("follow").alias("follow_redirects"),
+                       *[F.lit(None).cast("int").alias(c) for c in ("max_pages", "max_depth", "max_urls")], "render_js")
+    jobs = spark.sql(_OUTCOME_JOBS.replace("FROM pages", "FROM {pages}").replace("strpos(nurl, '://')", "instr(nurl, '://')"),
+                     pages=p.select("page_id", "url")).select("job_id", "url", F.array(F.lit("links")).alias("extract"), options.alias("options"))
+    snap = page_snapshot(p).select("url", "page_id", "body").selectExpr("url", "body", *_ANSWERS.split(",\n       "))
+    done = X.scrape_jobs(jobs, snap, dns_snapshot(spark, p), redirect_table(spark, p).distinct(), browser_available=False)
+    return done.select(F.col("job_id").cast("bigint"), "status", "error_type", F.col("http_status").cast("bigint"))
