@@ -47,8 +47,8 @@ SHINGLE_WORDS = 5
 #: Sizes of a class lie within a factor of 3; its largest documents have 3 shingles a group.
 CLASS_FACTOR = 3
 GROUP_SHINGLES = 3.0
-CHUNK = 512
-CHUNK_SHINGLES = 1 << 19
+CHUNK = 1024
+CHUNK_SHINGLES = 1 << 21
 LEAF = 16
 #: Groups of the points that meet under one content, and documents of a content that one task compares.
 POINT_DIMS = 64
@@ -531,10 +531,13 @@ def _at(df: DataFrame, ref: str) -> DataFrame:
 
 def _components(seen: DataFrame, labels: DataFrame) -> DataFrame:
     rows = seen.select("ref", "id", "n_shingles").join(labels.withColumnRenamed("node", "ref"), "ref", "left")
-    least = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "ref")).alias("first"))
-    return rows.join(least, "label", "left").select(
-        "ref", "id", "n_shingles", F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"),
-        F.coalesce(F.col("first.ref") == F.col("ref"), F.lit(True)).alias("is_first"))
+    alone = rows.where("label IS NULL").select("ref", "id", "n_shingles", F.col("id").alias("component_id"), F.lit(True).alias("is_first"))
+    linked = rows.where("label IS NOT NULL")
+    least = linked.groupBy("label").agg(F.min("id").alias("component_id"),
+                                        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "ref")).alias("first"))
+    linked = linked.join(least, "label").select("ref", "id", "n_shingles", "component_id",
+                                                (F.col("first.ref") == F.col("ref")).alias("is_first"))
+    return linked.unionByName(alone)
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",

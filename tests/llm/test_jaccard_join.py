@@ -33,7 +33,7 @@ def corpus(rng):
     return texts
 
 
-@pytest.mark.parametrize("chunk", [512, 4])
+@pytest.mark.parametrize("chunk", [1024, 4])
 def test_random_texts_lose_no_link(spark, monkeypatch, chunk):
     monkeypatch.setattr(J, "CHUNK", chunk)
     monkeypatch.setattr(J, "POINT_CHUNK", max(chunk, 30) if chunk > 4 else 3)
