@@ -28,26 +28,26 @@ def global_row_number(df: DataFrame, order_cols: list[str], out: str = "rn", par
         .withColumn(out, (F.col("_off") + F.col("_lrn")).cast("bigint")).drop("_pid", "_lrn", "_off")
 
 
-def carry(df: DataFrame, key: str, order_cols: list[str], chunk: str, value, out: str, how: str = "last",
+def carry(df: DataFrame, key: str, order_cols: list[str], chunk: str, items: dict[str, tuple], *,
           include_current: bool = True) -> DataFrame:
-    """Running last (or first) non-NULL ``value`` per ``key`` in ``order_cols`` order,
-    computed in two levels so a key holding a third of all rows is still spread over
-    tasks: inside each (key, chunk) a window; across the chunk rows of a key (one row
-    per chunk) the value carried in from earlier chunks; then one join.
+    """Running last or first non-NULL values per ``key`` in ``order_cols`` order: ``items`` maps an output column to
+    (value, "last" or "first"). Computed in two levels, so a key holding a third of all rows is still spread over
+    tasks: inside each (key, chunk) a window; across the chunk rows of a key (one row per chunk) the values carried in
+    from earlier chunks; then one join, whatever the number of items.
     ``chunk`` must be monotone in the order (e.g. a time bucket of the first order column)."""
     frame_end = 0 if include_current else -1
     w = Window.partitionBy(key, chunk).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, frame_end)
-    fn = F.last if how == "last" else F.first
-    x = df.withColumn("_v", value).withColumn("_local", fn("_v", True).over(w))
-    o = F.struct(*order_cols)
-    per = x.groupBy(key, chunk).agg(
-        (F.max_by("_v", F.when(F.col("_v").isNotNull(), o)) if how == "last"
-         else F.min_by("_v", F.when(F.col("_v").isNotNull(), o))).alias("_cv"))
+    fn = {"last": F.last, "first": F.first}
+    x = df.withColumns({f"_v_{o}": v for o, (v, _) in items.items()})
+    o_ = F.struct(*order_cols)
+    pick = {"last": F.max_by, "first": F.min_by}
+    per = x.groupBy(key, chunk).agg(*[
+        pick[how](f"_v_{o}", F.when(F.col(f"_v_{o}").isNotNull(), o_)).alias(f"_c_{o}") for o, (_, how) in items.items()])
     wc = Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_carry", fn("_cv", True).over(wc)).select(key, chunk, "_carry")
-    y = x.join(per, [key, chunk], "left")
-    res = F.coalesce("_local", "_carry") if how == "last" else F.coalesce("_carry", "_local")
-    return y.withColumn(out, res).drop("_v", "_local", "_carry")
+    per = per.select(key, chunk, *[fn[how](f"_c_{o}", True).over(wc).alias(f"_c_{o}") for o, (_, how) in items.items()])
+    y = x.withColumns({f"_l_{o}": fn[how](f"_v_{o}", True).over(w) for o, (_, how) in items.items()}).join(per, [key, chunk], "left")
+    out = {o: F.coalesce(f"_l_{o}", f"_c_{o}") if how == "last" else F.coalesce(f"_c_{o}", f"_l_{o}") for o, (_, how) in items.items()}
+    return y.withColumns(out).drop(*[f"_{k}_{o}" for o in items for k in "vlc"])
 
 
 def row_number_in_key(df: DataFrame, key: str, order_cols: list[str], chunk: str, out: str = "rn") -> DataFrame:

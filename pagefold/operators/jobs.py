@@ -75,8 +75,8 @@ def job_log_from_events(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").try_cast("int")
     ev = events.select("event_id", "ts", "user_id", op.alias("op"), "value", k.alias("k"),
                        F.floor(F.unix_seconds("ts") / CHUNK_SECONDS).alias("_chunk"))
-    ev = carry(ev, "user_id", ["ts", "event_id"], "_chunk", F.when(F.col("op") == "create", F.col("event_id")),
-               "job_id", how="last", include_current=True).drop("_chunk")
+    ev = carry(ev, "user_id", ["ts", "event_id"], "_chunk",
+               {"job_id": (F.when(F.col("op") == "create", F.col("event_id")), "last")})
     et = F.when(F.col("op") == "fail", error_type_of(F.col("k")))
     msgs = F.create_map(*[x for kv in ERROR_MESSAGES.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     dur = F.floor(F.col("value") * 1000).cast("bigint")
@@ -136,9 +136,9 @@ def event_outcomes(log: DataFrame) -> DataFrame:
     is_g = F.col("op").isin("claim", "cancel")
     # events without a job skip the window (they would all share the NULL key)
     x = log.where(F.col("job_id").isNotNull()).withColumn("_chunk", F.floor(F.unix_seconds("ts") / CHUNK_SECONDS))
-    x = carry(x, "job_id", ["ts", "event_id"], "_chunk", F.when(is_u, F.col("op")), "last_u_op", "last", False)
-    x = carry(x, "job_id", ["ts", "event_id"], "_chunk", F.when(is_g, F.col("op")), "first_g_op", "first", False)
-    x = x.drop("_chunk")
+    x = carry(x, "job_id", ["ts", "event_id"], "_chunk", {
+        "last_u_op": (F.when(is_u, F.col("op")), "last"),
+        "first_g_op": (F.when(is_g, F.col("op")), "first")}, include_current=False).drop("_chunk")
     status_before = F.when(F.col("last_u_op").isNotNull(),
                            F.when(F.col("last_u_op") == "complete", "completed").otherwise("failed")) \
         .when(F.col("first_g_op") == "claim", "processing").when(F.col("first_g_op") == "cancel", "failed") \
