@@ -1,6 +1,7 @@
 """Quality classifier by importance resampling.
 
-Word uni- and bigrams are hashed into ``BUCKETS`` counts. Two bag-of-n-grams models are
+Word uni- and bigrams, as written, are hashed into ``BUCKETS`` counts, beside the counts of
+trigrams that are new in their document and that it repeats. Two bag-of-n-grams models are
 made: one of target text (labelled good documents) and one of all raw text. A document's
 importance weight is the log ratio of its probability under the two. Gumbel noise is added
 and the k largest sums are kept: a draw of k documents without replacement, in proportion to
@@ -38,13 +39,17 @@ SEED = 7
 
 
 def _grams(texts):
-    """(bucket of every uni- and bigram, its document, number of documents)."""
-    h, offs = W.hashed_words(texts, W.space_rule(), W.byte_values(lower=True))
+    """(bucket of every gram, its document, number of documents). Buckets 0 and 1 count the trigrams that are new in
+    their document and those that it has held before; the others are hashed words and word pairs."""
+    h, offs = W.hashed_words(texts, W.space_rule(), W.byte_values(lower=False))
     doc = W.in_document(offs, len(h))
-    two = W.window_hashes(h, 2)
-    inside = doc[:len(two)] == doc[1:len(two) + 1]
-    ids = np.concatenate([W.mix(h ^ np.uint64(1)), two[inside]]) & np.uint64(BUCKETS - 1)
-    return ids.astype(np.int64), np.concatenate([doc, doc[:len(two)][inside]]), len(offs) - 1
+    pairs, triples = W.window_hashes(h, 2), W.window_hashes(h, 3)
+    in2 = np.flatnonzero(doc[:len(pairs)] == doc[1:len(pairs) + 1])
+    in3 = np.flatnonzero(doc[:len(triples)] == doc[2:len(triples) + 2])
+    again = np.ones(len(in3), np.int64)
+    again[np.unique(W.mix(triples[in3] ^ W.mix(doc[in3].astype(np.uint64))), return_index=True)[1]] = 0
+    hashed = np.concatenate([W.mix(h ^ np.uint64(1)), pairs[in2]]) % np.uint64(BUCKETS - 2)
+    return np.concatenate([hashed.astype(np.int64) + 2, again]), np.concatenate([doc, doc[in2], doc[in3]]), len(offs) - 1
 
 
 def _text(batch, name: str = "_text"):

@@ -35,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagefold.llm import words as W
 
-SAMPLE = 12_000
+SAMPLE = 6_000
 THRESHOLD = 0.3
 #: Kinds of features: the whole word, or its first bytes.
 PREFIXES = (0, 3, 4, 5, 6, 8)
