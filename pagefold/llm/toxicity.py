@@ -34,9 +34,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagefold.llm import words as W
+from pagefold.llm.blocks import cut
 
 SAMPLE = 6_000
 THRESHOLD = 0.3
+PIECE_BYTES = 2 << 20
 #: Kinds of features: the whole word, or its first bytes.
 PREFIXES = (0, 3, 4, 5, 6, 8)
 #: A feature id is its kind, then this many bits of hash.
@@ -310,6 +312,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
+def _pieces(batches, text_col: str):
+    """The batches in slices of about ``PIECE_BYTES`` of text, which bounds a task's arrays."""
+    for batch in batches:
+        for piece, _ in cut(batch, text_col, PIECE_BYTES):
+            yield piece
+
+
 def _text(batch, text_col):
     return batch.column(batch.schema.get_field_index(text_col))
 
@@ -326,7 +335,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = texts.join(F.broadcast(usable.withColumnRenamed(id_col, "_id")), "_id")  # ``sample`` rows at most
 
     def describe(batches):
-        for batch in batches:
+        for batch in _pieces(batches, "_text"):
             text = _text(batch, "_text")
             rows = [r.tobytes() for r in features_of(text)]
             yield pa.RecordBatch.from_arrays([_text(batch, "_id").cast(pa.int64()), _text(batch, "_y").cast(pa.int32()), pa.array(rows, pa.binary()),
@@ -338,7 +347,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     voters = Voters(mine(rows, y))
 
     def vote(batches):
-        for batch in batches:
+        for batch in _pieces(batches, "_text"):
             yield pa.RecordBatch.from_arrays([pa.array(voters.votes(_text(batch, "_text")))], names=["votes"])
     counted = texts.select("_text").mapInArrow(vote, "votes long").groupBy("votes").count().collect()
     mine_votes = np.array([voters.of_features(r, g["surface"]) for r, g in zip(rows, got)], np.int64)
@@ -364,7 +373,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
 
     def run(batches):
         model = Model(*held.value)
-        for batch in batches:
+        for batch in _pieces(batches, text_col):
             cols = [*batch.columns, pa.array(model.scores(_text(batch, text_col)))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
     return df.mapInArrow(run, schema)
