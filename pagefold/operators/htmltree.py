@@ -11,12 +11,18 @@ deeply nested junk page cannot hit Python's recursion limit.
 
 from __future__ import annotations
 
+from html import unescape
 from html.parser import HTMLParser
 
 # ---- fixed values (HTML element classes and output formats) -------------------------
 VOID = frozenset(("area base basefont bgsound br col embed frame hr img input keygen link "
                   "meta param source track wbr").split())
 RAW_TEXT = ("script", "style", "noscript", "xmp", "iframe", "noembed", "noframes", "plaintext")
+ESCAPABLE_RAW_TEXT = ("title", "textarea")
+# an opening tag ends these open parts of the nearest table
+TABLE_ENDS = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "caption": ("caption",),
+              **dict.fromkeys(("tbody", "thead", "tfoot"), ("td", "th", "tr", "tbody", "thead", "tfoot", "caption"))}
+CELLS = ("td", "th", "caption")
 HEAD_TAGS = frozenset("base basefont bgsound link meta noframes script style template title noscript".split())
 CLOSES_P = frozenset(("address article aside blockquote center details dialog dir div dl fieldset "
                       "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav "
@@ -79,7 +85,7 @@ def _dedupe_attrs(attrs):
 
 
 class _Builder(HTMLParser):
-    CDATA_CONTENT_ELEMENTS = RAW_TEXT
+    CDATA_CONTENT_ELEMENTS = RAW_TEXT + ESCAPABLE_RAW_TEXT
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -211,7 +217,27 @@ class _Builder(HTMLParser):
             return
         self._start_in_body(tag, attrs)
 
+    def _close_table_parts(self, ends):
+        """End the outermost open part among ``ends`` inside the nearest table, with the formatting of its cells."""
+        last = None
+        for n in reversed(self.stack):
+            if n.tag == "table":
+                break
+            if n.tag in ends:
+                last = n
+        if last is not None:
+            self._end_cells_above(last)
+            self._pop_until(last)
+
+    def _end_cells_above(self, node):
+        for n in self.stack[self.stack.index(node):]:
+            if n.tag in CELLS:
+                while self.active and self.active.pop() is not None:
+                    pass
+
     def _start_in_body(self, tag, attrs):
+        if tag in TABLE_ENDS:
+            self._close_table_parts(TABLE_ENDS[tag])
         if tag in CLOSES_P:
             if tag == "li":
                 self._close_list_item(("li",))
@@ -312,7 +338,10 @@ class _Builder(HTMLParser):
                 self.active.remove(entry)
                 return
         if tag in BLOCK_END or tag in ("td", "th", "caption", "template"):
-            n = self._in_scope((tag,), SCOPE_STOP - {tag})
+            stops = SCOPE_STOP - {tag} - (set(CELLS) if tag == "table" else set())
+            n = self._in_scope((tag,), stops)
+            if n is not None and tag == "table":
+                self._end_cells_above(n)
             if n is not None:
                 self._pop_until(n)
                 if tag in ("td", "th", "caption", "marquee", "object", "applet", "template"):
@@ -331,7 +360,9 @@ class _Builder(HTMLParser):
         if not data:
             return
         cur = self.stack[-1] if self.stack else None
-        in_raw = cur is not None and cur.tag in RAW_TEXT and cur.open
+        in_raw = cur is not None and cur.tag in RAW_TEXT + ESCAPABLE_RAW_TEXT and cur.open
+        if in_raw and cur.tag in ESCAPABLE_RAW_TEXT:
+            data = unescape(data)
         if self.body is None and not in_raw:
             if not data.strip(WS):
                 return

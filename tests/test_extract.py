@@ -85,3 +85,12 @@ def test_body_cut_is_a_parameter_with_a_flag():
         assert X.extract_one(b, ["paragraphs"])["paragraphs"][-1] == "tail"
         cut = X.extract_one(b, ["paragraphs"], max_body_bytes=20)
         assert cut["truncated"] and cut["paragraphs"] == ["a" * 17]
+
+
+def test_table_cells_title_and_textarea():
+    got = X.extract_one("<table><tr><td><p>c1<td><p>c2<tr><th>h</table><p>after", ["paragraphs"])
+    assert got["paragraphs"] == ["c1", "c2", "after"]
+    got = X.extract_one("<title>t &amp; <p>x</p></title><body><textarea><p>in</p></textarea><p>one</p>", ["paragraphs", "headers"])
+    assert got["paragraphs"] == ["one"]
+    got = X.extract_one("<table><tr><td><b>a<td>b</table><p>c", ["html"])
+    assert "<td><b>a</b></td><td>b</td></tr></table><p>c</p>" in got["html"].replace("<tbody>", "").replace("</tbody>", "")
