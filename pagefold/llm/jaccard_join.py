@@ -514,11 +514,11 @@ def _joined(df: DataFrame, id_col: str, text_col: str, block_bytes: int):
                           .repartition(buckets, "bucket").mapInArrow(_meet(POINT_CHUNK), FOUND))
     answers = gone.unionByName(shared.withColumn("place", F.lit(None).cast("long")))
     points = packed.visit(_send_points(text_col, buckets), POINT, blocks.per_block(answers, "place", "bucket", "chunks"))
-    k = connected(points.repartition(parts, "key", "a", "b").sortWithinPartitions("key", "a", "b")
+    k = connected(points.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
                   .mapInArrow(_near_points, "a long, b long"))
     asked = _at(k, "node").withColumnRenamed("label", "k")
     texts = packed.visit(_hand_over(text_col), TEXT, blocks.per_block(asked, "place", "k"))
-    links = (_tasks(blocks.saved(texts.join(seen.select("ref", "n_shingles"), "ref"))).repartition(parts, "grp")
+    links = (_tasks(blocks.saved(texts.join(seen.select("ref", "n_shingles"), "ref"))).repartition("grp")
              .sortWithinPartitions("grp").mapInArrow(_tree_join, "a long, b long"))
     return packed, seen, connected(links.union(copies))
 

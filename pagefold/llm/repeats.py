@@ -113,5 +113,6 @@ def find(sent: DataFrame, buckets: int, wide: bool) -> DataFrame:
 
 
 def bucket_count(entries: float, partitions: int) -> int:
-    """As many buckets as keep each to about a million entries, at least the shuffle's partitions."""
-    return max(partitions, int(entries / BUCKET_HASHES) + 1)
+    """As many buckets as keep each to about a million entries, and as many as the shuffle has partitions where
+    there is work for them."""
+    return max(int(entries / BUCKET_HASHES) + 1, min(partitions, int(entries / (1 << 15)) + 1))

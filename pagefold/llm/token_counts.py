@@ -52,8 +52,9 @@ def _frequencies(tok: Tokenizer, texts):
     for t in texts:
         chunks, pretokens, special = _units(tok, t.as_py() or "")
         rows.append((Counter(chunks), Counter(pretokens), special))
-        for c in rows[-1][0].keys() - seen.keys():
-            seen[c] = tok.pattern.findall(c)
+        for c in rows[-1][0]:
+            if c not in seen:
+                seen[c] = tok.pattern.findall(c)
     return rows, seen
 
 
