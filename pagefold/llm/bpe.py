@@ -38,6 +38,9 @@ CACHE = 400_000
 #: Unicode White_Space, fixed values.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+#: The usual split pattern, and the same for lower-cased texts of PLAIN characters.
+USUAL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN_PRETOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017f]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-\u017f]+")
 #: ASCII without control characters, and the letters of U+00C0 to U+017F but for one that lower-cases to two.
 PLAIN = re.compile(r"[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]*\Z").match
 
@@ -80,6 +83,8 @@ class Tokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", WHITE))
+        # the usual pattern, written out for the letters and digits that a plain text can have
+        self.plain_pattern = PLAIN_PRETOKENS if split["pattern"]["Regex"] == USUAL_PATTERN else None
         self.white = regex.compile(f"[{WHITE}]+")
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
@@ -128,6 +133,8 @@ class Tokenizer:
 
     def pretokens(self, text: str) -> list[str]:
         """Of text without special tokens."""
+        if self.plain_pattern and self.plain(text):
+            return self.plain_pattern.findall(text.lower())
         return self.pattern.findall(self.normalized(text))
 
     def parts(self, text: str):

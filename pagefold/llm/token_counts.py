@@ -15,6 +15,7 @@ alike; texts of any length are counted whole; columns named like the new ones ar
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,38 +34,27 @@ COUNTED = "block long, bucket int, pieces binary"
 _COUNTED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("pieces", pa.binary())])
 
 
-def _units(tok: Tokenizer, text: str) -> tuple[list[str], list[str], int]:
-    """(chunks that still hold several pre-tokens, pre-tokens, special tokens) of a text."""
-    chunks, pretokens, special = [], [], 0
-    for token, raw in tok.parts(text):
-        if token is not None:
-            special += 1
-        elif tok.plain(raw):
-            chunks += raw.lower().split()
-        else:
-            pretokens += tok.pretokens(raw)
-    return chunks, pretokens, special
-
-
 def _frequencies(tok: Tokenizer, texts):
-    """Per text its chunks and pre-tokens with their frequencies and its special tokens; the chunks' pre-tokens."""
-    rows, seen = [], {}
+    """Per text its pre-tokens with their frequencies, and its special tokens."""
+    rows = []
     for t in texts:
-        chunks, pretokens, special = _units(tok, t.as_py() or "")
-        rows.append((Counter(chunks), Counter(pretokens), special))
-        for c in rows[-1][0]:
-            if c not in seen:
-                seen[c] = tok.pattern.findall(c)
-    return rows, seen
-
-
-def _distinct(rows, seen, buckets: int) -> tuple[list[str], np.ndarray]:
-    """The block's distinct pre-tokens, sorted by bucket and name, and their buckets."""
-    names = sorted({p for ps in seen.values() for p in ps}.union(*(r[1] for r in rows)))
+        pretokens, special = [], 0
+        for token, raw in tok.parts(t.as_py() or ""):
+            if token is None:
+                pretokens += tok.pretokens(raw)
+            else:
+                special += 1
+        rows.append((Counter(pretokens), special))
+    return rows
+
+
+def _distinct(rows, buckets: int) -> tuple[list[str], np.ndarray]:
+    """The block's distinct pre-tokens in order of bucket and first use, and their buckets."""
+    names = list(dict.fromkeys(chain.from_iterable(r[0] for r in rows)))
     h, offs = hashed_words(pa.array(names, pa.string()), space_rule(), byte_values(lower=False))
     bucket = range_bucket(h[offs[:-1]], buckets) if names else np.zeros(0, np.int64)
     order = np.argsort(bucket, kind="stable")
-    return [names[i] for i in order], bucket[order]
+    return [names[i] for i in order.tolist()], bucket[order]
 
 
 def _counter(data):
@@ -97,7 +87,7 @@ def token_counts(df: DataFrame, tokenizer_path: str, text_col: str = "text",
         return batch.column(batch.schema.get_field_index(text_col))
 
     def send(block, batch, _):
-        names, bucket = _distinct(*_frequencies(in_worker(data), texts_of(batch)), buckets)
+        names, bucket = _distinct(_frequencies(in_worker(data), texts_of(batch)), buckets)
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(cuts))
         if len(full):
@@ -110,16 +100,14 @@ def token_counts(df: DataFrame, tokenizer_path: str, text_col: str = "text",
 
     def add_up(block, batch, back):
         texts = texts_of(batch)
-        rows, seen = _frequencies(in_worker(data), texts)
-        names, bucket = _distinct(rows, seen, buckets)
+        rows = _frequencies(in_worker(data), texts)
+        names, bucket = _distinct(rows, buckets)
         pieces, at = {}, np.searchsorted(bucket, np.arange(buckets + 1))
         for x in back or ():
             own = names[at[x["bucket"]]:at[x["bucket"] + 1]]
             counts = np.frombuffer(x["pieces"], np.uint8 if len(x["pieces"]) == len(own) else np.uint32)
             pieces.update(zip(own, counts.tolist()))
-        chunks = {c: sum([pieces[p] for p in ps]) for c, ps in seen.items()}
-        tokens = [sum([n * chunks[c] for c, n in a.items()]) + sum([n * pieces[p] for p, n in b.items()]) + special
-                  for a, b, special in rows]
+        tokens = [sum([n * pieces[p] for p, n in found.items()]) + special for found, special in rows]
         size = [len((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in texts]
         cols = [*batch.columns, pa.array(size, pa.int64()), pa.array(tokens, pa.int64())]
         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
