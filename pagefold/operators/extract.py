@@ -28,6 +28,7 @@ BUILTIN_TYPES = ("links", "headers", "paragraphs", "markdown", "html", "raw_html
 LIST_TYPES = ("links", "headers", "paragraphs")
 TEXT_TYPES = ("markdown", "html", "raw_html")
 MAX_STORED_HTML = 512 * 1024          # bytes kept of html / raw_html
+SPLIT_BYTES = 16 * 1024 * 1024        # a table under this size per core is dealt out before the parse
 MAX_BODY_BYTES = 5 * 1024 * 1024      # a fetcher's usual cap, for ``max_body_bytes``
 # --------------------------------------------------------------------------------------------
 
@@ -162,6 +163,14 @@ def extract_one(body: str | bytes | None, types: list[str], max_html: int = MAX_
     return out
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """The parse is CPU-bound Python, so a table that makes few scan splits is dealt out to all cores. The planner's
+    own size estimate decides, no job is run for it; a table of many splits is read as it lies."""
+    sc = df.sparkSession.sparkContext
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(sc.defaultParallelism) if size < sc.defaultParallelism * SPLIT_BYTES else df
+
+
 def _output_fields(types: list[str]) -> list[T.StructField]:
     fields = []
     for t in types:
@@ -177,7 +186,7 @@ def extract_pages(df: DataFrame, types: Iterable[str] | None = None, *, url_col:
                   body_col: str = "html", keep: Iterable[str] = ("page_id",),
                   max_html: int = MAX_STORED_HTML, resolve: bool = True,
                   types_col: str | None = None, max_body_bytes: int | None = None) -> DataFrame:
-    """Run the extraction pass over a page table, split as its scan is (``spark.sql.files.maxPartitionBytes``).
+    """Run the extraction pass over a page table.
 
     Output columns: ``keep`` + url + one column per type + truncated. With
     ``types_col`` each row names its own extract list (lower-cased, de-duplicated,
@@ -193,7 +202,7 @@ def extract_pages(df: DataFrame, types: Iterable[str] | None = None, *, url_col:
         types = list(dict.fromkeys(types or (BUILTIN_TYPES + custom)))
     keep = [k for k in keep if k not in (url_col, types_col)]
     cols = [*keep, url_col, body_col] + ([types_col] if types_col else [])
-    src = df.select(*cols)
+    src = _spread(df.select(*cols))
     in_fields = [f for f in src.schema.fields if f.name not in (body_col, types_col)]
     schema = T.StructType(in_fields + _output_fields(types))
     arrow_schema = None

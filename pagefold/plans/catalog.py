@@ -16,12 +16,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, oracle: str | None = None):
     def deco(fn):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            from pagefold.session import tune
-            return fn(tune(spark), sf_dir)
-        run.__name__ = fn.__name__
-        run.__doc__ = fn.__doc__
-        QUERIES[name] = run
+        QUERIES[name] = fn
         if oracle is not None:
             ORACLES[name] = oracle.strip()
         return fn

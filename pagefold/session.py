@@ -28,27 +28,8 @@ DEFAULT_CONF = {
     "spark.python.worker.reuse": "true",
     # checkpoint files go when the frame that reads them is collected
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-    # URL expressions are large trees; inferring IsNotNull constraints over them costs
-    # seconds of planning per query and adds no filter the scan could use.
-    "spark.sql.constraintPropagation.enabled": "false",
 }
 
-# Runtime SQL settings the library applies to a session it is handed.
-RUNTIME_CONF = {
-    "spark.sql.constraintPropagation.enabled": "false",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-}
-
-
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL settings the operators rely on (planning of large URL
-    expressions, AQE skew handling). Safe to call repeatedly."""
-    for k, v in RUNTIME_CONF.items():
-        if spark.conf.get(k, None) != v:
-            spark.conf.set(k, v)
-    return spark
-
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app: str = "pagefold", extra: dict | None = None) -> SparkSession:
