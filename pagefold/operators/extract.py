@@ -167,7 +167,7 @@ def _spread(df: DataFrame) -> DataFrame:
     """The parse is CPU-bound Python, so a table that makes few scan splits is dealt out to all cores. The planner's
     own size estimate decides, no job is run for it; a table of many splits is read as it lies."""
     sc = df.sparkSession.sparkContext
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(sc.defaultParallelism) if size < sc.defaultParallelism * SPLIT_BYTES else df
 
 
