@@ -161,6 +161,17 @@ def map_bfs(seeds: DataFrame, snapshot: DataFrame, edges: DataFrame | None = Non
                 MAP_DEFAULT_URLS, MAP_DEFAULT_DEPTH, True)
 
 
+def crawl_contents(crawl_pages: DataFrame, snapshot: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """Visited pages with their extracted content (F5 per page of G1): every URL is parsed once, however many crawls
+    visit it, and only visited bodies are read. Failed pages have NULL contents."""
+    visited = crawl_pages.where(F.col("ok")).select("url").distinct()
+    bodies = snapshot.select("url", "body").join(visited, "url", "left_semi")
+    parsed = extract_pages(bodies, types, url_col="url", body_col="body", keep=())
+    joined = crawl_pages.join(parsed, "url", "left")
+    # a page that failed in this crawl shows nothing, also if another crawl has its content
+    return joined.select(*crawl_pages.columns, *[F.when(F.col("ok"), F.col(c)).alias(c) for c in parsed.columns if c != "url"])
+
+
 def crawl_rollup(crawl_pages: DataFrame, page_extract: DataFrame | None = None) -> DataFrame:
     """Per-crawl result (A8): pages_crawled counts failures too, pages_skipped the
     failures, truncated is any page's, http_status the first page's."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagefold.operators import crawl as C
 from pagefold.plans.catalog import query
+from pagefold.plans.network_queries import _COUNTS_SQL as COUNTS_SQL
 from pagefold.plans.sqlsnippets import RAW_HREFS, escaped_path, hostname, origin
 from pagefold.sources.sitegraph import BLOCK, site_snapshot
 from pagefold.sources.tables import pages
@@ -198,3 +199,22 @@ def q_map_cancelled(spark, sf):
     snap = site_snapshot(pages(spark, sf))
     m = C.map_bfs(_seeds(snap, "max_urls", MAP_URLS, MAP_DEPTH), snap, active=snap.where("false").select(F.col("page_id").alias("crawl_id")))
     return m.select(F.col("crawl_id").cast("bigint"), F.col("rank").cast("bigint"), "url")
+
+
+@query("crawl_pages_content", oracle=bfs_sql(CRAWL_PAGES, CRAWL_DEPTH) + f""",
+{COUNTS_SQL.strip()}
+SELECT CAST(f.crawl_id AS BIGINT) AS crawl_id, CAST(f.rank AS BIGINT) AS rank, f.url, f.ok,
+       CAST(CASE WHEN f.ok THEN coalesce(ch.n, 0) END AS BIGINT) AS headers_count,
+       CAST(CASE WHEN f.ok THEN coalesce(cp.n, 0) END AS BIGINT) AS paragraphs_count,
+       CASE WHEN f.ok THEN false END AS truncated
+FROM allf f LEFT JOIN snap ON snap.url = f.url LEFT JOIN ch ON ch.page_id = snap.page_id
+     LEFT JOIN cp ON cp.page_id = snap.page_id
+WHERE f.rank < 10
+""")
+def q_crawl_pages_content(spark, sf):
+    snap = site_snapshot(pages(spark, sf))
+    cp = C.crawl_bfs(_seeds(snap, "max_pages", CRAWL_PAGES, CRAWL_DEPTH), snap)
+    c = C.crawl_contents(cp, snap, ["headers", "paragraphs", "markdown"])
+    return c.select(F.col("crawl_id").cast("bigint"), F.col("rank").cast("bigint"), "url", "ok",
+                    F.when(F.col("ok"), F.size("headers")).cast("bigint").alias("headers_count"),
+                    F.when(F.col("ok"), F.size("paragraphs")).cast("bigint").alias("paragraphs_count"), "truncated")

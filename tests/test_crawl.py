@@ -127,3 +127,15 @@ def test_seed_that_does_not_parse_is_a_failed_row(spark):
     roll = {r["crawl_id"]: r for r in C.crawl_rollup(pages).collect()}
     assert roll[0]["pages_crawled"] == 3 and roll[1]["pages_crawled"] == 0 and roll[1]["error"] == "invalid_url"
     assert C.map_bfs(_seeds(spark, ["http://bad host/"], "max_urls"), snap).first()["error"] == "invalid_url"
+
+
+def test_contents_of_visited_pages(spark):
+    g = {"https://ex.com/": ["https://ex.com/a", "https://ex.com/gone"], "https://ex.com/a": ["https://ex.com/"]}
+    snap = _snapshot(spark, g)
+    pages = C.crawl_bfs(_seeds(spark, ["https://ex.com/", "https://ex.com/a"]), snap)
+    got = {(r["crawl_id"], r["url"]): r for r in C.crawl_contents(pages, snap, ["links"]).collect()}
+    assert got[0, "https://ex.com/"]["links"] == ["https://ex.com/a", "https://ex.com/gone"]
+    assert got[1, "https://ex.com/"]["links"] == got[0, "https://ex.com/"]["links"]
+    assert not got[0, "https://ex.com/gone"]["ok"] and got[0, "https://ex.com/gone"]["links"] is None
+    roll = C.crawl_rollup(pages, C.crawl_contents(pages, snap, ["html"]).select("url", F.lit(True).alias("truncated")).distinct())
+    assert all(r["truncated"] for r in roll.collect())
