@@ -10,6 +10,7 @@ from pagefold.functions.validate import with_defaults
 from pagefold.operators import fetch as X
 from pagefold.operators.jobs import job_meta
 from pagefold.plans.catalog import query
+from pagefold.plans.extraction_queries import MARKDOWN_SQL
 from pagefold.plans.request_queries import VALIDATION_ORACLE
 from pagefold.plans.sqlsnippets import CLEAN_PAGES, RESOLVED_LINKS, dec, hostname, trim_ws
 from pagefold.sources.network import DNS_SQL, REDIRECT_SQL, alias_chain_heads, dns_snapshot, redirect_table
@@ -98,7 +99,7 @@ cp AS (SELECT page_id, count(*) FILTER (WHERE {trim_ws(dec("regexp_replace(split
        FROM ps GROUP BY 1)"""
 
 
-@query("scrape_jobs", oracle=VALIDATION_ORACLE + "," + DNS_VERDICT_SQL.strip() + "," + _COUNTS_SQL.strip() + f""",
+_SCRAPE_CTES = VALIDATION_ORACLE + "," + DNS_VERDICT_SQL.strip() + "," + _COUNTS_SQL.strip() + f""",
 snap AS (SELECT regexp_replace(url, '#.*$', '') AS url, min(page_id) AS page_id FROM pages GROUP BY 1),
 sj AS (SELECT req_id, url, coalesce(max_retries, 3) AS mr,
               CASE WHEN coalesce(len(extract), 0) = 0 THEN ['links'] ELSE list_transform(extract, lambda t: lower(t)) END AS ex
@@ -112,6 +113,10 @@ st AS (SELECT sj.*, CASE
                LEFT JOIN snap sn ON sn.url = regexp_replace(lower(regexp_extract(sj.url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1))
                                      || substr(sj.url, strpos(sj.url, ':')), '#.*$', '')),
 fx AS (SELECT *, CASE WHEN mr <= 0 THEN 'no_attempts' ELSE et END AS error_type FROM st)
+"""
+
+
+@query("scrape_jobs", oracle=_SCRAPE_CTES + """
 SELECT CAST(req_id AS BIGINT) AS req_id, CASE WHEN error_type IS NULL THEN 'completed' ELSE 'failed' END AS status,
        error_type,
        CAST(CASE WHEN error_type IS NULL THEN 200 WHEN error_type = 'request_failed' THEN 0 END AS BIGINT) AS http_status,
@@ -134,7 +139,27 @@ def q_scrape_jobs(spark, sf):
                     F.col("meta.paragraphs_count").cast("bigint").alias("paragraphs_count"))
 
 
-@query("scrape_job_responses")
+@query("scrape_job_responses", oracle=_SCRAPE_CTES.rstrip() + f""",
+md AS ({MARKDOWN_SQL}),
+done AS (SELECT fx.req_id, fx.url, fx.error_type, vd.private_ip, list_contains(ex, 'markdown') AS with_md,
+                octet_length(encode(md.markdown)) AS md_bytes,
+                CASE WHEN list_contains(ex, 'links') THEN coalesce(cl.n, 0) ELSE 0 END AS links,
+                CASE WHEN list_contains(ex, 'headers') THEN coalesce(ch.n, 0) ELSE 0 END AS headers,
+                CASE WHEN list_contains(ex, 'paragraphs') THEN coalesce(cp.n, 0) ELSE 0 END AS paragraphs
+         FROM fx LEFT JOIN cl ON cl.page_id = fx.page_id LEFT JOIN ch ON ch.page_id = fx.page_id
+              LEFT JOIN cp ON cp.page_id = fx.page_id LEFT JOIN md ON md.page_id = fx.page_id
+              LEFT JOIN verdict vd ON vd.host = lower({hostname('fx.url')}))
+SELECT CAST(req_id AS BIGINT) AS job_id, CASE WHEN error_type IS NULL THEN 'completed' ELSE 'failed' END AS status, url,
+       CASE WHEN error_type IS NULL THEN '{{"links_count":' || links || ',"headers_count":' || headers || ',"paragraphs_count":' ||
+            paragraphs || ',"markdown_length":' || CASE WHEN with_md THEN md_bytes ELSE 0 END ||
+            ',"pages_crawled":0,"url_count":0,"http_status":200,"retries_used":0,"truncated":false}}' END AS meta_json,
+       CASE error_type WHEN 'no_attempts' THEN 'no attempts' WHEN 'dns' THEN 'dns lookup failed' WHEN 'request_failed' THEN 'request failed'
+            WHEN 'invalid_url' THEN 'invalid URL: must be http:// or https://: ' || url
+            WHEN 'private_ip' THEN 'request refused: target resolves to a private IP: ' || lower({hostname('url')}) ||
+                                   ' resolves to ' || private_ip END AS error,
+       CAST(CASE WHEN error_type IS NULL AND with_md THEN md_bytes END AS BIGINT) AS markdown_bytes
+FROM done
+""")
 def q_scrape_job_responses(spark, sf):
     from pagefold.operators.jobs import job_response
     acc, jobs = _scrape(spark, sf)
@@ -142,7 +167,7 @@ def q_scrape_job_responses(spark, sf):
         .withColumn("completed_at", F.lit(None).cast("timestamp")).withColumn("duration_ms", F.lit(0).cast("bigint"))
     r = job_response(full)
     return r.select(F.col("job_id").cast("bigint"), "status", "url", F.to_json("meta").alias("meta_json"), "error",
-                    F.octet_length(F.col("results.markdown")).alias("markdown_bytes"))
+                    F.octet_length(F.col("results.markdown")).cast("bigint").alias("markdown_bytes"))
 
 
 @query("job_result_json")
