@@ -69,6 +69,7 @@ def _packer(text_col: str, target: int):
                 schema=pa.schema([("block", pa.int64()), ("rows", pa.int32()), ("bytes", pa.int64()),
                                   ("payload", pa.binary())]))
             seq, held, size = seq + 1, [], 0
+            pa.default_memory_pool().release_unused()
             return out
 
         for batch in batches:
@@ -119,6 +120,7 @@ class Blocks:
                 for i in range(b.num_rows):
                     yield from fn(b.column("block")[i].as_py(), decode_batch(b.column("payload")[i].as_py()),
                                   back[i].as_py() if back is not None else None)
+                    pa.default_memory_pool().release_unused()  # workers live on; what a block took should not
         return table.mapInArrow(run, schema)
 
 

@@ -50,6 +50,8 @@ GROUP_SHINGLES = 3.0
 CHUNK = 1024
 CHUNK_SHINGLES = 1 << 21
 LEAF = 16
+#: Text that a task unpacks and cuts into shingles at a time.
+PIECE_BYTES = 2 << 20
 #: Groups of the points that meet under one content, and documents of a content that one task compares.
 POINT_DIMS = 64
 POINT_CHUNK = 2048
@@ -413,6 +415,16 @@ def link_forest(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[
     return tree.forest(side, verify)
 
 
+def _some_bytes(batch: pa.RecordBatch):
+    """Slices of about ``PIECE_BYTES`` of text before compression."""
+    ends = np.cumsum(batch.column("bytes").to_numpy())
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PIECE_BYTES, "right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def _tree_join(batches):
     """Rows (grp, side, ref, bytes, text) sorted by grp -> verified links."""
     grp, sides, refs, sets = None, [], [], []
@@ -425,16 +437,17 @@ def _tree_join(batches):
             yield from _star_rows(ends[:, 0], ends[:, 1])
 
     for b in batches:
-        texts = pa.array([pa.decompress(z.as_py(), n.as_py(), codec="zstd", asbytes=True) if n.as_py() else b""
-                          for z, n in zip(b.column("text"), b.column("bytes"))], pa.large_binary())
-        hashes, offs = shingle_sets(texts)
-        for i, g in enumerate(b.column("grp").to_pylist()):
-            if g != grp:
-                yield from done()
-                grp, sides, refs, sets = g, [], [], []
-            sides.append(b.column("side")[i].as_py())
-            refs.append(b.column("ref")[i].as_py())
-            sets.append(hashes[offs[i]:offs[i + 1]])
+        for part in _some_bytes(b):
+            texts = pa.array([pa.decompress(z.as_py(), n.as_py(), codec="zstd", asbytes=True)
+                              for z, n in zip(part.column("text"), part.column("bytes"))], pa.large_binary())
+            hashes, offs = shingle_sets(texts)
+            for i, g in enumerate(part.column("grp").to_pylist()):
+                if g != grp:
+                    yield from done()
+                    grp, sides, refs, sets = g, [], [], []
+                sides.append(part.column("side")[i].as_py())
+                refs.append(part.column("ref")[i].as_py())
+                sets.append(hashes[offs[i]:offs[i + 1]].copy())
     yield from done()
 
 
