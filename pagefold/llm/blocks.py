@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagefold.llm.words import text_buffer
+from pagefold.llm.words import give_back, text_buffer
 from pagefold.session import checkpoint_dir
 
 BLOCK_BYTES = 4 << 20
@@ -69,7 +69,7 @@ def _packer(text_col: str, target: int):
                 schema=pa.schema([("block", pa.int64()), ("rows", pa.int32()), ("bytes", pa.int64()),
                                   ("payload", pa.binary())]))
             seq, held, size = seq + 1, [], 0
-            pa.default_memory_pool().release_unused()
+            give_back()
             return out
 
         for batch in batches:
@@ -120,7 +120,7 @@ class Blocks:
                 for i in range(b.num_rows):
                     yield from fn(b.column("block")[i].as_py(), decode_batch(b.column("payload")[i].as_py()),
                                   back[i].as_py() if back is not None else None)
-                    pa.default_memory_pool().release_unused()  # workers live on; what a block took should not
+                    give_back()
         return table.mapInArrow(run, schema)
 
 

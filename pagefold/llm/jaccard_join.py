@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pagefold.llm import blocks
 from pagefold.llm.components import connected, local_components
 from pagefold.llm.repeats import bucket_count
-from pagefold.llm.words import byte_values, hashed_words, in_document, mix, range_bucket, space_rule, window_hashes
+from pagefold.llm.words import byte_values, give_back, hashed_words, in_document, mix, range_bucket, space_rule, window_hashes
 
 SHINGLE_WORDS = 5
 #: Sizes of a class lie within a factor of 3; its largest documents have 3 shingles a group.
@@ -336,6 +336,8 @@ def _near_points(batches):
         compare(*held)
     if edges:
         yield from contracted()
+    held = edges = None
+    give_back()
 
 
 class CountTree:
@@ -449,6 +451,7 @@ def _tree_join(batches):
                 refs.append(part.column("ref")[i].as_py())
                 sets.append(hashes[offs[i]:offs[i + 1]].copy())
     yield from done()
+    give_back()
 
 
 SEEN = "ref long, id long, n_shingles long, one long, two long"

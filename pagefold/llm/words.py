@@ -13,6 +13,7 @@ the hash alone.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 
@@ -62,6 +63,15 @@ def worker_store() -> types.ModuleType:
     return sys.modules.setdefault("_pagefold_llm_store", types.ModuleType("_pagefold_llm_store"))
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Python workers live on after a task, and the allocators keep what the
+    arrays of one block took; a C library without ``malloc_trim`` keeps it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     store = worker_store()
     have = getattr(store, "powers", None)
