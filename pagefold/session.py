@@ -26,6 +26,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
     "spark.python.worker.reuse": "true",
+    # URL expressions are large trees; inferring IsNotNull constraints over them costs planning time and adds no
+    # filter the scan could use. Only sessions built here get this, never one that is handed in.
+    "spark.sql.constraintPropagation.enabled": "false",
     # checkpoint files go when the frame that reads them is collected
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
