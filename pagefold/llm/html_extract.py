@@ -7,7 +7,9 @@ mark their article themselves), clipped, with plain defaults for what no labelle
 shows. A word's feature is its nearest section-like ancestor, a tag's its name and the same. One
 linear scan finds the contiguous run with the largest sum; that is the content region.
 Inside it, parts that are by their own markup not article text are left out (menus, forms,
-asides, scripts, adverts, comments and the like).
+asides, scripts, adverts, comments and the like); between the first and the last word of a
+marked article, and anywhere in a page that marks none, they weigh nothing, so the run passes
+over them whatever their length.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined in page order by one newline.
@@ -89,12 +91,12 @@ def features(page: str):
     Words is 0 for tags."""
     stack: list[tuple[str, str, bool]] = []  # section-like ancestors: name, feature, not article text
     for kind, value, closing, attributes in tokens(page):
-        inside = any(s[0] in ("article", "main") for s in stack)
+        inside, left_out = any(s[0] in ("article", "main") for s in stack), any(s[2] for s in stack)
         place = stack[-1][1].replace("main", "article") if stack else ""
         if kind == "text":
             words = len(value.split())
             if words:
-                yield "w " + place, words, value, not any(s[2] for s in stack), inside
+                yield "w " + place, words, value, not left_out, inside
             elif value:
                 yield "", 0, value, True, inside
             continue
@@ -116,7 +118,10 @@ def features(page: str):
                     # a header that opens the article holds its title; one outside is the page's own
                     bad = value in NOT_TEXT or bool(hint) or value == "header" and not inside
                     stack.append((value, f"{value}.{hint}" if hint else value, bad))
-        yield f"t {value} {place}", 0, ("/" if closing else "") + value, True, inside and value not in ("article", "main")
+            if not closing:
+                left_out = any(s[2] for s in stack)
+        own = not left_out and value not in NOT_TEXT
+        yield f"t {value} {place}", 0, ("/" if closing else "") + value, own, inside and value not in ("article", "main")
 
 
 def slot(feature: str) -> int:
@@ -132,9 +137,16 @@ def weight_of(feature: str, weights: dict[int, float], default: float) -> float:
     return w
 
 
+def marked_span(toks) -> tuple[int, int] | None:
+    """From the first to the last word of its own text that a page marks as article; None if it marks none."""
+    at = [i for i, (_, words, _, own, inside) in enumerate(toks) if words and own and inside]
+    return (at[0], at[-1]) if at else None
+
+
 def main_text(page: str, weights: dict[int, float]) -> str:
-    """The article of a page."""
+    """The article of a page. Parts that are left out weigh nothing, but for those around a marked article."""
     toks = list(features(page))
+    first, last = marked_span(toks) or (0, len(toks))
     best, total, start, span = 0.0, 0.0, 0, (0, 0)
     known: dict[str, float] = {}
     for i, (feature, words, _, own, _) in enumerate(toks):
@@ -143,7 +155,9 @@ def main_text(page: str, weights: dict[int, float]) -> str:
         w = known.get(feature)
         if w is None:
             w = known[feature] = weight_of(feature, weights, WORD if words else TAG)
-        total += (w if own else min(w, TAG)) * (words or 1)
+        if not own:
+            w = 0.0 if first <= i <= last else min(w, TAG)
+        total += w * (words or 1)
         if total > best:
             best, span = total, (start, i + 1)
         elif total <= 0:
@@ -171,7 +185,7 @@ def _counts(html_col: str):
             for page in batch.column(batch.schema.get_field_index(html_col)):
                 page = page.as_py() or ""
                 toks = [t for t in features(page) if t[0]]
-                if not any(t[4] and t[1] for t in toks):
+                if marked_span(toks) is None:
                     continue  # no article marked: not a labelled page
                 for feature, words, _, _, inside in toks:
                     counts[slot(feature)][inside] += words or 1

@@ -47,3 +47,22 @@ def test_default_weights_without_labelled_pages(spark):
     rows = H.extract(pages, H.fit(pages)).collect()
     assert sorted((r["page_id"], r["main_text"]) for r in rows) == [(1, ("word " * 30).strip()), (2, ""), (2, "")]
     assert H.extract(pages.where("false"), {}).collect() == []
+
+
+def some(word, n):
+    return " ".join([word] * n)
+
+
+@pytest.mark.parametrize("box", ["<div class=ad><p>{}</p></div>", "<nav><ul>{}</ul></nav>", "<aside><h2>More</h2><p>{}</p></aside>",
+                                 "<form><p>{}</p></form>", "<script>{}</script>"])
+@pytest.mark.parametrize("n", [60, 2000])
+def test_long_boxes_inside_an_article_cut_nothing(weights, box, n):
+    box = box.format("".join(f"<li><a href=/{i}>x</a></li>" for i in range(n)) if "nav" in box else some("x", n))
+    parts = [some("title", 5), some("lead", 40), some("body", 300), some("tail", 8)]
+    title, *paragraphs = parts
+    page = f"<body><nav><a>x</a></nav><article><h1>{title}</h1>" + box.join(f"<p>{p}</p>" for p in paragraphs) + "</article><footer>x x</footer>"
+    assert H.main_text(page, weights) == "\n".join(parts)
+    unmarked = page.replace("article>", "div>")
+    assert H.main_text(unmarked, weights) == "\n".join(parts)
+    two = f"<body><article><p>{parts[1]}</p></article>{box}<article><p>{parts[2]}</p></article>"
+    assert H.main_text(two, weights) == parts[1] + "\n" + parts[2]
