@@ -45,13 +45,20 @@ RAW = frozenset("script style noscript template iframe textarea xmp noembed nofr
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby "
                    "s samp small span strike strong sub sup time tt u var wbr".split())
+ARTICLE = ("article", "main")
 SECTIONS = frozenset("article main nav header footer aside form body head".split())
 NOT_TEXT = frozenset("nav aside footer form head button select option dialog menu".split()) | RAW
-#: Names of classes and ids that say what a part is, fixed values.
-HINTS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w+|banner|sponsor\w*|promo\w*|comments?|replies|disqus|sidebar|side|"
-                   r"menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|cookies?|consent|notice|alert|popup|modal|newsletter|"
-                   r"subscribe|related|recommended|share|sharing|social|widget)(?:$|[\s_-])", re.I)
-NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Names of classes, ids and roles that say what a part is, fixed values. A name counts by itself or with other such names
+#: and words for a box (ad-slot, cookie-banner, related-posts), not as a part of any other (has-sidebar, entry-header).
+SURE = r"(?:ads?|adverts?|advertis\w*|sponsor\w*|promo\w*|comments?|replies|disqus)"
+NAMES = (r"(?:banner|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|cookies?|consent|notice|alert|popup|"
+         r"modal|newsletter|subscribe|related|recommended|share|sharing|social|widget)")
+BOX = r"(?:box|slot|unit|block|bar|container|wrapper|section|area|list|links?|buttons?|items?|posts?|form|\d+)"
+HINT = re.compile(rf"(?:{SURE}|{NAMES})(?:[_-]+(?:{SURE}|{NAMES}|{BOX}))*", re.I)
+SURELY = re.compile(rf"{SURE}(?:[_-]|$)", re.I)
+#: Inside an article these name its own head.
+HEADS = re.compile(r"(?:header|masthead)(?:[_-]|$)", re.I)
+NAMED = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 FEATURES = 1 << 16
 CLIP = 4.0
 WORD, TAG = 0.5, -1.0
@@ -78,21 +85,102 @@ def tokens(page: str):
             at = end.start() if end else n
 
 
-def _hint(attributes: str) -> str:
-    """The naming attribute words that mark a part, or nothing."""
+def _hints(attributes: str) -> list[str]:
+    """The names that mark a part."""
     if "=" not in attributes:
-        return ""
-    named = " ".join(a or b or c for a, b, c in NAMED.findall(attributes))
-    return named if named and HINTS.search(named) else ""
+        return []
+    return [name for a, b, c in NAMED.findall(attributes) for name in (a or b or c).lower().split() if HINT.fullmatch(name)]
+
+
+class _Open:
+    """A section-like ancestor, or inside a named part (``at`` is -1) one that its end tag could be taken for."""
+
+    __slots__ = "tag", "names", "bad", "at"
+
+    def __init__(self, tag: str, names: list[str], bad: bool, at: int):
+        self.tag, self.names, self.bad, self.at = tag, names, bad, at
+
+
+def _walk(toks, applied):
+    """(number, kind, value, closing, stack of _Open before and after) of every token; ``applied`` tells if names of the
+    element opened by token number n count."""
+    stack: list[_Open] = []
+    for n, (kind, value, closing, attributes) in enumerate(toks):
+        before = stack
+        if kind == "tag" and value not in INLINE:
+            stack = list(stack)
+            if closing:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i].tag == value:
+                        del stack[i:]
+                        break
+            elif value == "body":
+                stack = [s for s in stack if s.tag != "head"]
+            else:
+                if stack and stack[-1].tag == "p" or stack and stack[-1].tag == value == "li":
+                    stack.pop()  # ends where the next block starts
+                inside = any(s.tag in ARTICLE for s in stack)
+                names = _hints(attributes) if value not in ARTICLE and value != "html" else []
+                if inside:
+                    names = [] if value == "header" else [x for x in names if not HEADS.match(x)]
+                if names and not applied(n):
+                    names = []
+                if (value in SECTIONS or value in NOT_TEXT or names) and value not in VOID and value not in RAW:
+                    # a header that opens the article holds its title; one outside is the page's own
+                    bad = value in NOT_TEXT or bool(names) or value == "header" and not inside
+                    stack.append(_Open(value, names, bad, n))
+                elif any(s.names and (s.tag == value or s.tag == "li" and value in ("ul", "ol")) for s in stack):
+                    stack.append(_Open(value, [], False, -1))  # so that its end tag does not end the named part
+        yield n, kind, value, closing, before, stack
+
+
+def _wrappers(toks) -> set[int]:
+    """Numbers of the tags whose names do not make them left-out parts: they hold an article, or most words of the page (of
+    the article that they are in, if any), or for adverts and comments all of them. Next to an article that is marked no
+    part is a wrapper for its words alone; comments that follow words of an article may hold articles of their own."""
+    held: dict[int, list] = {}  # tag number: names, tag number of the article around, its words, its articles, words read
+    total: dict[int, int] = {-1: 0}  # words of the page and of each article, without those of parts left out by their tag
+    read = 0
+    for n, kind, value, closing, before, stack in _walk(toks, lambda n: True):
+        if kind == "text":
+            words = len(value.split())
+            if words and not any(s.tag in NOT_TEXT or s.tag == "header" and s.bad for s in stack):
+                total[-1] += words
+                for s in stack:
+                    if s.tag in ARTICLE:
+                        total[s.at] += words
+                        read += words
+                    if s.at in held:
+                        held[s.at][2] += words
+        elif stack is not before and not closing and stack and stack[-1].at == n:
+            top = stack[-1]
+            if top.tag in ARTICLE:
+                total[n] = 0
+                for s in stack:
+                    if s.at in held:
+                        held[s.at][3] += 1
+            elif top.names:
+                around = next((s.at for s in reversed(stack) if s.tag in ARTICLE), -1)
+                held[n] = [top.names, around, 0, 0, read]
+    marked = any(w for a, w in total.items() if a >= 0)
+    out = set()
+    for n, (names, around, words, articles, read) in held.items():
+        sure = any(SURELY.match(x) for x in names)
+        comments = any(x.startswith(("comment", "replies", "disqus")) for x in names)
+        most = around >= 0 or not marked
+        if articles and not (comments and read) or most and words and (words == total[around] if sure else 2 * words > total[around]):
+            out.add(n)
+    return out
 
 
 def features(page: str):
     """(feature, words, raw text or tag, is content by its own markup, inside an article) of every token.
     Words is 0 for tags."""
-    stack: list[tuple[str, str, bool]] = []  # section-like ancestors: name, feature, not article text
-    for kind, value, closing, attributes in tokens(page):
-        inside, left_out = any(s[0] in ("article", "main") for s in stack), any(s[2] for s in stack)
-        place = stack[-1][1].replace("main", "article") if stack else ""
+    toks = list(tokens(page))
+    wrappers = _wrappers(toks)
+    for _, kind, value, closing, before, stack in _walk(toks, lambda n: n not in wrappers):
+        inside, left_out = any(s.tag in ARTICLE for s in before), any(s.bad for s in before)
+        place = _place(before)
         if kind == "text":
             words = len(value.split())
             if words:
@@ -100,28 +188,20 @@ def features(page: str):
             elif value:
                 yield "", 0, value, True, inside
             continue
-        if value not in INLINE:
-            if closing:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == value:
-                        del stack[i:]
-                        break
-            elif value == "body":
-                stack = [s for s in stack if s[0] != "head"]
-            else:
-                if stack and stack[-1][0] == "p" or stack and stack[-1][0] == value == "li":
-                    stack.pop()  # ends where the next block starts
-                hint = _hint(attributes)
-                if (value in SECTIONS or value in NOT_TEXT or hint) and value not in VOID and value not in RAW:
-                    if value in ("article", "main"):
-                        inside = True
-                    # a header that opens the article holds its title; one outside is the page's own
-                    bad = value in NOT_TEXT or bool(hint) or value == "header" and not inside
-                    stack.append((value, f"{value}.{hint}" if hint else value, bad))
-            if not closing:
-                left_out = any(s[2] for s in stack)
+        if stack is not before and not closing:
+            inside, left_out = inside or value in ARTICLE, any(s.bad for s in stack)
         own = not left_out and value not in NOT_TEXT
-        yield f"t {value} {place}", 0, ("/" if closing else "") + value, own, inside and value not in ("article", "main")
+        yield f"t {value} {place}", 0, ("/" if closing else "") + value, own, inside and value not in ARTICLE
+
+
+def _place(stack) -> str:
+    """The nearest section-like ancestor; what an article keeps counts as the article."""
+    top = next((s for s in reversed(stack) if s.at >= 0), None)
+    if top is None:
+        return ""
+    if not top.bad and any(s.tag in ARTICLE for s in stack):
+        return "article"
+    return ".".join([top.tag.replace("main", "article"), *top.names])
 
 
 def slot(feature: str) -> int:

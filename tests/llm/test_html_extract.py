@@ -66,3 +66,33 @@ def test_long_boxes_inside_an_article_cut_nothing(weights, box, n):
     assert H.main_text(unmarked, weights) == "\n".join(parts)
     two = f"<body><article><p>{parts[1]}</p></article>{box}<article><p>{parts[2]}</p></article>"
     assert H.main_text(two, weights) == parts[1] + "\n" + parts[2]
+
+
+@pytest.mark.parametrize("page", [
+    '<body><div class="content has-sidebar"><article>{}</article></div>', '<body><div id="no-sidebar"><article>{}</article></div>',
+    '<body class="sidebar"><article>{}</article>', '<body><article class="post has-comments">{}</article>',
+    '<body><article class="widget comments">{}</article>', '<body><div class="sidebar"><main>{}</main></div>',
+    '<body><div class="ad"><article>{}</article></div>', '<body><div class="page menu-open">{}</div>',
+    '<body><div class="widget">{}</div><p class="notice">x</p>', '<body><article><div class="widget">{}</div><div class="share">x x</div></article>',
+    '<body><article>{}</article><div class="sidebar">' + some("x", 500) + "</div>", '<body><article>{}<div class="ad-slot">x</div></article>',
+    '<body><article>{}<p data-id="ad"></p><div class="comments">' + some("x", 500) + "</div></article>",
+    '<body><article>{}</article><div id="comments"><article class="comment">x x x</article></div>',
+    '<body><article>{}<div class="ad"><div>x</div><p>x x x</div></article>', '<body><div class="sidebar"><div>{}</div><p></p></div><p class="ad">x</p>',
+    '<body><article>{}<ul><li class="ad"><ul><li>x</li></ul>x x</li></ul></article>',
+    '<body><div>{}</div><div id="cookie-banner">x x</div>', '<body><div>{}</div><div class="comments">' + some("x", 90) + "</div>",
+])
+def test_names_leave_out_parts_not_layout(weights, page):
+    title, lead = some("title", 5), some("lead", 40)
+    assert H.main_text(page.format(f"<h1>{title}</h1><p>{lead}</p>"), weights) == f"{title}\n{lead}"
+
+
+@pytest.mark.parametrize("head", ['<header class="entry-header">', '<header class="header">', '<div class="header">', '<header role="banner">'])
+def test_title_in_a_head_of_the_article(weights, head):
+    end = head[1:].split()[0]
+    page = f"<body><header class=header>x x</header><article>{head}<h1>title words</h1></{end}><p>{some('lead', 40)}</p></article>"
+    assert H.main_text(page, weights) == f"title words\n{some('lead', 40)}"
+
+
+def test_wrapper_keeps_what_follows_its_inner_boxes(weights):
+    lead, rest = some("lead", 40), some("rest", 60)
+    assert H.main_text(f'<body><div class="widget"><div><p>{lead}</p></div><p>{rest}</p></div>', weights) == f"{lead}\n{rest}"
