@@ -4,7 +4,8 @@ A page is cut into tags and pieces of text. Words score positive where labelled
 content and tags negative where they have boilerplate: a token's weight is the log ratio of
 how often its feature stands inside and outside the article of labelled pages (pages that
 mark their article themselves), clipped, with plain defaults for what no labelled page
-shows. A word's feature is its nearest section-like ancestor, a tag's its name and the same. One
+shows. Pages that mark no article take the default for words and no less than it for tags. A
+word's feature is its nearest section-like ancestor, a tag's its name and the same. One
 linear scan finds the contiguous run with the largest sum; that is the content region.
 Inside it, parts that are by their own markup not article text are left out (menus, forms,
 asides, scripts, adverts, comments and the like); between the first and the last word of a
@@ -45,6 +46,7 @@ RAW = frozenset("script style noscript template iframe textarea xmp noembed nofr
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby "
                    "s samp small span strike strong sub sup time tt u var wbr".split())
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 ARTICLE = ("article", "main")
 SECTIONS = frozenset("article main nav header footer aside form body head".split())
 NOT_TEXT = frozenset("nav aside footer form head button select option dialog menu".split()) | RAW
@@ -217,6 +219,19 @@ def weight_of(feature: str, weights: dict[int, float], default: float) -> float:
     return w
 
 
+def unmarked_weight_of(feature: str, weights: dict[int, float], default: float) -> float:
+    """In a page that marks no article. Where marked pages have such words and tags says nothing about it: words weigh the
+    default, tags half of what they weigh in any place, but no less than the default; those of paragraphs and headings
+    are 0 at least, so that a title in a box of its own stays."""
+    kind, _, name = feature.partition(" ")
+    if kind == "w":
+        return default
+    name = name.partition(" ")[0]
+    w = weights.get(slot(f"{kind} {name}"))
+    default = 0.0 if name in TEXT else default
+    return default if w is None else max(default, w / 2)
+
+
 def marked_span(toks) -> tuple[int, int] | None:
     """From the first to the last word of its own text that a page marks as article; None if it marks none."""
     at = [i for i, (_, words, _, own, inside) in enumerate(toks) if words and own and inside]
@@ -226,7 +241,9 @@ def marked_span(toks) -> tuple[int, int] | None:
 def main_text(page: str, weights: dict[int, float]) -> str:
     """The article of a page. Parts that are left out weigh nothing, but for those around a marked article."""
     toks = list(features(page))
-    first, last = marked_span(toks) or (0, len(toks))
+    span = marked_span(toks)
+    first, last = span or (0, len(toks))
+    weigh = weight_of if span else unmarked_weight_of
     best, total, start, span = 0.0, 0.0, 0, (0, 0)
     known: dict[str, float] = {}
     for i, (feature, words, _, own, _) in enumerate(toks):
@@ -234,7 +251,7 @@ def main_text(page: str, weights: dict[int, float]) -> str:
             continue
         w = known.get(feature)
         if w is None:
-            w = known[feature] = weight_of(feature, weights, WORD if words else TAG)
+            w = known[feature] = weigh(feature, weights, WORD if words else TAG)
         if not own:
             w = 0.0 if first <= i <= last else min(w, TAG)
         total += w * (words or 1)

@@ -96,3 +96,14 @@ def test_title_in_a_head_of_the_article(weights, head):
 def test_wrapper_keeps_what_follows_its_inner_boxes(weights):
     lead, rest = some("lead", 40), some("rest", 60)
     assert H.main_text(f'<body><div class="widget"><div><p>{lead}</p></div><p>{rest}</p></div>', weights) == f"{lead}\n{rest}"
+
+
+def test_table_that_mixes_marked_and_unmarked_pages(spark):
+    marked = f"<body><article><p>{some('word', 300)}</p></article><div><p>{some('byline', 30)}</p><div>copyright</div></div></body>"
+    text = [some("title", 5), some("lead", 40), some("tail", 8)]
+    plain = f"<body><div><h1>{text[0]}</h1></div><div><p>{text[1]}</p><p>{text[2]}</p></div><footer>x x</footer></body>"
+    pages = spark.createDataFrame([(1, plain)] + [(i, marked) for i in range(2, 40)], "page_id long, html string")
+    for table in (pages.where("page_id = 1"), pages.where("page_id < 3"), pages):
+        got = {r["page_id"]: r["main_text"] for r in H.extract(table, H.fit(table)).collect()}
+        assert got[1] == "\n".join(text)
+        assert all(x == some("word", 300) for i, x in got.items() if i > 1)
