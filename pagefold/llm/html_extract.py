@@ -19,7 +19,8 @@ The weights are sums over all labelled pages, made in Spark and hashed into a fi
 of features; only those weights reach the driver and the tasks.
 
 Defined results: null and empty html give an empty text; a page without words gives one as
-well; unclosed tags, comments and scripts end with the page; repeated rows give equal texts;
+well; unclosed tags, comments, scripts, styles, textareas and titles end with the page, after other unclosed raw
+elements reading goes on; a formula's text stays; repeated rows give equal texts;
 without any labelled page the default weights are used; columns named like the new ones are
 replaced.
 """
@@ -42,7 +43,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>"""
                     r"""|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 #: Elements, fixed values of HTML.
-RAW = frozenset("script style noscript template iframe textarea xmp noembed noframes svg math title".split())
+RAW = frozenset("script style noscript template iframe textarea xmp noembed noframes svg title".split())
+#: These end with the page if nothing ends them; after any other unclosed raw element reading goes on behind its tag.
+TO_THE_END = frozenset("script style textarea title".split())
+#: A formula's tags neither weigh nor part its text, but for these that end a cell or the shown formula.
+MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup "
+                 "msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mlabeledtr mtd maction semantics annotation "
+                 "annotation-xml".split())
+MATH_PARTS = frozenset("mtr mlabeledtr mtd annotation annotation-xml".split())
+UNQUOTED_END = re.compile(r"""=\s*[^\s"'=<>`]+/\Z""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby "
                    "s samp small span strike strong sub sup time tt u var wbr".split())
@@ -69,6 +78,7 @@ WORD, TAG = 0.5, -1.0
 def tokens(page: str):
     """('text', raw text) and ('tag', name, closing, attributes) in page order; contents of raw elements are left out."""
     at, n = 0, len(page)
+    missing: set[str] = set()
     while at < n:
         m = MARKUP.search(page, at)
         if m is None:
@@ -83,8 +93,27 @@ def tokens(page: str):
         name, closing = name.lower(), bool(m[1] or m[4])
         yield "tag", name, closing, m[3] or m[6] or ""
         if name in RAW and not closing:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
-            at = end.start() if end else n
+            end = _raw_end(page, at, name, m[3] or m[6] or "", missing)
+            at = end if end is not None else n if name in TO_THE_END else at
+
+
+def _raw_end(page: str, at: int, name: str, attributes: str, missing: set[str]) -> int | None:
+    """Where the contents end of a raw element whose tag ends at ``at``; None if nothing ends it. ``missing`` keeps the names
+    that have no end tag further on."""
+    if name == "svg" and attributes.endswith("/") and not UNQUOTED_END.search(attributes):
+        return at
+    if name in missing:
+        return None
+    depth = 1  # only svg nests
+    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])([^>]*)", re.I).finditer(page, at):
+        if m[1]:
+            depth -= 1
+            if not depth:
+                return m.start()
+        elif name == "svg" and not (m[2].endswith("/") and not UNQUOTED_END.search(m[2])):
+            depth += 1
+    missing.add(name)
+    return None
 
 
 def _hints(attributes: str) -> list[str]:
@@ -109,7 +138,7 @@ def _walk(toks, applied):
     stack: list[_Open] = []
     for n, (kind, value, closing, attributes) in enumerate(toks):
         before = stack
-        if kind == "tag" and value not in INLINE:
+        if kind == "tag" and value not in INLINE and value not in MATH:
             stack = list(stack)
             if closing:
                 for i in range(len(stack) - 1, -1, -1):
@@ -190,6 +219,9 @@ def features(page: str):
             elif value:
                 yield "", 0, value, True, inside
             continue
+        if value in MATH:
+            yield "", 0, " " if value in MATH_PARTS else "", True, inside
+            continue
         if stack is not before and not closing:
             inside, left_out = inside or value in ARTICLE, any(s.bad for s in stack)
         own = not left_out and value not in NOT_TEXT

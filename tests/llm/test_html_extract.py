@@ -107,3 +107,20 @@ def test_table_that_mixes_marked_and_unmarked_pages(spark):
         got = {r["page_id"]: r["main_text"] for r in H.extract(table, H.fit(table)).collect()}
         assert got[1] == "\n".join(text)
         assert all(x == some("word", 300) for i, x in got.items() if i > 1)
+
+
+@pytest.mark.parametrize("odd, text", [
+    ('<svg class="icon"/>', ""), ("<svg/>", ""), ("<math/>", ""), ("<svg><text>x</text></svg>", ""), ("<svg>", ""), ("<iframe>", ""),
+    ("<noscript>", ""), ("<svg><svg/><svg><text>x</text></svg><text>x</text></svg>", ""), ('<svg class="a>b"/>', ""),
+    ("<svg class=icon/><text>x</text></svg>", ""), ("<iframe>x</iframe>", ""),
+    ("<math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math>", "E=mc2"),
+    ("<math><mtable><mtr><mtd>1</mtd><mtd>0</mtd></mtr></mtable></math>", "1 0")])
+@pytest.mark.parametrize("later", ["", "<p>then <svg><path d=M0/></svg></p>"])
+def test_unclosed_and_self_closed_raw_elements(weights, odd, text, later):
+    page = f"<body><article><p>{some('lead', 9)} {odd} rest</p><p>tail words</p>{later}</article><footer>x</footer>"
+    assert H.main_text(page, weights).split() == f"{some('lead', 9)} {text} rest tail words {'then' if later else ''}".split()
+
+
+def test_unclosed_script_ends_with_the_page(weights):
+    for name in ("script", "style", "textarea", "title"):
+        assert H.main_text(f"<article><p>lead</p><{name}>x x</article>", weights) == "lead"
