@@ -5,7 +5,7 @@ trigrams that are new in their document and that it repeats. Two bag-of-n-grams
 made: one of target text (labelled good documents) and one of all raw text. A document's
 importance weight is the log ratio of its probability under the two. Gumbel noise is added
 and the k largest sums are kept: a draw of k documents without replacement, in proportion to
-their weights. k is the share of good documents among the labelled ones, unless given.
+their weights. k is the share of good documents among all labelled ones, unless given.
 
 The raw model counts all documents; the target model is fitted on a bounded sample of
 ``SAMPLE`` labelled rows. The noise of a row comes from its id and a seed, so a rerun draws
@@ -154,8 +154,8 @@ def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     if learn_from is not None:
         usable = usable.where(learn_from)
-    usable = (usable.groupBy(id_col).agg(F.max(label_col).alias("_y"))
-              .orderBy(F.xxhash64(id_col), id_col).limit(sample).withColumnRenamed(id_col, "_id"))
+    labelled = usable.groupBy(id_col).agg(F.max(label_col).alias("_y"))
+    usable = labelled.orderBy(F.xxhash64(id_col), id_col).limit(sample).withColumnRenamed(id_col, "_id")
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     good = texts.join(F.broadcast(usable.where("_y > 0")), "_id")  # ``sample`` rows at most
     raw = gram_counts(texts.select("_text"))
@@ -165,7 +165,7 @@ def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scored = saved(scored.withColumn("noisy_weight", F.col("log_weight") + gumbel(id_col, seed))
                    .select(*dict.fromkeys([*keep, id_col]), "log_weight", "noisy_weight"))
     if k is None:
-        rate = usable.agg(F.avg((F.col("_y") > 0).cast("double"))).first()[0]
+        rate = labelled.agg(F.avg((F.col("_y") > 0).cast("double"))).first()[0]
         k = round(scored.count() * (1.0 if rate is None else rate))
     cut = kth_largest(scored.select(F.col("noisy_weight").alias("sum")), k) if k > 0 else float("inf")
     kept = F.lit(True) if cut is None else F.col("noisy_weight") >= cut

@@ -49,3 +49,10 @@ def test_odd_rows(spark, odd_docs):
     uniform = I.resample(odd_docs, labels.where("false"))
     assert {r["log_weight"] for r in uniform.collect()} == {0.0}
     assert I.resample(odd_docs.where("false"), labels).collect() == []
+
+
+def test_share_counts_all_labels(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(100)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") < 37).cast("int").alias("quality"))
+    for sample in (1, 3, 1000):  # of the labels, for the target model only
+        assert I.resample(docs, labels, sample=sample).where("kept").count() == 37
