@@ -2,20 +2,22 @@
 
 1. Features of a text: its words and their leading 3 to 8 bytes, hashed by kind; a stem that
    many insults share is a feature like a whole word.
-2. Voters. Lexicons are mined from a bounded sample of labelled rows: features whose
+2. Voters. Lexicons are mined from all labelled rows, counted in Spark: features whose
    presence goes with the label beyond chance (log-likelihood ratio), by kind and strength.
    A general word list and patterns (several lexicon hits, shouting, strings of exclamation
    marks) vote as well. Every document gets a vote pattern, one bit per voter.
 3. Label model. A generative model of (label, votes) is fitted by EM on the counts of the
-   vote patterns of all documents; labelled patterns enter with their labels. Votes are not
+   vote patterns of all documents; those of all labelled rows enter with their labels. Votes are not
    taken as independent: given the label, each voter depends on one other, along the tree
    with the largest conditional mutual information, so accuracies and correlations are both
    estimated and near copies of a voter count once.
 4. A sparse linear classifier on the features (logistic loss, L1) is trained on the posterior
-   labels of the sampled rows, and scores every document.
+   labels of sampled rows, labelled and not, and scores every document. A mined feature that
+   the sample shows too seldom weighs what its share of toxic rows among all labelled ones says.
 
-Bounds: ``SAMPLE`` labelled rows fit lexicons and classifier; vote patterns are counted over
-all documents and there are at most 2 ** voters of them. Labels, language, source and id are
+Bounds: ``SAMPLE`` labelled and ``UNLABELLED`` other rows, one per id, train the classifier;
+lexicons are mined from all labelled rows; vote patterns are counted over all documents and
+there are at most 2 ** voters of them. Labels, language, source and id are
 no features.
 
 Defined results: null and empty texts have no features and get the model's base score;
@@ -34,9 +36,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagefold.llm import words as W
-from pagefold.llm.blocks import cut
+from pagefold.llm.blocks import cut, saved
 
 SAMPLE = 6_000
+UNLABELLED = 2_000
 THRESHOLD = 0.3
 PIECE_BYTES = 2 << 20
 #: Kinds of features: the whole word, or its first bytes.
@@ -163,31 +166,73 @@ def surface(texts) -> np.ndarray:
 
 def mine(rows: list[np.ndarray], y: np.ndarray) -> list[np.ndarray]:
     """Lexicons of the voters: the word list, then per kind the features that go with the label."""
-    found = [insult_ids()]
     if not len(rows):
-        return found
+        return [insult_ids()]
+    ids, both, pos = feature_counts(rows, y)
+    return lexicons(ids, both, pos, float(y.sum()), float(len(y) - y.sum()), int((both >= 3).sum()))
+
+
+def feature_counts(rows: list[np.ndarray], y: np.ndarray):
+    """(feature ids, rows that have them, toxic rows that have them)."""
     ids, col = np.unique(np.concatenate(rows), return_inverse=True)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    both = np.bincount(col, minlength=len(ids))
-    pos = np.bincount(col, y[row], minlength=len(ids))
+    return ids, np.bincount(col, minlength=len(ids)), np.bincount(col, y[row], minlength=len(ids)).astype(np.int64)
+
+
+def share_of(both, pos, n1: float, n0: float):
+    """Smoothed share of toxic rows among those that have a feature."""
+    rate = max(1.0, n1) / (max(1.0, n1) + max(1.0, n0))
+    return (pos + 0.5 * rate) / (both + 0.5)
+
+
+def lexicons(ids, both, pos, n1: float, n0: float, tried: int) -> list[np.ndarray]:
+    """From counts over ``n1`` toxic and ``n0`` other rows, where ``tried`` features are in three rows or more."""
+    found = [insult_ids()]
     neg = both - pos
-    n1, n0 = max(1.0, float(y.sum())), max(1.0, float(len(y) - y.sum()))
-    rate = n1 / (n1 + n0)
+    rate = max(1.0, n1) / (max(1.0, n1) + max(1.0, n0))
     with np.errstate(divide="ignore", invalid="ignore"):
         g2 = 2 * (np.where(pos > 0, pos * np.log(pos / (both * rate)), 0) + np.where(neg > 0, neg * np.log(neg / (both * (1 - rate))), 0))
-    share = (pos + 0.5 * rate) / (both + 0.5)
-    least = 2 * np.log(max(2, (both >= 3).sum()))  # one feature by chance among all that were tried
+    share = share_of(both, pos, n1, n0)
+    least = 2 * np.log(max(2, tried))  # one feature by chance among all that were tried
     for k in range(len(PREFIXES)):
         chosen = (ids >> KIND_BITS == k) & (g2 >= least) & (pos >= 3)
         found += [ids[chosen & (share >= 0.9)], ids[chosen & (share >= 0.6) & (share < 0.9)]]
     return [f for i, f in enumerate(found) if i == 0 or len(f)]
 
 
+def mine_all(labelled: DataFrame):
+    """(lexicons, their mined ids, toxic share of each) from all rows of ``_text`` and ``_y``."""
+    def count(batches):
+        for batch in _pieces(batches, "_text"):
+            y = _text(batch, "_y").to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, both, pos = feature_counts(features_of(_text(batch, "_text")), y)
+            # number 0, which no feature has, counts the rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(ids.astype(np.int64), 0)), pa.array(np.append(both, len(y))),
+                                              pa.array(np.append(pos, y.sum()))], names=["id", "both", "pos"])
+    counts = saved(labelled.mapInArrow(count, "id long, both long, pos long").groupBy("id")
+                   .agg(F.sum("both").alias("both"), F.sum("pos").alias("pos")).where("both >= 3 OR id = 0"))
+    all_rows = counts.where("id = 0").first()
+    if all_rows is None:
+        return [insult_ids()], np.zeros(0, np.uint32), np.zeros(0)
+    n1, n0 = float(all_rows["pos"]), float(all_rows["both"] - all_rows["pos"])
+    tried = counts.where("id > 0").count()
+    rate = max(1.0, n1) / (max(1.0, n1) + max(1.0, n0))
+    pos, neg = F.col("pos"), F.col("both") - F.col("pos")
+    g2 = 2 * (pos * F.log(pos / (F.col("both") * rate)) + F.when(neg > 0, neg * F.log(neg / (F.col("both") * (1 - rate)))).otherwise(0.0))
+    # the lexicons themselves, and a little over for rounding
+    got = counts.where((F.col("id") > 0) & (pos >= 3) & (pos >= 0.59 * F.col("both")) & (g2 >= 2 * float(np.log(max(2, tried))) - 1e-6)).collect()
+    got.sort(key=lambda r: r["id"])
+    ids, both, pos = np.array([r["id"] for r in got], np.uint32), np.array([r["both"] for r in got], np.int64), np.array([r["pos"] for r in got], np.int64)
+    found = lexicons(ids, both, pos, n1, n0, tried)
+    used = np.isin(ids, np.concatenate([np.zeros(0, np.uint32), *found[1:]]))
+    return found, ids[used], share_of(both, pos, n1, n0)[used]
+
+
 class LabelModel:
     """P(label) and P(vote | label, vote of its parent) along a tree of the voters."""
 
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, labelled: np.ndarray, n: int, rounds: int = 30):
-        """``counts`` of all documents per pattern; ``labelled``: per pattern the sampled rows of label 0 and 1."""
+        """``counts`` of all documents per pattern; ``labelled``: per pattern the labelled rows of label 0 and 1."""
         v = (patterns[:, None] >> np.arange(n)) & 1
         known = labelled.sum(1)
         rest = np.maximum(counts - known, 0).astype(float)
@@ -324,44 +369,60 @@ def _text(batch, text_col):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        learn_from: Column | None = None, sample: int = SAMPLE) -> Model:
+        learn_from: Column | None = None, sample: int = SAMPLE, unlabelled: int = UNLABELLED) -> Model:
     """Model from ``docs`` and those ``labels`` that ``learn_from`` (a condition on the id) admits."""
-    usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
-    if learn_from is not None:
-        usable = usable.where(learn_from)
-    usable = (usable.groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
-              .orderBy(F.xxhash64(id_col), id_col).limit(sample))
+    admitted = F.col(id_col).isNotNull() if learn_from is None else F.col(id_col).isNotNull() & learn_from
+    usable = (labels.where(admitted & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id"))
+              .agg((F.max(label_col).cast("int") > 0).cast("int").alias("_y")))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    picked = texts.join(F.broadcast(usable.withColumnRenamed(id_col, "_id")), "_id")  # ``sample`` rows at most
+    usable = usable.hint("merge")  # labels may be many: no side of a join with them is sent whole to the tasks
+    found, mined, shares = mine_all(docs.where(admitted).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+                                    .join(usable, "_id").select("_text", "_y"))
+    voters = Voters(found)
+
+    def vote(batches):
+        for batch in _pieces(batches, "_text"):
+            yield pa.RecordBatch.from_arrays([_text(batch, "_id").cast(pa.int64()), pa.array(voters.votes(_text(batch, "_text")))], names=["_id", "votes"])
+    counted = (texts.withColumn("_id", F.col("_id").cast("long")).mapInArrow(vote, "_id long, votes long")
+               .join(usable.withColumn("_id", F.col("_id").cast("long")).hint("merge"), "_id", "left").groupBy("votes", "_y").count().collect())
+    if not counted:
+        return Model(np.zeros(0, np.uint32), np.zeros(0), -4.0)
+    patterns = np.array(sorted({r["votes"] for r in counted}), np.int64)
+    place = {p: i for i, p in enumerate(patterns.tolist())}
+    totals, labelled = np.zeros(len(patterns)), np.zeros((len(patterns), 2))
+    for r in counted:
+        totals[place[r["votes"]]] += r["count"]
+        if r["_y"] is not None:
+            labelled[place[r["votes"]], r["_y"]] += r["count"]
+    if not labelled.any():  # no labelled row: the lexicon itself is the classifier
+        return Model(insult_ids(), np.full(len(insult_ids()), 3.0), -3.0)
+    model = LabelModel(patterns, totals, labelled, voters.n)
+
+    def some(ids, n):
+        return ids.orderBy(F.xxhash64("_id"), "_id").limit(n)
+    others = docs.where(admitted).select(F.col(id_col).alias("_id")).distinct().join(usable, "_id", "left_anti")
+    picked = some(texts.select("_id").distinct().join(usable, "_id", "left_semi"), sample).unionByName(some(others, unlabelled))
+    # ``sample`` + ``unlabelled`` rows at most: of rows with one id the least text
+    picked = texts.join(F.broadcast(picked), "_id").groupBy("_id").agg(F.min("_text").alias("_text"))
 
     def describe(batches):
         for batch in _pieces(batches, "_text"):
             text = _text(batch, "_text")
             rows = [r.tobytes() for r in features_of(text)]
-            yield pa.RecordBatch.from_arrays([_text(batch, "_id").cast(pa.int64()), _text(batch, "_y").cast(pa.int32()), pa.array(rows, pa.binary()),
-                                              pa.array(surface(text))], names=["id", "y", "ids", "surface"])
-    got = picked.mapInArrow(describe, "id long, y int, ids binary, surface long").collect()
-    got.sort(key=lambda r: (r["id"], r["ids"]))  # sums in a fixed order
+            yield pa.RecordBatch.from_arrays([_text(batch, "_id").cast(pa.int64()), pa.array(rows, pa.binary()),
+                                              pa.array(voters.votes(text))], names=["id", "ids", "votes"])
+    got = picked.mapInArrow(describe, "id long, ids binary, votes long").collect()
+    got.sort(key=lambda r: r["id"])  # sums in a fixed order
     rows = [np.frombuffer(r["ids"], np.uint32) for r in got]
-    y = np.array([r["y"] for r in got], np.int64)
-    voters = Voters(mine(rows, y))
+    ids, weights, base = train(rows, model.posterior(np.array([r["votes"] for r in got], np.int64)))
+    return Model(*_with_rare(ids, weights, base, rows, mined, shares))
 
-    def vote(batches):
-        for batch in _pieces(batches, "_text"):
-            yield pa.RecordBatch.from_arrays([pa.array(voters.votes(_text(batch, "_text")))], names=["votes"])
-    counted = texts.select("_text").mapInArrow(vote, "votes long").groupBy("votes").count().collect()
-    mine_votes = np.array([voters.of_features(r, g["surface"]) for r, g in zip(rows, got)], np.int64)
-    totals = {r["votes"]: r["count"] for r in counted}
-    patterns = np.array(sorted({*totals, *mine_votes.tolist()}), np.int64)
-    place = {p: i for i, p in enumerate(patterns.tolist())}
-    labelled = np.zeros((len(patterns), 2))
-    np.add.at(labelled, ([place[p] for p in mine_votes.tolist()], y), 1)
-    if not len(patterns):
-        return Model(np.zeros(0, np.uint32), np.zeros(0), -4.0)
-    model = LabelModel(patterns, np.array([totals.get(p, 0) for p in patterns.tolist()], float), labelled, voters.n)
-    if not len(rows):  # no labelled row: the lexicon itself is the classifier
-        return Model(insult_ids(), np.full(len(insult_ids()), 3.0), -3.0)
-    return Model(*train(rows, model.posterior(mine_votes)))
+
+def _with_rare(ids, weights, base: float, rows: list[np.ndarray], mined: np.ndarray, shares: np.ndarray):
+    """The classifier with the mined features that are in fewer than three of its rows."""
+    seen, times = np.unique(np.concatenate([*rows, np.zeros(0, np.uint32)]), return_counts=True)
+    rare = ~np.isin(mined, seen[times >= 3])
+    return np.append(ids, mined[rare]), np.append(weights, np.log(shares[rare] / (1 - shares[rare])) - base), base
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -78,3 +78,27 @@ def test_rank_of_scores_ignores_other_columns(spark, odd_docs):
     a = X.score(odd_docs.select("doc_id", "text"), model).agg(F.sum("score")).first()[0]
     b = X.score(odd_docs.withColumn("lang", F.lit("zz")), model).agg(F.sum("score")).first()[0]
     assert a == b
+
+
+def test_all_labels_and_unlabelled_rows_teach(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 300, 20)) + (" zorgblat" if i % 20 == 0 else "") for i in range(2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 20 == 0).cast("int").alias("toxic"))
+    asked = spark.createDataFrame([(0, "w1 w2 zorgblat"), (1, "w1 w2 w3")], "doc_id long, text string")
+    few = X.fit(docs, labels, sample=20)  # shows the word in fewer than three rows
+    bad, fine = (r["score"] for r in X.score(asked, few).orderBy("doc_id").collect())
+    assert bad >= 0.5 and fine < 0.3
+    half = X.fit(docs, labels.where("doc_id < 1000"), sample=10, unlabelled=900)
+    bad, fine = (r["score"] for r in X.score(asked, half).orderBy("doc_id").collect())
+    assert bad >= 0.5 and fine < 0.3
+
+
+def test_one_row_per_id_reaches_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 4, f"some words {i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    seen, train = [], X.train
+    monkeypatch.setattr(X, "train", lambda rows, target: seen.append(len(rows)) or train(rows, target))
+    X.fit(docs, labels)
+    X.fit(docs, labels, sample=2, unlabelled=0)
+    assert seen == [4, 2]
