@@ -255,3 +255,53 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = {"pages": table(spark, sf_dir, "pages").select("page_id", "url")}
     entries = spark.sql(f"WITH pages AS (SELECT * FROM {{pages}}), {tables} {LIST_ENTRIES}", **pages)
     return filter_urls(spark.sql(CAPTURES.replace("FROM pages", "FROM {pages}"), **pages), entries)
+
+
+def _crc_table() -> list[int]:
+    """The table of the usual crc32, one byte at a time, for SQL without that function."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in table]
+    return table
+
+
+SPELLING_SQL = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS k
+  FROM (SELECT doc_id, unnest(regexp_extract_all(
+          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY 1, 2),
+bytes AS (SELECT run, k, hex(encode(concat(doc_id, ':', run))) AS x FROM runs),
+summed AS (
+  SELECT run, k, xor(list_reduce([CAST('0x' || substr(x, 2 * i - 1, 2) AS BIGINT) FOR i IN range(1, len(x) // 2 + 1)],
+    lambda c, b: xor(c >> 8, {_crc_table()}[xor(c & 255, b) + 1]), 4294967295), 4294967295) AS h FROM bytes),
+varied AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2)
+              ELSE run END AS word, k FROM summed),
+words AS MATERIALIZED (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM varied WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cuts AS MATERIALIZED (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+links AS MATERIALIZED (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, w.word, w.n FROM cuts a JOIN words w ON a.d = w.word
+  UNION SELECT w.word, w.n, a.word, a.n FROM cuts a JOIN words w ON a.d = w.word),
+best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS top, min(n) AS n, arg_min(other, (-other_n, other)) AS other
+  FROM links GROUP BY word),
+forms AS MATERIALIZED (
+  SELECT word, n_near, CASE WHEN top >= 10 * n THEN other END AS form, CASE WHEN top >= 10 * n THEN top END AS form_n FROM best),
+ways AS (
+  SELECT word, form AS last, 1 AS step FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT ways.word, forms.form, step + 1 FROM ways JOIN forms ON ways.last = forms.word WHERE forms.form IS NOT NULL),
+roots AS (SELECT word, arg_max(last, step) AS root FROM ways GROUP BY word)
+SELECT words.word, form, coalesce(root, words.word) AS root, words.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, form_n
+FROM words LEFT JOIN forms USING (word) LEFT JOIN roots USING (word)
+"""
+
+
+@query("op11_spelling_variants", SPELLING_SQL)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagefold.llm.spelling import variants
+    return variants(table(spark, sf_dir, "documents"))
