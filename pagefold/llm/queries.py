@@ -125,10 +125,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
-def tokenizer_file() -> str:
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     """The public tokenizer file that the token queries use; operators take any path."""
     import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op3_bpe")
@@ -305,3 +305,10 @@ FROM words LEFT JOIN forms USING (word) LEFT JOIN roots USING (word)
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagefold.llm.spelling import variants
     return variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagefold.llm.token_alignment import COLUMNS, Alignment
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return Alignment(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")).documents().select("doc_id", *COLUMNS)
