@@ -312,3 +312,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagefold.llm.token_alignment import COLUMNS, Alignment
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return Alignment(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")).documents().select("doc_id", *COLUMNS)
+
+
+@query("op13_pii")
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagefold.llm.sanitise import sanitise
+    return sanitise(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.encode("base_spans", "UTF-8"), 256).alias("base_sha256"), "spans")
