@@ -58,32 +58,33 @@ _WORD = r"\p{L}{3,}+"
 CHUNK = 128
 
 
-def _sums(lengths: Column) -> Column:
-    """Running sums of an array of numbers, chunk by chunk, so that a long array costs no square."""
+def _with_sums(df: DataFrame, lengths: str, out: str) -> DataFrame:
+    """``df`` with the running sums of an array column of numbers, chunk by chunk, so that a long array costs no
+    square. Each step is a column of its own: an expression inside a lambda function is worked out per element."""
     zero = F.lit(0).cast("long")
     add = lambda part: F.aggregate(part, zero, lambda a, x: a + x)
-    chunks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / CHUNK).cast("int"))
     part = lambda c: F.slice(lengths, c * CHUNK + 1, CHUNK)
-    wholes = F.transform(chunks, lambda c: add(part(c)))
-    return F.when(F.size(lengths) == 0, F.array().cast("array<bigint>")).otherwise(F.flatten(F.transform(
-        F.transform(wholes, lambda _, c: F.struct(c.alias("c"), add(F.slice(wholes, 1, c)).alias("before"))),
-        lambda w: F.transform(part(w["c"]), lambda _, i: w["before"] + add(F.slice(part(w["c"]), 1, i + 1))))))
+    chunks = F.sequence(F.lit(0), F.floor((F.greatest(F.size(lengths), F.lit(1)) - 1) / CHUNK).cast("int"))
+    df = df.withColumn("_wholes", F.transform(chunks, lambda c: add(part(c))))
+    df = df.withColumn("_before", F.transform("_wholes", lambda _, c: add(F.slice("_wholes", 1, c))))
+    running = F.flatten(F.transform("_before", lambda b, c: F.transform(part(c), lambda _, i: b + add(F.slice(part(c), 1, i + 1)))))
+    return df.withColumn(out, running).drop("_wholes", "_before")
 
 
 def _found(df: DataFrame, pattern: str, could: Column, out: str) -> DataFrame:
-    """``df`` with the matches of a pattern as an array of (start, stop, value, before, behind): what is between two
-    matches, and the matches, have the text's length together."""
-    gaps, values, stops = f"{out}_gaps", f"{out}_values", f"{out}_stops"
+    """``df`` with the matches of a pattern as an array of spans with their contexts: what is between two matches, and
+    the matches, have the text's length together."""
+    gaps, values, lengths, stops = (f"{out}_{x}" for x in ("gaps", "values", "lengths", "stops"))
     none = F.array().cast("array<string>")
-    regex = F.lit(pattern)
     df = df.withColumns({gaps: F.when(could, F.split(_TEXT, pattern, -1)).otherwise(none),
-                         values: F.when(could, F.regexp_extract_all(_TEXT, regex, F.lit(0))).otherwise(none)})
-    df = df.withColumn(stops, _sums(F.transform(values, lambda v, i: (F.length(v) + F.length(F.col(gaps)[i])).cast("long"))))
+                         values: F.when(could, F.regexp_extract_all(_TEXT, F.lit(pattern), F.lit(0))).otherwise(none)})
+    df = df.withColumn(lengths, F.transform(values, lambda v, i: (F.length(v) + F.length(F.col(gaps)[i])).cast("long")))
+    df = _with_sums(df, lengths, stops)
     spans = F.transform(values, lambda v, i: F.struct(
         (F.col(stops)[i] - F.length(v)).alias("start"), F.col(stops)[i].alias("stop"), v.alias("value"),
         F.right(F.col(gaps)[i], F.lit(CONTEXT)).alias("before"), (F.length(F.col(gaps)[i]) > CONTEXT).alias("cut_before"),
         F.left(F.col(gaps)[i + 1], F.lit(CONTEXT)).alias("behind"), (F.length(F.col(gaps)[i + 1]) > CONTEXT).alias("cut_behind")))
-    return df.withColumn(out, spans).drop(gaps, values, stops)
+    return df.withColumn(out, spans).drop(gaps, values, lengths, stops)
 
 
 def _digits(value: Column) -> Column:
