@@ -12,8 +12,9 @@
    with the largest conditional mutual information, so accuracies and correlations are both
    estimated and near copies of a voter count once.
 4. A sparse linear classifier on the features (logistic loss, L1) is trained on the posterior
-   labels of sampled rows, labelled and not, and scores every document. A mined feature that
-   the sample shows too seldom weighs what its share of toxic rows among all labelled ones says.
+   labels of sampled rows, labelled and not, and scores every document. Half of the labelled
+   sample is toxic rows; the base is set back to the odds of all rows. The sample's features are
+   counted in Spark, the driver gets those that the screen leaves.
 
 Bounds: ``SAMPLE`` labelled and ``UNLABELLED`` other rows, one per id, train the classifier;
 lexicons are mined from all labelled rows; vote patterns are counted over all documents and
@@ -22,8 +23,10 @@ no features.
 
 Defined results: null and empty texts have no features and get the model's base score;
 repeated rows get equal scores; rows without a label, with a null id or a null label teach
-nothing; without any usable label the word list and the patterns vote alone; an empty table
-gives no rows.
+nothing; without any usable label the label model is fitted to the votes of the word list and
+the patterns alone, a document without a vote taken as clean, and words of the list too rare to train on weigh what it says of the list;
+texts of any length are scored whole, piece by piece; a column named like the score is
+replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -201,7 +204,7 @@ def lexicons(ids, both, pos, n1: float, n0: float, tried: int) -> list[np.ndarra
 
 
 def mine_all(labelled: DataFrame):
-    """(lexicons, their mined ids, toxic share of each) from all rows of ``_text`` and ``_y``."""
+    """Lexicons from all rows of ``_text`` and ``_y``."""
     def count(batches):
         for batch in _pieces(batches, "_text"):
             y = _text(batch, "_y").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -213,7 +216,7 @@ def mine_all(labelled: DataFrame):
                    .agg(F.sum("both").alias("both"), F.sum("pos").alias("pos")).where("both >= 3 OR id = 0"))
     all_rows = counts.where("id = 0").first()
     if all_rows is None:
-        return [insult_ids()], np.zeros(0, np.uint32), np.zeros(0)
+        return [insult_ids()]
     n1, n0 = float(all_rows["pos"]), float(all_rows["both"] - all_rows["pos"])
     tried = counts.where("id > 0").count()
     rate = max(1.0, n1) / (max(1.0, n1) + max(1.0, n0))
@@ -223,9 +226,7 @@ def mine_all(labelled: DataFrame):
     got = counts.where((F.col("id") > 0) & (pos >= 3) & (pos >= 0.59 * F.col("both")) & (g2 >= 2 * float(np.log(max(2, tried))) - 1e-6)).collect()
     got.sort(key=lambda r: r["id"])
     ids, both, pos = np.array([r["id"] for r in got], np.uint32), np.array([r["both"] for r in got], np.int64), np.array([r["pos"] for r in got], np.int64)
-    found = lexicons(ids, both, pos, n1, n0, tried)
-    used = np.isin(ids, np.concatenate([np.zeros(0, np.uint32), *found[1:]]))
-    return found, ids[used], share_of(both, pos, n1, n0)[used]
+    return lexicons(ids, both, pos, n1, n0, tried)
 
 
 class LabelModel:
@@ -376,7 +377,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
               .agg((F.max(label_col).cast("int") > 0).cast("int").alias("_y")))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     usable = usable.hint("merge")  # labels may be many: no side of a join with them is sent whole to the tasks
-    found, mined, shares = mine_all(docs.where(admitted).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    found = mine_all(docs.where(admitted).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
                                     .join(usable, "_id").select("_text", "_y"))
     voters = Voters(found)
 
@@ -394,14 +395,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         totals[place[r["votes"]]] += r["count"]
         if r["_y"] is not None:
             labelled[place[r["votes"]], r["_y"]] += r["count"]
-    if not labelled.any():  # no labelled row: the lexicon itself is the classifier
-        return Model(insult_ids(), np.full(len(insult_ids()), 3.0), -3.0)
+    unlabelled_only = not labelled.any()
+    if unlabelled_only:  # nothing tells the two classes apart but that a document without any vote is clean
+        labelled[patterns == 0, 0] = totals[patterns == 0]
     model = LabelModel(patterns, totals, labelled, voters.n)
 
     def some(ids, n):
-        return ids.orderBy(F.xxhash64("_id"), "_id").limit(n)
+        return ids.orderBy(F.xxhash64("_id"), "_id").limit(n).select("_id")
     others = docs.where(admitted).select(F.col(id_col).alias("_id")).distinct().join(usable, "_id", "left_anti")
-    picked = some(texts.select("_id").distinct().join(usable, "_id", "left_semi"), sample).unionByName(some(others, unlabelled))
+    shown = texts.select("_id").distinct().join(usable, "_id")
+    # toxic rows are few: half of the sample is theirs
+    toxic, clean = shown.where("_y = 1"), shown.where("_y = 0")
+    picked = some(toxic, sample // 2).unionByName(some(clean, sample - sample // 2)).unionByName(some(others, unlabelled))
     # ``sample`` + ``unlabelled`` rows at most: of rows with one id the least text
     picked = texts.join(F.broadcast(picked), "_id").groupBy("_id").agg(F.min("_text").alias("_text"))
 
@@ -411,18 +416,57 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             rows = [r.tobytes() for r in features_of(text)]
             yield pa.RecordBatch.from_arrays([_text(batch, "_id").cast(pa.int64()), pa.array(rows, pa.binary()),
                                               pa.array(voters.votes(text))], names=["id", "ids", "votes"])
-    got = picked.mapInArrow(describe, "id long, ids binary, votes long").collect()
-    got.sort(key=lambda r: r["id"])  # sums in a fixed order
-    rows = [np.frombuffer(r["ids"], np.uint32) for r in got]
-    ids, weights, base = train(rows, model.posterior(np.array([r["votes"] for r in got], np.int64)))
-    return Model(*_with_rare(ids, weights, base, rows, mined, shares))
-
-
-def _with_rare(ids, weights, base: float, rows: list[np.ndarray], mined: np.ndarray, shares: np.ndarray):
-    """The classifier with the mined features that are in fewer than three of its rows."""
-    seen, times = np.unique(np.concatenate([*rows, np.zeros(0, np.uint32)]), return_counts=True)
-    rare = ~np.isin(mined, seen[times >= 3])
-    return np.append(ids, mined[rare]), np.append(weights, np.log(shares[rare] / (1 - shares[rare])) - base), base
+    described = saved(picked.mapInArrow(describe, "id long, ids binary, votes long"))
+    got = sorted((r["id"], r["votes"]) for r in described.select("id", "votes").collect())
+    target = model.posterior(np.array([v for _, v in got], np.int64)) if got else np.zeros(0)
+    rows = _screened_rows(described, dict(zip((i for i, _ in got), target.tolist())))
+    ids, weights, base = train(rows, target)
+    # the sample holds more toxic rows than there are: its odds give way to those of all rows
+    mean = float(np.clip(target.mean(), 1e-3, 1 - 1e-3)) if got else 0.5
+    prior = float(np.clip(model.prior[1], 1e-3, 1 - 1e-3))
+    base += np.log(prior / (1 - prior)) - np.log(mean / (1 - mean)) if got else 0.0
+    if unlabelled_only:  # words of the list too rare to train on weigh what their voter says
+        rare = np.setdiff1d(insult_ids(), ids)
+        said = model.rate[0, :, 0]
+        ids = np.append(ids, rare).astype(np.uint32)
+        weights = np.append(weights, np.full(len(rare), float(np.clip(np.log(said[1] / said[0]), 0, 5))))
+    return Model(ids, weights, float(base))
+
+
+#: Targets are added up as whole numbers, whose sum does not depend on the order.
+_PARTS = 1 << 30
+
+
+def _screened_rows(described: DataFrame, target: dict[int, float]) -> list[np.ndarray]:
+    """Of each described row, by id, the features that ``train`` can use. All features are counted in Spark; the driver
+    gets those whose presence goes with the target more than chance explains."""
+    held = described.sparkSession.sparkContext.broadcast({i: round(t * _PARTS) for i, t in target.items()})
+
+    def count(batches):
+        for batch in batches:
+            rows = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column(1)]
+            if not sum(map(len, rows)):
+                continue
+            ids, col = np.unique(np.concatenate(rows), return_inverse=True)
+            parts = np.zeros(len(ids), np.int64)
+            np.add.at(parts, col, np.repeat([held.value[i] for i in batch.column(0).to_pylist()], [len(r) for r in rows]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(np.bincount(col, minlength=len(ids))), pa.array(parts)],
+                                             names=["id", "times", "parts"])
+    n = len(target)
+    mean = float(np.clip(sum(target[i] for i in sorted(target)) / max(n, 1), 1e-3, 1 - 1e-3))
+    counts = saved(described.select("id", "ids").mapInArrow(count, "id long, times long, parts long").groupBy("id")
+                   .agg(F.sum("times").alias("times"), F.sum("parts").alias("parts")).where("times >= 3"))
+    least = float(np.sqrt(2 * np.log(max(2, counts.count()))) * np.sqrt(mean * (1 - mean)))
+    lift = F.col("parts") / float(_PARTS) - mean * F.col("times")
+    used = np.array(sorted(r["id"] for r in counts.where(F.abs(lift) >= least * F.sqrt("times")).select("id").collect()), np.uint32)
+    chosen = described.sparkSession.sparkContext.broadcast(used)
+
+    def cut_down(batches):
+        for batch in batches:
+            rows = [np.intersect1d(np.frombuffer(x.as_py(), np.uint32), chosen.value, assume_unique=True).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["id", "ids"])
+    few = sorted((r["id"], bytes(r["ids"])) for r in described.select("id", "ids").mapInArrow(cut_down, "id long, ids binary").collect())
+    return [np.frombuffer(r, np.uint32) for _, r in few]
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
