@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from itertools import groupby
 
 import numpy as np
@@ -40,18 +41,26 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagefold.llm import blocks
-from pagefold.llm.bpe import byte_characters
+from pagefold.llm.bpe import Cached, byte_characters
 from pagefold.llm.words import give_back, mix, range_bucket, worker_store
 
 SEGMENTS = 64
 #: Text encoded at a time, and ids in a block, in bytes.
 ENCODE_BYTES = 1 << 20
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Links spelt out at a time; a group of more than ``WIDE`` is counted by distinct ids.
-LINKS = 1 << 21
+LINKS = 1 << 20
 WIDE = 64
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 _U = np.uint64
+#: Texts of ASCII without control characters and of letters from U+00C0 to U+017F, in which the classes of the byte-level
+#: pattern are plain: letters, digits, white space, the rest.
+PLAIN = re.compile("[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\u017f]*\\Z").match
+_L = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f"
+PLAIN_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\t-\r {_L}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+#: A word with the spaces before it; where a word begins behind another.
+WORDS = re.compile(" +[^ ]*")
+WORD_STARTS = re.compile("(?<=[^\t-\r ]) (?=[^\t-\r ])")
 
 
 class Pair:
@@ -77,21 +86,50 @@ class Pair:
         if len(self.a_bytes) * self.size_b >= 1 << 32:
             raise ValueError("a pair of ids must fit 32 bits")
         self.kind = "<u2" if max(len(self.a_bytes), self.size_b) <= 1 << 16 else "<u4"  # of the ids in blocks
+        # a piece that goes on after a space behind other characters would join words
+        self.b_by_word = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.size_b))
+        self.a_parts, self.b_parts = Cached(self._a_part), Cached(self._b_part)
         self.len_a = np.array([len(x) for x in self.a_bytes], np.int64)
         self.len_b = np.array([len(x) for x in self.b_bytes], np.int64)
         # ids as text, with what follows them inside a group and at the end of one side of it
         self.shown = np.array([f"{i}{s}".encode() for i in range(len(self.a_bytes)) for s in ",|"]
                               + [f"{i}{s}".encode() for i in range(self.size_b) for s in ",;"], object)
 
-    def encode(self, texts: list[str | None]) -> list[tuple[list[int], list[int]]]:
-        full = [t or "" for t in texts]
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in full], add_special_tokens=False)]
-        b = self.b.encode(full, num_threads=1)
+    def _parts(self, text: str, pattern) -> list[str]:
+        """The matches of a pattern that cover a text, which is cut between words where it is long."""
+        out, at = [], 0
+        while len(text) - at > ENCODE_BYTES:
+            cut = WORD_STARTS.search(text, at + ENCODE_BYTES)
+            if cut is None:
+                break
+            out += pattern.findall(text[at:cut.start()])
+            at = cut.start()
+        return out + pattern.findall(text[at:] if at else text)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _a_part(self, pretoken: str) -> bytes:
+        return self._packed(self.a.encode(pretoken, add_special_tokens=False).ids)
+
+    def _b_part(self, word: str) -> bytes:
+        # the library puts a space before a text, but not before an empty one
+        return self._packed(self.b.encode(word[1:], num_threads=1) if word != " " else [self.b.piece_to_id("▁")])
+
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """Packed ids of both tokenizers. Words repeat, and no merge of the tokenizers goes beyond a pre-token or a
+        word: what the libraries give for one is kept in a table of bounded size."""
         out = []
-        for t, x, y in zip(full, a, b):
-            want = b" " + t.encode()
-            same = t and b"".join([self.a_bytes[i] for i in x]) == want and b"".join([self.b_bytes[i] for i in y]) == want
-            out.append((x, y) if same else ((), ()))
+        for t in texts:
+            full = " " + (t or "")
+            if full == " ":
+                out.append((b"", b""))
+                continue
+            x = b"".join(self.a_parts.all(self._parts(full, PLAIN_PARTS))) if PLAIN(full) else self._a_part(full)
+            y = b"".join(self.b_parts.all(self._parts(full, WORDS))) if self.b_by_word else self._b_part(full)
+            want = full.encode()
+            same = all(b"".join([held[i] for i in np.frombuffer(ids, self.kind).tolist()]) == want for held, ids in ((self.a_bytes, x), (self.b_bytes, y)))
+            out.append((x, y) if same else (b"", b""))
         return out
 
 
@@ -372,7 +410,7 @@ class Alignment:
                 for piece, _ in blocks.cut(batch, text_col, ENCODE_BYTES):
                     got = pair.encode(piece.column(at).to_pylist())
                     cols = [c for i, c in enumerate(piece.columns) if i != at]
-                    cols += [pa.array([np.array(x[k], pair.kind).tobytes() for x in got], pa.binary()) for k in (0, 1)]
+                    cols += [pa.array([x[k] for x in got], pa.binary()) for k in (0, 1)]
                     yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
         self.blocks = blocks.pack(docs.mapInArrow(encode, schema), "a_ids", block_bytes)
         self.tasks = max(SEGMENTS, blocks.shuffle_partitions(spark))
