@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pagefold.functions import urls as U
 from pagefold.operators.extract import extract_pages
 from pagefold.operators.jobs import ERROR_MESSAGES
+from pagefold.operators.links import exploded
 from pagefold.session import cut_lineage
 
 # ---- fixed values: crawl-layer defaults and the validated depth cap ---------------------
@@ -48,7 +49,7 @@ def snapshot_edges(snapshot: DataFrame, *, same_host: bool = True) -> DataFrame:
     # computed once per page, before the explode
     ext = ext.select(F.col("url").alias("src_url"), F.lower(U.hostname(F.col("url"))).alias("src_host"),
                      U.resolve_urls(F.col("url"), F.col("links"), keep_fragment=False, with_host=True).alias("l"))
-    e = ext.select("src_url", "src_host", F.posexplode("l").alias("pos", "d")) \
+    e = exploded(ext, "l", "d", "src_url", "src_host") \
         .select("src_url", "src_host", "pos", F.col("d.url").alias("dst_url"), F.col("d.host").alias("dst_host"))
     if same_host:
         e = e.where((F.col("src_host") == F.col("dst_host")) & (F.col("dst_host") != ""))

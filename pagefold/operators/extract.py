@@ -1,10 +1,9 @@
-"""Page extraction (one HTML parse per page, all requested outputs).
+"""Page extraction (all requested outputs in one narrow pass).
 
-The parse runs in ``mapInArrow``: Spark ships Arrow batches of (key, url, body)
-to Python, each page is parsed once, and only the requested outputs are built.
-Link *resolution* is not done here: the pass returns raw hrefs and the caller
-resolves them with native Column expressions (``functions.urls``), so URL work
-stays in the JVM.
+Links, headers and paragraphs are Column expressions over the page's tags
+(``operators.tokens``); where nothing else is asked for, no page leaves the JVM. Markdown,
+html, raw_html and registered types need the page's tree: for these each page is parsed once
+in ``mapInArrow``. Links are resolved with native expressions (``functions.urls``).
 
 Extract types are lower-cased and de-duplicated; an empty list means ``links``;
 ``all`` means every type except ``raw_html``. New types can be registered with
@@ -22,6 +21,7 @@ from pyspark.sql import types as T
 
 from pagefold.functions.urls import resolve_urls
 from pagefold.operators import htmltree as H
+from pagefold.operators import tokens as K
 
 # ---- fixed values -------------------------------------------------------------------------
 BUILTIN_TYPES = ("links", "headers", "paragraphs", "markdown", "html", "raw_html")
@@ -100,8 +100,8 @@ def register_images():
     register_extractor("images", _images, resolve_as_url=True)
 
 
-def list_types() -> list[str]:
-    return [t for t in _REGISTRY] + [t for t in TEXT_TYPES]
+#: Types that are Column expressions, unless another function has been registered under their name.
+_NATIVE = {t: _REGISTRY[t] for t in LIST_TYPES}
 
 
 def extract_set(types: Iterable[str] | None) -> list[str]:
@@ -171,6 +171,28 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(sc.defaultParallelism) if size < sc.defaultParallelism * SPLIT_BYTES else df
 
 
+def _asked(types: Column, t: str) -> Column:
+    """Whether a row's own list of types asks for ``t`` (``extract_set`` as a Column)."""
+    low = F.transform(F.coalesce(types, F.array().cast("array<string>")), F.lower)
+    asked = F.array_contains(low, t) if t == "raw_html" else F.array_contains(low, t) | F.array_contains(low, "all")
+    return asked | (F.size(low) == 0) if t == "links" else asked
+
+
+def _with_native(src: DataFrame, types: list[str], body_col: str, types_col: str | None) -> DataFrame:
+    """``src`` with the types that are Column expressions."""
+    if not types:
+        return src
+    src = K.cut_markup(src, body_col, texts="_texts" if {"headers", "paragraphs"} & set(types) else None)
+    for t in types:
+        if t == "links":
+            src = src.withColumn(t, K.start_attributes(F.col("_tags"), "a", "href"))
+        else:
+            src = K.with_element_texts(src, t, t)
+        if types_col:
+            src = src.withColumn(t, F.when(_asked(F.col(types_col), t), F.col(t)))
+    return src.drop("_tags", "_texts")
+
+
 def _output_fields(types: list[str]) -> list[T.StructField]:
     fields = []
     for t in types:
@@ -203,33 +225,38 @@ def extract_pages(df: DataFrame, types: Iterable[str] | None = None, *, url_col:
     keep = [k for k in keep if k not in (url_col, types_col)]
     cols = [*keep, url_col, body_col] + ([types_col] if types_col else [])
     src = _spread(df.select(*cols))
+    text = isinstance(src.schema[body_col].dataType, T.StringType) and max_body_bytes is None
+    native = [t for t in types if text and _REGISTRY.get(t) is not None and _REGISTRY[t] == _NATIVE.get(t)]
+    parsed = [t for t in types if t not in native]
+    src = _with_native(src, native, body_col, types_col)
+    order = [*keep, url_col, *types, "truncated"]
+    if not parsed:
+        out = src.withColumn("truncated", F.lit(False)).select(*order)
+    else:
+        out = _parse_pages(src, parsed, body_col, types_col, max_html, max_body_bytes).select(*order)
+    if resolve:
+        for t in types:
+            if t in _REGISTRY and _REGISTRY[t][1]:
+                out = out.withColumn(t, resolve_urls(F.col(url_col), F.col(t)))
+    return out
+
+
+def _parse_pages(src: DataFrame, types: list[str], body_col: str, types_col: str | None, max_html: int,
+                 max_body_bytes: int | None) -> DataFrame:
+    """The types that need the page's tree, beside the other columns of ``src``."""
     in_fields = [f for f in src.schema.fields if f.name not in (body_col, types_col)]
     schema = T.StructType(in_fields + _output_fields(types))
-    arrow_schema = None
 
     def run(batches):
-        nonlocal arrow_schema
         from pyspark.sql.pandas.types import to_arrow_schema
-        if arrow_schema is None:
-            arrow_schema = to_arrow_schema(schema)
+        arrow = to_arrow_schema(schema)
         for batch in batches:
-            cols = {name: batch.column(name) for name in batch.schema.names}
+            cols = dict(zip(batch.schema.names, batch.columns))
             bodies = cols[body_col].to_pylist()
-            if types_col is None:
-                results = [extract_one(b, types, max_html, max_body_bytes) for b in bodies]
-            else:
-                row_types = cols[types_col].to_pylist()
-                results = [extract_one(b, [t for t in extract_set(rt) if t in types], max_html, max_body_bytes)
-                           for b, rt in zip(bodies, row_types)]
-            arrays = [cols[f.name] for f in in_fields]
-            for t in types:
-                arrays.append(pa.array([r.get(t) for r in results], type=arrow_schema.field(t).type))
-            arrays.append(pa.array([r["truncated"] for r in results], type=pa.bool_()))
-            yield pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
-
-    out = src.mapInArrow(run, schema)
-    if resolve:
-        for t in types:
-            if t in _REGISTRY and _REGISTRY[t][1]:
-                out = out.withColumn(t, resolve_urls(F.col(url_col), F.col(t)))
-    return out
+            asked = [types] * len(bodies) if types_col is None else [
+                [t for t in extract_set(own) if t in types] for own in cols[types_col].to_pylist()]
+            results = [extract_one(b, t, max_html, max_body_bytes) for b, t in zip(bodies, asked)]
+            made = [cols[f.name] for f in in_fields] + [pa.array([r.get(t) for r in results]) for t in types]
+            made.append(pa.array([r["truncated"] for r in results]))
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, arrow)], schema=arrow)
+    return src.mapInArrow(run, schema)

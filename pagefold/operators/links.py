@@ -17,9 +17,15 @@ from pagefold.operators.extract import extract_pages
 def page_links_full(pages: DataFrame, *, url_col: str = "url", body_col: str = "html") -> DataFrame:
     """(page_id, url, pos, link): every ``a[href]`` in document order, resolved against
     the page URL, duplicates kept, unparsable hrefs dropped (pos counts kept links).
-    One narrow pass: scan -> Arrow parse -> native resolve -> explode, no shuffle."""
+    One narrow pass of Column expressions: cut, resolve, explode; no shuffle."""
     ext = extract_pages(pages, ["links"], url_col=url_col, body_col=body_col, keep=("page_id",))
-    return ext.select("page_id", F.col(url_col).alias("url"), F.posexplode("links").alias("pos", "link"))
+    return exploded(ext, "links", "link", "page_id", F.col(url_col).alias("url"))
+
+
+def exploded(df: DataFrame, array: str, value: str, *kept) -> DataFrame:
+    """``kept`` columns with (pos, value) per element. A plain explode makes the optimiser filter on the array's size
+    below the projection that computes it, so every page would be cut up twice; this one computes it once."""
+    return df.select(*kept, F.posexplode_outer(array).alias("pos", value)).where(F.col("pos").isNotNull())
 
 
 def page_links(pages: DataFrame, **kw) -> DataFrame:
@@ -29,7 +35,7 @@ def page_links(pages: DataFrame, **kw) -> DataFrame:
 def page_texts(pages: DataFrame, kind: str, *, body_col: str = "html") -> DataFrame:
     """(page_id, pos, text) for ``headers`` or ``paragraphs``."""
     ext = extract_pages(pages, [kind], body_col=body_col, keep=("page_id",), resolve=False)
-    return ext.select("page_id", F.posexplode(kind).alias("pos", "text"))
+    return exploded(ext, kind, "text", "page_id")
 
 
 def edges(pages: DataFrame, *, same_host_only: bool = True) -> DataFrame:
@@ -41,7 +47,7 @@ def edges(pages: DataFrame, *, same_host_only: bool = True) -> DataFrame:
     # one resolve per link (normalised form + host); the source host once per page
     ext = ext.select("page_id", F.col("url").alias("src_url"), F.lower(U.hostname(F.col("url"))).alias("src_host"),
                      U.resolve_urls(F.col("url"), F.col("links"), keep_fragment=False, with_host=True).alias("l"))
-    out = ext.select(F.col("page_id").alias("src_page_id"), "src_url", "src_host", F.posexplode("l").alias("pos", "d")) \
+    out = exploded(ext, "l", "d", F.col("page_id").alias("src_page_id"), "src_url", "src_host") \
         .select("src_page_id", "src_url", "pos", F.col("d.url").alias("dst_url"), "src_host",
                 F.col("d.host").alias("dst_host"))
     if same_host_only:
