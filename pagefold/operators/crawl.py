@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from pagefold.functions import urls as U
 from pagefold.operators.extract import extract_pages
+from pagefold.operators.fetch import guarded_answers
 from pagefold.operators.jobs import ERROR_MESSAGES
 from pagefold.operators.links import exploded
 from pagefold.session import cut_lineage
@@ -56,27 +57,43 @@ def snapshot_edges(snapshot: DataFrame, *, same_host: bool = True) -> DataFrame:
     return e.select("src_url", "pos", "dst_url")
 
 
-def _fetch(frontier: DataFrame, status: DataFrame) -> DataFrame:
-    f = frontier.join(status, "url", "left")
-    return f.withColumn("http_status", F.coalesce(F.col("http_status"), F.lit(0))) \
-        .withColumn("ok", F.col("http_status").between(200, 299))
+def snapshot_hrefs(snapshot: DataFrame) -> DataFrame:
+    """(final_url, hrefs): the unresolved links of every page, for pages that answer under several URLs."""
+    ext = extract_pages(snapshot, ["links"], url_col="url", body_col="body", keep=(), resolve=False)
+    return ext.select(F.col("url").alias("final_url"), F.col("links").alias("hrefs"))
+
+
+def edges_of(parents: DataFrame, hrefs: DataFrame) -> DataFrame:
+    """(src_url, pos, dst_url) of the pages that ``parents`` (url, final_url) were answered with: links are resolved
+    against the URL that was asked for, not the one that a redirect led to. A URL in many crawls is resolved once."""
+    asked = parents.select(F.col("url").alias("src_url"), "final_url").distinct().join(hrefs, "final_url")
+    asked = asked.select("src_url", F.lower(U.hostname(F.col("src_url"))).alias("src_host"),
+                         U.resolve_urls(F.col("src_url"), F.col("hrefs"), keep_fragment=False, with_host=True).alias("l"))
+    found = exploded(asked, "l", "d", "src_url", "src_host")
+    return found.where((F.col("src_host") == F.col("d.host")) & (F.col("src_host") != "")).select("src_url", "pos", F.col("d.url").alias("dst_url"))
+
+
+def _fetch(frontier: DataFrame, answers: DataFrame) -> DataFrame:
+    f = frontier.join(answers, "url", "left").withColumn("http_status", F.coalesce(F.col("http_status"), F.lit(0)))
+    # behind the guard a URL that is not allowed has no answer, whatever the snapshot holds
+    return f.withColumn("ok", F.coalesce("ok", F.lit(False)) if "ok" in answers.columns else F.col("http_status").between(200, 299))
 
 
 def _expand(parents: DataFrame, edges: DataFrame, seen: DataFrame, offsets: DataFrame, budget_col: str):
     """Next frontier from fetched parents; returns (frontier, new offsets)."""
     cand = parents.select("crawl_id", F.col("url").alias("src_url"), F.col("rank").alias("parent_rank"),
-                          (F.col("depth") + 1).alias("depth"), budget_col, "max_depth", "follow") \
+                          (F.col("depth") + 1).alias("depth"), budget_col, "max_depth", "follow", "stop_rank") \
         .join(edges, "src_url") \
         .select("crawl_id", F.col("dst_url").alias("url"), "parent_rank", "pos", "depth", budget_col, "max_depth",
-                "follow")
+                "follow", "stop_rank")
     first = cand.groupBy("crawl_id", "url").agg(
-        F.min(F.struct("parent_rank", "pos", "depth", budget_col, "max_depth", "follow")).alias("k"))
+        F.min(F.struct("parent_rank", "pos", "depth", budget_col, "max_depth", "follow", "stop_rank")).alias("k"))
     first = first.join(seen, ["crawl_id", "url"], "left_anti")
     w = Window.partitionBy("crawl_id").orderBy(F.col("k.parent_rank"), F.col("k.pos"))
     ranked = first.join(offsets, "crawl_id").select(
         "crawl_id", "url", (F.col("next_rank") + F.row_number().over(w) - 1).alias("rank"),
         F.col("k.depth").alias("depth"), F.col("k." + budget_col).alias(budget_col),
-        F.col("k.max_depth").alias("max_depth"), F.col("k.follow").alias("follow"))
+        F.col("k.max_depth").alias("max_depth"), F.col("k.follow").alias("follow"), F.col("k.stop_rank").alias("stop_rank"))
     new_offsets = ranked.groupBy("crawl_id").agg((F.max("rank") + 1).alias("next_rank"))
     return ranked, new_offsets
 
@@ -87,7 +104,8 @@ def _seeds(seeds: DataFrame, budget_col: str, default_budget: int, default_depth
     depth = F.when(F.col("max_depth") < 0, F.lit(default_depth)).otherwise(F.coalesce(F.col("max_depth"), F.lit(0)))
     return seeds.select("crawl_id", "seed_url", U.normalize_url(F.col("seed_url")).alias("url"), F.lit(0).alias("rank"),
                         F.lit(0).alias("depth"), budget.alias(budget_col), depth.alias("max_depth"),
-                        F.coalesce(F.col("follow"), F.lit(True)).alias("follow"))
+                        F.coalesce(F.col("follow"), F.lit(True)).alias("follow"),
+                        (F.col("stop_rank") if "stop_rank" in seeds.columns else F.lit(None)).cast("long").alias("stop_rank"))
 
 
 def _offsets(frontiers: list[DataFrame]) -> DataFrame:
@@ -98,10 +116,23 @@ def _offsets(frontiers: list[DataFrame]) -> DataFrame:
     return u.groupBy("crawl_id").agg((F.max("rank") + 1).alias("next_rank"))
 
 
+def stop_ranks(crawls: DataFrame, cancellations: DataFrame, page_seconds: float = 1.0) -> DataFrame:
+    """``crawls`` (crawl_id, started_at, ...) with ``stop_rank``: the page before which the crawl's first cancellation
+    after its start came, at ``page_seconds`` a page; NULL where there is none. A cancellation is dated
+    (crawl_id, cancelled_at); the crawl asks before every page whether one has come."""
+    dated = crawls.select("crawl_id", "started_at").join(cancellations, "crawl_id").where("cancelled_at >= started_at")
+    seconds = F.col("cancelled_at").cast("timestamp").cast("double") - F.col("started_at").cast("timestamp").cast("double")
+    first = dated.groupBy("crawl_id").agg(F.min(F.ceil(seconds / page_seconds)).cast("long").alias("stop_rank"))
+    return crawls.join(first, "crawl_id", "left")
+
+
 def _bfs(seeds: DataFrame, snapshot: DataFrame, edges: DataFrame | None, active: DataFrame | None,
-         budget_col: str, default_budget: int, default_depth: int, map_mode: bool) -> DataFrame:
-    status = cut_lineage(snapshot.select("url", "http_status").repartition("url"))
-    edges = edges if edges is not None else cut_lineage(snapshot_edges(snapshot).repartition("src_url"))
+         budget_col: str, default_budget: int, default_depth: int, map_mode: bool, web: Web | None = None) -> DataFrame:
+    if web is None:
+        status = cut_lineage(snapshot.select("url", "http_status").repartition("url"))
+        edges = edges if edges is not None else cut_lineage(snapshot_edges(snapshot).repartition("src_url"))
+    else:
+        status = web.answers
     start = cut_lineage(_seeds(seeds, budget_col, default_budget, default_depth))
     frontier = start.where(F.col("url").isNotNull()).drop("seed_url")
     frontiers = [frontier]
@@ -112,7 +143,8 @@ def _bfs(seeds: DataFrame, snapshot: DataFrame, edges: DataFrame | None, active:
     none = F.lit(None).cast("string").alias("error")
     while True:                                     # each level is one deeper; max_depth ends it
         cur = frontier.where(F.col("rank") < F.col(budget_col))
-        live = cur if active is None else cur.join(active.select("crawl_id").distinct(), "crawl_id", "left_semi")
+        before_stop = cur.where(F.col("stop_rank").isNull() | (F.col("rank") < F.col("stop_rank")))
+        live = before_stop if active is None else before_stop.join(active.select("crawl_id").distinct(), "crawl_id", "left_semi")
         if map_mode:                                # what was found stays listed when a map is cancelled
             out.append(cur.select("crawl_id", "rank", "url", "depth", none))
             parents = _fetch(live.where(F.col("depth") < F.col("max_depth")), status).where("ok")
@@ -125,7 +157,8 @@ def _bfs(seeds: DataFrame, snapshot: DataFrame, edges: DataFrame | None, active:
         seen = frontiers[0].where(F.col("rank") < F.col(budget_col)).select("crawl_id", "url")
         for f in frontiers[1:]:
             seen = seen.unionByName(f.where(F.col("rank") < F.col(budget_col)).select("crawl_id", "url"))
-        frontier, _ = _expand(parents, edges, seen, _offsets(frontiers), budget_col)
+        onward = edges if web is None else edges_of(parents, web.hrefs)
+        frontier, _ = _expand(parents, onward, seen, _offsets(frontiers), budget_col)
         frontier = cut_lineage(frontier)            # one materialised table per level
         if frontier.isEmpty():
             break
@@ -136,6 +169,31 @@ def _bfs(seeds: DataFrame, snapshot: DataFrame, edges: DataFrame | None, active:
     return res
 
 
+class Web:
+    """What requests get, behind the guard: ``answers`` (url, final_url, http_status, ok, error) of every known URL and
+    ``hrefs`` of every page, each written once and partitioned by the key that all levels join on."""
+
+    def __init__(self, snapshot: DataFrame, dns: DataFrame, redirects: DataFrame, *, follow_redirects: bool = True, allow_private: bool = False):
+        found = guarded_answers(snapshot, dns, redirects, follow_redirects=follow_redirects, allow_private=allow_private)
+        self.answers = cut_lineage(found.select("url", "final_url", "http_status", F.col("error").isNull().alias("ok")).repartition("url"))
+        self.hrefs = cut_lineage(snapshot_hrefs(snapshot).repartition("final_url"))
+
+
+def crawl_guarded(seeds: DataFrame, snapshot: DataFrame, dns: DataFrame, redirects: DataFrame, *, follow_redirects: bool = True,
+                  allow_private: bool = False, active: DataFrame | None = None) -> DataFrame:
+    """``crawl_bfs`` with every page fetched as a scrape fetches it: scheme, DNS and private-address check of the URL
+    and of every redirect, at most four redirects; a page that is refused is visited with status 0."""
+    web = Web(snapshot, dns, redirects, follow_redirects=follow_redirects, allow_private=allow_private)
+    return _bfs(seeds, snapshot, None, active, "max_pages", CRAWL_DEFAULT_PAGES, CRAWL_DEFAULT_DEPTH, False, web)
+
+
+def map_guarded(seeds: DataFrame, snapshot: DataFrame, dns: DataFrame, redirects: DataFrame, *, follow_redirects: bool = True,
+                allow_private: bool = False, active: DataFrame | None = None) -> DataFrame:
+    """``map_bfs`` with the same guard: what a refused page links to is not found."""
+    web = Web(snapshot, dns, redirects, follow_redirects=follow_redirects, allow_private=allow_private)
+    return _bfs(seeds.withColumn("follow", F.lit(True)), snapshot, None, active, "max_urls", MAP_DEFAULT_URLS, MAP_DEFAULT_DEPTH, True, web)
+
+
 def crawl_bfs(seeds: DataFrame, snapshot: DataFrame, edges: DataFrame | None = None, *,
               active: DataFrame | None = None) -> DataFrame:
     """Crawl many seeds at once.
@@ -143,8 +201,8 @@ def crawl_bfs(seeds: DataFrame, snapshot: DataFrame, edges: DataFrame | None = N
     seeds: (crawl_id, seed_url, max_pages, max_depth, follow) -- ``follow`` is whether
     links are followed; the faithful value is "links was among the extract types".
     snapshot: (url, http_status, body) keyed by normalised URL.
-    active: optional (crawl_id) of crawls still running; checked before every level
-    (a crawl cancelled in between stops, like the reference's per-page check).
+    active: optional (crawl_id) of crawls still running; checked before every level.
+    A seed column ``stop_rank`` (see ``stop_ranks``) ends a crawl before that page.
     Returns crawl_pages (crawl_id, rank, url, depth, error, ok, http_status), failed pages
     included (they count against max_pages but are not expanded). A seed that does not
     parse gives one row with error ``invalid_url`` and no page.

@@ -110,6 +110,47 @@ def follow_redirects(df: DataFrame, redirects: DataFrame, verdict: DataFrame, *,
     return out.unionByName(active.withColumn("redirect_error", F.lit("too_many_redirects")))
 
 
+def redirect_closure(redirects: DataFrame, verdict: DataFrame, max_requests: int = MAX_REQUESTS) -> DataFrame:
+    """(url, final_url, hops, redirect_error, first_status) of every redirecting URL, by pointer doubling: after n
+    rounds a row spans 2^n hops, so a chain of any length is judged in as many rounds as ``max_requests`` has binary
+    digits, each one equi-join of the redirect table with itself. The first failing hop counts, if it comes before the
+    request that is one too many."""
+    red = cut_lineage(resolved_redirects(redirects, verdict).select(
+        "url", F.col("next_url").alias("to"), F.lit(1).alias("hops"), F.col("next_error").alias("err"), F.col("http_status").alias("first_status")))
+    spans = red
+    for _ in range(max_requests.bit_length()):
+        further = spans.select(F.col("url").alias("to"), F.col("to").alias("_to"), F.col("hops").alias("_hops"), F.col("err").alias("_err"))
+        # a span that ends in an error, or has enough hops to be judged, stays; so does one that ends in no redirect
+        goes_on = F.col("err").isNull() & (F.col("hops") < max_requests) & F.col("_to").isNotNull()
+        spans = cut_lineage(spans.join(further, "to", "left").select(
+            "url", F.when(goes_on, F.col("_to")).otherwise(F.col("to")).alias("to"),
+            F.when(goes_on, F.col("hops") + F.col("_hops")).otherwise(F.col("hops")).alias("hops"),
+            F.when(goes_on, F.col("_err")).otherwise(F.col("err")).alias("err"), "first_status"))
+    return spans.select("url", F.col("to").alias("final_url"), "hops",
+                        F.when(F.col("hops") >= max_requests, F.lit("too_many_redirects")).otherwise(F.col("err")).alias("redirect_error"),
+                        "first_status")
+
+
+def guarded_answers(snapshot: DataFrame, dns: DataFrame, redirects: DataFrame, *, follow_redirects: bool = True,
+                    allow_private: bool = False) -> DataFrame:
+    """(url, final_url, http_status, error) for every URL of the snapshot and of the redirect table: what a request of
+    it comes to (P2, P8, G3, P9). URLs that are in neither get no answer."""
+    verdict = cut_lineage(dns_verdict(dns))
+    known = snapshot.select("url").unionByName(redirects.select(U.normalize_url(F.col("url")).alias("url"))).distinct()
+    guarded = ssrf_guard(known, "url", verdict, allow_private=allow_private)
+    pre = F.when(~U.has_http_prefix(F.col("url")), F.lit("invalid_url")).otherwise(F.col("ssrf_error")).alias("pre")
+    asked = guarded.select("url", pre).join(redirect_closure(redirects, verdict), "url", "left")
+    if not follow_redirects:  # the redirect itself is the answer
+        asked = asked.withColumn("final_url", F.col("url")).withColumn("redirect_error", F.when(F.col("first_status").isNotNull(), F.lit("http_failed")))
+    asked = asked.withColumn("final_url", F.coalesce("final_url", "url"))
+    got = asked.join(snapshot.select(F.col("url").alias("final_url"), F.col("http_status").alias("_st")), "final_url", "left")
+    error = F.coalesce("pre", "redirect_error", F.when(F.col("_st").isNull(), F.lit("request_failed")),
+                       F.when(~F.col("_st").between(200, 299), F.lit("http_failed")))
+    status = F.when(F.col("pre").isNotNull(), 0).when(F.col("redirect_error") == "http_failed", F.col("first_status")) \
+        .when(F.col("redirect_error").isNotNull(), 0).otherwise(F.coalesce("_st", F.lit(0)))
+    return got.select("url", "final_url", status.cast("int").alias("http_status"), error.alias("error"))
+
+
 def fetch(df: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Join the final URL to the snapshot (J1/S2): absent -> request failed with
     status 0; non-2xx -> http_failed with the status kept (P9). A snapshot may have an

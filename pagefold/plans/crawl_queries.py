@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from pagefold.operators import crawl as C
 from pagefold.plans.catalog import query
+from pagefold.plans.network_queries import DNS_VERDICT_SQL, _duck
 from pagefold.plans.network_queries import _COUNTS_SQL as COUNTS_SQL
 from pagefold.plans.sqlsnippets import RAW_HREFS, escaped_path, hostname, origin
+from pagefold.sources.network import REDIRECT_SQL, alias_chain_heads, dns_snapshot, redirect_table
 from pagefold.sources.sitegraph import BLOCK, site_snapshot
 from pagefold.sources.tables import pages
 
@@ -41,11 +43,15 @@ edges AS (SELECT snap.url AS src_url, al.pos, al.link AS dst_url
           WHERE lower({hostname('al.link')}) = lower({hostname('snap.url')}))"""
 
 
-def bfs_sql(budget: int, max_depth: int) -> str:
-    """Unrolled BFS: l<k> = listed items of level k (rank < budget)."""
-    parts = [_graph_sql(), """,
-l0 AS (SELECT page_id AS crawl_id, url, 0 AS depth, 0 AS rank FROM snap),
-f0 AS (SELECT l.*, s.url IS NOT NULL AS ok FROM l0 l LEFT JOIN snap s ON s.url = l.url),
+def bfs_sql(budget: int, max_depth: int, graph: str | None = None, seeds: str = "SELECT page_id, url FROM snap",
+            stop: str = "2147483647") -> str:
+    """Unrolled BFS: l<k> = listed items of level k (rank < budget). ``served`` says what a request of a URL gets;
+    ``stop`` is the rank from which a crawl fetches nothing more."""
+    parts = [graph or _graph_sql() + """,
+served AS (SELECT url, true AS ok, 200 AS http_status FROM snap)""", f""",
+l0 AS (SELECT page_id AS crawl_id, url, 0 AS depth, 0 AS rank FROM ({seeds}) z),
+f0 AS (SELECT l.*, coalesce(s.ok, false) AS ok, coalesce(s.http_status, 0) AS http_status
+       FROM l0 l LEFT JOIN served s ON s.url = l.url),
 o0 AS (SELECT crawl_id, 1 AS next_rank FROM l0)"""]
     seen = ["l0"]
     for k in range(1, max_depth + 1):
@@ -53,7 +59,7 @@ o0 AS (SELECT crawl_id, 1 AS next_rank FROM l0)"""]
         seen_union = " UNION ALL ".join(f"SELECT crawl_id, url FROM {s}" for s in seen)
         parts.append(f""",
 c{k} AS (SELECT f.crawl_id, e.dst_url AS url, f.rank AS parent_rank, e.pos, f.depth + 1 AS depth
-        FROM {prev} f JOIN edges e ON e.src_url = f.url WHERE f.ok AND f.depth < {max_depth}),
+        FROM {prev} f JOIN edges e ON e.src_url = f.url WHERE f.ok AND f.depth < {max_depth} AND f.rank < {stop}),
 d{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY crawl_id, url ORDER BY parent_rank, pos) AS rn
                         FROM c{k}) WHERE rn = 1),
 a{k} AS (SELECT d.* FROM d{k} d WHERE NOT EXISTS (SELECT 1 FROM ({seen_union}) s
@@ -65,10 +71,11 @@ o{k} AS (SELECT o.crawl_id, o.next_rank + coalesce(x.c, 0) AS next_rank
          FROM o{k - 1} o LEFT JOIN (SELECT crawl_id, count(*) AS c FROM a{k} GROUP BY crawl_id) x
               ON x.crawl_id = o.crawl_id),
 l{k} AS (SELECT crawl_id, url, depth, rank FROM r{k} WHERE rank < {budget}),
-f{k} AS (SELECT l.*, s.url IS NOT NULL AS ok FROM l{k} l LEFT JOIN snap s ON s.url = l.url)""")
+f{k} AS (SELECT l.*, coalesce(s.ok, false) AS ok, coalesce(s.http_status, 0) AS http_status
+        FROM l{k} l LEFT JOIN served s ON s.url = l.url)""")
         seen.append(f"l{k}")
     levels = " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(max_depth + 1))
-    return "WITH " + "".join(parts).strip() + f",\nallf AS ({levels})\n"
+    return f"WITH {'RECURSIVE ' if graph else ''}" + "".join(parts).strip() + f",\nallf AS ({levels})\n"
 
 
 def _seeds(snap, budget_col, budget, depth, follow=True):
@@ -218,3 +225,107 @@ def q_crawl_pages_content(spark, sf):
     return c.select(F.col("crawl_id").cast("bigint"), F.col("rank").cast("bigint"), "url", "ok",
                     F.when(F.col("ok"), F.size("headers")).cast("bigint").alias("headers_count"),
                     F.when(F.col("ok"), F.size("paragraphs")).cast("bigint").alias("paragraphs_count"), "truncated")
+
+
+#: Crawls start at the head of a page's alias chain, 0 to 6 redirects long; a third of the pages links to the http twins
+#: of their neighbours; some hosts have no DNS answer, some a private one.
+_NO_DNS = "length(host) % 6 = 1"
+
+
+def _guarded_graph_sql(follow: bool) -> str:
+    base = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+    redirected = "a.h > 0" if follow else "false"
+    stopped = "false" if follow else "a.h > 0"
+    return _graph_sql().replace("edges AS (SELECT snap.url", "plain_edges AS (SELECT snap.url") + "," + DNS_VERDICT_SQL.strip() + f""",
+red AS ({_duck(REDIRECT_SQL)}),
+heads AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN url ELSE {base} || '/r' || CAST(page_id AS VARCHAR) || '/' ||
+                 CAST(page_id % 7 AS VARCHAR) END AS url FROM snap),
+known AS (SELECT url FROM snap UNION SELECT url FROM red),
+chain AS (SELECT url, url AS cur, 0 AS hops FROM known
+          UNION ALL SELECT c.url, r.location, c.hops + 1 FROM chain c JOIN red r ON r.url = c.cur WHERE c.hops < 5),
+hops AS (SELECT c.*, v.host IS NULL OR v.host IN (SELECT host FROM verdict WHERE {_NO_DNS}) OR v.private_ip IS NOT NULL AS bad
+         FROM chain c LEFT JOIN verdict v ON v.host = lower({hostname('c.cur')})),
+ag AS (SELECT url, max(hops) AS h, min(hops) FILTER (WHERE hops >= 1 AND bad) AS e, bool_or(bad) FILTER (WHERE hops = 0) AS own,
+              arg_max(cur, hops) AS last FROM hops GROUP BY url),
+served AS (
+  SELECT a.url, s.page_id, NOT own AND NOT ({redirected} AND (coalesce(e, 9) <= 4 OR h >= 5)) AND NOT {stopped} AND s.url IS NOT NULL AS ok,
+         CASE WHEN own OR ({redirected} AND (coalesce(e, 9) <= 4 OR h >= 5)) THEN 0
+              WHEN {stopped} THEN (SELECT max(http_status) FROM red WHERE red.url = a.url)
+              WHEN s.url IS NOT NULL THEN 200 ELSE 0 END AS http_status
+  FROM ag a LEFT JOIN snap s ON s.url = {'a.last' if follow else 'a.url'}),
+edges AS (
+  SELECT v.url AS src_url, x.pos, x.link AS dst_url FROM served v JOIN (
+    SELECT page_id, pos, NULL AS link, href FROM rh
+    UNION ALL SELECT page_id, pos, CASE WHEN page_id % 3 = 0 AND link LIKE 'https://%' THEN 'http://' || substr(link, 9) ELSE link END, NULL FROM sl) y
+    ON y.page_id = v.page_id, LATERAL (SELECT y.pos AS pos, coalesce(y.link, {origin('v.url')} || {escaped_path('y.href')}) AS link) x
+  WHERE v.ok AND lower({hostname('x.link')}) = lower({hostname('v.url')}))"""
+
+
+def _guarded(spark, sf, budget_col, budget, depth):
+    p = pages(spark, sf)
+    snap = site_snapshot(p)
+    twins = F.when(F.col("page_id") % 3 == 0, F.replace("body", F.lit('href="https://'), F.lit('href="http://'))).otherwise(F.col("body"))
+    snap = snap.withColumn("body", twins)
+    heads = alias_chain_heads(spark, p).join(snap.select("page_id"), "page_id", "left_semi")
+    return _seeds(heads, budget_col, budget, depth), snap, dns_snapshot(spark, p).where(f"NOT ({_NO_DNS})"), redirect_table(spark, p)
+
+
+def _crawl_rows(cp):
+    return cp.select(F.col("crawl_id").cast("bigint"), F.col("rank").cast("bigint"), "url", F.col("depth").cast("bigint"), "ok",
+                     F.col("http_status").cast("bigint"))
+
+
+_CRAWL_ROWS = """
+SELECT CAST(crawl_id AS BIGINT) AS crawl_id, CAST(rank AS BIGINT) AS rank, url, CAST(depth AS BIGINT) AS depth, ok,
+       CAST(http_status AS BIGINT) AS http_status
+FROM allf WHERE rank < 10"""
+
+
+@query("crawl_guarded", oracle=bfs_sql(CRAWL_PAGES, CRAWL_DEPTH, _guarded_graph_sql(True), "SELECT * FROM heads") + _CRAWL_ROWS)
+def q_crawl_guarded(spark, sf):
+    """Every page of a crawl behind scheme, DNS and private-address checks and redirects (G1 with P2, P8, G3)."""
+    return _crawl_rows(C.crawl_guarded(*_guarded(spark, sf, "max_pages", CRAWL_PAGES, CRAWL_DEPTH)))
+
+
+@query("crawl_guarded_no_redirects", oracle=bfs_sql(CRAWL_PAGES, CRAWL_DEPTH, _guarded_graph_sql(False), "SELECT * FROM heads") + _CRAWL_ROWS)
+def q_crawl_guarded_no_redirects(spark, sf):
+    return _crawl_rows(C.crawl_guarded(*_guarded(spark, sf, "max_pages", CRAWL_PAGES, CRAWL_DEPTH), follow_redirects=False))
+
+
+@query("map_guarded", oracle=bfs_sql(MAP_URLS, MAP_DEPTH, _guarded_graph_sql(True), "SELECT * FROM heads") + """
+SELECT CAST(crawl_id AS BIGINT) AS crawl_id, CAST(rank AS BIGINT) AS rank, url, CAST(depth AS BIGINT) AS depth
+FROM allf WHERE rank < 50
+""")
+def q_map_guarded(spark, sf):
+    m = C.map_guarded(*_guarded(spark, sf, "max_urls", MAP_URLS, MAP_DEPTH))
+    return m.select(F.col("crawl_id").cast("bigint"), F.col("rank").cast("bigint"), "url", F.col("depth").cast("bigint"))
+
+
+#: A quarter of the crawls runs to its end; others are cancelled after one page, after three, or before the first.
+_STOP = "CASE crawl_id % 4 WHEN 0 THEN 2147483647 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 0 END"
+
+
+def _cancelled(spark, sf, budget_col, budget):
+    snap = site_snapshot(pages(spark, sf))
+    start = F.timestamp_seconds(1_700_000_000 + F.col("crawl_id"))
+    crawls = _seeds(snap, budget_col, budget, 2).withColumn("started_at", start)
+    # dated cancellations; one before the start of its crawl, which means nothing, and a second one that comes too late
+    dated = crawls.where("crawl_id % 4 <> 0").select("crawl_id", F.explode(F.array(
+        F.lit(-5.0), F.expr("CASE crawl_id % 4 WHEN 1 THEN 0.5 WHEN 2 THEN 2.25 ELSE 0.0 END"), F.lit(60.0))).alias("after"), "started_at")
+    dated = dated.select("crawl_id", F.timestamp_micros(((F.unix_micros("started_at")) + F.col("after") * 1_000_000).cast("long")).alias("cancelled_at"))
+    return C.stop_ranks(crawls, dated), snap
+
+
+@query("crawl_cancelled_midway", oracle=bfs_sql(CRAWL_PAGES, CRAWL_DEPTH, stop=_STOP) + _CRAWL_ROWS + f" AND rank < {_STOP}")
+def q_crawl_cancelled_midway(spark, sf):
+    """Crawls that are cancelled while they run (T8): pages visited before stay, no page after is fetched."""
+    return _crawl_rows(C.crawl_bfs(*_cancelled(spark, sf, "max_pages", CRAWL_PAGES)))
+
+
+@query("map_cancelled_midway", oracle=bfs_sql(MAP_URLS, MAP_DEPTH, stop=_STOP) + """
+SELECT CAST(crawl_id AS BIGINT) AS crawl_id, CAST(rank AS BIGINT) AS rank, url, CAST(depth AS BIGINT) AS depth
+FROM allf WHERE rank < 50
+""")
+def q_map_cancelled_midway(spark, sf):
+    m = C.map_bfs(*_cancelled(spark, sf, "max_urls", MAP_URLS))
+    return m.select(F.col("crawl_id").cast("bigint"), F.col("rank").cast("bigint"), "url", F.col("depth").cast("bigint"))
