@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagefold.llm import blocks
-from pagefold.llm.bpe import Cached, byte_characters
+from pagefold.llm.bpe import byte_characters
 from pagefold.llm.words import give_back, mix, range_bucket, worker_store
 
 SEGMENTS = 64
@@ -56,11 +56,10 @@ _U = np.uint64
 #: Texts of ASCII without control characters and of letters from U+00C0 to U+017F, in which the classes of the byte-level
 #: pattern are plain: letters, digits, white space, the rest.
 PLAIN = re.compile("[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\u017f]*\\Z").match
-_L = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f"
-PLAIN_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\t-\r {_L}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
-#: A word with the spaces before it; where a word begins behind another.
-WORDS = re.compile(" +[^ ]*")
-WORD_STARTS = re.compile("(?<=[^\t-\r ]) (?=[^\t-\r ])")
+#: Runs that go to the library whatever they hold: some versions of the fast encoder take the square of their length.
+LONG_RUN = re.compile(r"\S{2000}|\s{2000}")
+#: How a byte-level file without a pattern of its own cuts texts, fixed value.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Pair:
@@ -69,6 +68,7 @@ class Pair:
     def __init__(self, a_file: str, b_file: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
         self.a = Tokenizer.from_str(a_file)
         self.a.encode_special_tokens = True  # their strings in a text are text
@@ -80,56 +80,34 @@ class Pair:
         self.a_bytes = [b""] * (max(vocab.values()) + 1)
         for s, i in vocab.items():
             self.a_bytes[i] = bytes(byte_of[c] for c in s) if all(c in byte_of for c in s) else s.encode()
+        # the same merges by rank: ids are in the order of the merges, and every entry is what its own bytes merge to
+        special = {t.content for t in self.a.get_added_tokens_decoder().values()}
+        self.fast = tiktoken.Encoding("byte_level", pat_str=BYTE_LEVEL, special_tokens={}, mergeable_ranks={
+            self.a_bytes[i]: i for s, i in vocab.items() if s not in special})
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i) else
                         self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
         self.size_b = len(self.b_bytes)
         if len(self.a_bytes) * self.size_b >= 1 << 32:
             raise ValueError("a pair of ids must fit 32 bits")
         self.kind = "<u2" if max(len(self.a_bytes), self.size_b) <= 1 << 16 else "<u4"  # of the ids in blocks
-        # a piece that goes on after a space behind other characters would join words
-        self.b_by_word = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.size_b))
-        self.a_parts, self.b_parts = Cached(self._a_part), Cached(self._b_part)
         self.len_a = np.array([len(x) for x in self.a_bytes], np.int64)
         self.len_b = np.array([len(x) for x in self.b_bytes], np.int64)
         # ids as text, with what follows them inside a group and at the end of one side of it
         self.shown = np.array([f"{i}{s}".encode() for i in range(len(self.a_bytes)) for s in ",|"]
                               + [f"{i}{s}".encode() for i in range(self.size_b) for s in ",;"], object)
 
-    def _parts(self, text: str, pattern) -> list[str]:
-        """The matches of a pattern that cover a text, which is cut between words where it is long."""
-        out, at = [], 0
-        while len(text) - at > ENCODE_BYTES:
-            cut = WORD_STARTS.search(text, at + ENCODE_BYTES)
-            if cut is None:
-                break
-            out += pattern.findall(text[at:cut.start()])
-            at = cut.start()
-        return out + pattern.findall(text[at:] if at else text)
-
-    def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def _a_part(self, pretoken: str) -> bytes:
-        return self._packed(self.a.encode(pretoken, add_special_tokens=False).ids)
-
-    def _b_part(self, word: str) -> bytes:
-        # the library puts a space before a text, but not before an empty one
-        return self._packed(self.b.encode(word[1:], num_threads=1) if word != " " else [self.b.piece_to_id("▁")])
+    def _a_ids(self, text: str) -> list[int]:
+        if PLAIN(text) and LONG_RUN.search(text) is None:
+            return self.fast.encode_ordinary(text)
+        return self.a.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """Packed ids of both tokenizers. Words repeat, and no merge of the tokenizers goes beyond a pre-token or a
-        word: what the libraries give for one is kept in a table of bounded size."""
+        """Packed ids of both tokenizers."""
         out = []
-        for t in texts:
-            full = " " + (t or "")
-            if full == " ":
-                out.append((b"", b""))
-                continue
-            x = b"".join(self.a_parts.all(self._parts(full, PLAIN_PARTS))) if PLAIN(full) else self._a_part(full)
-            y = b"".join(self.b_parts.all(self._parts(full, WORDS))) if self.b_by_word else self._b_part(full)
-            want = full.encode()
-            same = all(b"".join([held[i] for i in np.frombuffer(ids, self.kind).tolist()]) == want for held, ids in ((self.a_bytes, x), (self.b_bytes, y)))
-            out.append((x, y) if same else (b"", b""))
+        for t, y in zip(texts, self.b.encode([t or "" for t in texts], num_threads=1)):
+            x, want = self._a_ids(" " + t) if t else [], b" " + (t or "").encode()
+            same = t and b"".join([self.a_bytes[i] for i in x]) == want and b"".join([self.b_bytes[i] for i in y]) == want
+            out.append((np.array(x, self.kind).tobytes(), np.array(y, self.kind).tobytes()) if same else (b"", b""))
         return out
 
 

@@ -114,3 +114,21 @@ def test_empty_table_and_no_tokens(spark):
         al = A.Alignment(spark.createDataFrame(rows, "doc_id long, text string"), A_PATH, B_PATH)
         assert sorted(tuple(r) for r in al.documents().collect()) == [(i, 0, 0, 0, 0, 0, 0, "") for i, _ in rows]
         assert al.pair_counts().collect() == []
+
+
+def test_fast_encoder_is_the_library():
+    """What the shortcut for plain texts rests on: ranks in the order of the merges, and no entry that its own bytes do
+    not merge to; then the same ids on texts of every kind of plain character."""
+    import json
+    with open(A_PATH, encoding="utf-8") as f:
+        a_file = f.read()
+    spec, pair = json.loads(a_file)["model"], A.Pair(a_file, open(B_PATH, "rb").read())
+    order = [spec["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in spec["merges"]]
+    assert order == sorted(order) and len(order) + 256 == len(spec["vocab"])
+    model, merged = pair.a.model, set(order)
+    assert all([t.id for t in model.tokenize(s)] == [i] for s, i in spec["vocab"].items() if i in merged)
+    rng = random.Random(3)
+    signs = [" ", "  ", "\n", "\t", "\r\n", "a", "B", "é", "ß", "ſ", "'s", "'", "'ll", "12", "3", "_", "=", "-", "<|endoftext|>", "tion", " the", ".", "Ā", "\x0b"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 40))) for _ in range(20_000)] + ["x" * 5000, " " * 5000, "ab " * 4000]
+    assert sum(bool(A.PLAIN(t)) for t in texts) == len(texts)
+    assert [pair._a_ids(t) for t in texts] == [e.ids for e in pair.a.encode_batch(texts, add_special_tokens=False)]
