@@ -136,9 +136,10 @@ def _classes(words: Column) -> Column:
 
 def disclosing_terms(parsed: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
     """(entity, term, kept): the terms that disclose an entity; ``kept`` is the beginning left of a generalised one."""
-    text_id = F.xxhash64(_TEXT, F.length(_TEXT)).alias("text_id")
-    held = parsed.where(F.col("_held") > 0).select(text_id, F.explode(F.concat(*(
-        F.transform(f"_{k}", lambda s: F.struct(F.lower(s["value"]).alias("entity"), _terms_near(s).alias("near"))) for k in KINDS))).alias("e"))
+    # hashed before anything is exploded, or every exploded row would carry its text along
+    parsed = parsed.where(F.col(_TEXT).isNotNull()).withColumn("text_id", F.xxhash64(_TEXT, F.length(_TEXT)))
+    found = F.concat(*(F.transform(f"_{k}", lambda s: F.struct(F.lower(s["value"]).alias("entity"), _terms_near(s).alias("near"))) for k in KINDS))
+    held = parsed.where(F.col("_held") > 0).select("text_id", found.alias("found")).select("text_id", F.explode("found").alias("e"))
     held = saved(held.select("text_id", "e.entity", "e.near"))
     beside = held.select("text_id", "entity", F.explode(_classes(F.col("near"))).alias("term")).distinct()
     together = saved(beside.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support))
@@ -146,16 +147,17 @@ def disclosing_terms(parsed: DataFrame, support: int = SUPPORT, disclosed: float
     terms = together.select("term").distinct()
     # every text's terms; those beside no entity often enough go before they are sent anywhere
     words = F.array_distinct(F.regexp_extract_all(F.lower(_TEXT), F.lit(_WORD), F.lit(0)))
-    all_terms = parsed.where(F.col(_TEXT).isNotNull()).select(text_id, F.explode(_classes(words)).alias("term"))
+    all_terms = parsed.select("text_id", words.alias("words")).select("text_id", _classes(F.col("words")).alias("words"))
+    all_terms = all_terms.select("text_id", F.explode_outer("words").alias("term")).where("term IS NOT NULL")
     n_term = all_terms.join(terms, "term").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    n = parsed.where(F.col(_TEXT).isNotNull()).select(text_id).distinct().count()
+    n = parsed.select("text_id").distinct().count()
     pmi = F.log(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     discloses = pmi >= disclosed * F.log(F.lit(float(n)) / F.col("n_entity"))
     judged = together.join(n_entity, "entity").join(n_term, "term").select("entity", "term", discloses.alias("discloses"))
     judged = saved(judged)
-    found = judged.where(F.col("discloses") & ~F.endswith("term", F.lit("*")))
+    telling = judged.where(F.col("discloses") & ~F.endswith("term", F.lit("*")))
     stems = judged.where(~F.col("discloses") & F.endswith("term", F.lit("*"))).select("entity", F.col("term").alias("kept"))
-    return (found.withColumn("kept", F.concat(F.left("term", F.lit(STEM)), F.lit("*"))).join(stems.withColumn("below", F.lit(True)), ["entity", "kept"], "left")
+    return (telling.withColumn("kept", F.concat(F.left("term", F.lit(STEM)), F.lit("*"))).join(stems.withColumn("below", F.lit(True)), ["entity", "kept"], "left")
             .select("entity", "term", F.when(F.col("below"), F.col("kept")).otherwise("").alias("kept")))
 
 
