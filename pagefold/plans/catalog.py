@@ -27,4 +27,4 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from pagefold.plans import (crawl_queries, extraction_queries, job_queries,  # noqa: F401
                                 metric_queries, network_queries, ratelimit_queries,
-                                request_queries, structured_queries)
+                                request_queries, stream_queries, structured_queries)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pagefold.functions.validate import validate
 from pagefold.operators import metrics as M
 from pagefold.operators.jobs import accept_requests, fold_jobs
+from pagefold.session import cut_lineage
 from pagefold.sources.requests import parse_requests
 
 REQUEST_FILE_SCHEMA = T.StructType([
@@ -31,6 +32,11 @@ JOB_LOG_SCHEMA = T.StructType([
 def request_stream(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
     """JSON-lines request files (req_id, kind, body) -> parsed and validated rows."""
     raw = spark.readStream.schema(REQUEST_FILE_SCHEMA).option("maxFilesPerTrigger", max_files).json(folder)
+    return validated_requests(raw)
+
+
+def validated_requests(raw: DataFrame) -> DataFrame:
+    """Request rows (req_id, kind, body) of any stream, parsed and validated."""
     return validate(parse_requests(raw))
 
 
@@ -60,12 +66,16 @@ def worker_writer(out_folder: str, snapshot: DataFrame, dns: DataFrame, redirect
     from pagefold.operators.crawl import crawl_job_results, map_job_results, snapshot_edges
     from pagefold.operators.fetch import scrape_jobs
 
+    edges = None
+
     def write(batch: DataFrame, batch_id: int) -> None:
+        nonlocal edges
         batch = batch.persist()
         of = lambda kind: batch.where(F.col("kind") == kind)
         done = [(scrape_jobs(of("scrape"), snapshot, dns, redirects), "scrape")]
         if not batch.where(F.col("kind").isin("crawl", "map")).isEmpty():
-            edges = snapshot_edges(snapshot)
+            # the snapshot is cut up once, at the first batch that follows links
+            edges = cut_lineage(snapshot_edges(snapshot).repartition("src_url")) if edges is None else edges
             done += [(crawl_job_results(of("crawl"), snapshot, edges), "crawl"),
                      (map_job_results(of("map"), snapshot, edges), "map")]
         rows = None
