@@ -10,6 +10,11 @@ space, lower case; a split pattern whose matches are kept; bytes as printable ch
 merges with an end-of-word suffix; special tokens that are cut out of the raw text. A file
 with other parts is refused rather than read wrongly.
 
+Which characters are letters, digits or white space, and what their lower case is, differs
+between Unicode versions. Texts of plain characters (``PLAIN``), whose classes have never
+changed, are normalised and split here; for all others the library that the file belongs to
+normalises and splits, so that its tables count and not those of Python.
+
 Pre-tokens repeat, so a task keeps what it worked out in a table of ``CACHE`` entries at
 most, which starts over when it is full. That bounds memory and never changes a result.
 
@@ -23,11 +28,10 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import unicodedata
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -35,9 +39,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pagefold.llm.words import worker_store
 
 CACHE = 400_000
-#: Unicode White_Space, fixed values.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-
 #: The usual split pattern, and the same for lower-cased texts of PLAIN characters.
 USUAL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN_PRETOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017f]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-\u017f]+")
@@ -52,11 +53,6 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-def lower(text: str) -> str:
-    """Character by character: no rule looks at neighbours, as for a final sigma."""
-    return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-
-
 class Tokenizer:
     """Vocabulary, merges and text rules of one file."""
 
@@ -82,11 +78,10 @@ class Tokenizer:
         self.last_ids = [self.vocab[c + suffix] for c in byte_characters()]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
-        self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", WHITE))
+        self.data, self.byte_of = data, {c: i for i, c in enumerate(byte_characters())}
         # the usual pattern, written out for the letters and digits that a plain text can have
         self.plain_pattern = PLAIN_PRETOKENS if split["pattern"]["Regex"] == USUAL_PATTERN else None
-        self.white = regex.compile(f"[{WHITE}]+")
-        self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
+        self.cut = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
     def ids(self, pretoken: str) -> list[int]:
         """Ids of the merged symbols of one pre-token."""
@@ -122,8 +117,12 @@ class Tokenizer:
                     heapq.heappush(queue, rank << 32 | h)
         return [s for s in symbols if s >= 0]
 
-    def normalized(self, text: str) -> str:
-        return lower(self.white.sub(" ", unicodedata.normalize("NFC", text)))
+    @cached_property
+    def library(self):
+        """The library's normaliser and splitter of the file, opened at the first text that needs them."""
+        from tokenizers import Tokenizer as Library
+        own = Library.from_str(self.data)
+        return own.normalizer, own.pre_tokenizer
 
     @staticmethod
     def plain(text: str) -> bool:
@@ -135,7 +134,9 @@ class Tokenizer:
         """Of text without special tokens."""
         if self.plain_pattern and self.plain(text):
             return self.plain_pattern.findall(text.lower())
-        return self.pattern.findall(self.normalized(text))
+        normalizer, splitter = self.library
+        parts = splitter.pre_tokenize_str(normalizer.normalize_str(text))
+        return [bytes([self.byte_of[c] for c in part]).decode("utf-8") for part, _ in parts]
 
     def parts(self, text: str):
         """(special token or None, the raw text between) in order."""
@@ -196,7 +197,7 @@ class Encoder:
         return np.array(ids, "<u4").tobytes(), self.tok.decode(ids)
 
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        got = self.pieces.all(self.tok.pattern.findall(chunk))
+        got = self.pieces.all(self.tok.pretokens(chunk))
         return got[0] if len(got) == 1 else (b"".join([r for r, _ in got]), " ".join([d for _, d in got]))
 
     def encode(self, text: str) -> tuple[bytes, str]:

@@ -34,6 +34,15 @@ def test_odd_strings_like_the_library(library):
         assert decoded == library.decode(want, skip_special_tokens=False)
 
 
+def test_every_code_point_like_the_library(library):
+    """Letters, digits, white space and lower case by the library's tables, whatever Python's are."""
+    points = [c for c in (*range(0x32400), *range(0xE0000, 0xE0200), 0xF0000, 0x10FFFF) if not 0xD800 <= c <= 0xDFFF]
+    encoder = bpe.Encoder(bpe.Tokenizer(bpe.load(PATH)))
+    texts = [f"a{chr(c)}b1" for c in points]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [c for c, t, ids in zip(points, texts, want) if np.frombuffer(encoder.encode(t)[0], "<u4").tolist() != ids] == []
+
+
 def test_full_tables_start_over(library, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 3)
     encoder = bpe.Encoder(bpe.Tokenizer(bpe.load(PATH)))
