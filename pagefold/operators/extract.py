@@ -146,7 +146,7 @@ def extract_one(body: str | bytes | None, types: list[str], max_html: int = MAX_
         body = bytes(raw[:max_body_bytes]).decode("utf-8", errors="replace")
     doc = H.parse(body)
     v = PageView(doc)
-    out: dict = {"truncated": cut}
+    out: dict = {"truncated": cut, "cut_types": []}
     for t in types:
         if t in _REGISTRY:
             out[t] = _REGISTRY[t][0](v)
@@ -157,9 +157,11 @@ def extract_one(body: str | bytes | None, types: list[str], max_html: int = MAX_
         if "html" in types:
             out["html"], tr = truncate_utf8(H.render(main, skip_noise=True), max_html)
             out["truncated"] = out["truncated"] or tr
+            out["cut_types"] += ["html"] * tr
     if "raw_html" in types:
         out["raw_html"], tr = truncate_utf8(H.render(v.body() or doc), max_html)
         out["truncated"] = out["truncated"] or tr
+        out["cut_types"] += ["raw_html"] * tr
     return out
 
 
@@ -171,7 +173,7 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(sc.defaultParallelism) if size < sc.defaultParallelism * SPLIT_BYTES else df
 
 
-def _asked(types: Column, t: str) -> Column:
+def asked_types(types: Column, t: str) -> Column:
     """Whether a row's own list of types asks for ``t`` (``extract_set`` as a Column)."""
     low = F.transform(F.coalesce(types, F.array().cast("array<string>")), F.lower)
     asked = F.array_contains(low, t) if t == "raw_html" else F.array_contains(low, t) | F.array_contains(low, "all")
@@ -189,7 +191,7 @@ def _with_native(src: DataFrame, types: list[str], body_col: str, types_col: str
         else:
             src = K.with_element_texts(src, t, t)
         if types_col:
-            src = src.withColumn(t, F.when(_asked(F.col(types_col), t), F.col(t)))
+            src = src.withColumn(t, F.when(asked_types(F.col(types_col), t), F.col(t)))
     return src.drop("_tags", "_texts")
 
 
@@ -200,20 +202,20 @@ def _output_fields(types: list[str]) -> list[T.StructField]:
             fields.append(T.StructField(t, T.StringType()))
         else:
             fields.append(T.StructField(t, T.ArrayType(T.StringType())))
-    fields.append(T.StructField("truncated", T.BooleanType()))
-    return fields
+    return fields + [T.StructField("truncated", T.BooleanType()), T.StructField("cut_types", T.ArrayType(T.StringType()))]
 
 
 def extract_pages(df: DataFrame, types: Iterable[str] | None = None, *, url_col: str = "url",
                   body_col: str = "html", keep: Iterable[str] = ("page_id",),
                   max_html: int = MAX_STORED_HTML, resolve: bool = True,
-                  types_col: str | None = None, max_body_bytes: int | None = None) -> DataFrame:
+                  types_col: str | None = None, max_body_bytes: int | None = None, cut_types: bool = False) -> DataFrame:
     """Run the extraction pass over a page table.
 
     Output columns: ``keep`` + url + one column per type + truncated. With
     ``types_col`` each row names its own extract list (lower-cased, de-duplicated,
     empty -> links, ``all`` expanded); ``types`` is then the set of output columns
-    and a type a row did not ask for is NULL for that row.
+    and a type a row did not ask for is NULL for that row. ``cut_types`` adds the list of types that
+    were cut at ``max_html``, for callers that share one parse among several requests.
     List types that are URLs (links, images) are resolved against ``url`` by native
     expressions; unparsable hrefs are dropped, order and duplicates kept.
     """
@@ -229,9 +231,9 @@ def extract_pages(df: DataFrame, types: Iterable[str] | None = None, *, url_col:
     native = [t for t in types if text and _REGISTRY.get(t) is not None and _REGISTRY[t] == _NATIVE.get(t)]
     parsed = [t for t in types if t not in native]
     src = _with_native(src, native, body_col, types_col)
-    order = [*keep, url_col, *types, "truncated"]
+    order = [*keep, url_col, *types, "truncated"] + ["cut_types"] * cut_types
     if not parsed:
-        out = src.withColumn("truncated", F.lit(False)).select(*order)
+        out = src.withColumns({"truncated": F.lit(False), "cut_types": F.array().cast("array<string>")}).select(*order)
     else:
         out = _parse_pages(src, parsed, body_col, types_col, max_html, max_body_bytes).select(*order)
     if resolve:
@@ -257,6 +259,27 @@ def _parse_pages(src: DataFrame, types: list[str], body_col: str, types_col: str
                 [t for t in extract_set(own) if t in types] for own in cols[types_col].to_pylist()]
             results = [extract_one(b, t, max_html, max_body_bytes) for b, t in zip(bodies, asked)]
             made = [cols[f.name] for f in in_fields] + [pa.array([r.get(t) for r in results]) for t in types]
-            made.append(pa.array([r["truncated"] for r in results]))
+            made += [pa.array([r["truncated"] for r in results]), pa.array([r["cut_types"] for r in results], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, arrow)], schema=arrow)
     return src.mapInArrow(run, schema)
+
+
+def extract_shared(requests: DataFrame, bodies: DataFrame, *, key: str, url_col: str, types_col: str) -> DataFrame:
+    """``requests`` with the outputs that each asks for of the page ``key``, and ``truncated``.
+
+    Late: a page's body is first touched when it is known who wants it. The wanted pages are one row per ``key`` with
+    the types that any request asks for; that table meets ``bodies`` (key, body) in one equi-join, where the runtime filter
+    of the optimiser keeps unwanted bodies from being shuffled; every wanted page is cut up and parsed once, and what
+    it gave is joined back to the requests, which keep their own types. Links are resolved per request, against its URL."""
+    types = [*BUILTIN_TYPES, *(t for t in _REGISTRY if t not in BUILTIN_TYPES)]
+    wanted = requests.groupBy(key).agg(F.array_compact(F.array(*(
+        F.when(F.max(asked_types(F.col(types_col), t)), F.lit(t)) for t in types))).alias("_wanted"))
+    pages = extract_pages(bodies.select(key, "body").join(wanted, key), types, url_col=key, body_col="body", keep=(),
+                          types_col="_wanted", resolve=False, cut_types=True)
+    met = requests.join(pages, key)
+    out = met.withColumns({t: F.when(asked_types(F.col(types_col), t), F.col(t)) for t in types})
+    for t in types:
+        if t in _REGISTRY and _REGISTRY[t][1]:
+            out = out.withColumn(t, resolve_urls(F.col(url_col), F.col(t)))
+    mine = F.exists("cut_types", lambda c: F.when(c == "html", asked_types(F.col(types_col), "html")).otherwise(asked_types(F.col(types_col), "raw_html")))
+    return out.withColumn("truncated", mine).select(*requests.columns, *types, "truncated")

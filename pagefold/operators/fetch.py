@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pagefold.functions import urls as U
 from pagefold.functions.netaddr import is_private_ip
 from pagefold.functions.validate import effective_options
-from pagefold.operators.extract import extract_pages
+from pagefold.operators.extract import extract_shared
 from pagefold.operators.jobs import ERROR_MESSAGES
 from pagefold.session import cut_lineage
 
@@ -157,8 +157,8 @@ def fetch(df: DataFrame, snapshot: DataFrame) -> DataFrame:
     ``error`` column for answers that did not come whole: ``timeout`` (status 0) or
     ``parse_failure`` (status kept)."""
     error = F.col("error") if "error" in snapshot.columns else F.lit(None).cast("string")
-    snap = snapshot.select(F.col("url").alias("final_url"), F.col("http_status").alias("_st"),
-                           error.alias("_err"), F.col("body"))
+    # no bodies here: they are read for the pages that turn out to be wanted (``extract_shared``)
+    snap = snapshot.select(F.col("url").alias("final_url"), F.col("http_status").alias("_st"), error.alias("_err"))
     x = df.join(snap, "final_url", "left")
     status = F.when(F.col("redirect_status").isNotNull(), F.col("redirect_status")) \
         .when(F.col("redirect_error").isNotNull() | (F.col("_err") == "timeout"), F.lit(0)) \
@@ -192,7 +192,7 @@ def scrape_jobs(jobs: DataFrame, snapshot: DataFrame, dns: DataFrame, redirects:
 
     Order of checks per attempt: scheme prefix (P2), URL parse, DNS + private IP
     (P8, skipped with ``allow_private``), a browser for ``render_js``, redirects (G3), fetch + 2xx (J1, P9), then
-    one extraction pass over the successful bodies (F5). The snapshot is
+    one extraction pass over the pages that some job got (F5), each read and parsed once. The snapshot is
     deterministic, so every attempt of a job has the same outcome: success uses one
     attempt (retries flag 0); failure uses max_retries attempts (flag 1); max_retries
     0 makes no attempt and fails."""
@@ -206,17 +206,17 @@ def scrape_jobs(jobs: DataFrame, snapshot: DataFrame, dns: DataFrame, redirects:
     x = x.withColumn("_pre", F.coalesce("_pre", "ssrf_error", no_browser))
     ok_pre = x.where(F.col("_pre").isNull())
     bad_pre = x.where(F.col("_pre").isNotNull()).withColumn("error_type", F.col("_pre")) \
-        .withColumn("http_status", F.when(F.col("_pre") == "browser_unavailable", 0).cast("int")).withColumn("body", F.lit(None).cast("string"))
+        .withColumn("http_status", F.when(F.col("_pre") == "browser_unavailable", 0).cast("int")).withColumn("final_url", F.col("url"))
     fetched = fetch(follow_redirects(ok_pre, redirects, verdict), snapshot)
     fetched = fetched.withColumn("error_type", F.col("fetch_error"))
-    cols = ["job_id", "url", "extract", "_max_retries", "error_type", "http_status", "body", "blocked_ip"]
+    cols = ["job_id", "url", "extract", "_max_retries", "error_type", "http_status", "final_url", "blocked_ip"]
     allr = fetched.select(*cols).unionByName(bad_pre.select(*cols))
     allr = allr.withColumn("error_type", F.when(F.col("_max_retries") <= 0, F.lit("no_attempts"))
                            .otherwise(F.col("error_type")))
-    good = allr.where(F.col("error_type").isNull())
-    ext = extract_pages(good, types=None, url_col="url", body_col="body", keep=("job_id", "http_status"),
-                        types_col="extract")
-    result_cols = [c for c in ext.columns if c not in ("job_id", "url", "http_status")]
+    allr = cut_lineage(allr)  # narrow rows: both the wanted pages and the results are made of them
+    good = allr.where(F.col("error_type").isNull()).select("job_id", "url", "final_url", "extract", "http_status")
+    ext = extract_shared(good, snapshot.select(F.col("url").alias("final_url"), "body"), key="final_url", url_col="url", types_col="extract")
+    result_cols = [c for c in ext.columns if c not in good.columns]
     from pagefold.sources.jsoncodec import PAGE_SCHEMA
     from pyspark.sql import types as T
     res = ext.select("job_id", F.struct(*[F.col(c) for c in result_cols],

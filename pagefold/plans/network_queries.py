@@ -14,7 +14,7 @@ from pagefold.plans.extraction_queries import MARKDOWN_SQL
 from pagefold.plans.request_queries import VALIDATION_ORACLE
 from pagefold.plans.sqlsnippets import CLEAN_PAGES, RESOLVED_LINKS, dec, hostname, trim_ws
 from pagefold.sources.network import DNS_SQL, REDIRECT_SQL, alias_chain_heads, dns_snapshot, redirect_table
-from pagefold.sources.requests import derived_request_bodies, parse_requests
+from pagefold.sources.requests import OPTIONS_SCHEMA, derived_request_bodies, parse_requests
 from pagefold.sources.sitegraph import page_snapshot
 from pagefold.sources.tables import pages
 
@@ -236,3 +236,44 @@ def q_scrape_outcomes(spark, sf):
     snap = page_snapshot(p).select("url", "page_id", "body").selectExpr("url", "body", *_ANSWERS.split(",\n       "))
     done = X.scrape_jobs(jobs, snap, dns_snapshot(spark, p), redirect_table(spark, p).distinct(), browser_available=False)
     return done.select(F.col("job_id").cast("bigint"), "status", "error_type", F.col("http_status").cast("bigint"))
+
+
+#: Two requests for every page, the second with other types than the first.
+_TYPES = (("links",), ("headers", "Paragraphs"), ("all",), ("markdown",), ())
+
+
+def _two_a_page_sql() -> str:
+    lists = " ".join(f"WHEN {i} THEN {list(t) if t else '[]::VARCHAR[]'}" for i, t in enumerate(_TYPES))
+    return f"""
+jobs AS (SELECT page_id * 2 + k AS job_id, page_id, url, CASE (page_id + 2 * k) % 5 {lists} END AS ex
+         FROM pages, (VALUES (0), (1)) t(k)),
+low AS (SELECT *, CASE WHEN len(ex) = 0 THEN ['links'] ELSE list_transform(ex, lambda t: lower(t)) END AS lx FROM jobs),
+first AS (SELECT regexp_replace(url, '#.*$', '') AS nurl, min(page_id) AS page_id FROM pages GROUP BY 1),
+got AS (SELECT low.job_id, lx, CASE WHEN v.host IS NULL THEN 'dns' WHEN v.private_ip IS NOT NULL THEN 'private_ip' END AS error_type,
+               first.page_id
+        FROM low JOIN first ON first.nurl = regexp_replace(low.url, '#.*$', '') LEFT JOIN verdict v ON v.host = lower({hostname('low.url')}))"""
+
+
+def _if_asked(t: str, value: str) -> str:
+    return f"CASE WHEN error_type IS NULL AND (list_contains(lx, '{t}') OR list_contains(lx, 'all')) THEN {value} END"
+
+
+@query("scrape_every_page", oracle="WITH " + DNS_VERDICT_SQL.strip() + "," + _two_a_page_sql().strip() + "," + _COUNTS_SQL.strip() + f""",
+md AS ({MARKDOWN_SQL})
+SELECT CAST(job_id AS BIGINT) AS job_id, error_type, CAST(CASE WHEN error_type IS NULL THEN 200 END AS BIGINT) AS http_status,
+       CAST({_if_asked('links', 'coalesce(cl.n, 0)')} AS BIGINT) AS links, CAST({_if_asked('headers', 'coalesce(ch.n, 0)')} AS BIGINT) AS headers,
+       CAST({_if_asked('paragraphs', 'coalesce(cp.n, 0)')} AS BIGINT) AS paragraphs, {_if_asked('markdown', 'md.markdown')} AS markdown,
+       CASE WHEN error_type IS NULL THEN false END AS truncated
+FROM got LEFT JOIN cl USING (page_id) LEFT JOIN ch USING (page_id) LEFT JOIN cp USING (page_id) LEFT JOIN md USING (page_id)
+""")
+def q_scrape_every_page(spark, sf):
+    """Two valid scrape jobs for every page (S2, J1): a page is read and parsed once for both, each gets its own types."""
+    p = pages(spark, sf)
+    lists = F.array(*(F.array(*map(F.lit, t)) if t else F.array().cast("array<string>") for t in _TYPES))
+    twice = p.select("page_id", "url", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    jobs = twice.select((F.col("page_id") * 2 + F.col("k")).alias("job_id"), "url", F.lit(None).cast(OPTIONS_SCHEMA).alias("options"),
+                        F.get(lists, ((F.col("page_id") + 2 * F.col("k")) % 5).cast("int")).alias("extract"))
+    r = X.scrape_jobs(jobs, page_snapshot(p), dns_snapshot(spark, p), redirect_table(spark, p))
+    n = lambda c: F.when(F.col("result")[c].isNotNull(), F.size(F.col("result")[c])).cast("bigint").alias(c)
+    return r.select(F.col("job_id").cast("bigint").alias("job_id"), "error_type", F.col("http_status").cast("bigint").alias("http_status"),
+                    n("links"), n("headers"), n("paragraphs"), F.col("result.markdown").alias("markdown"), F.col("result.truncated").alias("truncated"))

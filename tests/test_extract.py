@@ -94,3 +94,21 @@ def test_table_cells_title_and_textarea():
     assert got["paragraphs"] == ["one"]
     got = X.extract_one("<table><tr><td><b>a<td>b</table><p>c", ["html"])
     assert "<td><b>a</b></td><td>b</td></tr></table><p>c</p>" in got["html"].replace("<tbody>", "").replace("</tbody>", "")
+
+
+def test_requests_share_one_parse_and_keep_their_own_types(spark):
+    long = "<body><p>x</p>" + "a" * (X.MAX_STORED_HTML + 10) + "<a href=y>l</a></body>"
+    bodies = spark.createDataFrame([("http://e.com/d/", long), ("http://e.com/q", BASIC), ("http://e.com/unwanted", BASIC)], "final_url string, body string")
+    asked = [(1, "http://e.com/d/", "http://e.com/d/", ["links"]), (2, "http://e.com/alias", "http://e.com/d/", ["LINKS", "html"]),
+             (3, "http://e.com/d/", "http://e.com/d/", ["raw_html"]), (4, "http://e.com/d/", "http://e.com/d/", ["headers", "markdown"]),
+             (5, "http://e.com/q", "http://e.com/q", None), (6, "http://e.com/q", "http://e.com/q", ["ALL"]), (7, "http://e.com/no", "http://e.com/no", ["links"])]
+    requests = spark.createDataFrame(asked, "job_id int, url string, final_url string, extract array<string>")
+    out = X.extract_shared(requests, bodies, key="final_url", url_col="url", types_col="extract")
+    got = {r["job_id"]: r for r in out.collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6]  # a page that is not there gives nothing
+    assert [got[i]["truncated"] for i in range(1, 7)] == [False, True, True, False, False, False]
+    assert got[1]["links"] == ["http://e.com/d/y"] and got[2]["links"] == ["http://e.com/y"] and got[3]["links"] is None
+    assert got[1]["html"] is None and len(got[2]["html"]) == len(got[3]["raw_html"]) == X.MAX_STORED_HTML and got[4]["markdown"].startswith("x")
+    assert len(got[5]["links"]) == 4 and got[5]["headers"] is None and got[6]["headers"][0] == "Main Title" and got[6]["raw_html"] is None
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("MapInArrow") == 1
