@@ -199,7 +199,8 @@ def sanitise(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, di
     (kind:start:end, in order of kind and start) and ``sanitised``, the text without what it should not tell."""
     new = [*(f"n_{k}" for k in (*KINDS, TERM)), "base_spans", "spans", "sanitised"]
     kept = [c for c in docs.columns if c not in new]
-    rows = docs.select(F.struct(*kept).alias("_kept"), F.col(text_col).alias(_TEXT))
+    others = [c for c in kept if c != text_col]  # the text is written once
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("_kept"), F.col(text_col).alias(_TEXT))
     parsed = entities(rows).withColumn("_held", sum((F.size(f"_{k}") for k in KINDS), F.lit(0)))
     parsed = _written(parsed.withColumn("_row", F.monotonically_increasing_id()))
     telling = disclosing_terms(parsed, support, disclosed)
@@ -216,6 +217,6 @@ def sanitise(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, di
     clean = parsed.where(F.col("_held") == 0).withColumn("_term", none)
     base = F.concat(*(_listed(k, F.col(f"_{k}")) for k in KINDS))
     return met.unionByName(clean).select(
-        *(F.col("_kept")[c].alias(c) for c in kept), *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in (*KINDS, TERM)),
+        *((F.col(_TEXT) if c == text_col else F.col("_kept")[c]).alias(c) for c in kept), *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in (*KINDS, TERM)),
         F.array_join(base, ",").alias("base_spans"), F.array_join(F.concat(base, _listed(TERM, F.col("_term"))), ",").alias("spans"),
         _rewritten().alias("sanitised"))
