@@ -11,9 +11,13 @@ deeply nested junk page cannot hit Python's recursion limit.
 
 from __future__ import annotations
 
+import re
 from html import unescape
+from html.entities import html5
 from html.parser import HTMLParser
 
+from pagefold.operators import tokens
+
 # ---- fixed values (HTML element classes and output formats) -------------------------
 VOID = frozenset(("area base basefont bgsound br col embed frame hr img input keygen link "
                   "meta param source track wbr").split())
@@ -50,6 +54,9 @@ HTML_ESCAPES = {"&": "&amp;", "'": "&#39;", "<": "&lt;", ">": "&gt;", '"': "&#34
 # ---------------------------------------------------------------------------------------
 
 _ESC_TABLE = str.maketrans(HTML_ESCAPES)
+_ATTRIBUTE = re.compile(tokens._ATTR.replace(r"\z", r"\Z"))
+_ATTRIBUTE_REF = re.compile(tokens._REF["attribute"])
+_TAG_NAME = re.compile(r"<[^\t\n\f\r />]*")
 
 
 class Node:
@@ -75,13 +82,28 @@ class Node:
         self.children.append(child)
 
 
-def _dedupe_attrs(attrs):
-    seen, out = set(), []
-    for k, v in attrs:
-        if k not in seen:
-            seen.add(k)
-            out.append((k, "" if v is None else v))
-    return out
+def _attribute_value(raw: str) -> str:
+    """References by the rule for attributes, which the standard parser does not know in all its versions."""
+    def meant(m):
+        ref = m[0]
+        if ref[1] == "#":
+            return unescape(ref)
+        return html5.get(ref[1:], ref)
+    return _ATTRIBUTE_REF.sub(meant, raw)
+
+
+def _attributes(start_tag: str):
+    """(name, value) of a start tag as it stands in the page; of two with one name the first."""
+    out = {}
+    for m in _ATTRIBUTE.finditer(start_tag, _TAG_NAME.match(start_tag).end()):
+        name, given, value = m[0].partition("=") if "=" in m[0][1:] else (m[0], "", "")
+        if given and not name:  # a name may begin with the sign
+            name, given, value = "=" + value.partition("=")[0], *value.partition("=")[1:]
+        value = value.lstrip("\t\n\f\r ")
+        if value[:1] in ("'", '"'):
+            value = value[1:-1] if len(value) > 1 and value[-1] == value[0] else value[1:]
+        out.setdefault(name.rstrip("\t\n\f\r ").lower(), _attribute_value(value))
+    return list(out.items())
 
 
 class _Builder(HTMLParser):
@@ -186,7 +208,7 @@ class _Builder(HTMLParser):
 
     # -- tokenizer callbacks -------------------------------------------------------------
     def handle_starttag(self, tag, attrs):
-        attrs = _dedupe_attrs(attrs)
+        attrs = _attributes(self.get_starttag_text())
         if tag == "html":
             self._ensure_html()
             for k, v in attrs:

@@ -112,3 +112,10 @@ def test_requests_share_one_parse_and_keep_their_own_types(spark):
     assert len(got[5]["links"]) == 4 and got[5]["headers"] is None and got[6]["headers"][0] == "Main Title" and got[6]["raw_html"] is None
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.split("== Initial Plan ==")[0].count("MapInArrow") == 1
+
+
+def test_query_strings_in_the_tree():
+    page = "<body><a href='/p?a=1&section=2&copy=3&amp;b=4&times;5&region' Title=\"x &lt; y\" title=no =odd=1 bare>t</a></body>"
+    got = X.extract_one(page, ["links", "markdown", "html"])
+    assert got["links"] == ["/p?a=1&section=2&copy=3&b=4×5&region"] and got["markdown"] == f"[t]({got['links'][0]})"
+    assert 'title="x &lt; y"' in got["html"] and ' bare=""' in got["html"] and "no" not in got["html"]
