@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from pagefold.functions.ranking import carry, row_number_in_key
 from pagefold.functions.validate import JOB_STATUSES, deterministic_uuid, with_defaults
+from pagefold.session import cut_lineage
 
 # ---- fixed values: statuses, messages and the error classes of a failed scrape ------------
 MSG_CANCELLED = "cancelled"
@@ -172,16 +173,38 @@ def check_status_filter(status: str | None) -> str | None:
     return status
 
 
+SHALLOW = 10_000  # rows up to which a page is a top-k of every task
+
+
+def _located(jobs: DataFrame, unit: str, skip: int, limit: int) -> tuple[DataFrame, int]:
+    """The rows of those time buckets that the page lies in, newest first, and what is left to skip among them. Buckets
+    are counted with partial sums; their running total is a table of one row per bucket. Runs one job."""
+    bucket = F.date_trunc(unit, F.col("created_at"))
+    counts = jobs.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, 0)))
+    hit = upto.where((F.col("upto") > skip) & (F.col("upto") - F.col("n") < skip + limit)).agg(
+        F.min("b").alias("lo"), F.max("b").alias("hi"), F.min(F.col("upto") - F.col("n")).alias("before")).first()
+    if hit["lo"] is None:
+        return jobs.where(F.lit(False)), 0
+    return jobs.where(bucket.between(F.lit(hit["lo"]), F.lit(hit["hi"]))), skip - hit["before"]
+
+
 def list_jobs(jobs: DataFrame, page: int | None = 1, limit: int | None = DEFAULT_PAGE_LIMIT,
-              status: str | None = None) -> DataFrame:
+              status: str | None = None, shallow: int = SHALLOW) -> DataFrame:
     """One page of job summaries, newest first (L1). ``job_id`` breaks ties on
-    created_at so pages are deterministic. Spark plans ``orderBy + offset + limit``
-    as a top-k (TakeOrderedAndProject): each task keeps at most offset+limit rows."""
+    created_at so pages are deterministic. Up to ``shallow`` rows from the top the plan is a
+    top-k (TakeOrderedAndProject): each task keeps at most offset + limit rows. A page further down is located by
+    counts, per day and then per second of the days it lies in, so that no task sorts more than the seconds of the page;
+    the narrow job rows are written once for that, and two small jobs run while the query is built."""
     page, limit = normalize_paging(page, limit)
     status = check_status_filter(status)
     src = jobs if status is None else jobs.where(F.col("status") == status)
-    return src.select("job_id", "url", "status", "created_at", "updated_at") \
-        .orderBy(F.col("created_at").desc(), F.col("job_id")).offset((page - 1) * limit).limit(limit)
+    src, skip = src.select("job_id", "url", "status", "created_at", "updated_at"), (page - 1) * limit
+    if skip + limit > shallow:
+        src = cut_lineage(src)
+        for unit in ("day", "second"):
+            src, skip = _located(src, unit, skip, limit)
+    return src.orderBy(F.col("created_at").desc(), F.col("job_id")).offset(skip).limit(limit)
 
 
 def count_jobs(jobs: DataFrame, status: str | None = None) -> DataFrame:

@@ -121,3 +121,18 @@ def test_attempt_numbers_and_percentiles_in_two_levels(spark):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", old)
     assert exact_percentiles(values.where("false"), "v", (0.5,)) == [None]
+
+
+def test_deep_pages_are_located_by_counts(spark):
+    import datetime as dt
+    from pagefold.operators import jobs as J
+    day, rows = dt.datetime(2024, 1, 1), []
+    for i in range(300):  # many jobs in one second, seconds and days without any
+        rows.append((i, day + dt.timedelta(days=i // 90 * 3, seconds=min(i % 90, 40) // 7, milliseconds=i % 3)))
+    jobs = spark.createDataFrame([(i, "u", "failed" if i % 4 else "queued", t, t) for i, t in rows],
+                                 "job_id int, url string, status string, created_at timestamp, updated_at timestamp")
+    for status in (None, "failed"):
+        want = [i for i, t in sorted(rows, key=lambda r: (-r[1].timestamp(), r[0])) if status is None or i % 4]
+        for page in (1, 2, 7, 14, 15, 30, 31, 99):
+            got = [r["job_id"] for r in J.list_jobs(jobs, page, 20, status, shallow=0).collect()]
+            assert got == want[(page - 1) * 20:page * 20], (status, page)
