@@ -144,12 +144,12 @@ def disclosing_terms(parsed: DataFrame, support: int = SUPPORT, disclosed: float
     beside = held.select("text_id", "entity", F.explode(_classes(F.col("near"))).alias("term")).distinct()
     together = saved(beside.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support))
     n_entity = held.select("text_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = together.select("term").distinct()
-    # every text's terms; those beside no entity often enough go before they are sent anywhere
+    # the terms of every different text, once, counted in the tasks before anything is sent
+    first = parsed.groupBy("text_id").agg(F.min("_row").alias("_row")).select("_row")
     words = F.array_distinct(F.regexp_extract_all(F.lower(_TEXT), F.lit(_WORD), F.lit(0)))
-    all_terms = parsed.select("text_id", words.alias("words")).select("text_id", _classes(F.col("words")).alias("words"))
-    all_terms = all_terms.select("text_id", F.explode_outer("words").alias("term")).where("term IS NOT NULL")
-    n_term = all_terms.join(terms, "term").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    all_terms = parsed.join(first, "_row", "left_semi").select(words.alias("words")).select(_classes(F.col("words")).alias("words"))
+    all_terms = all_terms.select(F.explode_outer("words").alias("term")).where("term IS NOT NULL")
+    n_term = all_terms.groupBy("term").agg(F.count("*").alias("n_term"))
     n = parsed.select("text_id").distinct().count()
     pmi = F.log(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     discloses = pmi >= disclosed * F.log(F.lit(float(n)) / F.col("n_entity"))
