@@ -175,16 +175,19 @@ def near(a: str, b: str) -> bool:
 
 
 def _pairs(group: list[tuple[str, int, int, int]], two_lengths: bool):
-    """Near pairs of one list: rows (word, n, kept left, kept right)."""
-    least = min(len(x[0]) for x in group)
+    """Near pairs of one list: rows (word, n, kept left, kept right). Different look-ups may have one key, so a list of
+    two lengths may hold words of more: each length meets the next."""
+    lengths = {len(x[0]) for x in group}
+    if two_lengths and not any(m + 1 in lengths for m in lengths):
+        return
     if len(group) > LIST:
         # near words become equal by taking out a letter between the kept ends; of two lengths the shorter stands for itself
         parts = defaultdict(list)
         for x in group:
             w, a, b = x[0], x[2], len(x[0]) - x[3]
-            if two_lengths and len(w) == least:
+            if two_lengths and len(w) + 1 in lengths:
                 parts[w].append(x)
-            else:
+            if not two_lengths or len(w) - 1 in lengths:
                 for i in range(a, b):
                     parts[w[:i] + w[i + 1:] if two_lengths else (i, w[:i] + w[i + 1:])].append(x)
         lists = parts.values()
@@ -192,9 +195,10 @@ def _pairs(group: list[tuple[str, int, int, int]], two_lengths: bool):
         lists = (group,)
     for part in lists:
         if two_lengths:
-            short = [x for x in part if len(x[0]) == least]
-            long = [x for x in part if len(x[0]) > least] if short else ()
-            yield from ((x, y) for x in short for y in long if near(x[0], y[0]))
+            of = defaultdict(list)
+            for x in part:
+                of[len(x[0])].append(x)
+            yield from ((x, y) for m, short in of.items() if m + 1 in of for x in short for y in of[m + 1] if near(x[0], y[0]))
         else:
             yield from ((x, y) for i, x in enumerate(part) for y in part[:i] if near(x[0], y[0]))
 

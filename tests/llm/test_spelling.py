@@ -71,6 +71,27 @@ def test_every_near_pair_meets_in_a_list(pruned, qmax, monkeypatch):
         assert got == near_by_definition(words)
 
 
+def test_lists_of_other_lengths_under_one_key(spark):
+    """Two look-ups may have the same key; the longer pair must not be lost beside the shorter one."""
+    rng = random.Random(11)
+
+    def keys(size):
+        words = ("".join(rng.choice("abcdefghijklm") for _ in range(size)) for _ in range(150_000))
+        return {zlib.crc32(w.encode(), zlib.crc32(b"1 %d" % size)) & ~1 | 1: w for w in words}
+    short, long = keys(7), keys(10)
+    both = sorted(short.keys() & long.keys())
+    assert both
+    for extra in (0, 12):  # also in a list that is split by its letters
+        a, b = short[both[0]], long[both[0]]
+        for w in (a, b):
+            assert (both[0], 0, len(w)) in S.lookups(w, frozenset(), 1) and (both[0], 0, len(w)) in S.lookups("x" + w, frozenset(), 1)
+        words = [a, "x" + a, b, "x" + b] + [chr(97 + i) + a for i in range(13, 13 + extra) if i != 23]
+        got = S.near_pairs(spark.createDataFrame([(w, 2) for w in words], "word string, n long"), qmax=1).select("word", "other").collect()
+        links = {frozenset(r) for r in got}
+        assert {frozenset((a, "x" + a)), frozenset((b, "x" + b))} <= links
+        assert links == {frozenset((v, w)) for v in words for w in words if S.near(v, w)}
+
+
 def some_docs(seed, n_docs=300):
     rng = random.Random(seed)
     stems = ["".join(rng.choice(LETTERS) for _ in range(rng.randint(7, 12))) for _ in range(60)]
