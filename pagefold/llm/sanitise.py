@@ -16,8 +16,8 @@
 
 Documents without an entity have nothing to protect and stay as they are.
 
-Scale: texts are written once to the shared folder, then read where they lie; only entities,
-their terms and counts are shuffled, counts after partial sums, and of the texts those that
+Scale: texts are written once to the shared folder, in blocks of rows, then read where they
+lie; only entities, their terms, row numbers and counts are shuffled, counts after partial sums, and of the texts those that
 hold an entity and meet its terms. A passage in a third of all documents is one entity with
 partial sums; a run of characters of any length is looked at once per pattern (possessive
 quantifiers, and no match starts inside a run that has failed).
@@ -36,7 +36,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagefold.llm.blocks import remove_folder, saved
+from pagefold.llm.blocks import remove_folder, saved, shuffle_partitions
 from pagefold.session import checkpoint_dir
 
 #: Kinds in the order in which spans are listed; terms come last.
@@ -56,6 +56,8 @@ _PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]"}
 _WORD = r"\p{L}{3,}+"
 CHUNK = 128
+#: Rows of a block, as a power of two: neighbours in one file.
+BLOCK_BITS = 10
 
 
 def _with_sums(df: DataFrame, lengths: str, out: str) -> DataFrame:
@@ -134,6 +136,15 @@ def _classes(words: Column) -> Column:
     return F.array_union(words, F.transform(words, lambda w: F.concat(F.left(w, F.lit(STEM)), F.lit("*"))))
 
 
+def _each_text_once(parsed: DataFrame) -> DataFrame:
+    """The different texts. Only the numbers of the rows that hold one first are sent, a list per block; the texts are
+    read where they lie."""
+    first = parsed.groupBy("text_id").agg(F.min("_row").alias("_row")).select(_block("_row"), "_row")
+    first = first.groupBy("_block").agg(F.collect_list("_row").alias("_first"))
+    met = parsed.select("_block", "_row", _TEXT).join(first.hint("shuffle_hash"), "_block")
+    return met.where(F.array_contains("_first", F.col("_row"))).select(_TEXT)
+
+
 def disclosing_terms(parsed: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
     """(entity, term, kept): the terms that disclose an entity; ``kept`` is the beginning left of a generalised one."""
     # hashed before anything is exploded, or every exploded row would carry its text along
@@ -145,9 +156,8 @@ def disclosing_terms(parsed: DataFrame, support: int = SUPPORT, disclosed: float
     together = saved(beside.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support))
     n_entity = held.select("text_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     # the terms of every different text, once, counted in the tasks before anything is sent
-    first = parsed.groupBy("text_id").agg(F.min("_row").alias("_row")).select("_row")
     words = F.array_distinct(F.regexp_extract_all(F.lower(_TEXT), F.lit(_WORD), F.lit(0)))
-    all_terms = parsed.join(first, "_row", "left_semi").select(words.alias("words")).select(_classes(F.col("words")).alias("words"))
+    all_terms = _each_text_once(parsed).select(words.alias("words")).select(_classes(F.col("words")).alias("words"))
     all_terms = all_terms.select(F.explode_outer("words").alias("term")).where("term IS NOT NULL")
     n_term = all_terms.groupBy("term").agg(F.count("*").alias("n_term"))
     n = parsed.select("text_id").distinct().count()
@@ -181,17 +191,27 @@ def _rewritten() -> Column:
         F.array_join(a["parts"], ""), F.substring(F.col(_TEXT), (a["done"] + 1).cast("int"), F.length(_TEXT))))
 
 
+def _block(row: str) -> Column:
+    return F.shiftright(row, BLOCK_BITS).alias("_block")
+
+
 def _written(df: DataFrame) -> DataFrame:
-    """The same rows as Parquet in the shared folder; the files go at exit."""
+    """The same rows, numbered by ``_row``, as Parquet in the shared folder, bucketed by ``_block``; the files go at exit."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm_sanitise_{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    name = f"llm_sanitise_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    df = df.withColumn("_row", F.monotonically_increasing_id())
+    (df.select("*", _block("_row")).write.format("parquet").option("path", path)
+       .bucketBy(min(shuffle_partitions(spark), 100_000), "_block").saveAsTable(name))
+    table = spark.table(name)
+    table.schema  # resolve before the catalog entry goes; the files stay
+    spark.sql(f"DROP TABLE {name}")
 
     def clear():
         if getattr(spark.sparkContext, "_jsc", None) is not None and not spark.sparkContext._jsc.sc().isStopped():
             remove_folder(spark, path)
     atexit.register(clear)
-    return spark.read.parquet(path)
+    return table
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
@@ -202,7 +222,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, di
     others = [c for c in kept if c != text_col]  # the text is written once
     rows = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("_kept"), F.col(text_col).alias(_TEXT))
     parsed = entities(rows).withColumn("_held", sum((F.size(f"_{k}") for k in KINDS), F.lit(0)))
-    parsed = _written(parsed.withColumn("_row", F.monotonically_increasing_id()))
+    parsed = _written(parsed)
     telling = disclosing_terms(parsed, support, disclosed)
     held = parsed.where(F.col("_held") > 0)
     entity = F.explode(F.array_distinct(F.concat(*(F.transform(f"_{k}", lambda s: F.lower(s["value"])) for k in KINDS))))

@@ -133,6 +133,16 @@ def test_terms_that_disclose_an_entity(spark):
     assert "Abernathy" not in got[200]["sanitised"] and got[213]["sanitised"] == "Abernathy elsewhere"
 
 
+def test_each_text_once_without_sending_texts(spark):
+    texts = ["one", "two", "one", None, "", "two", "three" * 50] * 700
+    rows = S._written(spark.createDataFrame([(t,) for t in texts], "_text string").repartition(3))
+    met = S._each_text_once(rows.where("_text IS NOT NULL").withColumn("text_id", F.xxhash64("_text", F.length("_text"))))
+    assert sorted(r["_text"] for r in met.collect()) == ["", "one", "three" * 50, "two"]
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    sent = [line for line in plan.split("Initial Plan")[-1].splitlines() if "Exchange" in line]
+    assert len(sent) == 2 and all("text_id#" in line or "_block#" in line for line in sent)  # row numbers by text and by block
+
+
 def test_empty_table_and_native_plan(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.sanitise(df).collect() == []
