@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagefold.llm import blocks
-from pagefold.llm.words import alnum_rule, byte_values, hashed_words
+from pagefold.llm.words import alnum_rule, byte_values, hashed_words, make_room
 from pagefold.session import checkpoint_dir
 
 WINDOW_WORDS = 13
@@ -41,6 +41,7 @@ _SEGMENT = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("terms", pa
 
 
 def words_of(texts) -> tuple[np.ndarray, np.ndarray]:
+    make_room()
     return hashed_words(texts, alnum_rule(), byte_values(lower=True))
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pagefold.llm import blocks
 from pagefold.llm.components import connected, local_components
 from pagefold.llm.repeats import bucket_count
-from pagefold.llm.words import byte_values, give_back, hashed_words, in_document, mix, range_bucket, space_rule, window_hashes
+from pagefold.llm.words import byte_values, give_back, hashed_words, in_document, make_room, mix, range_bucket, space_rule, window_hashes
 
 SHINGLE_WORDS = 5
 #: Sizes of a class lie within a factor of 3; its largest documents have 3 shingles a group.
@@ -60,6 +60,7 @@ _U = np.uint64
 
 def shingle_sets(texts, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of the documents one after another, offsets)."""
+    make_room()
     h, offs = hashed_words(texts, space_rule(), byte_values(lower=True))
     n = np.diff(offs)
     full = window_hashes(h, k)

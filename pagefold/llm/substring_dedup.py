@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagefold.llm import blocks, repeats
-from pagefold.llm.words import byte_values, hashed_words, in_document, space_rule, window_hashes
+from pagefold.llm.words import byte_values, hashed_words, in_document, make_room, space_rule, window_hashes
 
 WINDOW_WORDS = 35
 #: Perfect difference sets: every residue modulo v is a difference of two members.
@@ -50,6 +50,7 @@ class _Words:
 
     def __init__(self, texts, window: int):
         self.window = window
+        make_room()
         self.h, self.offs = hashed_words(texts, space_rule(), byte_values(lower=False))
         self.n = np.diff(self.offs)
         doc = in_document(self.offs, len(self.h))

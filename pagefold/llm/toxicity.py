@@ -360,9 +360,11 @@ class Model:
 
 def _pieces(batches, text_col: str):
     """The batches in slices of about ``PIECE_BYTES`` of text, which bounds a task's arrays."""
+    W.make_room()
     for batch in batches:
         for piece, _ in cut(batch, text_col, PIECE_BYTES):
             yield piece
+    W.give_back()
 
 
 def _text(batch, text_col):

@@ -72,6 +72,17 @@ def give_back() -> None:
         trim(0)
 
 
+def make_room() -> None:
+    """For tasks that use no tokenizer: what the tasks of another operator have left in this worker goes, all but the
+    powers of the hashes. A tokenizer's tables take hundreds of megabytes, and a worker lives on from one operator to
+    the next."""
+    left = [k for k in vars(worker_store()) if not k.startswith("__") and k != "powers"]
+    for k in left:
+        delattr(worker_store(), k)
+    if left:
+        give_back()
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     store = worker_store()
     have = getattr(store, "powers", None)

@@ -1,4 +1,7 @@
+import types
+
 import corpus_pipeline as P
+import pyarrow as pa
 import pytest
 from . import SF001
 from .test_decontaminate import brute as contaminated
@@ -6,6 +9,7 @@ from .test_jaccard_join import brute as near
 from .test_substring_dedup import brute as repeated
 
 import __spark_entry__ as E
+from pagefold.llm import words as W
 
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -55,6 +59,19 @@ def test_each_stage_against_brute_force(spark, stages):
     assert sorted(r["doc_id"] for r in tokens) == sorted(r["doc_id"] for r in kept)
 
 
+def test_a_tokenizer_leaves_the_worker_to_the_next_operator(monkeypatch):
+    from pagefold.llm import decontaminate, jaccard_join, substring_dedup, toxicity
+    texts = pa.array(["one two three", None, ""])
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    for use in (lambda: jaccard_join.shingle_sets(texts), lambda: decontaminate.words_of(texts),
+                lambda: substring_dedup._Words(texts, 35), lambda: list(toxicity._pieces([batch], "text"))):
+        store = types.ModuleType("store")
+        store.powers, store.encoder_1 = W._powers(10), bytes(10)
+        monkeypatch.setattr(W, "worker_store", lambda: store)
+        use()
+        assert not hasattr(store, "encoder_1") and hasattr(store, "powers")
+
+
 def test_run_gives_the_last_stage(spark, stages):
     rows = P.run(spark, SF001).collect()
     assert sorted((r["doc_id"], r["ids_sha256"]) for r in rows) == sorted((r["doc_id"], r["ids_sha256"]) for r in stages[-1])
