@@ -1,4 +1,5 @@
 """Page extraction fixtures (links, headers, paragraphs, markdown, html, truncation)."""
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pagefold.operators import extract as X
@@ -119,3 +120,17 @@ def test_query_strings_in_the_tree():
     got = X.extract_one(page, ["links", "markdown", "html"])
     assert got["links"] == ["/p?a=1&section=2&copy=3&b=4×5&region"] and got["markdown"] == f"[t]({got['links'][0]})"
     assert 'title="x &lt; y"' in got["html"] and ' bare=""' in got["html"] and "no" not in got["html"]
+
+
+def test_pages_are_parsed_a_few_megabytes_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(X, "PIECE_BYTES", 100)
+    bodies = ["<p>a</p>" * 5] * 7 + [None, "", "<p>b</p>" * 100, "<p>c</p>", None]
+    for kind in (pa.string(), pa.binary()):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(bodies, kind)], names=["page_id", "html"])
+        pieces = list(X._pieces(batch, "html"))
+        assert sum((p.column(0).to_pylist() for p in pieces), []) == list(range(12))
+        held = [sum(len(b) for b in p.column(1).to_pylist() if b) for p in pieces]
+        assert all(h <= 100 or sum(1 for b in p.column(1).to_pylist() if b) == 1 for h, p in zip(held, pieces)) and len(pieces) > 4
+    rows = spark.createDataFrame(list(enumerate(bodies)), "page_id long, html string").selectExpr("page_id", "'https://e.com/' url", "html").coalesce(1)
+    got = {r["page_id"]: r["markdown"] for r in X.extract_pages(rows, ["markdown"]).collect()}
+    assert got == {i: X.extract_one(b, ["markdown"])["markdown"] for i, b in enumerate(bodies)}
