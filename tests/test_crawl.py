@@ -139,3 +139,18 @@ def test_contents_of_visited_pages(spark):
     assert not got[0, "https://ex.com/gone"]["ok"] and got[0, "https://ex.com/gone"]["links"] is None
     roll = C.crawl_rollup(pages, C.crawl_contents(pages, snap, ["html"]).select("url", F.lit(True).alias("truncated")).distinct())
     assert all(r["truncated"] for r in roll.collect())
+
+
+def test_a_full_crawl_is_not_carried_on(spark, monkeypatch):
+    """Levels hold what is listed, no finds behind the budget, and end with the last crawl that is not full."""
+    kept, cut = [], C.cut_lineage
+    monkeypatch.setattr(C, "cut_lineage", lambda df: kept.append(cut(df)) or kept[-1])
+    at = "https://e.com/{}".format
+    graph = {at(i): [at(7 * i + k) for k in range(1, 8)] + [at(0), at(i)] for i in range(60)}
+    seeds = [at(0), at(1), at(50)]
+    rows = C.crawl_bfs(_seeds(spark, seeds, budget=12, depth=6), _snapshot(spark, graph)).collect()
+    for i, seed in enumerate(seeds):
+        assert [r["url"] for r in sorted(rows, key=lambda r: r["rank"]) if r["crawl_id"] == i] == queue_crawl(graph, seed, 12, 6)
+    levels = [f.collect() for f in kept if "rank" in f.columns]
+    assert max(r["rank"] for f in levels for r in f) == 11
+    assert [len(f) > 0 for f in levels] == [True, True, True, False]  # seeds, two levels and none
