@@ -13,11 +13,13 @@ Two documents link when their sets of distinct word 5-grams have a Jaccard simil
    short meets every partner at the level before.
 2. R-tree over points. One document speaks for all that have its very set. A block sends
    each content once per size band, with its number of documents, and learns which contents
-   others of near size hold too. For those the documents travel as points of 64 group
-   counts. Points that share a content are packed into a tree of bounding boxes; the overlap
-   with a box or a point is at most the sum of the coordinate minima, and pairs that pass
-   this bound (and the one on sizes) are candidates. Components of the candidates hold every
-   possible link. A content of more than ``POINT_CHUNK`` documents is split into chunks,
+   others of near size hold too, and how many. As linked sets differ in few contents, only
+   the rarest of a document's contents are needed to meet every partner: one of a passage that
+   many texts quote brings nobody together. For those the documents travel as points of 64
+   group counts. Points that share a content are packed into a tree of bounding boxes; the
+   overlap with a box or a point is at most the sum of the coordinate minima, and pairs that
+   pass this bound (and the one on sizes) are candidates. Components of the candidates hold
+   every possible link. A content of more than ``POINT_CHUNK`` documents is split into chunks,
    each pair of chunks a group.
 3. Verification. Inside a component the same tree, with more groups, leaves pairs that are
    verified on the full sets unless they are connected by then. Components over ``CHUNK``
@@ -107,6 +109,11 @@ def _groups(sets, offs, docs, g, salt):
 
 def contents(sets: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, content hash) of all that the documents send."""
+    return leveled_contents(sets, offs)[:2]
+
+
+def leveled_contents(sets: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, content hash, class and level under which it is sent) of all that the documents send."""
     size = np.diff(offs)
     some = np.flatnonzero(size)
     cls = np.zeros(len(size), np.int64)
@@ -116,7 +123,7 @@ def contents(sets: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
         top *= CLASS_FACTOR
     bound = CLASS_FACTOR ** (cls + 1)
     jobs = [(some, cls[some]), (some[5 * size[some] >= 4 * bound[some]], cls[some[5 * size[some] >= 4 * bound[some]]] + 1)]
-    out_doc, out_key = [], []
+    out_doc, out_key, out_level = [], [], []
     for docs, c in jobs:
         largest = (CLASS_FACTOR ** (c + 1)).astype(np.float64)
         for level, (per_group, least) in enumerate(((GROUP_SHINGLES, 2), (2.5, 1), (0.6, 1), (0.0, 1))):
@@ -134,19 +141,37 @@ def contents(sets: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
                 d, key = np.repeat(docs, n), mix(sets[place] ^ mix(np.repeat(c * 8 + level, n).astype(_U)))
             out_doc.append(d)
             out_key.append(key)
+            at = np.zeros(len(size), np.int64)
+            at[docs] = c * 8 + level
+            out_level.append(at[d])
             sent = np.bincount(d, minlength=len(size))[docs]
             short = sent <= size[docs] // 4
             docs, c, largest = docs[short], c[short], largest[short]
     if not out_doc:
-        return np.zeros(0, np.int64), np.zeros(0, _U)
-    return np.concatenate(out_doc), np.concatenate(out_key)
+        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64)
+    return np.concatenate(out_doc), np.concatenate(out_key), np.concatenate(out_level)
+
+
+def rarest(n: np.ndarray, doc: np.ndarray, key: np.ndarray, level: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which contents are needed to meet every partner, given how many documents hold each (0: no possible partner).
+    At a level under which linked documents meet, at most a quarter of a set's size of its contents are not the
+    partner's. So in an order that is the same for all documents, here the rarest first, the first content that the two
+    share is among the first ``n // 4 + 1`` of either."""
+    order = np.lexsort((key, held, level, doc))
+    d, v = doc[order], level[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (v[1:] != v[:-1])
+    starts = np.flatnonzero(new)
+    rank = np.empty(len(d), np.int64)
+    rank[order] = np.arange(len(d)) - np.repeat(starts, np.diff(np.append(starts, len(d))))
+    return (held > 0) & (rank <= n[doc] // 4)
 
 
 SENT = "bucket int, block long, keys binary, bands binary, counts binary"
 _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("bands", pa.binary()),
                    ("counts", pa.binary())])
-FOUND = "block long, bucket int, chunks binary"
-_FOUND = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("chunks", pa.binary())])
+FOUND = "block long, bucket int, held binary"
+_FOUND = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("held", pa.binary())])
 POINT = "key long, a int, b int, side int, ref long, n long, point binary"
 _POINT = pa.schema([("key", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("side", pa.int32()), ("ref", pa.int64()),
                     ("n", pa.int64()), ("point", pa.binary())])
@@ -172,8 +197,7 @@ def _sent(texts, gone: list[int]):
     size = np.diff(offs)
     size[gone] = 0
     held = size[in_document(offs, len(sets))] > 0
-    doc, key = contents(sets[held], np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
-    return sets, offs, doc, key
+    return sets, offs, *leveled_contents(sets[held], np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
 
 
 def _entries(offs, doc, key):
@@ -195,7 +219,7 @@ def _places(back) -> list[int]:
 
 def _send_keys(text_col: str, buckets: int):
     def send(block, batch, back):
-        _, offs, doc, key = _sent(batch.column(batch.schema.get_field_index(text_col)), _places(back))
+        _, offs, doc, key, _ = _sent(batch.column(batch.schema.get_field_index(text_col)), _places(back))
         key, band, counts, _ = _entries(offs, doc, key)
         cuts = np.searchsorted(range_bucket(key, buckets), np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(cuts))
@@ -208,9 +232,9 @@ def _send_keys(text_col: str, buckets: int):
     return send
 
 
-def _meet(chunk: int):
-    """Per block, bucket and entry sent: 0 if no other document of near size sends its content, else the chunks
-    that all documents with the content make."""
+def _meet():
+    """Per block, bucket and entry sent: 0 if no other document of near size sends its content, else the number of
+    documents with the content."""
     def run(batches):
         heads, keys, bands, counts = [], [], [], []
         for b in batches:
@@ -230,15 +254,15 @@ def _meet(chunk: int):
         shared = near[1:] | near[:-1] | (n > 1)
         starts = np.flatnonzero(np.concatenate([[True], ~same]))
         total = np.repeat(np.add.reduceat(n, starts), np.diff(np.append(starts, len(k))))
-        chunks = np.empty(len(k), np.uint32)
-        chunks[order] = np.where(shared, -(-total // chunk), 0)
+        held = np.empty(len(k), np.uint32)
+        held[order] = np.where(shared, np.minimum(total, (1 << 32) - 1), 0)
         at = 0
         for (block, bucket), own in zip(heads, keys):
-            got = chunks[at:at + len(own)]
+            got = held[at:at + len(own)]
             at += len(own)
             if got.any():
                 yield pa.RecordBatch.from_pydict({"block": [block], "bucket": [bucket],
-                                                  "chunks": [pa.compress(got.tobytes(), "zstd", asbytes=True)]}, schema=_FOUND)
+                                                  "held": [pa.compress(got.tobytes(), "zstd", asbytes=True)]}, schema=_FOUND)
     return run
 
 
@@ -254,28 +278,28 @@ def _unit(n: np.ndarray) -> np.ndarray:
     return np.maximum(1, -(-n // 255))
 
 
-def _send_points(text_col: str, buckets: int):
+def _send_points(text_col: str, buckets: int, chunk: int):
     def send(block, batch, back):
-        answers = [x for x in back or () if x["chunks"] is not None]
+        answers = [x for x in back or () if x["held"] is not None]
         if not answers:
             return
-        sets, offs, doc, key = _sent(batch.column(batch.schema.get_field_index(text_col)), _places(back))
+        sets, offs, doc, key, level = _sent(batch.column(batch.schema.get_field_index(text_col)), _places(back))
         own, _, _, entry = _entries(offs, doc, key)
         cuts = np.searchsorted(range_bucket(own, buckets), np.arange(buckets + 1))
-        chunks = np.zeros(len(own), np.int64)
+        held = np.zeros(len(own), np.int64)
         for x in answers:
             i, j = cuts[x["bucket"]], cuts[x["bucket"] + 1]
-            chunks[i:j] = np.frombuffer(pa.decompress(x["chunks"], int(j - i) * 4, codec="zstd", asbytes=True), np.uint32)
-        chunks = chunks[entry]
-        doc, key, chunks = doc[chunks > 0], key[chunks > 0], chunks[chunks > 0]
+            held[i:j] = np.frombuffer(pa.decompress(x["held"], int(j - i) * 4, codec="zstd", asbytes=True), np.uint32)
+        n, held = np.diff(offs), held[entry]
+        need = rarest(n, doc, key, level, held)
+        doc, key, chunks = doc[need], key[need], -(-held[need] // chunk)
         if not len(doc):
             return
-        n = np.diff(offs)
         unit = _unit(n)
         used = np.unique(doc)
         size = np.where(np.isin(np.arange(len(n)), used), n, 0)
-        held = size[in_document(offs, len(sets))] > 0
-        counts = points_of(sets[held], np.concatenate([[0], np.cumsum(size)]), POINT_DIMS)
+        inside = size[in_document(offs, len(sets))] > 0
+        counts = points_of(sets[inside], np.concatenate([[0], np.cumsum(size)]), POINT_DIMS)
         point = {int(d): (-(-counts[d] // unit[d])).astype(np.uint8).tobytes() for d in used}
         ref = (block << blocks.PLACE_BITS) + doc
         mine = (mix(ref.astype(np.uint64)) % chunks.astype(np.uint64)).astype(np.int64)
@@ -373,20 +397,30 @@ class CountTree:
 
     def forest(self, side: np.ndarray | None, verify=None) -> list[tuple[int, int]]:
         """Pairs within the bound that connect what all such pairs connect, at most one fewer than points.
-        With ``side`` only pairs of different sides count; ``verify(i, candidates)`` keeps the true links."""
-        comp, links = np.arange(len(self.size)), []
-        for i in self.order:
-            at = self.near(self.points[i], int(self.size[i]))
-            at = at[comp[at] != comp[i]]
-            if side is not None:
-                at = at[side[at] != side[i]]
-            while len(at):  # in steps, as each link found may spare the rest
-                step, at = at[:64], at[64:]
-                for j in step if verify is None else verify(i, step):
-                    if comp[j] != comp[i]:
-                        links.append((int(i), int(j)))
-                        comp[comp == comp[j]] = comp[i]
-                at = at[comp[at] != comp[i]]
+        With ``side`` only pairs of different sides count; ``verify(i, candidates)`` keeps the true links.
+        A point that is reached goes, so a group whose points all link is searched once."""
+        left, tree, ids, links = np.ones(len(self.size), bool), self, None, []
+        for start in self.order:
+            if not left[start]:
+                continue
+            left[start] = False
+            reached, rest = [start], int(left.sum())
+            while reached and rest:
+                i = reached.pop()
+                if 2 * rest < len(tree.size):
+                    ids = np.flatnonzero(left)
+                    tree = CountTree(self.points[ids], self.size[ids])
+                at = tree.near(self.points[i], int(self.size[i]))
+                at = at if ids is None else ids[at]
+                at = at[left[at]]
+                if side is not None:
+                    at = at[side[at] != side[i]]
+                for step in (at,) if verify is None else (at[k:k + 64] for k in range(0, len(at), 64)):
+                    found = step if verify is None else verify(i, step)
+                    left[found] = False
+                    rest -= len(found)
+                    reached += found.tolist()
+                    links += [(int(i), j) for j in found.tolist()]
         return links
 
 
@@ -526,11 +560,12 @@ def _joined(df: DataFrame, id_col: str, text_col: str, block_bytes: int):
     rows = seen.where("n_shingles > 0").select("ref", "one", "two")
     first = rows.groupBy("one", "two").agg(F.min("ref").alias("rep"))
     copies = blocks.saved(rows.join(first, ["one", "two"]).where("ref <> rep").select(F.col("ref").alias("a"), F.col("rep").alias("b")))
-    gone = _at(copies, "a").withColumns({"bucket": F.lit(None).cast("int"), "chunks": F.lit(None).cast("binary")})
-    shared = blocks.saved(packed.visit(_send_keys(text_col, buckets), SENT, blocks.per_block(gone, "place", "bucket", "chunks"))
-                          .repartition(buckets, "bucket").mapInArrow(_meet(POINT_CHUNK), FOUND))
+    gone = _at(copies, "a").withColumns({"bucket": F.lit(None).cast("int"), "held": F.lit(None).cast("binary")})
+    shared = blocks.saved(packed.visit(_send_keys(text_col, buckets), SENT, blocks.per_block(gone, "place", "bucket", "held"))
+                          .repartition(buckets, "bucket").mapInArrow(_meet(), FOUND))
     answers = gone.unionByName(shared.withColumn("place", F.lit(None).cast("long")))
-    points = packed.visit(_send_points(text_col, buckets), POINT, blocks.per_block(answers, "place", "bucket", "chunks"))
+    points = packed.visit(_send_points(text_col, buckets, POINT_CHUNK), POINT,
+                          blocks.per_block(answers, "place", "bucket", "held"))
     k = connected(points.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
                   .mapInArrow(_near_points, "a long, b long"))
     asked = _at(k, "node").withColumnRenamed("label", "k")

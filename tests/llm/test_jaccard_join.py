@@ -88,3 +88,51 @@ def test_odd_rows(spark, odd_docs):
 
 def test_empty_table(spark, odd_docs):
     assert J.jaccard_components(odd_docs.where("false")).collect() == []
+
+
+def shared_passage(rng, docs):
+    """Unlike texts of 300 words around one passage of 40, then two of them with a few words changed."""
+    word = lambda: f"w{rng.randrange(50000)}"
+    passage = " ".join(word() for _ in range(40))
+    texts = [" ".join([word() for _ in range(150)] + [passage] + [word() for _ in range(150)]) for _ in range(docs)]
+    return texts + [edited(rng, t, 0.01) for t in texts[:2]]
+
+
+def test_a_passage_of_many_documents_brings_none_of_them_together():
+    import pyarrow as pa
+    texts = shared_passage(random.Random(4), 60) + corpus(random.Random(5))
+    sets, offs = J.shingle_sets(pa.array(texts))
+    n = np.diff(offs)
+    doc, key, level = J.leveled_contents(sets, offs)
+    _, entry, times = np.unique(key, return_inverse=True, return_counts=True)
+    held = np.where(times[entry] > 1, times[entry], 0)
+    need = J.rarest(n, doc, key, level, held)
+    alone = (doc >= 2) & (doc < 60)
+    assert (held[alone] > 0).sum() > 58 and not need[alone].any()
+    sent = [set(key[need & (doc == i)]) for i in range(len(texts))]
+    own = [shingles(t) for t in texts]
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if own[i] and 100 * len(own[i] & own[j]) >= 80 * len(own[i] | own[j])]
+    assert len(linked) > 60 and all(sent[i] & sent[j] for i, j in linked)
+
+
+def test_points_that_all_link_are_searched_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    point = rng.integers(1, 9, J.POINT_DIMS)
+    tree = J.CountTree(np.repeat(point[None], 500, 0), np.full(500, point.sum()))
+    near, asked = J.CountTree.near, []
+    monkeypatch.setattr(J.CountTree, "near", lambda self, q, n: (asked.append(1), near(self, q, n))[1])
+    assert len(tree.forest(None)) == 499 and len(asked) == 1
+
+
+@pytest.mark.parametrize("sides", [False, True])
+def test_forest_connects_what_all_links_connect(sides):
+    rng = np.random.default_rng(8)
+    base = [np.unique(rng.integers(0, 2**63, m).astype(np.uint64)) for m in (12, 30, 31, 80) for _ in range(8)]
+    sets = [np.unique(np.concatenate([s[int(rng.integers(0, len(s) // 5 + 1)):],
+                                      rng.integers(0, 2**63, int(rng.integers(0, 3))).astype(np.uint64)])) for s in base for _ in range(9)]
+    side = rng.integers(0, 2, len(sets)) if sides else None
+    true = [(i, j) for i in range(len(sets)) for j in range(i) if (side is None or side[i] != side[j])
+            and 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))]
+    links = J.link_forest(sets, side)
+    assert set(links) <= set(true) | {(j, i) for i, j in true}
+    assert least_members(links) == least_members(true) and len(links) < len(sets) and len(true) > len(links)
