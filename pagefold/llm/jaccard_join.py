@@ -57,6 +57,8 @@ PIECE_BYTES = 2 << 20
 #: Groups of the points that meet under one content, and documents of a content that one task compares.
 POINT_DIMS = 64
 POINT_CHUNK = 2048
+#: Answers to blocks that a task sends at a time.
+ANSWERS = 1024
 _U = np.uint64
 
 
@@ -238,11 +240,11 @@ def _meet():
     def run(batches):
         heads, keys, bands, counts = [], [], [], []
         for b in batches:
-            for i in range(b.num_rows):
-                heads.append((b.column("block")[i].as_py(), b.column("bucket")[i].as_py()))
-                keys.append(np.frombuffer(b.column("keys")[i].as_py(), np.uint64))
-                bands.append(np.frombuffer(b.column("bands")[i].as_py(), np.uint8))
-                counts.append(np.frombuffer(b.column("counts")[i].as_py(), np.uint32))
+            own = b.column("keys").to_pylist()
+            heads += zip(b.column("block").to_pylist(), b.column("bucket").to_pylist(), map(len, own))
+            keys.append(np.frombuffer(b"".join(own), np.uint64))
+            bands.append(np.frombuffer(b"".join(b.column("bands").to_pylist()), np.uint8))
+            counts.append(np.frombuffer(b"".join(b.column("counts").to_pylist()), np.uint32))
         if not heads:
             return
         key, band = np.concatenate(keys), np.concatenate(bands)
@@ -256,13 +258,14 @@ def _meet():
         total = np.repeat(np.add.reduceat(n, starts), np.diff(np.append(starts, len(k))))
         held = np.empty(len(k), np.uint32)
         held[order] = np.where(shared, np.minimum(total, (1 << 32) - 1), 0)
-        at = 0
-        for (block, bucket), own in zip(heads, keys):
-            got = held[at:at + len(own)]
-            at += len(own)
+        at, found = 0, []
+        for block, bucket, size in heads:  # one for every block: many, so their answers leave together
+            got = held[at:at + size // 8]
+            at += len(got)
             if got.any():
-                yield pa.RecordBatch.from_pydict({"block": [block], "bucket": [bucket],
-                                                  "held": [pa.compress(got.tobytes(), "zstd", asbytes=True)]}, schema=_FOUND)
+                found.append((block, bucket, pa.compress(got.tobytes(), "zstd", asbytes=True)))
+        for i in range(0, len(found), ANSWERS):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found[i:i + ANSWERS]), _FOUND.types)], schema=_FOUND)
     return run
 
 

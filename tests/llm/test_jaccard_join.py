@@ -136,3 +136,16 @@ def test_forest_connects_what_all_links_connect(sides):
     links = J.link_forest(sets, side)
     assert set(links) <= set(true) | {(j, i) for i, j in true}
     assert least_members(links) == least_members(true) and len(links) < len(sets) and len(true) > len(links)
+
+
+def test_answers_to_many_blocks_leave_together():
+    import pyarrow as pa
+    key = np.arange(1, 4, dtype=np.uint64)
+    rows = [(0, i, key[:2 + i % 2].tobytes(), bytes(2 + i % 2), np.ones(2 + i % 2, np.uint32).tobytes()) for i in range(300)]
+    rows.append((0, 300, np.uint64(9).tobytes(), bytes(1), np.ones(1, np.uint32).tobytes()))
+    sent = pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=J._SENT.names)]).cast(J._SENT)
+    found = list(J._meet()(iter(sent.to_batches(max_chunksize=70))))
+    assert len(found) == 1 and found[0].column("block").to_pylist() == list(range(300))
+    for i, x in enumerate(found[0].column("held").to_pylist()):
+        held = np.frombuffer(pa.decompress(x, 4 * (2 + i % 2), codec="zstd", asbytes=True), np.uint32)
+        assert held.tolist() == [300, 300, 150][:2 + i % 2]
